@@ -207,3 +207,119 @@ def q_receipt_lines(spark, sf_dir):
     """Per-item receipt lines, sorted by item."""
     settled = _settled(spark, sf_dir, P.UNIT)
     return carts.receipt_lines(settled, _domain(spark, sf_dir, P.UNIT, ("checkout",)))
+
+
+# ------------------------------------------------------------ latency suite
+from keyfold.operators import latency as lat  # noqa: E402
+from keyfold.sources import latencylog  # noqa: E402
+
+
+def _lf(spark, sf_dir):
+    log = latencylog.from_events(td.table(spark, sf_dir, "events"), P.N_RUNS)
+    return lat.latency_frame(log, P.BUCKET_MS, P.RUN_SHIFTS)
+
+
+def _shift_sql(col: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN {v}" for k, v in P.RUN_SHIFTS.items())
+    return f"CASE {col} {whens} ELSE 0 END"
+
+
+LF_SQL = f"""WITH l AS (
+  SELECT CAST(event_id % {P.N_RUNS} AS BIGINT) AS run, (epoch_us(ts) // 1000) AS in_ms,
+         (epoch_us(ts) // 1000) + CAST(floor(value) AS BIGINT) AS out_ms FROM events),
+o AS (SELECT run, min(in_ms) AS t0 FROM l GROUP BY run),
+lf AS (
+  SELECT l.run, in_ms, out_ms, out_ms - in_ms AS latency,
+    CAST(floor((in_ms - t0) / {P.BUCKET_MS}) AS BIGINT) + {_shift_sql('l.run')} AS start_bucket,
+    CAST(floor((out_ms - t0) / {P.BUCKET_MS}) AS BIGINT) + {_shift_sql('l.run')} AS end_bucket
+  FROM l JOIN o ON l.run = o.run)
+"""
+
+
+@register("latency_by_start_bucket", LF_SQL + """SELECT run, start_bucket, avg(latency) AS mean_latency,
+  count(*) AS n_events FROM lf GROUP BY run, start_bucket""")
+def q_latency_by_start_bucket(spark, sf_dir):
+    """P19-P21, P23, A6, J6, O1."""
+    return lat.latency_by_start_bucket(_lf(spark, sf_dir))
+
+
+@register("throughput_by_end_bucket", LF_SQL + """SELECT run, end_bucket, count(*) AS n_events
+FROM lf GROUP BY run, end_bucket""")
+def q_throughput_by_end_bucket(spark, sf_dir):
+    """A7."""
+    return lat.throughput_by_end_bucket(_lf(spark, sf_dir))
+
+
+@register("throughput_gap_filled", LF_SQL + """, c AS (SELECT run, end_bucket, count(*) AS n FROM lf GROUP BY run, end_bucket),
+sp AS (SELECT r.run, CAST(unnest(range(0, m.xm)) AS BIGINT) AS end_bucket
+       FROM (SELECT DISTINCT run FROM lf) r, (SELECT max(end_bucket) AS xm FROM lf) m)
+SELECT sp.run, sp.end_bucket, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_events
+FROM sp LEFT JOIN c ON sp.run = c.run AND sp.end_bucket = c.end_bucket""")
+def q_throughput_gap_filled(spark, sf_dir):
+    """Spine 0 .. x_max-1 (last bucket dropped as in the reference)."""
+    return lat.throughput_gap_filled(spark, _lf(spark, sf_dir))
+
+
+@register("latency_ten_bucket", LF_SQL + """SELECT run, CAST(floor(start_bucket / 10) * 10 AS BIGINT) AS ten_bucket,
+  avg(latency) AS mean_latency, count(*) AS n_events FROM lf GROUP BY 1, 2""")
+def q_latency_ten_bucket(spark, sf_dir):
+    """P22."""
+    return lat.latency_ten_bucket(_lf(spark, sf_dir))
+
+
+@register("warm_window_stats", LF_SQL + f"""SELECT run,
+  avg(CASE WHEN start_bucket BETWEEN {P.WARM_LO} AND {P.WARM_HI} THEN latency END) AS warm_mean_latency,
+  count(CASE WHEN start_bucket BETWEEN {P.WARM_LO} AND {P.WARM_HI} THEN 1 END) / {float(P.WARM_DIVISOR)} AS warm_throughput,
+  avg(CASE WHEN start_bucket < {P.PREFIX_LIMIT} THEN latency END) AS prefix_mean_latency,
+  count(CASE WHEN start_bucket < {P.PREFIX_LIMIT} THEN 1 END) / {float(P.PREFIX_LIMIT)} AS prefix_throughput
+FROM lf GROUP BY run""")
+def q_warm_window_stats(spark, sf_dir):
+    """F10, F11, A8, A9, U2."""
+    return lat.warm_window_stats(_lf(spark, sf_dir), P.WARM_LO, P.WARM_HI, P.WARM_DIVISOR, P.PREFIX_LIMIT)
+
+
+@register("latency_percentiles", LF_SQL + """SELECT run, quantile_cont(latency, 0.5) AS p50,
+  quantile_cont(latency, 0.99) AS p99, min(latency) AS min_latency, max(latency) AS max_latency,
+  count(*) AS n_events FROM lf GROUP BY run""")
+def q_latency_percentiles(spark, sf_dir):
+    """Exact percentiles per run."""
+    return lat.latency_percentiles(_lf(spark, sf_dir))
+
+
+def _spans_values_sql() -> str:
+    inv = {v: k for k, v in P.RUN_LABELS.items()}
+    return ", ".join(f"({inv[r]}, '{p}', {lo}, {hi})" for r, p, lo, hi in P.RECOVERY_SPANS)
+
+
+@register("recovery_spans", LF_SQL + f""", b AS (SELECT run, start_bucket, avg(latency) AS mean_latency,
+  count(*) AS n_events FROM lf GROUP BY run, start_bucket),
+s AS (SELECT * FROM (VALUES {_spans_values_sql()}) t(run, plot, lo, hi) WHERE plot = 'latency')
+SELECT b.run, b.start_bucket, b.mean_latency, b.n_events, s.lo IS NOT NULL AS in_recovery
+FROM b LEFT JOIN s ON b.run = s.run AND b.start_bucket BETWEEN s.lo AND s.hi""")
+def q_recovery_spans(spark, sf_dir):
+    """Per-bucket mean latency tagged with the run's recovery span."""
+    per_bucket = lat.latency_by_start_bucket(_lf(spark, sf_dir))
+    spans = lat.recovery_spans(spark, P.RECOVERY_SPANS, P.RUN_LABELS)
+    return lat.tag_recovery(per_bucket, spans, "latency", "start_bucket")
+
+
+def _pivot_sql() -> str:
+    cols = ", ".join(
+        f"avg(CASE WHEN run = {k} THEN latency END) AS {v}" for k, v in P.RUN_LABELS.items()
+    )
+    return LF_SQL + f"SELECT CAST(floor(start_bucket / 10) * 10 AS BIGINT) AS ten_bucket, {cols} FROM lf GROUP BY 1"
+
+
+@register("latency_pivot", _pivot_sql())
+def q_latency_pivot(spark, sf_dir):
+    """Runs side by side per ten-bucket (pivot with explicit values)."""
+    return lat.latency_pivot(_lf(spark, sf_dir), P.RUN_LABELS)
+
+
+@register("achieved_rate", LF_SQL + """SELECT run, count(*) AS n_events,
+  (max(in_ms) - min(in_ms)) / 1000.0 AS elapsed_s,
+  CASE WHEN max(in_ms) > min(in_ms) THEN count(*) / ((max(in_ms) - min(in_ms)) / 1000.0) END AS events_per_s
+FROM lf GROUP BY run""")
+def q_achieved_rate(spark, sf_dir):
+    """Events per second over each run's span."""
+    return lat.achieved_rate(_lf(spark, sf_dir))
