@@ -323,3 +323,59 @@ FROM lf GROUP BY run""")
 def q_achieved_rate(spark, sf_dir):
     """Events per second over each run's span."""
     return lat.achieved_rate(_lf(spark, sf_dir))
+
+
+# ------------------------------------------------------- log decode / route
+from keyfold.operators import routing  # noqa: E402
+from keyfold.sources import eventlog  # noqa: E402
+
+
+def _lines(spark, sf_dir):
+    return eventlog.lines_from_events(td.table(spark, sf_dir, "events"))
+
+
+_STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S') || '.0'"
+_ITEM = "CAST(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR)"
+_U = "CAST(user_id AS VARCHAR)"
+_Q = "CAST(1 + event_id % 9 AS INTEGER)"
+_BODY_SQL = f"""CASE
+  WHEN event_type IN ('click','view') THEN '{{"userId":"' || {_U} || '","quantity":' || CAST({_Q} AS VARCHAR)
+       || ',"itemId":"' || {_ITEM} || '","publishTimestamp":"' || {_STAMP} || '"}}'
+  WHEN event_type = 'purchase' THEN '{{"userId":"' || {_U} || '","publishTimestamp":"' || {_STAMP} || '"}}'
+  WHEN event_type = 'signup' THEN '{{"itemId":"' || {_ITEM} || '","quantity":300,"publishTimestamp":"' || {_STAMP} || '"}}'
+  ELSE '{{"userId":"' || {_U} || '","quantity":' END"""
+_KEY_SQL = f"CASE WHEN event_type = 'signup' THEN {_ITEM} ELSE {_U} END"
+_TOPIC_SQL = """CASE WHEN event_type IN ('click','view','error') THEN 'add-to-cart'
+  WHEN event_type = 'purchase' THEN 'checkout' ELSE 'restock' END"""
+
+
+@register("decode_adds", f"""SELECT {_U} AS key, {_U} AS userId, {_ITEM} AS itemId, {_Q} AS quantity,
+  {_STAMP} AS publishTimestamp FROM events WHERE event_type IN ('click','view')""")
+def q_decode_adds(spark, sf_dir):
+    """P29 -> P13, P14, F2, P1: log lines encoded, then decoded back to adds."""
+    dec = routing.decode(routing.route(_lines(spark, sf_dir)))
+    return routing.accepted(dec, "add-to-cart").select("key", "userId", "itemId", "quantity", "publishTimestamp")
+
+
+@register("rejects", f"""SELECT {_U} AS key, {_U} || '=' || ({_BODY_SQL}) AS value,
+  'add-to-cart' AS topic, 'undecodable' AS reason FROM events WHERE event_type = 'error'""")
+def q_rejects(spark, sf_dir):
+    """Undecodable records go to the reject side."""
+    return routing.rejects(routing.decode(routing.route(_lines(spark, sf_dir))))
+
+
+@register("route_topics", f"""SELECT {_KEY_SQL} AS key, {_TOPIC_SQL} AS topic, ({_BODY_SQL}) AS body FROM events""")
+def q_route_topics(spark, sf_dir):
+    """Every line routed to one of three topics."""
+    return routing.route(_lines(spark, sf_dir)).select("key", "topic", "body")
+
+
+@register("quarantine_poison", f"""SELECT {_U} AS key, {_U} AS userId, {_ITEM} AS itemId, -1 AS quantity,
+  {_STAMP} AS publishTimestamp, 'negative_quantity' AS reason
+FROM events WHERE event_type IN ('click','view') AND day(ts) = {P.FAIL_PERIOD}
+ORDER BY ts, event_id LIMIT 1""")
+def q_quarantine_poison(spark, sf_dir):
+    """Poison injected once (first add of the fail period), split off."""
+    lines = eventlog.inject_poison_first_add(_lines(spark, sf_dir), P.FAIL_PERIOD)
+    dec = routing.decode(routing.route(lines))
+    return routing.quarantine(dec).select("key", "userId", "itemId", "quantity", "publishTimestamp", "reason")
