@@ -49,9 +49,9 @@ def power_law_index(row_id, n: int, a: float = 3.0, seed: int = 0) -> Column:
 
 
 def id_string(x, length: int) -> Column:
-    """Stable pseudo-random id text of ``length`` chars (hex of SHA-512)."""
-    h = F.sha2(_c(x).cast("string"), 512)
-    reps = (length + 127) // 128
+    """Stable pseudo-random id text of ``length`` chars (hex of SHA-256)."""
+    h = F.sha2(_c(x).cast("string"), 256)
+    reps = (length + 63) // 64
     return F.substring(F.repeat(h, reps) if reps > 1 else h, 1, length)
 
 

@@ -379,3 +379,97 @@ def q_quarantine_poison(spark, sf_dir):
     lines = eventlog.inject_poison_first_add(_lines(spark, sf_dir), P.FAIL_PERIOD)
     dec = routing.decode(routing.route(lines))
     return routing.quarantine(dec).select("key", "userId", "itemId", "quantity", "publishTimestamp", "reason")
+
+
+# ---------------------------------------------------- keyed aggregates, synth
+from keyfold.functions import synth as R  # noqa: E402
+from keyfold.operators import keyed  # noqa: E402
+from keyfold.operators import synth as syn  # noqa: E402
+
+
+def _events(spark, sf_dir):
+    return td.table(spark, sf_dir, "events")
+
+
+@register("latest_per_user", """SELECT user_id, arg_max(props, ts) AS latest_message,
+  arg_max(event_id, ts) AS latest_event_id, count(*) AS n_messages FROM events GROUP BY user_id""")
+def q_latest_per_user(spark, sf_dir):
+    """A18 (harness): latest message per user, message = props."""
+    return keyed.latest_per_key(_events(spark, sf_dir), "user_id", "props")
+
+
+@register("first_per_user", """SELECT user_id, arg_min(props, ts) AS first_message,
+  arg_min(event_id, ts) AS first_event_id FROM events GROUP BY user_id""")
+def q_first_per_user(spark, sf_dir):
+    """First-seen message per user."""
+    return keyed.first_per_key(_events(spark, sf_dir), "user_id", "props")
+
+
+@register("item_frequency", """SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+  count(*) AS n_events FROM events WHERE event_type IN ('click','view') GROUP BY 1""")
+def q_item_frequency(spark, sf_dir):
+    """Add requests per item."""
+    adds = _domain(spark, sf_dir, P.UNIT, ("add",))
+    return keyed.frequency(adds, "item_id")
+
+
+@register("distinct_users_by_day", """WITH e AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS period FROM events),
+per AS (SELECT period, count(DISTINCT user_id) AS n_distinct FROM e GROUP BY period),
+f AS (SELECT period, count(*) AS n_new FROM (SELECT user_id, min(period) AS period FROM e GROUP BY user_id) GROUP BY period)
+SELECT per.period, per.n_distinct, CAST(COALESCE(f.n_new, 0) AS BIGINT) AS n_new,
+  CAST(SUM(COALESCE(f.n_new, 0)) OVER (ORDER BY per.period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_cumulative
+FROM per LEFT JOIN f ON per.period = f.period""")
+def q_distinct_users_by_day(spark, sf_dir):
+    """Distinct users per period, first-seen users, cumulative."""
+    e = _events(spark, sf_dir).select("user_id", eventlog.period_col().alias("period"))
+    return keyed.distinct_by_period(e, "user_id", "period")
+
+
+def _synth_sql() -> str:
+    u = {s: R.uniform_sql("event_id", s) for s in (1, 2, 3, 4, 5)}
+    den = syn.checkout_den()
+    kind = (f"CASE WHEN floor({u[4]} * {syn.RESTOCK_SHARE_DEN}) = 0 THEN 'restock' "
+            f"WHEN floor({u[5]} * {den}) = 0 THEN 'checkout' ELSE 'add' END")
+    user_idx = f"CAST(floor(pow({u[1]}, 1.0 / {P.SYN_POWER_A}) * {P.SYN_USERS}) AS BIGINT)"
+    item_idx = f"CAST(floor(pow({u[2]}, 1.0 / {P.SYN_POWER_A}) * {P.SYN_ITEMS}) AS BIGINT)"
+    qty = f"CAST(floor({u[3]} * {syn.MAX_QUANTITY}) + 1 AS INTEGER)"
+    return f"""WITH b AS (SELECT event_id AS seq, {kind} AS kind, {user_idx} AS ui, {item_idx} AS ii, {qty} AS q FROM events),
+c AS (SELECT seq, kind, CASE WHEN kind <> 'restock' THEN ui END AS user_idx,
+  CASE WHEN kind <> 'checkout' THEN ii END AS item_idx, q FROM b)
+SELECT seq, kind, user_idx, item_idx,
+  substr(sha256(CAST(user_idx AS VARCHAR)), 1, {syn.USER_ID_LEN}) AS userId,
+  substr(sha256(CAST(item_idx AS VARCHAR)), 1, {syn.ITEM_ID_LEN}) AS itemId,
+  CAST(CASE WHEN kind = 'add' THEN q WHEN kind = 'restock' THEN {syn.RESTOCK_AMOUNT} END AS INTEGER) AS quantity
+FROM c"""
+
+
+@register("synth_power_law", _synth_sql())
+def q_synth_power_law(spark, sf_dir):
+    """One synthetic request per driver event (power-law users/items)."""
+    return syn.events(_events(spark, sf_dir), "event_id", P.SYN_USERS, P.SYN_ITEMS, P.SYN_POWER_A)
+
+
+@register("cart_positions", None)
+def q_cart_positions(spark, sf_dir):
+    """Position of each add in its user's cart cycle."""
+    from keyfold.operators import carts as _c
+
+    return _c.cart_positions(_domain(spark, sf_dir, P.UNIT, ("add", "checkout")))
+
+
+CART_POS_SQL = f"""WITH d AS ({td.domain_events_sql(3, ("add", "checkout"))}),
+cn AS (SELECT *, CAST(COALESCE(SUM(CASE WHEN kind = 'checkout' THEN 1 ELSE 0 END) OVER (
+      PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cart_no
+  FROM d WHERE user_id IS NOT NULL)
+SELECT user_id, event_id, cart_no,
+  CAST(row_number() OVER (PARTITION BY user_id, cart_no ORDER BY ts, event_id) AS BIGINT) AS position
+FROM cn WHERE kind = 'add'"""
+ORACLES["cart_positions"] = CART_POS_SQL
+
+
+@register("progress_marks", """WITH o AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS position FROM events)
+SELECT event_id, position FROM o WHERE position % 1000 = 0""")
+def q_progress_marks(spark, sf_dir):
+    """Every 1000th event with its running count."""
+    e = _events(spark, sf_dir).select("event_id", "ts")
+    return keyed.every_nth(e, 1000).select("event_id", "position")
