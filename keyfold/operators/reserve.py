@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from keyfold.operators import scan
 from keyfold.profiles import Profile
+from keyfold.session import ship_package
 
 KEY = "item_id"
 INSTOCK, OUTOFSTOCK = "INSTOCK", "OUTOFSTOCK"
@@ -189,6 +190,7 @@ def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFra
         F.when(F.col("kind") == "add", F.lit(INSTOCK)).alias("status"),
         (F.col("_S") + F.sum("_D").over(wl)).alias("stock_after"),
     )
+    ship_package(rows.sparkSession)
     tail = (
         tagged.where(F.col("_ok") == 0)
         .select(*[c for c in SETTLED_COLS if c not in ("status", "stock_after")], "_S")

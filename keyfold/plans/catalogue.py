@@ -473,3 +473,21 @@ def q_progress_marks(spark, sf_dir):
     """Every 1000th event with its running count."""
     e = _events(spark, sf_dir).select("event_id", "ts")
     return keyed.every_nth(e, 1000).select("event_id", "position")
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_receipts", ORACLES["receipts_clear"])
+def q_stream_receipts(spark, sf_dir):
+    """The two-stage stateful stream over the events in one run."""
+    from keyfold.streaming.replay import stream_receipts
+
+    return stream_receipts(spark, sf_dir, P.UNIT, waves=1)
+
+
+@register("stream_resume", ORACLES["receipts_clear"])
+def q_stream_resume(spark, sf_dir):
+    """Three ordered waves, the query stopped and restarted on the same
+    checkpoint between waves; equals the uninterrupted batch result."""
+    from keyfold.streaming.replay import stream_receipts
+
+    return stream_receipts(spark, sf_dir, P.UNIT, waves=3)

@@ -76,3 +76,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def use_rocksdb_state(spark: SparkSession) -> None:
     """The stateful processors need the RocksDB state store provider."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``keyfold`` importable in Python workers (like ``--py-files``).
+
+    Python workers unpickle our functions and processors by module name.
+    When the package is not deployed on the workers already, a zip of it is
+    written once per application to the shared folder and added with
+    ``addPyFile``.  A non-local shared folder (e.g. an object store) is left
+    alone: there the package is expected to be shipped by the job submitter.
+    """
+    import zipfile
+
+    import keyfold
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        _SHIPPED.add(app)
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(keyfold.__file__))
+    zpath = shared_path(spark, "pyfiles") + ".zip"
+    os.makedirs(os.path.dirname(zpath), exist_ok=True)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
