@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyfold import schemas
 from keyfold.functions.timefns import epoch_ms
@@ -48,7 +49,7 @@ def read_json(spark: SparkSession, path: str, run=None, drop_corrupt: bool = Tru
     ``_corrupt_record`` and is dropped; unlike the reference shell script,
     a good last line is kept.
     """
-    schema = schemas.LATENCY_LOG.add("_corrupt_record", "string")
+    schema = T.StructType(list(schemas.LATENCY_LOG.fields) + [T.StructField("_corrupt_record", T.StringType())])
     df = (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
@@ -56,7 +57,8 @@ def read_json(spark: SparkSession, path: str, run=None, drop_corrupt: bool = Tru
         .json(path)
     )
     if drop_corrupt:
-        df = df.where(F.col("_corrupt_record").isNull())
+        # also test a real field: Spark refuses plans that read only the corrupt column
+        df = df.where(F.col("_corrupt_record").isNull() & F.col("outputKafkaTimestamp").isNotNull())
     df = df.drop("_corrupt_record")
     if run is not None:
         df = df.withColumn("run", F.lit(run))

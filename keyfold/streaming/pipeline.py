@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold import schemas
 from keyfold.operators.reserve import stock_rows
 from keyfold.profiles import Profile
 from keyfold.session import ship_package, use_rocksdb_state
@@ -32,7 +31,6 @@ from keyfold.streaming.processors import (
     StockProcessor,
 )
 
-DOMAIN_STREAM_SCHEMA = schemas.DOMAIN_EVENT.add("ts_ms", "long")
 
 
 def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
