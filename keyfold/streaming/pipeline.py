@@ -81,13 +81,19 @@ def run_available(
     sink_path: str,
     checkpoint: str,
     query_name: str | None = None,
+    state_partitions: int | None = None,
 ) -> None:
     """Process everything available now, append to a parquet file sink, stop.
 
     Restarting with the same ``checkpoint`` resumes after the last committed
-    batch: state and sink are exactly-once.
+    batch: state and sink are exactly-once.  ``state_partitions`` sets the
+    number of state store partitions on the first run (it is then fixed in
+    the checkpoint); default: the cluster's default parallelism.
     """
     use_rocksdb_state(spark)
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
     w = (
         out.writeStream.format("parquet")
         .option("path", sink_path)
@@ -97,7 +103,10 @@ def run_available(
     )
     if query_name:
         w = w.queryName(query_name)
-    q = w.start()
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     try:
         q.awaitTermination()
     finally:
