@@ -112,4 +112,10 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
+    # Driver-side Python runners (e.g. the pre-init step of stateful
+    # processors) take their path from the function's environment.
+    env = getattr(sc, "environment", None)
+    if env is not None:
+        cur = env.get("PYTHONPATH", "")
+        env["PYTHONPATH"] = zpath + (os.pathsep + cur if cur else "")
     _SHIPPED.add(app)

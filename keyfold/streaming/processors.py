@@ -182,7 +182,7 @@ class LatestMessageProcessor(StatefulProcessor):
         if last is not None:
             self.m1.update((last,))
             self.m2.update((last,))
-        yield pd.DataFrame({"user_id": [int(key[0])], "latest_message": [last], "n_messages": [len(pdf)]})
+        yield pd.DataFrame({"user_id": [str(key[0])], "latest_message": [last], "n_messages": [len(pdf)]})
 
     def close(self) -> None:
         pass

@@ -20,13 +20,16 @@ from keyfold.streaming import pipeline
 
 
 def replay_events(
-    spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, n_periods: int = 31
+    spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, n_periods: int = 31,
+    base: str | None = None,
 ) -> DataFrame:
     """Run the chain over the events table in ``waves`` ordered waves.
 
-    Returns the sink contents (confirms and receipts) as a batch DataFrame.
+    Returns the sink contents (confirms and receipts) as a batch DataFrame;
+    source, sink and checkpoint live under ``base`` (a fresh shared folder
+    by default).
     """
-    base = shared_path(spark, "replay")
+    base = base or shared_path(spark, "replay")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty).withColumn(
         "_period", period_col()
