@@ -16,7 +16,7 @@ settled add).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.functions import codecs
@@ -184,15 +184,25 @@ def receipt_lines(
     )
 
 
-def cart_positions(domain: DataFrame) -> DataFrame:
+def cart_positions(domain: DataFrame, chunking: scan.Chunking | None = None) -> DataFrame:
     """Position of each add within its user's cart cycle (1-based).
 
-    Uses the cart number and a row number inside ``(user, cart_no)``: a
-    window per cart, not per user.
+    Both counts are skew-safe running sums per user: ``cart_no`` (checkouts
+    before the row) and ``n_adds`` (adds up to the row).  A cart's first add
+    has the smallest ``n_adds`` of the cart (a map-side aggregate per cart),
+    so ``position = n_adds - first + 1``.  No window over a whole cart: a
+    hot user's open cart never lands in one task (AQE splits a skewed join
+    partition).
     """
     stream = domain.where(F.col("kind").isin("add", "checkout")).select("event_id", "ts", "ts_ms", "kind", USER)
-    carts = with_cart_no(stream, scan.choose_chunking(stream, [USER]))
-    w = Window.partitionBy(USER, "cart_no").orderBy(*scan.ORDER)
-    return carts.where(F.col("kind") == "add").select(
-        USER, "event_id", "cart_no", F.row_number().over(w).cast("long").alias("position")
+    if chunking is None:
+        chunking = scan.choose_chunking(stream, [USER])
+    is_add = (F.col("kind") == "add").cast("long")
+    counted = scan.running_sums(
+        scan.running_sums(stream, [USER], {"n_adds": is_add}, chunking),
+        [USER], {"cart_no": (F.col("kind") == "checkout").cast("long")}, chunking, exclusive=True,
+    ).where(F.col("kind") == "add")
+    first = counted.groupBy(USER, "cart_no").agg(F.min("n_adds").alias("_first"))
+    return counted.join(first, [USER, "cart_no"]).select(
+        USER, "event_id", "cart_no", (F.col("n_adds") - F.col("_first") + 1).cast("long").alias("position")
     )

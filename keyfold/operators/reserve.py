@@ -157,7 +157,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFrame:
     """Exact for any demand."""
-    d = scan.with_chunk(rows, chunking).withColumn(
+    d = scan.with_chunk(rows, chunking, [KEY]).withColumn(
         "_D",
         F.when(F.col("kind") == "add", -F.col("requested")).otherwise(F.col("restock")).cast("long"),
     ).withColumn(

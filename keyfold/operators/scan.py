@@ -1,22 +1,27 @@
-"""Skew-safe ordered scans per key (the building block of W1a, W2, W3, W6).
+"""Skew-safe ordered scans per key (the building block of W1a, W2, W3, W4).
 
 A running sum over ``partitionBy(key).orderBy(ts, event_id)`` puts every row
 of one key into one task.  With power-law keys one key may hold a third of
 all rows, so that plan does not scale.  Running sums and running minima are
 associative, so they split into two levels:
 
-1. rows are cut into chunks ``(key, floor(ts_ms / chunk_ms))``; a window
-   inside each chunk gives the local prefix (parallel over chunks, so a hot
-   key is spread over many tasks);
+1. rows of a hot key are cut into time chunks ``floor(ts_ms / width)``; a
+   window inside each ``(key, chunk)`` gives the local prefix (parallel over
+   chunks, so a hot key is spread over many tasks);
 2. a per-chunk summary (one row per chunk, map-side aggregated) is scanned
    per key over chunks to give each chunk's offset;
-3. the offsets are joined back on ``(key, chunk)``; the rows are already
-   hash-partitioned and sorted on that key by step 1, so the join only
-   shuffles the small summary side (or AQE broadcasts it by measured size).
-
-``chunk_ms`` comes from a cheap statistics pass (count and time span of the
-hottest key) so that a chunk holds about ``target_rows`` rows.  When the
-hottest key is already below the target, a plain per-key window is used.
+3. the offsets are joined back on ``(key, chunk)``, a unique key on the
+   summary side; the rows are already hash-partitioned and sorted on it by
+   step 1, so only the summary is shuffled (or AQE broadcasts it by
+   measured size).
+
+Which keys are hot, and their chunk width, comes from a per-key count in the
+same query (no driver round trip): a key is hot when it has more than
+``target_rows`` rows, and its width makes a chunk hold about
+``target_rows`` rows.  At most ``total_rows / target_rows`` keys can be hot,
+so the hot-key table has a proven size bound (about 150 000 rows for 3e11
+events at the default target) and is broadcast.  Cold keys stay one chunk.
+Inputs the optimizer sizes below ``SMALL_INPUT_BYTES`` skip all of this.
 """
 
 from __future__ import annotations
@@ -39,44 +44,64 @@ def planned_size_bytes(df: DataFrame) -> int | None:
     """Optimizer's size estimate of ``df`` (file sizes scaled by the pruned
     columns); no job runs.  None when the estimate is not available."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size) if isinstance(size, int) else int(size.toString())
     except Exception:  # noqa: BLE001 -- e.g. a Connect session
         return None
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """How rows of a key are cut; ``chunk_ms`` None means one chunk per key."""
+    """How rows of a key are cut.
+
+    ``chunk_ms``: one width for every key (explicit, e.g. tests); ``hot``: a
+    table ``(keys..., _chunk_ms)`` of hot keys, all other keys one chunk.
+    Both None: one chunk per key.
+    """
 
-    chunk_ms: int | None
+    chunk_ms: int | None = None
+    hot: DataFrame | None = None
+
+    @property
+    def single(self) -> bool:
+        return self.chunk_ms is None and self.hot is None
 
 
 def choose_chunking(
     df: DataFrame, keys: list[str], target_rows: int = DEFAULT_TARGET_ROWS, ts_ms: str = "ts_ms"
 ) -> Chunking:
-    """Measure the hottest key and pick a chunk width in ms.
+    """Pick chunking for ``df``: none for small inputs, else per hot key.
 
-    Small inputs (by the optimizer's size estimate) need no chunks and no
-    job.  Otherwise one aggregate job over two pruned columns; only three
-    numbers reach the driver.  Assumes arrival rate within a key is roughly even over time;
-    the AQE skew handling of the join absorbs the rest.
+    The hot-key table is a lazy aggregate of ``df`` (count and time span per
+    key, partial-aggregated map-side) filtered to keys above the target; it
+    runs inside the query that uses it.
     """
     size = planned_size_bytes(df)
     if size is not None and size <= SMALL_INPUT_BYTES:
-        return Chunking(None)
-    st = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ts_ms).alias("lo"), F.max(ts_ms).alias("hi"))
-        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
+        return Chunking()
+    stats = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ts_ms).alias("_lo"), F.max(ts_ms).alias("_hi")
     )
-    if st is None or st["n"] is None or st["n"] <= target_rows:
-        return Chunking(None)
-    span = max(1, int(st["hi"]) - int(st["lo"]) + 1)
-    return Chunking(max(1, math.ceil(span * target_rows / int(st["n"]))))
-
-
-def with_chunk(df: DataFrame, chunking: Chunking, ts_ms: str = "ts_ms") -> DataFrame:
+    hot = stats.where(F.col("_n") > F.lit(int(target_rows))).select(
+        *keys,
+        F.greatest(
+            F.lit(1).cast("long"),
+            F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(int(target_rows)) / F.col("_n")).cast("long"),
+        ).alias("_chunk_ms"),
+    )
+    return Chunking(hot=hot)
+
+
+def with_chunk(df: DataFrame, chunking: Chunking, keys: list[str] | None = None, ts_ms: str = "ts_ms") -> DataFrame:
+    if chunking.hot is not None:
+        # broadcast: at most total_rows / target_rows hot keys (see module doc)
+        j = df.join(F.broadcast(chunking.hot), keys, "left")
+        return j.withColumn(
+            CHUNK,
+            F.when(F.col("_chunk_ms").isNull(), F.lit(0).cast("long")).otherwise(
+                F.floor(F.col(ts_ms) / F.col("_chunk_ms")).cast("long")
+            ),
+        ).drop("_chunk_ms")
     if chunking.chunk_ms is None:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
     return df.withColumn(CHUNK, F.floor(F.col(ts_ms) / F.lit(chunking.chunk_ms)).cast("long"))
@@ -98,7 +123,7 @@ def running_sums(
 
     ``exclusive`` sums rows strictly before the current one.
     """
-    d = with_chunk(df, chunking)
+    d = with_chunk(df, chunking, keys)
     vals = {n: f"_v_{n}" for n in sums}
     for n, e in sums.items():
         d = d.withColumn(vals[n], e)
@@ -107,7 +132,7 @@ def running_sums(
     local = d
     for n in sums:
         local = local.withColumn(n, F.coalesce(F.sum(vals[n]).over(wl), F.lit(0)))
-    if chunking.chunk_ms is None:
+    if chunking.single:
         return local.drop(CHUNK, *vals.values())
 
     summary = d.groupBy(*keys, CHUNK).agg(*[F.sum(vals[n]).alias(f"_t_{n}") for n in sums])
@@ -137,7 +162,7 @@ def reflected_level(
 
     Adds: ``_level`` (P), ``_m`` and ``_m_prev``.
     """
-    d = with_chunk(df, chunking).withColumn("_d", delta.cast("long"))
+    d = with_chunk(df, chunking, keys).withColumn("_d", delta.cast("long"))
     w = _local_window(keys, order)
     w_inc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_exc = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +172,7 @@ def reflected_level(
         .withColumn("_Lmin_prev", F.min("_L").over(w_exc))
     )
     init_c = F.lit(int(init)).cast("long")
-    if chunking.chunk_ms is None:
+    if chunking.single:
         withoff = local.withColumn("_O", F.lit(0).cast("long")).withColumn("_G", F.lit(None).cast("long"))
     else:
         summary = d.groupBy(*keys, CHUNK).agg(F.sum("_d").alias("_T"))

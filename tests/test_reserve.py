@@ -129,7 +129,21 @@ def test_item_outcomes_final_stock(spark):
 
 
 def test_choose_chunking_small_data_single_chunk(spark):
-    rows = _random_rows(1)
-    assert scan.choose_chunking(ev(spark, rows), ["item_id"], target_rows=10**6).chunk_ms is None
-    c = scan.choose_chunking(ev(spark, rows), ["item_id"], target_rows=10)
-    assert c.chunk_ms is not None and c.chunk_ms >= 1
+    from conftest import SF001
+    from keyfold.sources import testdata as td
+
+    # small parquet input: no statistics, one chunk per key, whatever the target
+    d = td.domain_events(td.table(spark, SF001, "events"), 3)
+    assert scan.choose_chunking(d, ["item_id"], target_rows=10).single
+    # unknown size (a local frame): hot keys are measured inside the query
+    assert not scan.choose_chunking(ev(spark, _random_rows(1)), ["item_id"], target_rows=10).single
+
+
+def test_reserve_with_hot_items(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", -1)
+    rows = _random_rows(21, n=500, items=3)
+    for method, p, demand in (("unit", UNIT.with_(initial_stock=4), "unit"),
+                              ("fold", ANY.with_(initial_stock=30), "quantity")):
+        want = python_fold(rows, p.initial_stock, demand, True)
+        got = settled_map(reserve.reserve(ev(spark, rows), p, method=method, target_rows=30))
+        assert got == want

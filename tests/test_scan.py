@@ -41,3 +41,25 @@ def test_reflected_level(spark, chunk_ms):
         level[item] = max(level.get(item, 3) + d, 0)
         want[eid] = level[item]
     assert got == want
+
+
+@pytest.mark.parametrize("target", [5, 40, 10**6])
+def test_hot_key_chunking_matches_single(spark, monkeypatch, target):
+    # force the statistics path on tiny data: every key above `target` rows is chunked
+    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", -1)
+    rnd = random.Random(12)
+    rows = [(i, rnd.randint(0, 4000), "add", rnd.choice([0, 0, 0, 0, 1, 2]), None, rnd.randint(-2, 5))
+            for i in range(400)]
+    df = ev(spark, rows)
+    ch = scan.choose_chunking(df, ["user_id"], target_rows=target)
+    assert ch.hot is not None
+    hot = {r.user_id for r in ch.hot.collect()}
+    assert (0 in hot) == (target < 200)
+    got = {r.event_id: r.s for r in scan.running_sums(df, ["user_id"], {"s": F.col("quantity").cast("long")}, ch).collect()}
+    want = {r.event_id: r.s for r in scan.running_sums(df, ["user_id"], {"s": F.col("quantity").cast("long")}, scan.Chunking()).collect()}
+    assert got == want
+    lv = scan.reflected_level(df, ["user_id"], F.col("quantity"), 2, ch)
+    lv1 = scan.reflected_level(df, ["user_id"], F.col("quantity"), 2, scan.Chunking())
+    a = {r.event_id: (r._level, r._m, r._m_prev) for r in lv.collect()}
+    b = {r.event_id: (r._level, r._m, r._m_prev) for r in lv1.collect()}
+    assert a == b
