@@ -206,3 +206,27 @@ def cart_positions(domain: DataFrame, chunking: scan.Chunking | None = None) ->
     return counted.join(first, [USER, "cart_no"]).select(
         USER, "event_id", "cart_no", (F.col("n_adds") - F.col("_first") + 1).cast("long").alias("position")
     )
+
+
+def basket_maps(items: DataFrame) -> DataFrame:
+    """A cart's basket as ``map<item, quantity>`` (bounded by the cart's
+    distinct items), from ``basket_items`` rows."""
+    return items.groupBy(USER, "cart_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("item_id", "quantity"))).alias("basket")
+    )
+
+
+def basket_with_removals(
+    df: DataFrame, signed_qty: str = "quantity", chunking: scan.Chunking | None = None
+) -> DataFrame:
+    """A3: per (user, item) basket after adds (+q) and removals (-q); an entry
+    that would drop to zero or below is removed (quantity 0).
+
+    That is a counter floored at zero, so it is the skew-safe reflected scan
+    with an initial level of 0.  Adds ``basket_qty`` per row.
+    """
+    keys = [USER, "item_id"]
+    if chunking is None:
+        chunking = scan.choose_chunking(df, keys)
+    lv = scan.reflected_level(df, keys, F.col(signed_qty), 0, chunking)
+    return lv.withColumn("basket_qty", F.col("_level") - F.col("_m")).drop("_level", "_m", "_m_prev")

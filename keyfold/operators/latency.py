@@ -185,3 +185,39 @@ def recovery_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 def recovery_pivot(recovery: DataFrame, methods: list[str]) -> DataFrame:
     """Recovery time by state size x method."""
     return recovery.groupBy("state_size").pivot("method", methods).agg(F.first("ms"))
+
+
+def series_label(path, sep: str = " latency  ", prefix_sub: tuple[str, str] | None = None):
+    """Dashboard series label from a metric path ``root.series.stat``.
+
+    Path parts 2 and 1 are joined with ``.`` (``stat.series``), then the dot
+    is replaced by ``sep``; ``prefix_sub`` first replaces a regex (the count
+    panel strips ``benchmark.``).
+    """
+    c = F.col(path) if isinstance(path, str) else path
+    parts = F.split(c, r"\.")
+    label = F.concat_ws(".", F.try_element_at(parts, F.lit(3)), F.try_element_at(parts, F.lit(2)))
+    if prefix_sub is not None:
+        label = F.regexp_replace(label, prefix_sub[0], prefix_sub[1])
+    return F.regexp_replace(label, r"\.", sep)
+
+
+# Dashboard panel texts.
+LATENCY_SEP = " latency  "
+COUNT_SEP = " for "
+
+
+def latency_series(lf: DataFrame, run_labels: dict, root: str = "benchmark") -> DataFrame:
+    """A14 + A15 + P24: per-run max / p99 / p50 / min latency and count in
+    long form (one row per series and stat), labelled as on the dashboard."""
+    p = latency_percentiles(lf)
+    long = p.select(
+        "run",
+        F.expr(
+            "stack(5, 'max', CAST(max_latency AS DOUBLE), 'p99', p99, 'p50', p50, "
+            "'min', CAST(min_latency AS DOUBLE), 'count', CAST(n_events AS DOUBLE)) AS (stat, value)"
+        ),
+    )
+    path = F.concat_ws(".", F.lit(root), _case("run", run_labels, "other"), F.col("stat"))
+    label = F.when(F.col("stat") == "count", series_label(path, COUNT_SEP)).otherwise(series_label(path, LATENCY_SEP))
+    return long.select("run", "stat", "value", path.alias("metric"), label.alias("label"))

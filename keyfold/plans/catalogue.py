@@ -491,3 +491,21 @@ def q_stream_resume(spark, sf_dir):
     from keyfold.streaming.replay import stream_receipts
 
     return stream_receipts(spark, sf_dir, P.UNIT, waves=3)
+
+
+def _series_sql() -> str:
+    lbl = "CASE run " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in P.RUN_LABELS.items()) + " ELSE 'other' END"
+    parts = []
+    for stat, expr in (("max", "CAST(max(latency) AS DOUBLE)"), ("p99", "quantile_cont(latency, 0.99)"),
+                       ("p50", "quantile_cont(latency, 0.5)"), ("min", "CAST(min(latency) AS DOUBLE)"),
+                       ("count", "CAST(count(*) AS DOUBLE)")):
+        label = (f"'count for ' || {lbl}" if stat == "count" else f"'{stat} latency  ' || {lbl}")
+        parts.append(f"SELECT run, '{stat}' AS stat, {expr} AS value, 'benchmark.' || {lbl} || '.{stat}' AS metric, "
+                     f"{label} AS label FROM lf GROUP BY run")
+    return LF_SQL + "\nUNION ALL\n".join(parts)
+
+
+@register("latency_series", _series_sql())
+def q_latency_series(spark, sf_dir):
+    """Dashboard stats per run in long form with series labels."""
+    return lat.latency_series(_lf(spark, sf_dir), P.RUN_LABELS)

@@ -78,3 +78,14 @@ def test_basket_items_and_lines(spark):
 def test_cart_positions(spark):
     pos = {r.event_id: (r.cart_no, r.position) for r in carts.cart_positions(ev(spark, ROWS)).collect()}
     assert pos == {2: (1, 1), 3: (1, 2), 6: (3, 1), 8: (0, 1)}
+
+
+def test_basket_with_removals_and_maps(spark):
+    rows = [(1, 1, "add", 5, 1, 3), (2, 2, "add", 5, 1, -2), (3, 3, "add", 5, 1, -4),
+            (4, 4, "add", 5, 1, 2), (5, 5, "add", 5, 2, 1)]
+    got = {r.event_id: r.basket_qty for r in carts.basket_with_removals(ev(spark, rows), chunking=scan.Chunking(1500)).collect()}
+    assert got == {1: 3, 2: 1, 3: 0, 4: 2, 5: 1}  # entry dropped at <= 0, then added anew
+    d = ev(spark, ROWS)
+    m = {(r.user_id, r.cart_no): dict(r.basket)
+         for r in carts.basket_maps(carts.basket_items(reserve.reserve(d, REM), d)).collect()}
+    assert m[(5, 1)] == {1: 3, 2: 2}

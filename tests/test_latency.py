@@ -70,3 +70,11 @@ def test_latency_log_json_round_trip(spark, tmp_path):
     f = tmp_path / "cut.json"
     f.write_text('{"inputKafkaTimestamp":"1","outputKafkaTimestamp":2}\n{"inputKafkaTimestamp":"3","outp')
     assert latencylog.read_json(spark, str(f)).count() == 1
+
+
+def test_series_label(spark):
+    df = spark.createDataFrame([("benchmark.flink_e4_v0_s1_l2.p50",), ("benchmark.flink_e4.count",)], "p string")
+    a = df.select(lat.series_label("p").alias("x")).collect()
+    assert a[0].x == "p50 latency  flink_e4_v0_s1_l2"
+    b = df.select(lat.series_label("p", " for ").alias("x")).collect()
+    assert b[1].x == "count for flink_e4"
