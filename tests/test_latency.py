@@ -73,8 +73,8 @@ def test_latency_log_json_round_trip(spark, tmp_path):
 
 
 def test_series_label(spark):
-    df = spark.createDataFrame([("benchmark.flink_e4_v0_s1_l2.p50",), ("benchmark.flink_e4.count",)], "p string")
+    df = spark.createDataFrame([("benchmark.run_a_v0_s1_l2.p50",), ("benchmark.run_a.count",)], "p string")
     a = df.select(lat.series_label("p").alias("x")).collect()
-    assert a[0].x == "p50 latency  flink_e4_v0_s1_l2"
+    assert a[0].x == "p50 latency  run_a_v0_s1_l2"
     b = df.select(lat.series_label("p", " for ").alias("x")).collect()
-    assert b[1].x == "count for flink_e4"
+    assert b[1].x == "count for run_a"
