@@ -155,8 +155,25 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _ordered_fold(tail: DataFrame) -> DataFrame:
+    """Hash-partition by item, sort within partitions, fold in order."""
+    ship_package(tail.sparkSession)
+    return (
+        tail.repartition(KEY)
+        .sortWithinPartitions(KEY, *scan.ORDER)
+        .mapInPandas(_fold_partition, _FOLD_SCHEMA)
+    )
+
+
 def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFrame:
-    """Exact for any demand."""
+    """Exact for any demand.
+
+    Small inputs (one chunk per key) are folded directly; otherwise the
+    granted-prefix chunks are settled by windows and only the rest is folded.
+    """
+    cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
+    if chunking.single:
+        return _ordered_fold(rows.select(*cols, F.lit(int(init)).cast("long").alias("_S")))
     d = scan.with_chunk(rows, chunking, [KEY]).withColumn(
         "_D",
         F.when(F.col("kind") == "add", -F.col("requested")).otherwise(F.col("restock")).cast("long"),
@@ -190,14 +207,7 @@ def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFra
         F.when(F.col("kind") == "add", F.lit(INSTOCK)).alias("status"),
         (F.col("_S") + F.sum("_D").over(wl)).alias("stock_after"),
     )
-    ship_package(rows.sparkSession)
-    tail = (
-        tagged.where(F.col("_ok") == 0)
-        .select(*[c for c in SETTLED_COLS if c not in ("status", "stock_after")], "_S")
-        .repartition(KEY)
-        .sortWithinPartitions(KEY, *scan.ORDER)
-        .mapInPandas(_fold_partition, _FOLD_SCHEMA)
-    )
+    tail = _ordered_fold(tagged.where(F.col("_ok") == 0).select(*cols, "_S"))
     return safe.unionByName(tail)
 
 
