@@ -509,3 +509,11 @@ def _series_sql() -> str:
 def q_latency_series(spark, sf_dir):
     """Dashboard stats per run in long form with series labels."""
     return lat.latency_series(_lf(spark, sf_dir), P.RUN_LABELS)
+
+
+@register("stream_receipt_lines", ORACLES["receipt_lines"])
+def q_stream_receipt_lines(spark, sf_dir):
+    """The stream with a map-state basket; per-item receipts."""
+    from keyfold.streaming.replay import stream_receipt_lines
+
+    return stream_receipt_lines(spark, sf_dir, P.UNIT, waves=2)

@@ -27,6 +27,7 @@ from keyfold.session import ship_package, use_rocksdb_state
 from keyfold.streaming.processors import (
     OUTPUT_SCHEMA,
     SETTLED_SCHEMA,
+    CartItemsProcessor,
     CartProcessor,
     StockProcessor,
 )
@@ -55,8 +56,7 @@ def settle_stream(domain: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def build_pipeline(domain: DataFrame, profile: Profile, n_filler: int = 0) -> DataFrame:
-    """The whole chain; output rows are confirms and receipts (``kind``)."""
+def _cart_input(domain: DataFrame, profile: Profile) -> DataFrame:
     settled = settle_stream(domain, profile).where(F.col("kind") == "add").select(
         "event_id", "ts", "ts_ms", "kind", "user_id", "item_id", "requested", "status"
     )
@@ -66,8 +66,22 @@ def build_pipeline(domain: DataFrame, profile: Profile, n_filler: int = 0) -> Da
         F.lit(None).cast("int").alias("requested"),
         F.lit(None).cast("string").alias("status"),
     )
-    carts_in = settled.unionByName(checkouts).where(F.col("user_id").isNotNull())
-    return carts_in.groupBy("user_id").transformWithStateInPandas(
+    return settled.unionByName(checkouts).where(F.col("user_id").isNotNull())
+
+
+def build_item_receipts(domain: DataFrame, profile: Profile) -> DataFrame:
+    """The chain with a map-state basket; output = per-item receipts."""
+    return _cart_input(domain, profile).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=CartItemsProcessor(),
+        outputStructType="user_id long, event_id long, receipt string",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def build_pipeline(domain: DataFrame, profile: Profile, n_filler: int = 0) -> DataFrame:
+    """The whole chain; output rows are confirms and receipts (``kind``)."""
+    return _cart_input(domain, profile).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=CartProcessor(profile.checkout, profile.receipt_format, n_filler),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",

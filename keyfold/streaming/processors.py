@@ -186,3 +186,36 @@ class LatestMessageProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class CartItemsProcessor(StatefulProcessor):
+    """T4 + P12 + X6: the basket as map state (item -> quantity); a checkout
+    with a basket emits the per-item receipt (lines sorted by item) and
+    clears the map."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("basket_items", "item_id long", "quantity long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        user = int(key[0])
+        pdf = _batch(rows)
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.kind == "add":
+                if r.status == "INSTOCK":
+                    k = (int(r.item_id),)
+                    cur = self.items.getValue(k) if self.items.containsKey(k) else None
+                    q = int(r.requested) + (int(cur[0]) if cur is not None else 0)
+                    self.items.updateValue(k, (q,))
+            elif r.kind == "checkout" and self.items.exists():
+                entries = sorted((int(k[0]), int(v[0])) for k, v in self.items.iterator())
+                lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in entries)
+                out.append((user, int(r.event_id), f"User {user} receipt: \n{lines}"))
+                self.items.clear()
+        df = pd.DataFrame(out, columns=["user_id", "event_id", "receipt"])
+        df["user_id"] = pd.array(df["user_id"], dtype="Int64")
+        df["event_id"] = pd.array(df["event_id"], dtype="Int64")
+        yield df
+
+    def close(self) -> None:
+        pass

@@ -21,7 +21,7 @@ from keyfold.streaming import pipeline
 
 def replay_events(
     spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, n_periods: int = 31,
-    base: str | None = None,
+    base: str | None = None, build=None,
 ) -> DataFrame:
     """Run the chain over the events table in ``waves`` ordered waves.
 
@@ -40,7 +40,8 @@ def replay_events(
         part = domain.where((F.col("_period") > lo) & (F.col("_period") <= hi)).drop("_period")
         part.write.mode("append").parquet(src)
         stream = pipeline.file_source(spark, src)
-        pipeline.run_available(spark, pipeline.build_pipeline(stream, profile), sink, ckpt)
+        out = (build or pipeline.build_pipeline)(stream, profile)
+        pipeline.run_available(spark, out, sink, ckpt)
     return spark.read.parquet(sink)
 
 
@@ -49,3 +50,8 @@ def stream_receipts(spark: SparkSession, sf_dir: str, profile: Profile, waves: i
     return out.where(F.col("kind") == "receipt").select(
         "user_id", "event_id", "n_items", "receipt", "publishTimestamp"
     )
+
+
+def stream_receipt_lines(spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1) -> DataFrame:
+    """T4/P12 streamed: per-item receipts from a map-state basket."""
+    return replay_events(spark, sf_dir, profile, waves, build=pipeline.build_item_receipts)

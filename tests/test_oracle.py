@@ -5,7 +5,7 @@ import pytest
 from conftest import SF001, SF01
 from oracle_check import compare
 
-STREAM = ("stream_receipts", "stream_resume")
+STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines")
 
 
 def test_entry_smoke(spark):
