@@ -68,16 +68,22 @@ def throughput_gap_filled(spark: SparkSession, lf: DataFrame, include_last: bool
 
     ``x_max`` is the largest end bucket over all runs (the reference uses two
     of three).  As in the reference the spine stops before ``x_max`` unless
-    ``include_last``.  The spine is a distributed ``range`` sized by the
-    time span, crossed with the run list (one row per run).
+    ``include_last``.  The spine is one distributed ``range`` of
+    ``x_max * runs`` ids, each id giving its run and bucket (no cross join);
+    the run list (one value per run) and ``x_max`` are the only values read
+    on the driver.
     """
     counts = throughput_by_end_bucket(lf)
-    x_max = lf.agg(F.max("end_bucket")).first()[0]
-    if x_max is None:
+    st = lf.agg(F.max("end_bucket").alias("x"), F.collect_set("run").alias("runs")).first()
+    if st is None or st["x"] is None:
         return counts.limit(0)
-    end = int(x_max) + (1 if include_last else 0)
-    runs = lf.select("run").distinct()
-    spine = spark.range(0, end).withColumnRenamed("id", "end_bucket").crossJoin(F.broadcast(runs))
+    end = int(st["x"]) + (1 if include_last else 0)
+    runs = sorted(st["runs"])
+    spine = spark.range(0, end * len(runs)).select(
+        F.element_at(F.array(*[F.lit(r) for r in runs]), (F.col("id") / end).cast("int") + 1)
+        .cast("long").alias("run"),
+        (F.col("id") % end).alias("end_bucket"),
+    )
     return spine.join(counts, ["run", "end_bucket"], "left").select(
         "run", "end_bucket", F.coalesce(F.col("n_events"), F.lit(0)).cast("long").alias("n_events")
     )

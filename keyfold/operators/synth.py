@@ -96,7 +96,8 @@ def to_lines(ev: DataFrame, stamp) -> DataFrame:
 def endless_replay(lines: DataFrame, rounds: int, period_ms: int, ts_ms: str = "ts_ms") -> DataFrame:
     """Replay the data set ``rounds`` times, time shifted per round.
 
-    A cross join with ``range(rounds)`` -- the round table is a literal size.
+    Each row emits its ``rounds`` copies with a generator (no join).
     """
-    r = lines.sparkSession.range(rounds).withColumnRenamed("id", "round")
-    return lines.crossJoin(F.broadcast(r)).withColumn(ts_ms, F.col(ts_ms) + F.col("round") * F.lit(period_ms))
+    return lines.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
+        ts_ms, F.col(ts_ms) + F.col("round").cast("long") * F.lit(period_ms)
+    )

@@ -101,3 +101,25 @@ def test_synth_power_law_mean(spark):
     assert (u[0], u[1]) == (1, 9)
     ids = spark.range(3).select(synth.id_string("id", 20).alias("s")).collect()
     assert all(len(r.s) == 20 for r in ids)
+
+
+def test_endless_replay_and_period_files(spark):
+    import os
+
+    from keyfold.operators import synth as syn
+    from keyfold.session import shared_path
+    from keyfold.sources import eventlog
+    from conftest import SF001
+    from keyfold.sources import testdata as td
+
+    df = spark.createDataFrame([(1, 100), (2, 200)], "event_id long, ts_ms long")
+    out = sorted((r.event_id, r.round, r.ts_ms) for r in syn.endless_replay(df, 3, 1000).collect())
+    assert out == [(1, 0, 100), (1, 1, 1100), (1, 2, 2100), (2, 0, 200), (2, 1, 1200), (2, 2, 2200)]
+    # One folder per period, read back whole
+    lines = eventlog.lines_from_events(td.table(spark, SF001, "events"))
+    path = shared_path(spark, "t-periods")
+    eventlog.write_periods(lines, path)
+    assert len([d for d in os.listdir(path) if d.startswith("period=")]) == lines.select("period").distinct().count()
+    back = eventlog.read_periods(spark, path)
+    assert back.count() == lines.count()
+    assert back.where(back.period == 1).count() == lines.where(lines.period == 1).count()
