@@ -66,6 +66,13 @@ def records_to_lines(records: DataFrame) -> DataFrame:
     )
 
 
+def records_to_routed(records: DataFrame) -> DataFrame:
+    """Kafka records in the shape ``routing.decode`` takes: the topic is the
+    record's own; ``value`` keeps the raw ``key=body`` text for the reject side."""
+    lines = records_to_lines(records)
+    return lines.withColumn("value", codecs.key_line(F.col("key"), F.col("body")))
+
+
 def write_stream(df: DataFrame, bootstrap: str, topic: str, key_col: str, value_col: str, checkpoint: str):
     """Key and JSON value to a topic (at-least-once; pair with an
     idempotent consumer, or use ``pipeline.idempotent_batch_writer``)."""
