@@ -15,13 +15,14 @@ associative, so they split into two levels:
    step 1, so only the summary is shuffled (or AQE broadcasts it by
    measured size).
 
-Which keys are hot, and their chunk width, comes from a per-key count in the
-same query (no driver round trip): a key is hot when it has more than
-``target_rows`` rows, and its width makes a chunk hold about
-``target_rows`` rows.  At most ``total_rows / target_rows`` keys can be hot,
-so the hot-key table has a proven size bound (about 150 000 rows for 3e11
-events at the default target) and is broadcast.  Cold keys stay one chunk.
-Inputs the optimizer sizes below ``SMALL_INPUT_BYTES`` skip all of this.
+Which keys are hot, and their chunk width, comes from one per-key count
+job: a key is hot when it has more than ``target_rows`` rows, and its width
+makes a chunk hold about ``target_rows`` rows.  At most
+``total_rows / target_rows`` keys can be hot, so the hot-key table has a
+proven size bound (about 150 000 rows for 3e11 events at the default
+target); it is read once and broadcast as a local relation to every branch
+of the plan.  Cold keys stay one chunk.  Inputs the optimizer sizes below
+``SMALL_INPUT_BYTES`` skip all of this.
 """
 
 from __future__ import annotations
@@ -72,9 +73,11 @@ def choose_chunking(
 ) -> Chunking:
     """Pick chunking for ``df``: none for small inputs, else per hot key.
 
-    The hot-key table is a lazy aggregate of ``df`` (count and time span per
-    key, partial-aggregated map-side) filtered to keys above the target; it
-    runs inside the query that uses it.
+    One job: count and time span per key (partial-aggregated map-side),
+    keys above the target kept.  The result has at most
+    ``total_rows / target_rows`` rows by construction; it is collected and
+    turned into a local relation so that the plans using it do not recompute
+    the aggregate in each branch.
     """
     size = planned_size_bytes(df)
     if size is not None and size <= SMALL_INPUT_BYTES:
@@ -89,7 +92,8 @@ def choose_chunking(
             F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(int(target_rows)) / F.col("_n")).cast("long"),
         ).alias("_chunk_ms"),
     )
-    return Chunking(hot=hot)
+    rows = hot.collect()  # bounded: total_rows / target_rows rows at most
+    return Chunking(hot=df.sparkSession.createDataFrame(rows, hot.schema))
 
 
 def with_chunk(df: DataFrame, chunking: Chunking, keys: list[str] | None = None, ts_ms: str = "ts_ms") -> DataFrame:
@@ -175,11 +179,11 @@ def reflected_level(
     if chunking.single:
         withoff = local.withColumn("_O", F.lit(0).cast("long")).withColumn("_G", F.lit(None).cast("long"))
     else:
-        summary = d.groupBy(*keys, CHUNK).agg(F.sum("_d").alias("_T"))
-        lows = local.groupBy(*keys, CHUNK).agg(F.min("_L").alias("_low"))
+        # chunk total and lowest local prefix in one aggregate over the window output
+        summary = local.groupBy(*keys, CHUNK).agg(F.sum("_d").alias("_T"), F.min("_L").alias("_low"))
         wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         offs = (
-            summary.join(lows, [*keys, CHUNK])
+            summary
             .withColumn("_O", F.coalesce(F.sum("_T").over(wc), F.lit(0)).cast("long"))
             .withColumn("_G", F.min(F.col("_O") + F.col("_low")).over(wc))
             .select(*keys, CHUNK, "_O", "_G")
