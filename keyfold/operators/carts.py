@@ -6,10 +6,11 @@ the total order ``(ts, event_id)`` (J3: a checkout sees every earlier
 settled add).
 
 * clear (embedded, R7): ``cart_no`` = checkouts strictly before the row (W2,
-  a skew-safe running count).  A checkout's basket is the aggregate of adds
-  with the same ``(user, cart_no)``; a receipt only when at least one of them
-  was granted.  The aggregate is map-side combined and the join is on a
-  unique key on both sides, so a hot user does not make a hot task.
+  a skew-safe running count).  A checkout carries the number of the cart it
+  closes, so one aggregate per ``(user, cart_no)`` over the windowed rows
+  gives the basket and its closing checkout together (no join, one window
+  pass); a receipt only when at least one add was granted.  The aggregate
+  is map-side combined, so a hot user does not make a hot task.
 * running (remote, R8): running sum of granted quantities (W3); every
   checkout gets a receipt and nothing is cleared.
 """
@@ -54,14 +55,14 @@ def with_cart_no(stream: DataFrame, chunking: scan.Chunking) -> DataFrame:
 
 
 def baskets(carts: DataFrame) -> DataFrame:
-    """A1 per cart: granted units and granted add count per (user, cart_no)."""
-    return (
-        carts.where(F.col("kind") == "add")
-        .groupBy(USER, "cart_no")
-        .agg(
-            F.sum(_granted_qty()).cast("long").alias("n_items"),
-            F.sum(F.when(F.col("status") == INSTOCK, 1).otherwise(0)).cast("long").alias("n_granted"),
-        )
+    """A1 per cart: granted units, granted add count, and the closing checkout
+    (event id and time; NULL for a cart still open) per (user, cart_no)."""
+    chk = F.col("kind") == "checkout"
+    return carts.groupBy(USER, "cart_no").agg(
+        F.sum(_granted_qty()).cast("long").alias("n_items"),
+        F.sum(F.when(F.col("status") == INSTOCK, 1).otherwise(0)).cast("long").alias("n_granted"),
+        F.max(F.when(chk, F.col("event_id"))).alias("event_id"),
+        F.max(F.when(chk, F.col("ts_ms"))).alias("ts_ms"),
     )
 
 
@@ -81,9 +82,9 @@ def receipts(
     if chunking is None:
         chunking = scan.choose_chunking(stream, [USER], target_rows)
     if profile.checkout == "clear":
-        carts = with_cart_no(stream, chunking)
-        chk = carts.where(F.col("kind") == "checkout").select(USER, "cart_no", "event_id", "ts_ms")
-        out = chk.join(baskets(carts).where(F.col("n_granted") > 0), [USER, "cart_no"], "inner")
+        out = baskets(with_cart_no(stream, chunking)).where(
+            F.col("event_id").isNotNull() & (F.col("n_granted") > 0)
+        )
     elif profile.checkout == "running":
         run = scan.running_sums(stream, [USER], {"n_items": _granted_qty().cast("long")}, chunking)
         out = run.where(F.col("kind") == "checkout").select(USER, "event_id", "ts_ms", "n_items")
@@ -152,32 +153,32 @@ def receipt_lines(
     """Per-item receipt text of each cart with a basket, lines sorted by item.
 
     ``User {id} receipt: \\n`` then ``Item: {item}, Quantity: {q}\\n`` per
-    item.  One cart's list is bounded by its distinct items.
+    item.  Two aggregates over one window pass: per (user, cart, item) --
+    the closing checkout rides along as the row with no item -- then per
+    cart, whose list is bounded by its distinct items.
     """
     stream = cart_stream(settled, domain)
     if chunking is None:
         chunking = scan.choose_chunking(stream, [USER])
-    carts = with_cart_no(stream, chunking)
-    items = (
-        carts.where((F.col("kind") == "add") & (F.col("status") == INSTOCK))
-        .groupBy(USER, "cart_no", "item_id")
-        .agg(F.sum("requested").cast("long").alias("q"))
-        .groupBy(USER, "cart_no")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("item_id", "q"))),
-                    lambda x: F.concat(
-                        F.lit("Item: "), x["item_id"].cast("string"), F.lit(", Quantity: "),
-                        x["q"].cast("string"), F.lit("\n"),
-                    ),
-                ),
-                "",
-            ).alias("_lines")
-        )
+    carts = with_cart_no(stream, chunking).where(
+        (F.col("kind") == "checkout") | (F.col("status") == INSTOCK)
+    )
+    chk = F.col("kind") == "checkout"
+    per_item = carts.groupBy(USER, "cart_no", F.when(~chk, F.col("item_id")).alias("item_id")).agg(
+        F.sum(F.when(~chk, F.col("requested"))).cast("long").alias("q"),
+        F.max(F.when(chk, F.col("event_id"))).alias("event_id"),
+    )
+    line = F.when(
+        F.col("item_id").isNotNull(),
+        F.struct("item_id", F.concat(F.lit("Item: "), F.col("item_id").cast("string"), F.lit(", Quantity: "),
+                                     F.col("q").cast("string"), F.lit("\n")).alias("text")),
+    )
+    per_cart = per_item.groupBy(USER, "cart_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "").alias("_lines"),
+        F.max("event_id").alias("event_id"),
+        F.count(line).alias("_n"),
     )
-    chk = carts.where(F.col("kind") == "checkout").select(USER, "cart_no", "event_id")
-    return chk.join(items, [USER, "cart_no"], "inner").select(
+    return per_cart.where(F.col("event_id").isNotNull() & (F.col("_n") > 0)).select(
         USER,
         "event_id",
         F.concat(F.lit("User "), F.col(USER).cast("string"), F.lit(" receipt: \n"), F.col("_lines")).alias("receipt"),
