@@ -198,10 +198,12 @@ def cart_positions(domain: DataFrame, chunking: scan.Chunking | None = None) ->
     stream = domain.where(F.col("kind").isin("add", "checkout")).select("event_id", "ts", "ts_ms", "kind", USER)
     if chunking is None:
         chunking = scan.choose_chunking(stream, [USER])
-    is_add = (F.col("kind") == "add").cast("long")
     counted = scan.running_sums(
-        scan.running_sums(stream, [USER], {"n_adds": is_add}, chunking),
-        [USER], {"cart_no": (F.col("kind") == "checkout").cast("long")}, chunking, exclusive=True,
+        stream,
+        [USER],
+        {"n_adds": (F.col("kind") == "add").cast("long"), "cart_no": (F.col("kind") == "checkout").cast("long")},
+        chunking,
+        exclusive={"cart_no"},
     ).where(F.col("kind") == "add")
     first = counted.groupBy(USER, "cart_no").agg(F.min("n_adds").alias("_first"))
     return counted.join(first, [USER, "cart_no"]).select(

@@ -121,20 +121,22 @@ def running_sums(
     sums: dict[str, Column],
     chunking: Chunking,
     order=ORDER,
-    exclusive: bool = False,
+    exclusive: bool | set[str] = False,
 ) -> DataFrame:
     """Add one column per entry of ``sums``: the running sum per key in order.
 
-    ``exclusive`` sums rows strictly before the current one.
+    ``exclusive`` (all sums, or a set of names) sums rows strictly before
+    the current one.  All sums share one window pass.
     """
     d = with_chunk(df, chunking, keys)
     vals = {n: f"_v_{n}" for n in sums}
     for n, e in sums.items():
         d = d.withColumn(vals[n], e)
-    frame = (Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    wl = _local_window(keys, order).rowsBetween(*frame)
+    excl = set(sums) if exclusive is True else set(exclusive or ())
+    w = _local_window(keys, order)
     local = d
     for n in sums:
+        wl = w.rowsBetween(Window.unboundedPreceding, -1 if n in excl else Window.currentRow)
         local = local.withColumn(n, F.coalesce(F.sum(vals[n]).over(wl), F.lit(0)))
     if chunking.single:
         return local.drop(CHUNK, *vals.values())
