@@ -148,3 +148,25 @@ def console_sink(out: DataFrame, checkpoint: str):
 def processing_trigger(writer, seconds: int = 10):
     """Micro-batch (and checkpoint) every ``seconds``."""
     return writer.trigger(processingTime=f"{seconds} seconds")
+
+
+def to_topic_records(out: DataFrame, profile: Profile) -> DataFrame:
+    """S4/S5 + P5/P6/R14: pipeline output as (topic, key, value) records.
+
+    Confirms go to the profile's confirm topic as AddToCart JSON, receipts to
+    its receipt topic as Receipt JSON (the topic differs per variant); the
+    key is the user id as UTF-8 bytes; default-valued fields are omitted.
+    Works on batch and streaming frames alike.
+    """
+    from keyfold.functions import codecs
+
+    is_confirm = F.col("kind") == "confirm"
+    value = F.when(
+        is_confirm,
+        codecs.encode_add_to_cart(F.col("user_id"), F.col("item_id"), F.col("quantity"), F.col("publishTimestamp")),
+    ).otherwise(codecs.encode_receipt(F.col("user_id"), F.col("receipt"), F.col("publishTimestamp")))
+    return out.select(
+        F.when(is_confirm, F.lit(profile.confirm_topic)).otherwise(F.lit(profile.receipt_topic)).alias("topic"),
+        codecs.key_bytes(F.col("user_id")).alias("key"),
+        value.alias("value"),
+    )

@@ -54,3 +54,19 @@ def test_stream_literal_ordering_inside_batch(spark):
     pipeline.run_available(spark, out_df, f"{base}/sink", f"{base}/ckpt")
     rec = spark.read.parquet(f"{base}/sink").where(F.col("kind") == "receipt").collect()
     assert [(r.event_id, r.n_items) for r in rec] == [(3, 2)]
+
+
+def test_topic_records_per_profile(spark):
+    from keyfold.profiles import get_profile
+
+    rows = [(1, 1, "add", 5, 1, 1), (2, 2, "checkout", 5, None, None)]
+    base = shared_path(spark, "t-topics")
+    ev(spark, rows).write.parquet(f"{base}/src")
+    p = get_profile("remote", initial_stock=10)
+    out = pipeline.to_topic_records(pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/src"), p), p)
+    pipeline.run_available(spark, out, f"{base}/sink", f"{base}/ckpt")
+    got = sorted((r.topic, bytes(r.key).decode(), r.value) for r in spark.read.parquet(f"{base}/sink").collect())
+    assert got == [
+        ("add-confirm", "5", '{"userId":"5","itemId":"1","quantity":1,"publishTimestamp":"1000"}'),
+        ("receipts", "5", '{"userId":"5","receipt":"Total items: 1","publishTimestamp":"2000"}'),
+    ]
