@@ -75,10 +75,14 @@ def reserve(
     if profile.demand == "echo":
         raise ValueError("echo profiles reserve nothing")
     rows = stock_rows(domain, profile)
-    if chunking is None:
-        chunking = scan.choose_chunking(rows, [KEY], target_rows)
     if method == "auto":
         method = "unit" if profile.demand == "unit" else "fold"
+    if chunking is None:
+        # the fold's safe-prefix test needs whole time chunks per item
+        mode = "time" if method == "fold" else "range"
+        chunking = scan.choose_chunking(rows, [KEY], target_rows, mode=mode)
+    if method == "fold" and chunking.ranges:
+        chunking = scan.choose_chunking(rows, [KEY], target_rows, mode="time")
     if method == "unit":
         return reserve_unit(rows, profile.initial_stock, chunking)
     if method == "fold":

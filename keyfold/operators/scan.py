@@ -1,5 +1,10 @@
 """Skew-safe ordered scans per key (the building block of W1a, W2, W3, W4).
 
+Default for inputs above ``SMALL_INPUT_BYTES``: the range-partitioned scan
+of ``rangescan`` (hot keys and hot time buckets are both split).  The
+time-chunk form below is kept for the any-demand fold's safe-prefix test,
+which needs whole chunks per key, and for explicit use.
+
 A running sum over ``partitionBy(key).orderBy(ts, event_id)`` puts every row
 of one key into one task.  With power-law keys one key may hold a third of
 all rows, so that plan does not scale.  Running sums and running minima are
@@ -62,14 +67,19 @@ class Chunking:
 
     chunk_ms: int | None = None
     hot: DataFrame | None = None
+    ranges: int | None = None  # range-partitioned scan with this many partitions
 
     @property
     def single(self) -> bool:
-        return self.chunk_ms is None and self.hot is None
+        return self.chunk_ms is None and self.hot is None and self.ranges is None
 
 
 def choose_chunking(
-    df: DataFrame, keys: list[str], target_rows: int = DEFAULT_TARGET_ROWS, ts_ms: str = "ts_ms"
+    df: DataFrame,
+    keys: list[str],
+    target_rows: int = DEFAULT_TARGET_ROWS,
+    ts_ms: str = "ts_ms",
+    mode: str = "range",
 ) -> Chunking:
     """Pick chunking for ``df``: none for small inputs, else per hot key.
 
@@ -82,6 +92,10 @@ def choose_chunking(
     size = planned_size_bytes(df)
     if size is not None and size <= SMALL_INPUT_BYTES:
         return Chunking()
+    if mode == "range":
+        from keyfold.operators.rangescan import partitions_for
+
+        return Chunking(ranges=partitions_for(df, size))
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(ts_ms).alias("_lo"), F.max(ts_ms).alias("_hi")
     )
@@ -128,11 +142,16 @@ def running_sums(
     ``exclusive`` (all sums, or a set of names) sums rows strictly before
     the current one.  All sums share one window pass.
     """
+    excl = set(sums) if exclusive is True else set(exclusive or ())
+    if chunking.ranges:
+        from keyfold.operators.rangescan import range_prefix
+
+        out = range_prefix(df, keys, sums, excl, None, chunking.ranges, order)
+        return out.withColumnsRenamed({f"_l_{n}": n for n in sums})
     d = with_chunk(df, chunking, keys)
     vals = {n: f"_v_{n}" for n in sums}
     for n, e in sums.items():
         d = d.withColumn(vals[n], e)
-    excl = set(sums) if exclusive is True else set(exclusive or ())
     w = _local_window(keys, order)
     local = d
     for n in sums:
@@ -168,6 +187,18 @@ def reflected_level(
 
     Adds: ``_level`` (P), ``_m`` and ``_m_prev``.
     """
+    init_c = F.lit(int(init)).cast("long")
+    zero = F.lit(0).cast("long")
+    if chunking.ranges:
+        from keyfold.operators.rangescan import range_prefix
+
+        out = range_prefix(df, keys, {"d": delta}, set(), "d", chunking.ranges, order)
+        return (
+            out.withColumn("_level", init_c + F.col("_l_d"))
+            .withColumn("_m", F.least(zero, init_c + F.col("_lmin")))
+            .withColumn("_m_prev", F.least(zero, init_c + F.col("_lmin_prev")))
+            .drop("_l_d", "_lmin", "_lmin_prev")
+        )
     d = with_chunk(df, chunking, keys).withColumn("_d", delta.cast("long"))
     w = _local_window(keys, order)
     w_inc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -177,7 +208,6 @@ def reflected_level(
         .withColumn("_Lmin", F.min("_L").over(w_inc))
         .withColumn("_Lmin_prev", F.min("_L").over(w_exc))
     )
-    init_c = F.lit(int(init)).cast("long")
     if chunking.single:
         withoff = local.withColumn("_O", F.lit(0).cast("long")).withColumn("_G", F.lit(None).cast("long"))
     else:

@@ -51,7 +51,7 @@ def test_hot_key_chunking_matches_single(spark, monkeypatch, target):
     rows = [(i, rnd.randint(0, 4000), "add", rnd.choice([0, 0, 0, 0, 1, 2]), None, rnd.randint(-2, 5))
             for i in range(400)]
     df = ev(spark, rows)
-    ch = scan.choose_chunking(df, ["user_id"], target_rows=target)
+    ch = scan.choose_chunking(df, ["user_id"], target_rows=target, mode="time")
     assert ch.hot is not None
     hot = {r.user_id for r in ch.hot.collect()}
     assert (0 in hot) == (target < 200)
@@ -63,3 +63,63 @@ def test_hot_key_chunking_matches_single(spark, monkeypatch, target):
     a = {r.event_id: (r._level, r._m, r._m_prev) for r in lv.collect()}
     b = {r.event_id: (r._level, r._m, r._m_prev) for r in lv1.collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 13])
+def test_range_scan_running_sums_and_level(spark, ranges):
+    rnd = random.Random(31)
+    # few keys, many partitions: keys span partition borders; one burst at one instant
+    rows = [(i, rnd.randint(0, 3000), "add", rnd.choice([0, 0, 0, 1, 2]), rnd.choice([5, 5, 6]),
+             rnd.randint(-3, 4)) for i in range(350)]
+    rows += [(1000 + i, 1500, "add", 0, 5, rnd.choice([-1, 2])) for i in range(60)]
+    df = ev(spark, rows)
+    ch = scan.Chunking(ranges=ranges)
+    got = {r.event_id: (r.s, r.c) for r in scan.running_sums(
+        df, ["user_id"], {"s": F.col("quantity").cast("long"), "c": F.lit(1).cast("long")}, ch,
+        exclusive={"c"}).collect()}
+    want = {r.event_id: (r.s, r.c) for r in scan.running_sums(
+        df, ["user_id"], {"s": F.col("quantity").cast("long"), "c": F.lit(1).cast("long")}, scan.Chunking(),
+        exclusive={"c"}).collect()}
+    assert got == want
+    a = {r.event_id: (r._level, r._m, r._m_prev)
+         for r in scan.reflected_level(df, ["item_id"], F.col("quantity"), 2, ch).collect()}
+    b = {r.event_id: (r._level, r._m, r._m_prev)
+         for r in scan.reflected_level(df, ["item_id"], F.col("quantity"), 2, scan.Chunking()).collect()}
+    assert a == b
+
+
+def test_range_scan_small_arrow_batches(spark):
+    # state carried across Arrow batch borders inside one partition
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(5)
+        rows = [(i, rnd.randint(0, 500), "add", rnd.choice([0, 1]), 3, rnd.randint(-2, 3)) for i in range(120)]
+        df = ev(spark, rows)
+        a = {r.event_id: (r._level, r._m, r._m_prev)
+             for r in scan.reflected_level(df, ["user_id"], F.col("quantity"), 1, scan.Chunking(ranges=2)).collect()}
+        b = {r.event_id: (r._level, r._m, r._m_prev)
+             for r in scan.reflected_level(df, ["user_id"], F.col("quantity"), 1, scan.Chunking()).collect()}
+        assert a == b
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_range_scan_consistent_under_sampling(spark):
+    # with real sampling, range bounds depend on the sample (seeded per plan
+    # instance); both consumers of the pass must still see the same partitions
+    import os, sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    from skew_demo import events
+
+    from keyfold.operators import rangescan, reserve
+    from keyfold.profiles import get_profile
+
+    p = get_profile("remote", initial_stock=1000, restock_qty=300, demand="unit")
+    d = events(spark, 600_000)
+    try:
+        cols = ["event_id", "status", "stock_after"]
+        got = reserve.reserve(d, p, method="unit", chunking=scan.Chunking(ranges=32)).select(*cols)
+        want = reserve.reserve(d, p, method="unit", chunking=scan.Chunking()).select(*cols)
+        assert want.exceptAll(got).count() == 0
+    finally:
+        rangescan.release()

@@ -1,10 +1,10 @@
 """Skew check: one item holds a third of all add requests.
 
 Builds N synthetic requests as a Spark job (spark.range + column
-expressions), then settles them with unit demand twice: one chunk per key
-(a plain per-key window: the hot item is one task) and with hot-key
-chunking.  Prints one JSON line with both times and whether the results are
-identical.  Usage: python tools/skew_demo.py [N] [target_rows]
+expressions), then settles them with unit demand three ways: one chunk per
+key (a plain per-key window: the hot item is one task), hot-key time chunks,
+and the range-partitioned scan.  Prints one JSON line with the times and
+whether the results are identical.  Usage: python tools/skew_demo.py [N] [target_rows]
 """
 
 from __future__ import annotations
@@ -58,11 +58,14 @@ def main() -> None:
         return time.perf_counter() - t0, (agg.g, agg.s), ch
 
     t_single, r_single, _ = timed(lambda: scan.Chunking())
-    t_hot, r_hot, ch = timed(lambda: scan.choose_chunking(d, ["item_id"], target_rows=target))
+    t_hot, r_hot, ch = timed(lambda: scan.choose_chunking(d, ["item_id"], target_rows=target, mode="time"))
     n_hot = ch.hot.count() if ch.hot is not None else 0
-    print(json.dumps({"rows": n, "target_rows": target, "hot_keys": n_hot,
-                      "single_chunk_s": round(t_single, 2), "hot_chunked_s": round(t_hot, 2),
-                      "identical": r_single == r_hot}))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t_rng, r_rng, _ = timed(lambda: scan.Chunking(ranges=parts))
+    print(json.dumps({"rows": n, "target_rows": target, "hot_keys": n_hot, "range_partitions": parts,
+                      "single_task_s": round(t_single, 2), "time_chunks_s": round(t_hot, 2),
+                      "range_scan_s": round(t_rng, 2),
+                      "identical": r_single == r_hot == r_rng}))
     spark.stop()
 
 
