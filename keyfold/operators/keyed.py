@@ -60,9 +60,13 @@ def every_nth(df: DataFrame, n: int, key_order=ORDER) -> DataFrame:
     position is the partition's offset (a running sum over a table of one
     row per partition) plus the row's index inside its partition, read from
     ``monotonically_increasing_id`` (partition id in the upper bits).  No
-    task ever sees all rows.
+    task ever sees all rows.  The ranged frame feeds both the counts and the
+    rows, so it is persisted once (``session.persist_once``): range bounds
+    are sampled per plan instance and must be the same for both.
     """
-    ranged = (
+    from keyfold.session import persist_once
+
+    ranged = persist_once(
         df.repartitionByRange(*key_order)
         .sortWithinPartitions(*key_order)
         .withColumn("_mid", F.monotonically_increasing_id())

@@ -33,16 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark import StorageLevel
-
 PID = "_pid"
-_PERSISTED: list[DataFrame] = []
 
 
 def release() -> None:
     """Unpersist the pass outputs cached by ``range_prefix``."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+    from keyfold.session import release as _release
+
+    _release()
 PARTITION_BYTES = 128 * 1024 * 1024
 MAX_PARTITIONS = 200_000
 UNKNOWN_SIZE = 1 << 62  # Spark reports an unknown size as Long.MaxValue
@@ -129,7 +127,7 @@ def range_prefix(
     ``_lmin`` / ``_lmin_prev`` (running minimum of that inclusive sum, at and
     before the row) -- all global per key, not per partition.
     """
-    from keyfold.session import ship_package
+    from keyfold.session import persist_once, ship_package
 
     d = df
     for n, e in vals.items():
@@ -142,13 +140,11 @@ def range_prefix(
         extra += [T.StructField("_lmin", T.LongType()), T.StructField("_lmin_prev", T.LongType())]
     schema = T.StructType(list(d.schema.fields) + extra)
     ship_package(df.sparkSession)
-    local = (
+    local = persist_once(
         d.repartitionByRange(partitions, *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .mapInPandas(_prefix_fn(keys, vnames, vexcl, vmin), schema)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    _PERSISTED.append(local)
 
     # per (key, partition): totals and lowest inclusive prefix of min_of
     aggs = [F.sum(v).alias(f"_t{v}") for v in vnames]

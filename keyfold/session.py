@@ -122,3 +122,24 @@ def ship_package(spark: SparkSession) -> None:
         cur = env.get("PYTHONPATH", "")
         env["PYTHONPATH"] = zpath + (os.pathsep + cur if cur else "")
     _SHIPPED.add(app)
+
+
+_PERSISTED: list = []
+
+
+def persist_once(df):
+    """Persist ``df`` for several consumers in one plan (e.g. both sides of a
+    range-partitioned pass: range bounds are sampled per plan instance, so
+    two evaluations could cut different ranges).  Lost blocks are recomputed
+    through the same shuffle dependency.  ``release()`` unpersists."""
+    from pyspark import StorageLevel
+
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(out)
+    return out
+
+
+def release() -> None:
+    """Unpersist everything ``persist_once`` cached."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()

@@ -123,3 +123,24 @@ def test_range_scan_consistent_under_sampling(spark):
         assert want.exceptAll(got).count() == 0
     finally:
         rangescan.release()
+
+
+def test_every_nth_positions_under_sampling(spark):
+    from keyfold.operators import keyed
+    from keyfold.session import release
+
+    n = 600_000
+    df = spark.range(0, n, numPartitions=16).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_millis(F.lit(1_704_067_200_000) + (F.col("id") * 7) % 1_000_000).cast("timestamp_ntz").alias("ts"),
+    )
+    try:
+        marks = keyed.every_nth(df, 1000)
+        # the expected position of each event in (ts, event_id) order
+        ranked = df.withColumn("t", F.col("ts").cast("string"))
+        got = sorted((r.event_id, r.position) for r in marks.select("event_id", "position").collect())
+        order = sorted(((r.ts, r.event_id) for r in df.collect()))
+        want = sorted((eid, i + 1) for i, (_, eid) in enumerate(order) if (i + 1) % 1000 == 0)
+        assert got == want
+    finally:
+        release()
