@@ -32,7 +32,6 @@ of the plan.  Cold keys stay one chunk.  Inputs the optimizer sizes below
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
