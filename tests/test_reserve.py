@@ -147,3 +147,40 @@ def test_reserve_with_hot_items(spark, monkeypatch):
         want = python_fold(rows, p.initial_stock, demand, True)
         got = settled_map(reserve.reserve(ev(spark, rows), p, method=method, target_rows=30))
         assert got == want
+
+
+@pytest.mark.parametrize("init", [0, 25, 10_000])
+def test_fold_partition_blocks_and_batches(init):
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(init + 3)
+    rows = []
+    for item in (4, 9, 11):
+        for _ in range(rnd.randint(50, 700)):
+            if rnd.random() < 0.05:
+                rows.append((item, "restock", None, rnd.randint(1, 400)))
+            else:
+                rows.append((item, "add", rnd.choice([1, 2, 3, 9, -1]), None))
+    eids = list(range(len(rows)))
+    pdf = pd.DataFrame({
+        "event_id": eids, "ts": pd.to_datetime(eids, unit="s"), "ts_ms": eids, "kind": [r[1] for r in rows],
+        "user_id": 1, "item_id": [r[0] for r in rows],
+        "requested": pd.array([r[2] for r in rows], dtype="Int32"),
+        "restock": pd.array([r[3] for r in rows], dtype="Int32"), "_S": init,
+    })
+    cuts = [0] + sorted(rnd.sample(range(1, len(rows)), 9)) + [len(rows)]
+    batches = [pdf.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+    out = pd.concat(list(reserve._fold_partition(iter(batches))))
+    stock, want = {}, []
+    for item, kind, q, r in rows:
+        s = stock.get(item, init)
+        if kind == "add":
+            st = "INSTOCK" if s >= q else "OUTOFSTOCK"
+            s = s - q if s >= q else s
+        else:
+            st, s = None, s + r
+        stock[item] = s
+        want.append((st, s))
+    got = list(zip(out["status"], out["stock_after"].astype(np.int64)))
+    assert got == want
