@@ -46,15 +46,21 @@ def requested_quantity(q, demand: str):
     return q.cast("int")
 
 
-def stock_rows(domain: DataFrame, profile: Profile) -> DataFrame:
-    """Rows the stock function sees: adds (as requests) and, if applied, restocks."""
+def stock_rows(domain: DataFrame, profile: Profile, keep: tuple[str, ...] = (), wrap=None) -> DataFrame:
+    """Rows the stock function sees: adds (as requests) and, if applied, restocks.
+
+    ``keep`` carries extra columns through (e.g. a watermarked event time);
+    ``wrap`` transforms the filter predicate (see ``pipeline.after_watermark``).
+    """
     kinds = ["add", "restock"] if profile.restock_applies else ["add"]
+    pred = F.col("kind").isin(*kinds) & F.col("item_id").isNotNull()
     return (
-        domain.where(F.col("kind").isin(*kinds) & F.col("item_id").isNotNull())
+        domain.where(wrap(pred) if wrap else pred)
         .select(
             "event_id", "ts", "ts_ms", "kind", "user_id", "item_id",
             F.when(F.col("kind") == "add", requested_quantity("quantity", profile.demand)).alias("requested"),
             F.when(F.col("kind") == "restock", F.col("quantity")).cast("int").alias("restock"),
+            *keep,
         )
     )
 

@@ -517,3 +517,12 @@ def q_stream_receipt_lines(spark, sf_dir):
     from keyfold.streaming.replay import stream_receipt_lines
 
     return stream_receipt_lines(spark, sf_dir, P.UNIT, waves=2)
+
+
+@register("stream_out_of_order", ORACLES["receipts_clear"])
+def q_stream_out_of_order(spark, sf_dir):
+    """Ordered streaming mode (watermark + buffered state): events arrive in
+    reverse half-month order, receipts still equal the batch result."""
+    from keyfold.streaming.replay import stream_receipts_out_of_order
+
+    return stream_receipts_out_of_order(spark, sf_dir, P.UNIT)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyfold.operators.reserve import stock_rows
 from keyfold.profiles import Profile
@@ -29,6 +30,8 @@ from keyfold.streaming.processors import (
     SETTLED_SCHEMA,
     CartItemsProcessor,
     CartProcessor,
+    OrderedCartProcessor,
+    OrderedStockProcessor,
     StockProcessor,
 )
 
@@ -170,3 +173,50 @@ def to_topic_records(out: DataFrame, profile: Profile) -> DataFrame:
         codecs.key_bytes(F.col("user_id")).alias("key"),
         value.alias("value"),
     )
+
+
+def after_watermark(pred, event_time: str = "event_time"):
+    """A filter predicate the optimizer cannot push below ``withWatermark``.
+
+    Conjuncts that do not use the event-time column are pushed under the
+    watermark node, which then sees only the filtered rows (each branch its
+    own watermark).  A CASE on the event-time column keeps the filter above
+    it, so the watermark is taken over every source row.
+    """
+    return F.when(F.col(event_time).isNotNull(), pred).otherwise(F.lit(False))
+
+
+def build_ordered_pipeline(domain: DataFrame, profile: Profile, lateness: str = "10 minutes") -> DataFrame:
+    """The chain in event order under a watermark (opt-in; the reference is
+    arrival-ordered).  Events may arrive out of order by up to ``lateness``;
+    older ones are dropped as late.  Each stage buffers its keys' rows in
+    list state until the watermark passes them; stage 1 hands its event time
+    on (``eventTimeColumnName``) so stage 2 keeps the same watermark.
+    Output rows are emitted once the watermark has passed them."""
+    ship_package(domain.sparkSession)
+    src = domain.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
+    rows = stock_rows(src, profile, keep=("event_time",), wrap=after_watermark)
+    settled_schema = T.StructType(list(SETTLED_SCHEMA.fields) + [T.StructField("event_time", T.TimestampType())])
+    settled = rows.groupBy("item_id").transformWithStateInPandas(
+        statefulProcessor=OrderedStockProcessor(profile.initial_stock, profile.restock_applies),
+        outputStructType=settled_schema,
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="event_time",
+    )
+    adds = settled.where(F.col("kind") == "add").select(
+        "event_id", "ts", "ts_ms", "kind", "user_id", "item_id", "requested", "status", "event_time"
+    )
+    checkouts = src.where(after_watermark((F.col("kind") == "checkout") & F.col("user_id").isNotNull())).select(
+        "event_id", "ts", "ts_ms", "kind", "user_id",
+        F.lit(None).cast("long").alias("item_id"),
+        F.lit(None).cast("int").alias("requested"),
+        F.lit(None).cast("string").alias("status"),
+        "event_time",
+    )
+    return adds.where(F.col("user_id").isNotNull()).unionByName(checkouts).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=OrderedCartProcessor(profile.checkout, profile.receipt_format),
+        outputStructType=OUTPUT_SCHEMA,
+        outputMode="Append",
+        timeMode="EventTime",
+    )

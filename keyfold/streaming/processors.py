@@ -219,3 +219,152 @@ class CartItemsProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+# ------------------------------------------------------------------ ordered mode
+# Event-time variants: rows wait in list state until the watermark passes
+# them, then are settled in (ts, event_id) order.  Rows older than the
+# watermark are dropped by Spark as late; so every row a key settles can no
+# longer be preceded by one still to come.  Opt-in (the reference is
+# arrival-ordered); the lateness bound is the watermark delay.
+
+_STOCK_BUF = "event_id long, ts_us long, ts_ms long, kind string, user_id long, requested int, restock int"
+_CART_BUF = "event_id long, ts_us long, ts_ms long, kind string, item_id long, requested int, status string"
+
+
+def _us(ts: pd.Series) -> list[int]:
+    return (ts.astype("datetime64[us]").astype("int64")).tolist()
+
+
+def _ready(buf, wm: int, handle):
+    """Split buffered rows into those before the watermark (sorted) and the rest."""
+    rows = list(buf.get()) if buf.exists() else []
+    ready = sorted((r for r in rows if r[2] < wm), key=lambda r: (r[1], r[0]))
+    rest = [r for r in rows if r[2] >= wm]
+    if rest:
+        buf.put(rest)
+        handle.registerTimer(min(r[2] for r in rest) + 1)
+    else:
+        buf.clear()
+    return ready
+
+
+class OrderedStockProcessor(StatefulProcessor):
+    """Stock per item, settled in event order under a watermark."""
+
+    def __init__(self, initial_stock: int, restock_applies: bool):
+        self.initial_stock = int(initial_stock)
+        self.restock_applies = bool(restock_applies)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stock = handle.getValueState("stock", "stock long")
+        self.buf = handle.getListState("buffer", _STOCK_BUF)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        self.buf.appendList([
+            (int(e), u, int(m), k, None if pd.isna(uid) else int(uid),
+             None if pd.isna(q) else int(q), None if pd.isna(r) else int(r))
+            for e, u, m, k, uid, q, r in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
+                                             pdf["user_id"], pdf["requested"], pdf["restock"])
+        ])
+        self.handle.registerTimer(int(pdf["ts_ms"].min()) + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        item = int(key[0])
+        wm = timerValues.getCurrentWatermarkInMs()
+        ready = _ready(self.buf, wm, self.handle)
+        s = int(self.stock.get()[0]) if self.stock.exists() else self.initial_stock
+        out = []
+        for e, u, m, k, uid, q, r in ready:
+            st = None
+            if k == "add":
+                if s >= q:
+                    s, st = s - q, "INSTOCK"
+                else:
+                    st = "OUTOFSTOCK"
+            elif self.restock_applies and r is not None:
+                s += r
+            out.append((e, u, m, k, uid, item, q, r, st, s))
+        if ready:
+            self.stock.update((s,))
+        cols = ["event_id", "ts_us", "ts_ms", "kind", "user_id", "item_id", "requested", "restock", "status",
+                "stock_after"]
+        df = pd.DataFrame(out, columns=cols)
+        res = pd.DataFrame({
+            "event_id": df["event_id"].astype("int64"),
+            "ts": pd.to_datetime(df["ts_us"].astype("int64"), unit="us"),
+            "ts_ms": df["ts_ms"].astype("int64"),
+            "kind": df["kind"],
+            "user_id": pd.array(df["user_id"], dtype="Int64"),
+            "item_id": pd.array(df["item_id"], dtype="Int64"),
+            "requested": pd.array(df["requested"], dtype="Int32"),
+            "restock": pd.array(df["restock"], dtype="Int32"),
+            "status": df["status"],
+            "stock_after": df["stock_after"].astype("int64"),
+        })
+        # event time handed downstream = emission time (the watermark): Spark
+        # takes no output row older than the watermark; order keeps ts
+        res["event_time"] = pd.to_datetime(pd.Series([wm] * len(res), dtype="int64"), unit="ms")
+        yield res
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedCartProcessor(StatefulProcessor):
+    """Basket per user under a watermark: confirms and receipts in event order."""
+
+    def __init__(self, checkout: str, receipt_format: str):
+        self.checkout = checkout
+        self.receipt_format = receipt_format
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.basket = handle.getValueState("basket", "n long")
+        self.buf = handle.getListState("buffer", _CART_BUF)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        self.buf.appendList([
+            (int(e), u, int(m), k, None if pd.isna(i) else int(i), None if pd.isna(q) else int(q),
+             None if (st is None or (isinstance(st, float) and pd.isna(st))) else st)
+            for e, u, m, k, i, q, st in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
+                                            pdf["item_id"], pdf["requested"], pdf["status"])
+        ])
+        self.handle.registerTimer(int(pdf["ts_ms"].min()) + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        user = int(key[0])
+        ready = _ready(self.buf, timerValues.getCurrentWatermarkInMs(), self.handle)
+        b = int(self.basket.get()[0]) if self.basket.exists() else None
+        out = []
+        text = lambda n: self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
+        for e, u, m, k, i, q, st in ready:
+            if k == "add":
+                if st == "INSTOCK":
+                    b = q if b is None else b + q
+                out.append(("confirm", user, i, e, q, None, None, str(m)))
+            elif k == "checkout":
+                if self.checkout == "clear" and b is not None:
+                    out.append(("receipt", user, None, e, None, b, text(b), str(m)))
+                    b = None
+                elif self.checkout == "running":
+                    n = 0 if b is None else b
+                    out.append(("receipt", user, None, e, None, n, text(n), str(m)))
+        if ready:
+            if b is None:
+                self.basket.clear()
+            else:
+                self.basket.update((b,))
+        df = pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+        for c in ("user_id", "item_id", "event_id", "n_items"):
+            df[c] = pd.array(df[c], dtype="Int64")
+        df["quantity"] = pd.array(df["quantity"], dtype="Int32")
+        yield df
+
+    def close(self) -> None:
+        pass

@@ -5,7 +5,7 @@ return exactly what the small-input plan returns."""
 from conftest import SF01
 from oracle_check import canon
 
-STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines")
+STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines", "stream_out_of_order")
 
 
 def test_big_input_paths_equal_small(spark, monkeypatch):

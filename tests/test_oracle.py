@@ -5,7 +5,7 @@ import pytest
 from conftest import SF001, SF01
 from oracle_check import compare
 
-STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines")
+STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines", "stream_out_of_order")
 
 
 def test_entry_smoke(spark):

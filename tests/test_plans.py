@@ -3,7 +3,7 @@ registered batch query; scans carry pushed filters."""
 
 from conftest import SF01
 
-STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines")
+STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines", "stream_out_of_order")
 
 
 def test_no_forbidden_nodes(spark):

@@ -14,7 +14,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines")
+STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines", "stream_out_of_order")
 
 
 def plan_text(df) -> str:
