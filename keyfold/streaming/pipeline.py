@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyfold.functions.timefns import epoch_ms
 from keyfold.operators.reserve import stock_rows
 from keyfold.profiles import Profile
 from keyfold.session import ship_package, use_rocksdb_state
@@ -194,7 +195,9 @@ def build_ordered_pipeline(domain: DataFrame, profile: Profile, lateness: str =
     on (``eventTimeColumnName``) so stage 2 keeps the same watermark.
     Output rows are emitted once the watermark has passed them."""
     ship_package(domain.sparkSession)
-    src = domain.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
+    # event time from the UTC epoch of the wall-clock ts: independent of the
+    # session time zone, and the same clock the processors read from ts
+    src = domain.withColumn("event_time", F.timestamp_millis(epoch_ms("ts"))).withWatermark("event_time", lateness)
     rows = stock_rows(src, profile, keep=("event_time",), wrap=after_watermark)
     settled_schema = T.StructType(list(SETTLED_SCHEMA.fields) + [T.StructField("event_time", T.TimestampType())])
     settled = rows.groupBy("item_id").transformWithStateInPandas(

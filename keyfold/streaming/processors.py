@@ -237,13 +237,17 @@ def _us(ts: pd.Series) -> list[int]:
 
 
 def _ready(buf, wm: int, handle):
-    """Split buffered rows into those before the watermark (sorted) and the rest."""
+    """Split buffered rows into those before the watermark (sorted) and the rest.
+
+    Readiness uses the row's own time (``ts`` in µs, field 1), the same
+    clock as the watermarked event time.
+    """
     rows = list(buf.get()) if buf.exists() else []
-    ready = sorted((r for r in rows if r[2] < wm), key=lambda r: (r[1], r[0]))
-    rest = [r for r in rows if r[2] >= wm]
+    ready = sorted((r for r in rows if r[1] // 1000 < wm), key=lambda r: (r[1], r[0]))
+    rest = [r for r in rows if r[1] // 1000 >= wm]
     if rest:
         buf.put(rest)
-        handle.registerTimer(min(r[2] for r in rest) + 1)
+        handle.registerTimer(min(r[1] for r in rest) // 1000 + 1)
     else:
         buf.clear()
     return ready
@@ -269,7 +273,7 @@ class OrderedStockProcessor(StatefulProcessor):
             for e, u, m, k, uid, q, r in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
                                              pdf["user_id"], pdf["requested"], pdf["restock"])
         ])
-        self.handle.registerTimer(int(pdf["ts_ms"].min()) + 1)
+        self.handle.registerTimer(min(_us(pdf["ts"])) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -305,9 +309,9 @@ class OrderedStockProcessor(StatefulProcessor):
             "status": df["status"],
             "stock_after": df["stock_after"].astype("int64"),
         })
-        # event time handed downstream = emission time (the watermark): Spark
-        # takes no output row older than the watermark; order keeps ts
-        res["event_time"] = pd.to_datetime(pd.Series([wm] * len(res), dtype="int64"), unit="ms")
+        # event time handed downstream = just after the emission watermark:
+        # Spark takes no output row at or before the watermark; order keeps ts
+        res["event_time"] = pd.to_datetime(pd.Series([wm + 1] * len(res), dtype="int64"), unit="ms")
         yield res
 
     def close(self) -> None:
@@ -334,7 +338,7 @@ class OrderedCartProcessor(StatefulProcessor):
             for e, u, m, k, i, q, st in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
                                             pdf["item_id"], pdf["requested"], pdf["status"])
         ])
-        self.handle.registerTimer(int(pdf["ts_ms"].min()) + 1)
+        self.handle.registerTimer(min(_us(pdf["ts"])) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -70,3 +70,25 @@ def test_topic_records_per_profile(spark):
         ("add-confirm", "5", '{"userId":"5","itemId":"1","quantity":1,"publishTimestamp":"1000"}'),
         ("receipts", "5", '{"userId":"5","receipt":"Total items: 1","publishTimestamp":"2000"}'),
     ]
+
+
+def test_ordered_mode_settles_in_event_order(spark):
+    # the checkout (t=20) and an add of another user (t=15) arrive a batch
+    # before the adds at t=10 and t=12; event order decides stock and basket
+    import datetime as dt
+
+    base = shared_path(spark, "t-ordered")
+    P1 = P.UNIT.with_(initial_stock=1)
+
+    def wave(rows):
+        ev(spark, rows).write.mode("append").parquet(f"{base}/src")
+        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, f"{base}/src"), P1, "30 seconds")
+        pipeline.run_available(spark, out, f"{base}/sink", f"{base}/ckpt")
+
+    wave([(3, 20, "checkout", 5, None, None), (5, 15, "add", 6, 1, 1)])
+    wave([(1, 10, "add", 5, 1, 1), (2, 12, "add", 5, 2, 1)])
+    wave([(9, 1000, "tick", None, None, None)])
+    out = spark.read.parquet(f"{base}/sink").collect()
+    rec = [(r.event_id, r.n_items) for r in out if r.kind == "receipt"]
+    assert rec == [(3, 2)]  # user 5 got item 1's only unit (t=10 before t=15) and item 2
+    assert sorted(r.event_id for r in out if r.kind == "confirm") == [1, 2, 5]
