@@ -36,3 +36,15 @@ def test_batch_queries_match_oracle(spark):
 def test_stream_queries_match_oracle(spark, name):
     res = compare(spark, SF001, [name], verbose=False)
     assert res[name].startswith("OK")
+
+
+def test_results_independent_of_session_time_zone(spark):
+    # time columns are NTZ; every query must give the same rows in any zone
+    names = ["receipts_clear", "latency_by_start_bucket", "decode_adds", "distinct_users_by_day"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        res = compare(spark, SF01, names, verbose=False)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert all(v.startswith("OK") for v in res.values()), res
