@@ -12,8 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.operators import carts, reserve
+from keyfold.functions import synth as R
+from keyfold.operators import carts, keyed, reserve, routing
+from keyfold.operators import latency as lat
+from keyfold.operators import synth as syn
 from keyfold.plans import params as P
+from keyfold.sources import eventlog, latencylog
 from keyfold.sources import testdata as td
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,8 +214,6 @@ def q_receipt_lines(spark, sf_dir):
 
 
 # ------------------------------------------------------------ latency suite
-from keyfold.operators import latency as lat  # noqa: E402
-from keyfold.sources import latencylog  # noqa: E402
 
 
 def _lf(spark, sf_dir):
@@ -326,8 +328,6 @@ def q_achieved_rate(spark, sf_dir):
 
 
 # ------------------------------------------------------- log decode / route
-from keyfold.operators import routing  # noqa: E402
-from keyfold.sources import eventlog  # noqa: E402
 
 
 def _lines(spark, sf_dir):
@@ -382,9 +382,6 @@ def q_quarantine_poison(spark, sf_dir):
 
 
 # ---------------------------------------------------- keyed aggregates, synth
-from keyfold.functions import synth as R  # noqa: E402
-from keyfold.operators import keyed  # noqa: E402
-from keyfold.operators import synth as syn  # noqa: E402
 
 
 def _events(spark, sf_dir):
@@ -452,9 +449,7 @@ def q_synth_power_law(spark, sf_dir):
 @register("cart_positions", None)
 def q_cart_positions(spark, sf_dir):
     """Position of each add in its user's cart cycle."""
-    from keyfold.operators import carts as _c
-
-    return _c.cart_positions(_domain(spark, sf_dir, P.UNIT, ("add", "checkout")))
+    return carts.cart_positions(_domain(spark, sf_dir, P.UNIT, ("add", "checkout")))
 
 
 CART_POS_SQL = f"""WITH d AS ({td.domain_events_sql(3, ("add", "checkout"))}),
