@@ -84,14 +84,12 @@ def reserve(
     if method == "auto":
         method = "unit" if profile.demand == "unit" else "fold"
     if chunking is None:
-        # the fold's safe-prefix test needs whole time chunks per item
-        mode = "time" if method == "fold" else "range"
-        chunking = scan.choose_chunking(rows, [KEY], target_rows, mode=mode)
-    if method == "fold" and chunking.ranges:
-        chunking = scan.choose_chunking(rows, [KEY], target_rows, mode="time")
+        chunking = scan.choose_chunking(rows, [KEY], target_rows)
     if method == "unit":
         return reserve_unit(rows, profile.initial_stock, chunking)
     if method == "fold":
+        if chunking.ranges:
+            return reserve_fold_ranged(rows, profile.initial_stock, chunking.ranges)
         return reserve_fold(rows, profile.initial_stock, chunking)
     raise ValueError(method)
 
@@ -260,3 +258,155 @@ def item_outcomes(settled: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("status") == OUTOFSTOCK, 1).otherwise(0)).cast("long").alias("n_rejected"),
         F.max_by("stock_after", F.struct(*scan.ORDER)).cast("long").alias("final_stock"),
     )
+
+
+# ------------------------------------------------------------ range layout
+def _fold_ranged_fn(init: int):
+    """Per-partition pass over rows range-partitioned and sorted by
+    (item, ts, event_id): every item group that starts in this partition is
+    folded from ``init`` (exact); the partition's first group may continue an
+    item from earlier partitions, so it is left pending with its local
+    all-granted prefix ``_lD``."""
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        first_seen = False
+        cur_item, s, pending, carry = None, 0, False, 0
+        block = FOLD_BLOCK
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            items = pdf["item_id"].to_numpy()
+            is_add = (pdf["kind"] == "add").to_numpy()
+            req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
+            rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
+            n = len(pdf)
+            delta = np.where(is_add, -req, rst)
+            posq = np.where(is_add & (req > 0), req, 0)
+            change = np.empty(n, dtype=bool)
+            change[0] = (not first_seen) or items[0] != cur_item
+            change[1:] = items[1:] != items[:-1]
+            cps = np.flatnonzero(change)
+            ok = np.zeros(n, dtype=bool)
+            after = np.zeros(n, dtype=np.int64)
+            pend = np.zeros(n, dtype=bool)
+            ld = np.zeros(n, dtype=np.int64)
+            i = 0
+            while i < n:
+                if change[i]:
+                    pending = not first_seen
+                    first_seen = True
+                    cur_item, s, carry = items[i], int(init), 0
+                k = np.searchsorted(cps, i, side="right")
+                j = min(i + block, int(cps[k]) if k < len(cps) else n)
+                if pending:
+                    cs = np.cumsum(delta[i:j]) + carry
+                    ld[i:j] = cs
+                    carry = int(cs[-1])
+                    pend[i:j] = True
+                elif s >= int(posq[i:j].sum()):
+                    cs = np.cumsum(delta[i:j])
+                    after[i:j] = s + cs
+                    ok[i:j] = is_add[i:j]
+                    s += int(cs[-1])
+                    block = min(block * 2, FOLD_BLOCK_MAX)
+                else:
+                    block = FOLD_BLOCK
+                    for t in range(i, j):
+                        if is_add[t]:
+                            q = int(req[t])
+                            if s >= q:
+                                s -= q
+                                ok[t] = True
+                        else:
+                            s += int(rst[t])
+                        after[t] = s
+                i = j
+            status = np.where(ok, INSTOCK, OUTOFSTOCK).astype(object)
+            status[~is_add | pend] = None
+            out = pdf.copy()
+            out["status"] = status
+            out["stock_after"] = pd.array(np.where(pend, None, after).tolist(), dtype="Int64")
+            out["_pid"] = pid
+            out["_pending"] = pend
+            out["_lD"] = ld
+            out["_D"] = delta
+            out["_Q"] = posq
+            yield out
+
+    return fn
+
+
+def _chain(summary_rows, init: int) -> list[tuple]:
+    """Walk each item's border groups in partition order (at most 2 per
+    partition): a pending group whose incoming stock covers its demand is
+    granted whole; from the first that is not, the item goes to the tail.
+    Returns (item, pid, incoming stock, safe) per pending group."""
+    out, by_item = [], {}
+    for r in sorted(summary_rows, key=lambda r: (r["item_id"], r["_pid"])):
+        by_item.setdefault(r["item_id"], []).append(r)
+    for item, groups in by_item.items():
+        s, tail = int(init), False
+        for g in groups:
+            if not g["_pending"]:
+                s = int(g["_out"])
+                continue
+            if not tail and s >= int(g["_Qt"]):
+                out.append((item, g["_pid"], s, True))
+                s += int(g["_Dt"])
+            else:
+                # the first such group starts the tail at stock s; later ones follow it
+                out.append((item, g["_pid"], s, False))
+                tail = True
+    return out
+
+
+def reserve_fold_ranged(rows: DataFrame, init: int, partitions: int) -> DataFrame:
+    """W1b on the range layout (burst-safe, no statistics job)."""
+    from keyfold.session import persist_once
+
+    ship_package(rows.sparkSession)
+    cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
+    schema = T.StructType(
+        [f for f in _FOLD_SCHEMA.fields]
+        + [
+            T.StructField("_pid", T.IntegerType()),
+            T.StructField("_pending", T.BooleanType()),
+            T.StructField("_lD", T.LongType()),
+            T.StructField("_D", T.LongType()),
+            T.StructField("_Q", T.LongType()),
+        ]
+    )
+    local = persist_once(
+        rows.select(*cols)
+        .repartitionByRange(partitions, KEY, *scan.ORDER)
+        .sortWithinPartitions(KEY, *scan.ORDER)
+        .mapInPandas(_fold_ranged_fn(init), schema)
+    )
+    # border groups: each partition's first (pending) group and its last item
+    last = local.groupBy("_pid").agg(F.max(KEY).alias("_last"))
+    border = (
+        local.join(F.broadcast(last), "_pid")  # one row per partition
+        .where(F.col("_pending") | (F.col(KEY) == F.col("_last")))
+        .groupBy(KEY, "_pid")
+        .agg(
+            F.max("_pending").alias("_pending"),
+            F.sum("_D").alias("_Dt"),
+            F.sum("_Q").alias("_Qt"),
+            F.max_by("stock_after", F.struct(*scan.ORDER)).alias("_out"),
+        )
+    )
+    plan_rows = _chain(border.collect(), init)  # at most 2 * partitions rows
+    spark = rows.sparkSession
+    plan = spark.createDataFrame(plan_rows, f"{KEY} long, _pid int, _S long, _safe boolean")
+    done = local.where(~F.col("_pending")).select(*SETTLED_COLS)
+    pend = local.where(F.col("_pending")).join(F.broadcast(plan), [KEY, "_pid"], "inner")
+    safe = pend.where(F.col("_safe")).select(
+        *cols,
+        F.when(F.col("kind") == "add", F.lit(INSTOCK)).alias("status"),
+        (F.col("_S") + F.col("_lD")).alias("stock_after"),
+    )
+    tail = _ordered_fold(pend.where(~F.col("_safe")).select(*cols, "_S"))
+    return done.unionByName(safe).unionByName(tail)

@@ -184,3 +184,13 @@ def test_fold_partition_blocks_and_batches(init):
         want.append((st, s))
     got = list(zip(out["status"], out["stock_after"].astype(np.int64)))
     assert got == want
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 9])
+@pytest.mark.parametrize("init", [3, 60, 400])
+def test_any_demand_ranged_equals_python(spark, ranges, init):
+    rows = _random_rows(7, n=500, items=3, unit=False)
+    p = ANY.with_(initial_stock=init)
+    want = python_fold(rows, init, "quantity", True)
+    got = settled_map(reserve.reserve(ev(spark, rows), p, method="fold", chunking=scan.Chunking(ranges=ranges)))
+    assert got == want

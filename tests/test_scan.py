@@ -121,6 +121,10 @@ def test_range_scan_consistent_under_sampling(spark):
         got = reserve.reserve(d, p, method="unit", chunking=scan.Chunking(ranges=32)).select(*cols)
         want = reserve.reserve(d, p, method="unit", chunking=scan.Chunking()).select(*cols)
         assert want.exceptAll(got).count() == 0
+        q = get_profile("remote", initial_stock=2000, restock_qty=300)
+        got = reserve.reserve(d, q, method="fold", chunking=scan.Chunking(ranges=32)).select(*cols)
+        want = reserve.reserve(d, q, method="fold", chunking=scan.Chunking()).select(*cols)
+        assert want.exceptAll(got).count() == 0
     finally:
         rangescan.release()
 

@@ -49,10 +49,10 @@ def main() -> None:
     d = events(spark, n).cache()
     d.count()
 
-    def timed(choose):
+    def timed(choose, method="unit"):
         t0 = time.perf_counter()
         ch = choose()  # the statistics job, if any, counts too
-        out = reserve.reserve(d, p, method="unit", chunking=ch)
+        out = reserve.reserve(d, p, method=method, chunking=ch)
         agg = out.agg(F.sum(F.when(F.col("status") == "INSTOCK", 1).otherwise(0)).alias("g"),
                       F.sum("stock_after").alias("s")).first()
         return time.perf_counter() - t0, (agg.g, agg.s), ch
@@ -62,10 +62,14 @@ def main() -> None:
     n_hot = ch.hot.count() if ch.hot is not None else 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     t_rng, r_rng, _ = timed(lambda: scan.Chunking(ranges=parts))
+    f_single, q_single, _ = timed(lambda: scan.Chunking(), "fold")
+    f_rng, q_rng, _ = timed(lambda: scan.Chunking(ranges=parts), "fold")
     print(json.dumps({"rows": n, "target_rows": target, "hot_keys": n_hot, "range_partitions": parts,
                       "single_task_s": round(t_single, 2), "time_chunks_s": round(t_hot, 2),
                       "range_scan_s": round(t_rng, 2),
-                      "identical": r_single == r_hot == r_rng}))
+                      "identical": r_single == r_hot == r_rng,
+                      "fold_single_task_s": round(f_single, 2), "fold_range_s": round(f_rng, 2),
+                      "fold_identical": q_single == q_rng}))
     spark.stop()
 
 
