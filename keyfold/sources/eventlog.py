@@ -82,4 +82,4 @@ def write_periods(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_periods(spark: SparkSession, path: str) -> DataFrame:
     """Read all periods back; ``period`` comes from the folder name."""
-    return spark.read.text(path).withColumn("source_file", F.input_file_name())
+    return spark.read.text(path).select("*", F.col("_metadata.file_path").alias("source_file"))
