@@ -119,12 +119,20 @@ _FOLD_SCHEMA = T.StructType(
         T.StructField("item_id", T.LongType()),
         T.StructField("requested", T.IntegerType()),
         T.StructField("restock", T.IntegerType()),
-        T.StructField("status", T.StringType()),
+        T.StructField("_granted", T.BooleanType()),
         T.StructField("stock_after", T.LongType()),
     ]
 )
 
 
+def _status_from_granted(df: DataFrame) -> DataFrame:
+    """Status text from the fold's boolean (kept JVM-side)."""
+    st = F.when(
+        F.col("kind") == "add", F.when(F.col("_granted"), F.lit(INSTOCK)).otherwise(F.lit(OUTOFSTOCK))
+    )
+    return df.withColumn("status", st).drop("_granted")
+
+
 FOLD_BLOCK = 64
 FOLD_BLOCK_MAX = 8192
 
@@ -146,7 +154,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if pdf.empty:
             continue
         items = pdf["item_id"].to_numpy()
-        is_add = (pdf["kind"] == "add").to_numpy()
+        is_add = pdf["_add"].to_numpy(dtype=bool)
         req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
         rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
         start = pdf["_S"].to_numpy(dtype=np.int64)
@@ -183,22 +191,25 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         s += int(rst[t])
                     after[t] = s
             i = j
-        status = np.where(ok, INSTOCK, OUTOFSTOCK).astype(object)
-        status[~is_add] = None
-        out = pdf[[c for c in SETTLED_COLS if c not in ("status", "stock_after")]].copy()
-        out["status"] = status
+        out = pdf.drop(columns=["_S", "_add"])
+        out["_granted"] = ok
         out["stock_after"] = after
         yield out
 
 
 def _ordered_fold(tail: DataFrame) -> DataFrame:
-    """Hash-partition by item, sort within partitions, fold in order."""
+    """Hash-partition by item, sort within partitions, fold in order.
+
+    ``tail`` holds the settled columns (without status / stock) and ``_S``.
+    """
     ship_package(tail.sparkSession)
-    return (
-        tail.repartition(KEY)
+    cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
+    return _status_from_granted(
+        tail.select(*cols, "_S", (F.col("kind") == "add").alias("_add"))
+        .repartition(KEY)
         .sortWithinPartitions(KEY, *scan.ORDER)
         .mapInPandas(_fold_partition, _FOLD_SCHEMA)
-    )
+    ).select(*SETTLED_COLS)
 
 
 def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFrame:
@@ -279,7 +290,7 @@ def _fold_ranged_fn(init: int):
             if pdf.empty:
                 continue
             items = pdf["item_id"].to_numpy()
-            is_add = (pdf["kind"] == "add").to_numpy()
+            is_add = pdf["_add"].to_numpy(dtype=bool)
             req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
             rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
             n = len(pdf)
@@ -324,11 +335,9 @@ def _fold_ranged_fn(init: int):
                             s += int(rst[t])
                         after[t] = s
                 i = j
-            status = np.where(ok, INSTOCK, OUTOFSTOCK).astype(object)
-            status[~is_add | pend] = None
-            out = pdf.copy()
-            out["status"] = status
-            out["stock_after"] = pd.array(np.where(pend, None, after).tolist(), dtype="Int64")
+            out = pdf.drop(columns=["_add"])
+            out["_granted"] = ok
+            out["stock_after"] = after
             out["_pid"] = pid
             out["_pending"] = pend
             out["_lD"] = ld
@@ -380,7 +389,7 @@ def reserve_fold_ranged(rows: DataFrame, init: int, partitions: int) -> DataFram
         ]
     )
     local = persist_once(
-        rows.select(*cols)
+        rows.select(*cols, (F.col("kind") == "add").alias("_add"))
         .repartitionByRange(partitions, KEY, *scan.ORDER)
         .sortWithinPartitions(KEY, *scan.ORDER)
         .mapInPandas(_fold_ranged_fn(init), schema)
@@ -395,13 +404,13 @@ def reserve_fold_ranged(rows: DataFrame, init: int, partitions: int) -> DataFram
             F.max("_pending").alias("_pending"),
             F.sum("_D").alias("_Dt"),
             F.sum("_Q").alias("_Qt"),
-            F.max_by("stock_after", F.struct(*scan.ORDER)).alias("_out"),
+            F.max_by("stock_after", F.struct(*scan.ORDER)).alias("_out"),  # non-pending groups only
         )
     )
     plan_rows = _chain(border.collect(), init)  # at most 2 * partitions rows
     spark = rows.sparkSession
     plan = spark.createDataFrame(plan_rows, f"{KEY} long, _pid int, _S long, _safe boolean")
-    done = local.where(~F.col("_pending")).select(*SETTLED_COLS)
+    done = _status_from_granted(local.where(~F.col("_pending"))).select(*SETTLED_COLS)
     pend = local.where(F.col("_pending")).join(F.broadcast(plan), [KEY, "_pid"], "inner")
     safe = pend.where(F.col("_safe")).select(
         *cols,

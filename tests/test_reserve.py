@@ -168,6 +168,7 @@ def test_fold_partition_blocks_and_batches(init):
         "user_id": 1, "item_id": [r[0] for r in rows],
         "requested": pd.array([r[2] for r in rows], dtype="Int32"),
         "restock": pd.array([r[3] for r in rows], dtype="Int32"), "_S": init,
+        "_add": [r[1] == "add" for r in rows],
     })
     cuts = [0] + sorted(rnd.sample(range(1, len(rows)), 9)) + [len(rows)]
     batches = [pdf.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -182,7 +183,8 @@ def test_fold_partition_blocks_and_batches(init):
             st, s = None, s + r
         stock[item] = s
         want.append((st, s))
-    got = list(zip(out["status"], out["stock_after"].astype(np.int64)))
+    status = [("INSTOCK" if g else "OUTOFSTOCK") if k == "add" else None for g, k in zip(out["_granted"], out["kind"])]
+    got = list(zip(status, out["stock_after"].astype(np.int64)))
     assert got == want
 
 
