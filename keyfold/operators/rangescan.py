@@ -56,7 +56,13 @@ def partitions_for(df: DataFrame, size_bytes: int | None) -> int:
 
 
 def _prefix_fn(keys: list[str], vals: list[str], excl: set[str], min_of: str | None):
-    """Per-partition pass over rows sorted by (keys, ts, event_id)."""
+    """Per-partition pass over rows sorted by (keys, ts, event_id).
+
+    Pure numpy per Arrow batch: segmented cumulative sums subtract each
+    group's starting total; segmented running minima shift every later group
+    down by more than the batch's value range, so one running minimum
+    restarts at each group.  State of the open key crosses batch borders.
+    """
 
     def fn(batches: Iterator) -> Iterator:
         import numpy as np
@@ -73,41 +79,52 @@ def _prefix_fn(keys: list[str], vals: list[str], excl: set[str], min_of: str | N
                 continue
             change = np.zeros(n, dtype=bool)
             for c in keys:
-                col = pdf[c]
-                change |= (col != col.shift(1)).to_numpy()
+                a = pdf[c].to_numpy()
+                change[1:] |= a[1:] != a[:-1]
             first_key = tuple(pdf[c].iloc[0] for c in keys)
             cont = last_key is not None and first_key == last_key
             change[0] = not cont
-            gid = np.cumsum(change)
-            first = gid == gid[0]
-            out = {}
+            gidx = np.cumsum(change) - (1 if change[0] else 0)  # 0-based group index
+            starts = np.flatnonzero(change)
+            first = gidx == 0
+            res = pdf.copy(deep=False)
+            res[PID] = np.int32(pid)
             inc_of = {}
             for v in vals:
                 x = pdf[v].fillna(0).to_numpy(dtype=np.int64)
-                inc = pd.Series(x).groupby(gid).cumsum().to_numpy(dtype=np.int64)
+                cs = np.cumsum(x)
+                base = np.zeros(gidx[-1] + 1, dtype=np.int64)
+                # total before each group's first row (group 0 starts the batch unless it continues)
+                base_rows = cs[starts] - x[starts]
+                base[gidx[starts]] = base_rows
+                inc = cs - base[gidx]
                 if cont:
                     inc[first] += carry[v]
                 inc_of[v] = inc
-                out[f"_l{v}"] = inc - x if v in excl else inc
+                res[f"_l{v}"] = inc - x if v in excl else inc
                 carry[v] = int(inc[-1])
             if min_of is not None:
                 lv = inc_of[min_of]
-                lmin = pd.Series(lv).groupby(gid).cummin().to_numpy(dtype=np.int64)
+                span = int(np.abs(lv).max()) + 1
+                if cont and carry_min is not None:
+                    span = max(span, abs(int(carry_min)) + 1)
+                big = 4 * span
+                shifted = lv - big * gidx
                 if cont and carry_min is not None:
-                    lmin[first] = np.minimum(lmin[first], carry_min)
-                prev = np.empty(n, dtype=object)
+                    shifted[0] = min(shifted[0], carry_min)  # group 0 has shift 0
+                lmin = np.minimum.accumulate(shifted) + big * gidx
+                prev = np.empty(n, dtype=np.int64)
                 prev[1:] = lmin[:-1]
-                prev[change] = None
+                mask = change.copy()  # a group's first row has no earlier prefix
                 if cont and carry_min is not None:
                     prev[0] = carry_min
-                out["_lmin"] = lmin
-                out["_lmin_prev"] = pd.array(prev, dtype="Int64")
+                    mask[0] = False
+                else:
+                    prev[0] = 0
+                res["_lmin"] = lmin
+                res["_lmin_prev"] = pd.arrays.IntegerArray(prev, mask)
                 carry_min = int(lmin[-1])
             last_key = tuple(pdf[c].iloc[-1] for c in keys)
-            res = pdf.copy()
-            res[PID] = pid
-            for k, v in out.items():
-                res[k] = v
             yield res
 
     return fn
