@@ -53,3 +53,25 @@ def test_live_buckets(spark):
     got = {r.bucket_start.timestamp(): r.n_events for r in spark.read.parquet(base + "/out").collect()}
     assert sum(got.values()) >= 40 - 10  # windows closed by the watermark are emitted
     assert all(v <= 10 for v in got.values())
+
+
+def test_progress_listener_marks(spark):
+    import time
+
+    base = shared_path(spark, "t-progress")
+    listener = extras.ProgressListener(25)
+    spark.streams.addListener(listener)
+    try:
+        src = extras.generated_messages(spark, 60)
+        q = (src.writeStream.format("parquet").option("path", base + "/out")
+             .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+        n = spark.read.parquet(base + "/out").count()
+        for _ in range(50):  # listener events arrive asynchronously
+            if listener.total >= n:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.total == n
+    assert listener.marks == [k * 25 for k in range(1, n // 25 + 1)]
