@@ -11,7 +11,8 @@ breaks timestamp ties).  Then:
    batches, state carried across batch borders;
 2. a summary per ``(key, partition)`` gives totals and the lowest local
    prefix.  Only keys that span a partition border need an offset, and each
-   partition has at most two border keys, so the offset table has at most
+   partition has at most two border keys (its first and last), so only
+   those rows are aggregated and the offset table has at most
    ``2 * partitions`` rows: a proven bound, broadcast;
 3. offsets (sum of earlier partitions' totals, lowest prefix before) are
    joined back; rows of all other keys keep offset 0.
@@ -169,7 +170,14 @@ def range_prefix(
         incl = f"_l{vmin}" if vmin not in vexcl else None
         low = F.col(incl) if incl else F.col(f"_l{vmin}") + F.col(vmin)
         aggs.append(F.min(low).alias("_low"))
-    summ = local.groupBy(*keys, PID).agg(*aggs)
+    # only a partition's first and last key can cross a border: aggregate
+    # just those rows (at most two groups per partition reach the shuffle)
+    kst = F.struct(*keys)
+    bounds = local.groupBy(PID).agg(F.min(kst).alias("_kfirst"), F.max(kst).alias("_klast"))
+    border = local.join(F.broadcast(bounds), PID).where(  # one row per partition
+        (kst == F.col("_kfirst")) | (kst == F.col("_klast"))
+    )
+    summ = border.groupBy(*keys, PID).agg(*aggs)
     span = summ.withColumn("_np", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_np") > 1)
     wc = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     sel = [*keys, PID] + [F.coalesce(F.sum(f"_t{v}").over(wc), F.lit(0)).alias(f"_o{v}") for v in vnames]
