@@ -5,9 +5,9 @@ forbidden nodes (cross joins, row-at-a-time Python UDFs).  Prints a
 markdown table.  Usage: python tools/plan_audit.py [sf_dir] [--big]
 
 ``--big`` disables the small-input shortcut, so the plans are the ones a
-large input gets (range-partitioned scans and folds).  There the pass output
-is persisted and every reference to it prints the cached subtree again, so
-counts include the cached plan once per reference (it runs once).
+large input gets (range-partitioned scans and folds).  Node lines are
+counted once each, so a cached subtree printed at every reference counts
+once (it runs once).
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ def plan_text(df) -> str:
 
 def audit(df) -> dict:
     t = plan_text(df)
+    # a cached subtree is printed once per reference with the same expression
+    # ids: count distinct node lines so each physical node counts once
+    lines = {re.sub(r"^[\s:+\-*()0-9]*", "", ln) for ln in t.split("\n")}
 
     def n(pat):
-        return len(re.findall(pat, t))
+        return sum(1 for ln in lines if re.search(pat, ln))
 
     return {
         "shuffles": n(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition"),
