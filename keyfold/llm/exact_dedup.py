@@ -101,16 +101,16 @@ def _unequal(docs: DataFrame, state: DataFrame, text_col: str, digest, salt_rows
         "digest", "stays", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")
     )
     norm = normalised(F.col(text_col))
-    rows = docs.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), norm.alias("norm")
-    ).withColumn("digest", digest(F.col("norm")))
+    here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = docs.select(here.alias("at"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     hits = rows.join(many, "digest")
-    is_first = (F.col("file") == F.col("stays.at.file")) & (F.col("row") == F.col("stays.at.row"))
+    # null-safe, so that no filter reaches one branch's scan: both then share one shuffle
+    is_first = F.col("at").eqNullSafe(F.col("stays.at"))
     first = hits.where(is_first).select(
         "digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("stored")
     )
     rest = hits.where(~is_first).select(
-        "digest", F.pmod(F.xxhash64("file", "row"), F.col("salts")).cast("int").alias("salt"), "norm"
+        "digest", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int").alias("salt"), "norm"
     )
     return rest.join(first, ["digest", "salt"]).where(F.col("norm") != F.col("stored")).select("digest").distinct()
 

@@ -39,7 +39,7 @@ _CLASS[65:91] = _UPPER
 _CLASS[97:123] = _LOWER
 _LAST = np.where(_CLASS == _MARK, np.arange(256), _CLASS).astype(np.int64)
 
-STATISTICS = 13
+STATISTICS = 14
 
 
 @dataclass
@@ -86,10 +86,11 @@ def features(body: np.ndarray, at: np.ndarray, given: np.ndarray) -> Features:
     distinct, most = np.bincount(d1, minlength=n), np.zeros(n)
     np.maximum.at(most, d1, c1)
     marked = np.bincount(doc, weights=_CLASS[body[end - 1]] == _MARK, minlength=n) if len(doc) else np.zeros(n)
+    echo = np.bincount(doc[1:], weights=(h[1:] == h[:-1]) & (doc[1:] == doc[:-1]), minlength=n)  # a word said twice in a row
     stats = np.column_stack(
         [
             np.log1p(size), np.log1p(per), np.log1p(given), size / some_words, *(kinds[:, k] / some for k in range(1, 5)),
-            kinds[:, 5] / some_words, kinds[:, 6] / some_words, distinct / some_words, most / some_words, marked / some_words,
+            kinds[:, 5] / some_words, kinds[:, 6] / some_words, distinct / some_words, most / some_words, marked / some_words, echo / some_words,
         ]
     )
     return Features(
