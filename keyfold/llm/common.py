@@ -34,6 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_store(uri: str):
+    """The file system of a shared path, for tasks that write or range-read
+    files of their own, and the path in it."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
 # ---------------------------------------------------------------- numpy text
 
 _RNG = np.random.default_rng(20240607)

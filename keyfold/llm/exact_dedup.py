@@ -53,6 +53,8 @@ def run_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col:
     """Feed every file of ``path`` that ``checkpoint`` has not seen through the
     state, and read the state back: digest, stays (id, at), n."""
     use_rocksdb_state(spark)
+    # many small stores: do not reserve log space for each in advance
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     checkpoint = checkpoint or scratch(spark, "dedup-state")
     limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", batch_bytes)
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option(*limit)

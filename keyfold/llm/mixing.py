@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import WORD, materialise, row_order
@@ -176,10 +177,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
     # one row for each partition and source in it: partitions + sources rows
     ends = ordered.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
-    other = ends.select("source_no", F.col("part").alias("p"), F.col("words").alias("w"))
-    offset = (
-        ends.join(other, "source_no").where("p < part").groupBy("source_no", "part").agg(F.sum("w").alias("offset"))
-    )
+    earlier = W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offset = ends.select("source_no", "part", F.sum("words").over(earlier).alias("offset"))
     placed = ordered.join(offset, ["source_no", "part"], "left").withColumn(
         "position", F.col("local") + F.coalesce("offset", F.lit(0))
     )
@@ -256,8 +255,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("most > 0")
     )
     # rows alike in id and text (of any source) are told apart by their order
-    from pyspark.sql import Window as W
-
     spans = spans.withColumn("nth", F.row_number().over(W.partitionBy("id", "mark").orderBy("source_no", "position"))).select(
         F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("nth").alias("_nth"), F.col("spans").alias("_spans")
     )
