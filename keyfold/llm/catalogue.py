@@ -52,3 +52,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyfold.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.ngram_join import classes
+
+    return classes(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
+#: A document is kept from this score on.
+QUALITY_THRESHOLD = 0.3
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.quality import remainder, scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder(F.col("id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.token_files import read, write
+
+    manifest = write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+    return read(spark, manifest).withColumnRenamed("id", "doc_id")
