@@ -94,3 +94,44 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return read(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op1_zip_warc",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+    ), g AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM g
+    """,
+)
+def op1_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.zip_warc import read, write
+
+    manifest = write(table(spark, sf_dir, "pages"))
+    return read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op2_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.topk_search import search
+
+    found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
