@@ -135,3 +135,22 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")
+
+
+#: The key of the registered query; a real one comes from the job's secrets.
+PII_KEY = "keyfold-registered-query"
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY, changed_col="n_replaced")
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import materialise
+from keyfold.llm.common import materialise, scratch
 from keyfold.session import ship_package
 
 CHUNK, BLOCK_ROWS, TILE, DIMS = 2048, 4096, 64, 16
@@ -169,7 +169,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     top = rows.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max("n")).first()
     exact = top[0] is None or top[0] ** 2 * top[1] < 2**52
     chunks = -(-queries.count() // chunk)
-    parts = []
+    base = scratch(spark, "search-found")
     for number in range(chunks):
         # about ``chunk`` vectors: the bound on what goes to the driver and every task
         got = queries.where(F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)) == number).toPandas().sort_values("id", kind="stable")
@@ -177,11 +177,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         found = rows.select("id", "n", "vec").mapInPandas(
             lambda it, s=sent: _searched(it, s, k, exact), "query_id bigint, query_no bigint, id bigint, score bigint"
         )
-        parts.append(found.withColumn("chunk", F.lit(number)))
-    if not parts:
+        found.write.parquet(f"{base}/chunk={number}")
+    if not chunks:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = spark.read.schema("query_id bigint, query_no bigint, id bigint, score bigint, chunk int").parquet(base)
     order = W.partitionBy("chunk", "query_id", "query_no").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
