@@ -363,10 +363,10 @@ def render(root: Node) -> str:
                 lines = table.lines()
                 flow.block(2)
                 for line in lines:
-                    if line.strip():
+                    if line:
                         flow._open()
                         flow.now += line
-                    flow.block(1)
+                    flow.block(1 if line else 2)
                 flow.block(2)
         elif tag in CELLS and tables:
             cell = _Flow()

@@ -20,7 +20,7 @@ by SHA-256 of key, kind, round and right half, and the halves change sides.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows give
 equal results; texts of any length are read whole, and only those with an
-``@`` or a digit pair reach the patterns; extra columns pass untouched.
+``@`` or digits in a row reach the patterns; extra columns pass untouched.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     in place); ``changed_col``: how many values were replaced."""
     out_col = out_col or text_col
     text = F.col(text_col)
-    hit = F.coalesce(text.rlike("@|[0-9]{2}"), F.lit(False))
+    hit = F.coalesce(text.rlike("@|[0-9][ ./()-]{0,2}[0-9]"), F.lit(False))
     none = F.array().cast("array<string>")
     found = docs.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
     # the text between the values: one part more than there are values
