@@ -71,7 +71,6 @@ def receipts(
     domain: DataFrame,
     profile: Profile,
     chunking: scan.Chunking | None = None,
-    target_rows: int = scan.DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """Receipts per the profile's checkout rule.
 
@@ -80,7 +79,7 @@ def receipts(
     """
     stream = cart_stream(settled, domain)
     if chunking is None:
-        chunking = scan.choose_chunking(stream, [USER], target_rows)
+        chunking = scan.choose_chunking(stream)
     if profile.checkout == "clear":
         out = baskets(with_cart_no(stream, chunking)).where(
             F.col("event_id").isNotNull() & (F.col("n_granted") > 0)
@@ -138,7 +137,7 @@ def basket_items(
     """A2/A4: granted quantity per (user, cart_no, item); cleared carts (clear rule)."""
     stream = cart_stream(settled, domain)
     if chunking is None:
-        chunking = scan.choose_chunking(stream, [USER])
+        chunking = scan.choose_chunking(stream)
     carts = with_cart_no(stream, chunking)
     return (
         carts.where((F.col("kind") == "add") & (F.col("status") == INSTOCK))
@@ -159,7 +158,7 @@ def receipt_lines(
     """
     stream = cart_stream(settled, domain)
     if chunking is None:
-        chunking = scan.choose_chunking(stream, [USER])
+        chunking = scan.choose_chunking(stream)
     carts = with_cart_no(stream, chunking).where(
         (F.col("kind") == "checkout") | (F.col("status") == INSTOCK)
     )
@@ -197,7 +196,7 @@ def cart_positions(domain: DataFrame, chunking: scan.Chunking | None = None) ->
     """
     stream = domain.where(F.col("kind").isin("add", "checkout")).select("event_id", "ts", "ts_ms", "kind", USER)
     if chunking is None:
-        chunking = scan.choose_chunking(stream, [USER])
+        chunking = scan.choose_chunking(stream)
     counted = scan.running_sums(
         stream,
         [USER],
@@ -230,6 +229,6 @@ def basket_with_removals(
     """
     keys = [USER, "item_id"]
     if chunking is None:
-        chunking = scan.choose_chunking(df, keys)
+        chunking = scan.choose_chunking(df)
     lv = scan.reflected_level(df, keys, F.col(signed_qty), 0, chunking)
     return lv.withColumn("basket_qty", F.col("_level") - F.col("_m")).drop("_level", "_m", "_m_prev")

@@ -61,17 +61,18 @@ def every_nth(df: DataFrame, n: int, key_order=ORDER) -> DataFrame:
     row per partition) plus the row's index inside its partition, read from
     ``monotonically_increasing_id`` (partition id in the upper bits).  No
     task ever sees all rows.  The ranged frame feeds both the counts and the
-    rows, so it is persisted once (``session.persist_once``): range bounds
-    are sampled per plan instance and must be the same for both.
+    rows, so it is written once (``session.write_table``): range bounds are
+    sampled per plan instance and must be the same for both.
     """
-    from keyfold.session import persist_once
+    from keyfold.session import write_table
 
-    ranged = persist_once(
+    ranged = write_table(
         df.repartitionByRange(*key_order)
         .sortWithinPartitions(*key_order)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mid", 33))
-        .withColumn("_i", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .withColumn("_i", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1),
+        "ranged",
     )
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

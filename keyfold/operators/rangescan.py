@@ -19,15 +19,12 @@ breaks timestamp ties).  Then:
 
 Steps 2 and 3 both read the pass output, and range bounds come from a
 sample whose seed depends on the plan instance -- two evaluations would cut
-different ranges.  The pass output is therefore persisted once: both
-consumers read the same partitions, the pass and the shuffle run once, and
-a lost cached block is recomputed through the same shuffle dependency (its
-bounds are fixed once computed).  ``release()`` unpersists these caches.
+different ranges.  The pass output is therefore written once to the shared
+folder (``session.write_table``) and both consumers read that table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -37,25 +34,6 @@ from pyspark.sql import types as T
 PID = "_pid"
 
 
-def release() -> None:
-    """Unpersist the pass outputs cached by ``range_prefix``."""
-    from keyfold.session import release as _release
-
-    _release()
-PARTITION_BYTES = 128 * 1024 * 1024
-MAX_PARTITIONS = 200_000
-UNKNOWN_SIZE = 1 << 62  # Spark reports an unknown size as Long.MaxValue
-
-
-def partitions_for(df: DataFrame, size_bytes: int | None) -> int:
-    """Range partitions: the session's shuffle partitions, or more so that
-    each holds about ``PARTITION_BYTES`` of planned input (capped)."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size_bytes is None or size_bytes <= 0 or size_bytes >= UNKNOWN_SIZE:
-        return base
-    return min(MAX_PARTITIONS, max(base, math.ceil(size_bytes / PARTITION_BYTES)))
-
-
 def _prefix_fn(keys: list[str], vals: list[str], excl: set[str], min_of: str | None):
     """Per-partition pass over rows sorted by (keys, ts, event_id).
 
@@ -145,7 +123,7 @@ def range_prefix(
     ``_lmin`` / ``_lmin_prev`` (running minimum of that inclusive sum, at and
     before the row) -- all global per key, not per partition.
     """
-    from keyfold.session import persist_once, ship_package
+    from keyfold.session import ship_package, write_table
 
     d = df
     for n, e in vals.items():
@@ -158,10 +136,11 @@ def range_prefix(
         extra += [T.StructField("_lmin", T.LongType()), T.StructField("_lmin_prev", T.LongType())]
     schema = T.StructType(list(d.schema.fields) + extra)
     ship_package(df.sparkSession)
-    local = persist_once(
+    local = write_table(
         d.repartitionByRange(partitions, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .mapInPandas(_prefix_fn(keys, vnames, vexcl, vmin), schema)
+        .mapInPandas(_prefix_fn(keys, vnames, vexcl, vmin), schema),
+        "range-pass",
     )
 
     # per (key, partition): totals and lowest inclusive prefix of min_of

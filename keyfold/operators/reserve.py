@@ -8,12 +8,11 @@ total order ``(ts, event_id)``.
 * W1a, unit demand (every request <= 1): the stock is a counter floored at
   zero, so it is a running sum and a running minimum -- pure window work via
   the skew-safe two-level scan of ``scan.reflected_level``.
-* W1b, any demand: not associative.  A chunk whose incoming stock (assuming
-  every earlier request was granted) covers all its requests grants all of
-  them; those chunks are settled in parallel by window sums.  From the first
-  chunk of an item where that fails, the rest of the item is folded in order
-  by a streaming ``mapInPandas`` over rows sorted within partitions: memory is
-  one Arrow batch, never a whole item.
+* W1b, any demand: not associative.  Rows are range-partitioned by item and
+  time.  Every item that starts inside a range is folded there at once; what a
+  range continues from the one before (its first group) waits for its incoming
+  stock.  These groups are then folded in parallel from guessed stocks, and
+  again where a guess proves wrong, until all agree: see ``reserve_fold_ranged``.
 """
 
 from __future__ import annotations
@@ -22,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyfold.operators import scan
 from keyfold.profiles import Profile
-from keyfold.session import ship_package
+from keyfold.session import ship_package, write_table
 
 KEY = "item_id"
 INSTOCK, OUTOFSTOCK = "INSTOCK", "OUTOFSTOCK"
@@ -70,7 +69,6 @@ def reserve(
     profile: Profile,
     method: str = "auto",
     chunking: scan.Chunking | None = None,
-    target_rows: int = scan.DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """Settle every add against the stock of its item; returns SETTLED_COLS.
 
@@ -80,17 +78,21 @@ def reserve(
     """
     if profile.demand == "echo":
         raise ValueError("echo profiles reserve nothing")
-    rows = stock_rows(domain, profile)
     if method == "auto":
         method = "unit" if profile.demand == "unit" else "fold"
+    if method == "unit" and profile.demand != "unit":
+        raise ValueError("the unit method settles requests of at most one item only")
+    if profile.restock_applies and profile.restock_qty < 0 or profile.initial_stock < 0:
+        raise ValueError("stocks and restocks must not be negative")
+    rows = stock_rows(domain, profile)
     if chunking is None:
-        chunking = scan.choose_chunking(rows, [KEY], target_rows)
+        chunking = scan.choose_chunking(rows)
     if method == "unit":
         return reserve_unit(rows, profile.initial_stock, chunking)
     if method == "fold":
-        if chunking.ranges:
-            return reserve_fold_ranged(rows, profile.initial_stock, chunking.ranges)
-        return reserve_fold(rows, profile.initial_stock, chunking)
+        if chunking.single:
+            return reserve_fold(rows, profile.initial_stock)
+        return reserve_fold_ranged(rows, profile.initial_stock, chunking.ranges)
     raise ValueError(method)
 
 
@@ -137,127 +139,94 @@ FOLD_BLOCK = 64
 FOLD_BLOCK_MAX = 8192
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ordered all-or-nothing fold over rows sorted by (item, ts, event_id).
+def settle_run(s: int, delta: np.ndarray, is_add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered all-or-nothing settling of one run of rows from stock ``s``.
+
+    ``delta`` is what a row does to the stock if granted.  While every request
+    is granted the stock is a cumulative sum; the first add at which that sum
+    falls below zero is refused, and the sum begins anew behind it.  Work is
+    vectorized between refusals, in blocks that double while none occurs.
+    Returns (granted, stock after each row).
+    """
+    n = len(delta)
+    ok, after = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
+    i, step = 0, FOLD_BLOCK
+    while i < n:
+        j = min(n, i + step)
+        level = s + np.cumsum(delta[i:j])
+        refused = np.flatnonzero(is_add[i:j] & (level < 0))
+        if len(refused):
+            t = i + int(refused[0])
+            step = FOLD_BLOCK
+        else:
+            t = j
+            step = min(step * 2, FOLD_BLOCK_MAX)
+        after[i:t], ok[i:t] = level[: t - i], is_add[i:t]
+        if t > i:
+            s = int(level[t - i - 1])
+        if t < j:
+            after[t] = s
+            t += 1
+        i = t
+    return ok, after
+
+
+def _deltas(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    is_add = pdf["_add"].to_numpy(dtype=bool)
+    req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
+    rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
+    return np.where(is_add, -req, rst), is_add
+
+
+def _changes(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> np.ndarray:
+    """True on the first row of each run of equal keys."""
+    out = np.zeros(len(pdf), dtype=bool)
+    for k in keys:
+        x = pdf[k].to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    out[0] = last is None or last != tuple(pdf[k].iloc[0] for k in keys)
+    return out
+
+
+def _fold_partition(batches: Iterator[pd.DataFrame], keys: tuple[str, ...] = (KEY,)) -> Iterator[pd.DataFrame]:
+    """Ordered fold over rows sorted by (keys, ts, event_id).
 
-    ``_S`` on the first row of an item is its incoming stock.  The carried
-    state (current item, stock) crosses batch borders.  Rows are taken in
-    blocks within an item: when the stock covers the block's total positive
-    demand every request in it is granted, so the block is settled with one
-    vectorized cumulative sum (and the next block doubles, up to
-    ``FOLD_BLOCK_MAX``); otherwise it is stepped row by row and the block
-    size drops back to ``FOLD_BLOCK``.  Exact in both cases.
+    ``_S`` on the first row of a group is its incoming stock.  The carried
+    state (current group, stock) crosses batch borders.
     """
-    cur_item, s = None, 0
-    block = FOLD_BLOCK
+    last, s = None, 0
     for pdf in batches:
         if pdf.empty:
             continue
-        items = pdf["item_id"].to_numpy()
-        is_add = pdf["_add"].to_numpy(dtype=bool)
-        req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
-        rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
+        delta, is_add = _deltas(pdf)
         start = pdf["_S"].to_numpy(dtype=np.int64)
-        n = len(pdf)
-        delta = np.where(is_add, -req, rst)
-        posq = np.where(is_add & (req > 0), req, 0)
-        change = np.empty(n, dtype=bool)
-        change[0] = items[0] != cur_item
-        change[1:] = items[1:] != items[:-1]
-        cps = np.flatnonzero(change)
-        ok = np.zeros(n, dtype=bool)
-        after = np.empty(n, dtype=np.int64)
-        i = 0
-        while i < n:
-            if change[i]:
-                cur_item, s = items[i], int(start[i])
-            k = np.searchsorted(cps, i, side="right")
-            j = min(i + block, int(cps[k]) if k < len(cps) else n)
-            if s >= int(posq[i:j].sum()):
-                cs = np.cumsum(delta[i:j])
-                after[i:j] = s + cs
-                ok[i:j] = is_add[i:j]
-                s += int(cs[-1])
-                block = min(block * 2, FOLD_BLOCK_MAX)
-            else:
-                block = FOLD_BLOCK
-                for t in range(i, j):
-                    if is_add[t]:
-                        q = int(req[t])
-                        if s >= q:
-                            s -= q
-                            ok[t] = True
-                    else:
-                        s += int(rst[t])
-                    after[t] = s
-            i = j
+        first = _changes(pdf, list(keys), last)
+        cuts = [0, *(int(i) for i in np.flatnonzero(first) if i), len(pdf)]
+        ok, after = np.zeros(len(pdf), dtype=bool), np.empty(len(pdf), dtype=np.int64)
+        for i, j in zip(cuts, cuts[1:]):
+            if first[i]:
+                s = int(start[i])
+            ok[i:j], after[i:j] = settle_run(s, delta[i:j], is_add[i:j])
+            s = int(after[j - 1])
+        last = tuple(pdf[k].iloc[-1] for k in keys)
         out = pdf.drop(columns=["_S", "_add"])
         out["_granted"] = ok
         out["stock_after"] = after
         yield out
 
 
-def _ordered_fold(tail: DataFrame) -> DataFrame:
-    """Hash-partition by item, sort within partitions, fold in order.
-
-    ``tail`` holds the settled columns (without status / stock) and ``_S``.
-    """
-    ship_package(tail.sparkSession)
+def reserve_fold(rows: DataFrame, init: int) -> DataFrame:
+    """W1b as one fold per item (the reference form; an item is one task)."""
+    ship_package(rows.sparkSession)
     cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
     return _status_from_granted(
-        tail.select(*cols, "_S", (F.col("kind") == "add").alias("_add"))
+        rows.select(*cols, F.lit(int(init)).cast("long").alias("_S"), (F.col("kind") == "add").alias("_add"))
         .repartition(KEY)
         .sortWithinPartitions(KEY, *scan.ORDER)
         .mapInPandas(_fold_partition, _FOLD_SCHEMA)
     ).select(*SETTLED_COLS)
 
 
-def reserve_fold(rows: DataFrame, init: int, chunking: scan.Chunking) -> DataFrame:
-    """Exact for any demand.
-
-    Small inputs (one chunk per key) are folded directly; otherwise the
-    granted-prefix chunks are settled by windows and only the rest is folded.
-    """
-    cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
-    if chunking.single:
-        return _ordered_fold(rows.select(*cols, F.lit(int(init)).cast("long").alias("_S")))
-    d = scan.with_chunk(rows, chunking, [KEY]).withColumn(
-        "_D",
-        F.when(F.col("kind") == "add", -F.col("requested")).otherwise(F.col("restock")).cast("long"),
-    ).withColumn(
-        "_Q", F.when((F.col("kind") == "add") & (F.col("requested") > 0), F.col("requested")).otherwise(0).cast("long")
-    )
-    wc = Window.partitionBy(KEY).orderBy(scan.CHUNK)
-    summary = (
-        d.groupBy(KEY, scan.CHUNK)
-        .agg(F.sum("_D").alias("_T"), F.sum("_Q").alias("_Qc"))
-        .withColumn(
-            "_S",
-            F.lit(int(init)).cast("long")
-            + F.coalesce(F.sum("_T").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .withColumn(
-            "_ok",
-            F.min((F.col("_S") >= F.col("_Qc")).cast("int")).over(
-                wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .select(KEY, scan.CHUNK, "_S", "_ok")
-    )
-    tagged = d.join(summary, [KEY, scan.CHUNK], "inner")
-
-    wl = Window.partitionBy(KEY, scan.CHUNK).orderBy(*scan.ORDER).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    safe = tagged.where(F.col("_ok") == 1).select(
-        *[c for c in SETTLED_COLS if c not in ("status", "stock_after")],
-        F.when(F.col("kind") == "add", F.lit(INSTOCK)).alias("status"),
-        (F.col("_S") + F.sum("_D").over(wl)).alias("stock_after"),
-    )
-    tail = _ordered_fold(tagged.where(F.col("_ok") == 0).select(*cols, "_S"))
-    return safe.unionByName(tail)
-
-
 def item_outcomes(settled: DataFrame) -> DataFrame:
     """A5 + counts: per item accepted / rejected adds and final stock.
 
@@ -283,139 +252,153 @@ def _fold_ranged_fn(init: int):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        first_seen = False
-        cur_item, s, pending, carry = None, 0, False, 0
-        block = FOLD_BLOCK
+        last, s, pending, carry = None, 0, False, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            items = pdf["item_id"].to_numpy()
-            is_add = pdf["_add"].to_numpy(dtype=bool)
-            req = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
-            rst = pdf["restock"].fillna(0).to_numpy(dtype=np.int64)
             n = len(pdf)
-            delta = np.where(is_add, -req, rst)
-            posq = np.where(is_add & (req > 0), req, 0)
-            change = np.empty(n, dtype=bool)
-            change[0] = (not first_seen) or items[0] != cur_item
-            change[1:] = items[1:] != items[:-1]
-            cps = np.flatnonzero(change)
-            ok = np.zeros(n, dtype=bool)
-            after = np.zeros(n, dtype=np.int64)
-            pend = np.zeros(n, dtype=bool)
-            ld = np.zeros(n, dtype=np.int64)
-            i = 0
-            while i < n:
-                if change[i]:
-                    pending = not first_seen
-                    first_seen = True
-                    cur_item, s, carry = items[i], int(init), 0
-                k = np.searchsorted(cps, i, side="right")
-                j = min(i + block, int(cps[k]) if k < len(cps) else n)
+            delta, is_add = _deltas(pdf)
+            first = _changes(pdf, [KEY], last)
+            cuts = [0, *(int(i) for i in np.flatnonzero(first) if i), n]
+            ok, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+            pend, ld = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+            for i, j in zip(cuts, cuts[1:]):
+                if first[i]:
+                    pending = last is None and i == 0
+                    s, carry = int(init), 0
                 if pending:
-                    cs = np.cumsum(delta[i:j]) + carry
-                    ld[i:j] = cs
-                    carry = int(cs[-1])
+                    ld[i:j] = np.cumsum(delta[i:j]) + carry
+                    carry = int(ld[j - 1])
                     pend[i:j] = True
-                elif s >= int(posq[i:j].sum()):
-                    cs = np.cumsum(delta[i:j])
-                    after[i:j] = s + cs
-                    ok[i:j] = is_add[i:j]
-                    s += int(cs[-1])
-                    block = min(block * 2, FOLD_BLOCK_MAX)
                 else:
-                    block = FOLD_BLOCK
-                    for t in range(i, j):
-                        if is_add[t]:
-                            q = int(req[t])
-                            if s >= q:
-                                s -= q
-                                ok[t] = True
-                        else:
-                            s += int(rst[t])
-                        after[t] = s
-                i = j
-            out = pdf.drop(columns=["_add"])
-            out["_granted"] = ok
-            out["stock_after"] = after
-            out["_pid"] = pid
-            out["_pending"] = pend
-            out["_lD"] = ld
-            out["_D"] = delta
-            out["_Q"] = posq
+                    ok[i:j], after[i:j] = settle_run(s, delta[i:j], is_add[i:j])
+                    s = int(after[j - 1])
+            last = (pdf[KEY].iloc[-1],)
+            out = pdf.copy(deep=False)
+            out["_granted"], out["stock_after"] = ok, after
+            out["_pid"], out["_pending"], out["_lD"], out["_D"] = pid, pend, ld, delta
             yield out
 
     return fn
 
 
-def _chain(summary_rows, init: int) -> list[tuple]:
-    """Walk each item's border groups in partition order (at most 2 per
-    partition): a pending group whose incoming stock covers its demand is
-    granted whole; from the first that is not, the item goes to the tail.
-    Returns (item, pid, incoming stock, safe) per pending group."""
-    out, by_item = [], {}
-    for r in sorted(summary_rows, key=lambda r: (r["item_id"], r["_pid"])):
-        by_item.setdefault(r["item_id"], []).append(r)
-    for item, groups in by_item.items():
-        s, tail = int(init), False
-        for g in groups:
-            if not g["_pending"]:
-                s = int(g["_out"])
+_GUESS = f"{KEY} long, _pid int, _S long, _known boolean"
+
+
+def _walk_fn(init: int):
+    def walk(groups: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
+        """One item's border groups in range order: incoming stock of each
+        pending group.  A group whose stock covers its requests is granted
+        whole; one that was folded from this very stock gives the stock it
+        ended with; else its end is guessed (from another try, or as if all
+        were granted) and the group is marked as not known."""
+        ends = {(p, s): e for p, s, e in zip(tried["_pid"], tried["_S"], tried["_end"])}
+        near = {p: e for p, e in zip(tried["_pid"], tried["_end"])}
+        s, out = int(init), []
+        for g in groups.sort_values("_pid").itertuples():
+            if not g.pending:
+                s = int(g.ended)
                 continue
-            if not tail and s >= int(g["_Qt"]):
-                out.append((item, g["_pid"], s, True))
-                s += int(g["_Dt"])
+            covered = s + int(g.low) >= 0
+            known = covered or (g.pid, s) in ends
+            out.append((g.item, g.pid, s, known))
+            if covered:
+                s += int(g.total)
             else:
-                # the first such group starts the tail at stock s; later ones follow it
-                out.append((item, g["_pid"], s, False))
-                tail = True
-    return out
+                s = int(ends.get((g.pid, s), near.get(g.pid, max(0, s + int(g.total)))))
+        return pd.DataFrame(out, columns=[KEY, "_pid", "_S", "_known"])
 
+    return walk
+
+
+def _group_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last row of each (item, range) group of a fold."""
+    held = None
+    for pdf in _fold_partition(batches, (KEY, "_pid")):
+        both = pdf if held is None else pd.concat([held, pdf])
+        last = ~both.duplicated([KEY, "_pid"], keep="last")
+        ends = both[last]
+        held = ends.iloc[-1:]
+        yield ends.iloc[:-1][[KEY, "_pid", "_from", "stock_after"]]
+    if held is not None:
+        yield held[[KEY, "_pid", "_from", "stock_after"]]
 
-def reserve_fold_ranged(rows: DataFrame, init: int, partitions: int) -> DataFrame:
-    """W1b on the range layout (burst-safe, no statistics job)."""
-    from keyfold.session import persist_once
 
+def reserve_fold_ranged(rows: DataFrame, init: int, partitions: int) -> DataFrame:
+    """W1b on the range layout: no task ever holds an item, only a range.
+
+    The border groups (each range's first group and last item, at most two
+    rows a range) are walked per item with a guess for every group that is not
+    settled; all groups with a new guess are folded in parallel; and so on
+    until the walk meets only known ends.  Each turn settles at least the next
+    unknown group of every item, and folds from different stocks tend to meet,
+    so few turns are needed; there is no limit on them.
+    """
     ship_package(rows.sparkSession)
+    spark = rows.sparkSession
     cols = [c for c in SETTLED_COLS if c not in ("status", "stock_after")]
     schema = T.StructType(
         [f for f in _FOLD_SCHEMA.fields]
         + [
+            T.StructField("_add", T.BooleanType()),
             T.StructField("_pid", T.IntegerType()),
             T.StructField("_pending", T.BooleanType()),
             T.StructField("_lD", T.LongType()),
             T.StructField("_D", T.LongType()),
-            T.StructField("_Q", T.LongType()),
         ]
     )
-    local = persist_once(
+    local = write_table(
         rows.select(*cols, (F.col("kind") == "add").alias("_add"))
         .repartitionByRange(partitions, KEY, *scan.ORDER)
         .sortWithinPartitions(KEY, *scan.ORDER)
-        .mapInPandas(_fold_ranged_fn(init), schema)
+        .mapInPandas(_fold_ranged_fn(init), schema),
+        "reserve-pass",
     )
-    # border groups: each partition's first (pending) group and its last item
     last = local.groupBy("_pid").agg(F.max(KEY).alias("_last"))
-    border = (
-        local.join(F.broadcast(last), "_pid")  # one row per partition
+    groups = write_table(
+        local.join(F.broadcast(last), "_pid")  # one row per range
         .where(F.col("_pending") | (F.col(KEY) == F.col("_last")))
         .groupBy(KEY, "_pid")
         .agg(
-            F.max("_pending").alias("_pending"),
-            F.sum("_D").alias("_Dt"),
-            F.sum("_Q").alias("_Qt"),
-            F.max_by("stock_after", F.struct(*scan.ORDER)).alias("_out"),  # non-pending groups only
+            F.max("_pending").alias("pending"),
+            F.sum("_D").alias("total"),
+            F.coalesce(F.min(F.when(F.col("_add"), F.col("_lD"))), F.lit(0).cast("long")).alias("low"),
+            F.max_by("stock_after", F.struct(*scan.ORDER)).alias("ended"),
         )
+        .withColumns({"item": F.col(KEY), "pid": F.col("_pid")}),
+        "reserve-groups",
     )
-    plan_rows = _chain(border.collect(), init)  # at most 2 * partitions rows
-    spark = rows.sparkSession
-    plan = spark.createDataFrame(plan_rows, f"{KEY} long, _pid int, _S long, _safe boolean")
-    done = _status_from_granted(local.where(~F.col("_pending"))).select(*SETTLED_COLS)
-    pend = local.where(F.col("_pending")).join(F.broadcast(plan), [KEY, "_pid"], "inner")
-    safe = pend.where(F.col("_safe")).select(
-        *cols,
-        F.when(F.col("kind") == "add", F.lit(INSTOCK)).alias("status"),
-        (F.col("_S") + F.col("_lD")).alias("stock_after"),
+    waiting = write_table(local.where("_pending").select(*cols, "_add", "_pid", "_lD"), "reserve-waiting")
+    tried = spark.createDataFrame([], f"{KEY} long, _pid int, _S long, _end long")
+    fold_schema = T.StructType([*_FOLD_SCHEMA.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_from", T.LongType())])
+
+    def laid_out(guess: DataFrame) -> DataFrame:
+        # at most one row per range on the right: small beside the rows
+        return (
+            waiting.drop("_lD").join(guess.select(KEY, "_pid", "_S"), [KEY, "_pid"])
+            .select(*cols, "_pid", F.col("_S").alias("_from"), "_S", "_add")
+            .repartition(KEY, "_pid").sortWithinPartitions(KEY, "_pid", *scan.ORDER)
+        )
+
+    while True:
+        guess = write_table(
+            groups.groupBy(KEY).cogroup(tried.groupBy(KEY)).applyInPandas(_walk_fn(init), _GUESS), "reserve-guess"
+        )
+        todo = guess.where(~F.col("_known"))
+        if todo.isEmpty():
+            break
+        ends = laid_out(todo).mapInPandas(_group_end, f"{KEY} long, _pid int, _from long, stock_after long")
+        tried = write_table(
+            tried.unionByName(ends.select(KEY, "_pid", F.col("_from").alias("_S"), F.col("stock_after").alias("_end"))),
+            "reserve-tried",
+        )
+    marked = guess.join(groups.select(KEY, "_pid", "low"), [KEY, "_pid"])
+    covered = F.col("_S") + F.col("low") >= 0
+    whole = waiting.join(marked.where(covered).select(KEY, "_pid", "_S"), [KEY, "_pid"]).select(
+        *cols, F.when(F.col("_add"), F.lit(INSTOCK)).alias("status"), (F.col("_S") + F.col("_lD")).alias("stock_after")
     )
-    tail = _ordered_fold(pend.where(~F.col("_safe")).select(*cols, "_S"))
-    return done.unionByName(safe).unionByName(tail)
+    folded = _status_from_granted(
+        laid_out(marked.where(~covered)).mapInPandas(lambda it: _fold_partition(it, (KEY, "_pid")), fold_schema)
+    ).select(*SETTLED_COLS)
+    done = _status_from_granted(local.where(~F.col("_pending"))).select(*SETTLED_COLS)
+    return done.unionByName(whole).unionByName(folded)

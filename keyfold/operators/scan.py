@@ -1,33 +1,16 @@
 """Skew-safe ordered scans per key (the building block of W1a, W2, W3, W4).
 
-Default for inputs above ``SMALL_INPUT_BYTES``: the range-partitioned scan
-of ``rangescan`` (hot keys and hot time buckets are both split).  The
-time-chunk form below is kept for the any-demand fold's safe-prefix test,
-which needs whole chunks per key, and for explicit use.
-
 A running sum over ``partitionBy(key).orderBy(ts, event_id)`` puts every row
 of one key into one task.  With power-law keys one key may hold a third of
 all rows, so that plan does not scale.  Running sums and running minima are
-associative, so they split into two levels:
-
-1. rows of a hot key are cut into time chunks ``floor(ts_ms / width)``; a
-   window inside each ``(key, chunk)`` gives the local prefix (parallel over
-   chunks, so a hot key is spread over many tasks);
-2. a per-chunk summary (one row per chunk, map-side aggregated) is scanned
-   per key over chunks to give each chunk's offset;
-3. the offsets are joined back on ``(key, chunk)``, a unique key on the
-   summary side; the rows are already hash-partitioned and sorted on it by
-   step 1, so only the summary is shuffled (or AQE broadcasts it by
-   measured size).
-
-Which keys are hot, and their chunk width, comes from one per-key count
-job: a key is hot when it has more than ``target_rows`` rows, and its width
-makes a chunk hold about ``target_rows`` rows.  At most
-``total_rows / target_rows`` keys can be hot, so the hot-key table has a
-proven size bound (about 150 000 rows for 3e11 events at the default
-target); it is read once and broadcast as a local relation to every branch
-of the plan.  Cold keys stay one chunk.  Inputs the optimizer sizes below
-``SMALL_INPUT_BYTES`` skip all of this.
+associative, so they are computed over range-partitioned rows: a local prefix
+per partition, then offsets for the keys that cross a partition border (see
+``rangescan``).  Hot keys and hot instants are both split.
+
+There is one layout for every input size.  ``Chunking(ranges=n)`` sets the
+number of ranges, by default the session's ``spark.sql.shuffle.partitions``;
+``Chunking(ranges=None)`` is the plain per-key window, kept as the reference
+form that tests compare with.
 """
 
 from __future__ import annotations
@@ -38,94 +21,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("ts", "event_id")
-DEFAULT_TARGET_ROWS = 2_000_000
-# Inputs whose planned size is below this fit one task whatever their key
-# skew; they skip the statistics pass.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-CHUNK = "_chunk"
-
-
-def planned_size_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of ``df`` (file sizes scaled by the pruned
-    columns); no job runs.  None when the estimate is not available."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size) if isinstance(size, int) else int(size.toString())
-    except Exception:  # noqa: BLE001 -- e.g. a Connect session
-        return None
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """How rows of a key are cut.
-
-    ``chunk_ms``: one width for every key (explicit, e.g. tests); ``hot``: a
-    table ``(keys..., _chunk_ms)`` of hot keys, all other keys one chunk.
-    Both None: one chunk per key.
-    """
+    """How rows of a key are cut: into ``ranges`` ranges, or not at all."""
 
-    chunk_ms: int | None = None
-    hot: DataFrame | None = None
-    ranges: int | None = None  # range-partitioned scan with this many partitions
+    ranges: int | None = None
 
     @property
     def single(self) -> bool:
-        return self.chunk_ms is None and self.hot is None and self.ranges is None
-
-
-def choose_chunking(
-    df: DataFrame,
-    keys: list[str],
-    target_rows: int = DEFAULT_TARGET_ROWS,
-    ts_ms: str = "ts_ms",
-    mode: str = "range",
-) -> Chunking:
-    """Pick chunking for ``df``: none for small inputs, else per hot key.
-
-    One job: count and time span per key (partial-aggregated map-side),
-    keys above the target kept.  The result has at most
-    ``total_rows / target_rows`` rows by construction; it is collected and
-    turned into a local relation so that the plans using it do not recompute
-    the aggregate in each branch.
-    """
-    size = planned_size_bytes(df)
-    if size is not None and size <= SMALL_INPUT_BYTES:
-        return Chunking()
-    if mode == "range":
-        from keyfold.operators.rangescan import partitions_for
-
-        return Chunking(ranges=partitions_for(df, size))
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(ts_ms).alias("_lo"), F.max(ts_ms).alias("_hi")
-    )
-    hot = stats.where(F.col("_n") > F.lit(int(target_rows))).select(
-        *keys,
-        F.greatest(
-            F.lit(1).cast("long"),
-            F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(int(target_rows)) / F.col("_n")).cast("long"),
-        ).alias("_chunk_ms"),
-    )
-    rows = hot.collect()  # bounded: total_rows / target_rows rows at most
-    return Chunking(hot=df.sparkSession.createDataFrame(rows, hot.schema))
-
-
-def with_chunk(df: DataFrame, chunking: Chunking, keys: list[str] | None = None, ts_ms: str = "ts_ms") -> DataFrame:
-    if chunking.hot is not None:
-        # broadcast: at most total_rows / target_rows hot keys (see module doc)
-        j = df.join(F.broadcast(chunking.hot), keys, "left")
-        return j.withColumn(
-            CHUNK,
-            F.when(F.col("_chunk_ms").isNull(), F.lit(0).cast("long")).otherwise(
-                F.floor(F.col(ts_ms) / F.col("_chunk_ms")).cast("long")
-            ),
-        ).drop("_chunk_ms")
-    if chunking.chunk_ms is None:
-        return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    return df.withColumn(CHUNK, F.floor(F.col(ts_ms) / F.lit(chunking.chunk_ms)).cast("long"))
+        return self.ranges is None
 
 
-def _local_window(keys: list[str], order=ORDER) -> Window:
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+def choose_chunking(df: DataFrame) -> Chunking:
+    """The layout of every query: as many ranges as the session shuffles to."""
+    return Chunking(ranges=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_sums(
@@ -139,35 +50,20 @@ def running_sums(
     """Add one column per entry of ``sums``: the running sum per key in order.
 
     ``exclusive`` (all sums, or a set of names) sums rows strictly before
-    the current one.  All sums share one window pass.
+    the current one.  All sums share one pass.
     """
     excl = set(sums) if exclusive is True else set(exclusive or ())
-    if chunking.ranges:
+    if not chunking.single:
         from keyfold.operators.rangescan import range_prefix
 
         out = range_prefix(df, keys, sums, excl, None, chunking.ranges, order)
         return out.withColumnsRenamed({f"_l_{n}": n for n in sums})
-    d = with_chunk(df, chunking, keys)
-    vals = {n: f"_v_{n}" for n in sums}
-    for n, e in sums.items():
-        d = d.withColumn(vals[n], e)
-    w = _local_window(keys, order)
-    local = d
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
     for n in sums:
-        wl = w.rowsBetween(Window.unboundedPreceding, -1 if n in excl else Window.currentRow)
-        local = local.withColumn(n, F.coalesce(F.sum(vals[n]).over(wl), F.lit(0)))
-    if chunking.single:
-        return local.drop(CHUNK, *vals.values())
-
-    summary = d.groupBy(*keys, CHUNK).agg(*[F.sum(vals[n]).alias(f"_t_{n}") for n in sums])
-    wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = summary.select(
-        *keys, CHUNK, *[F.coalesce(F.sum(f"_t_{n}").over(wc), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
-    out = local.join(offsets, [*keys, CHUNK], "inner")
-    for n in sums:
-        out = out.withColumn(n, F.col(n) + F.col(f"_o_{n}"))
-    return out.drop(CHUNK, *vals.values(), *[f"_o_{n}" for n in sums])
+        over = w.rowsBetween(Window.unboundedPreceding, -1 if n in excl else Window.currentRow)
+        out = out.withColumn(n, F.coalesce(F.sum(f"_v_{n}").over(over), F.lit(0)))
+    return out.drop(*[f"_v_{n}" for n in sums])
 
 
 def reflected_level(
@@ -188,42 +84,22 @@ def reflected_level(
     """
     init_c = F.lit(int(init)).cast("long")
     zero = F.lit(0).cast("long")
-    if chunking.ranges:
+    if not chunking.single:
         from keyfold.operators.rangescan import range_prefix
 
         out = range_prefix(df, keys, {"d": delta}, set(), "d", chunking.ranges, order)
-        return (
-            out.withColumn("_level", init_c + F.col("_l_d"))
-            .withColumn("_m", F.least(zero, init_c + F.col("_lmin")))
-            .withColumn("_m_prev", F.least(zero, init_c + F.col("_lmin_prev")))
-            .drop("_l_d", "_lmin", "_lmin_prev")
-        )
-    d = with_chunk(df, chunking, keys).withColumn("_d", delta.cast("long"))
-    w = _local_window(keys, order)
-    w_inc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_exc = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = (
-        d.withColumn("_L", F.sum("_d").over(w_inc))
-        .withColumn("_Lmin", F.min("_L").over(w_inc))
-        .withColumn("_Lmin_prev", F.min("_L").over(w_exc))
-    )
-    if chunking.single:
-        withoff = local.withColumn("_O", F.lit(0).cast("long")).withColumn("_G", F.lit(None).cast("long"))
+        level, low, low_prev, spare = "_l_d", "_lmin", "_lmin_prev", ()
     else:
-        # chunk total and lowest local prefix in one aggregate over the window output
-        summary = local.groupBy(*keys, CHUNK).agg(F.sum("_d").alias("_T"), F.min("_L").alias("_low"))
-        wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        offs = (
-            summary
-            .withColumn("_O", F.coalesce(F.sum("_T").over(wc), F.lit(0)).cast("long"))
-            .withColumn("_G", F.min(F.col("_O") + F.col("_low")).over(wc))
-            .select(*keys, CHUNK, "_O", "_G")
+        w = Window.partitionBy(*keys).orderBy(*order)
+        now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn("_d", delta.cast("long")).withColumn("_l_d", F.sum("_d").over(now))
+        out = out.withColumn("_lmin", F.min("_l_d").over(now)).withColumn(
+            "_lmin_prev", F.min("_l_d").over(w.rowsBetween(Window.unboundedPreceding, -1))
         )
-        withoff = local.join(offs, [*keys, CHUNK], "inner")
-    base = init_c + F.col("_O")
+        level, low, low_prev, spare = "_l_d", "_lmin", "_lmin_prev", ("_d",)
     return (
-        withoff.withColumn("_level", base + F.col("_L"))
-        .withColumn("_m", F.least(F.lit(0).cast("long"), init_c + F.col("_G"), base + F.col("_Lmin")))
-        .withColumn("_m_prev", F.least(F.lit(0).cast("long"), init_c + F.col("_G"), base + F.col("_Lmin_prev")))
-        .drop(CHUNK, "_d", "_L", "_Lmin", "_Lmin_prev", "_O", "_G")
+        out.withColumn("_level", init_c + F.col(level))
+        .withColumn("_m", F.least(zero, init_c + F.col(low)))
+        .withColumn("_m_prev", F.least(zero, init_c + F.col(low_prev)))
+        .drop(level, low, low_prev, *spare)
     )

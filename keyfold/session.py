@@ -58,7 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        # only where the session names no shared folder (local tests)
+        # a folder of our own only where driver and executors are one machine
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="keyfold-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", conf)
@@ -128,22 +130,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-_PERSISTED: list = []
-
-
-def persist_once(df):
-    """Persist ``df`` for several consumers in one plan (e.g. both sides of a
-    range-partitioned pass: range bounds are sampled per plan instance, so
-    two evaluations could cut different ranges).  Lost blocks are recomputed
-    through the same shuffle dependency.  ``release()`` unpersists."""
-    from pyspark import StorageLevel
-
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(out)
-    return out
-
-
-def release() -> None:
-    """Unpersist everything ``persist_once`` cached."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+def write_table(df, name: str):
+    """Write ``df`` to the shared folder and read it back, for several
+    consumers of one ordered pass: range bounds are sampled per plan instance,
+    so two evaluations could cut different ranges.  Lineage ends here; the
+    files survive the loss of any executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

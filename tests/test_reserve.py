@@ -76,37 +76,37 @@ def _random_rows(seed, n=400, items=4, unit=False):
     return rows
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 50_000, 300_000])
+@pytest.mark.parametrize("ranges", [None, 2, 9])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_unit_scan_equals_fold(spark, seed, chunk_ms):
+def test_unit_scan_equals_fold(spark, seed, ranges):
     rows = _random_rows(seed, unit=True)
     p = UNIT.with_(initial_stock=4)
     want = python_fold(rows, 4, "unit", True)
-    got = settled_map(reserve.reserve(ev(spark, rows), p, method="unit", chunking=scan.Chunking(chunk_ms)))
+    got = settled_map(reserve.reserve(ev(spark, rows), p, method="unit", chunking=scan.Chunking(ranges)))
     assert got == want
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 40_000, 500_000])
+@pytest.mark.parametrize("ranges", [None, 12])
 @pytest.mark.parametrize("init", [3, 60, 400])
-def test_any_demand_fold_equals_python(spark, chunk_ms, init):
+def test_any_demand_fold_equals_python(spark, ranges, init):
     rows = _random_rows(7, unit=False)
     p = ANY.with_(initial_stock=init)
     want = python_fold(rows, init, "quantity", True)
-    got = settled_map(reserve.reserve(ev(spark, rows), p, method="fold", chunking=scan.Chunking(chunk_ms)))
+    got = settled_map(reserve.reserve(ev(spark, rows), p, method="fold", chunking=scan.Chunking(ranges)))
     assert got == want
 
 
 def test_unit_and_fold_agree_on_unit_demand(spark):
     rows = _random_rows(3, unit=True)
     d = ev(spark, rows)
-    a = settled_map(reserve.reserve(d, UNIT, method="unit", chunking=scan.Chunking(20_000)))
-    b = settled_map(reserve.reserve(d, UNIT, method="fold", chunking=scan.Chunking(20_000)))
+    a = settled_map(reserve.reserve(d, UNIT, method="unit", chunking=scan.Chunking(5)))
+    b = settled_map(reserve.reserve(d, UNIT, method="fold", chunking=scan.Chunking(5)))
     assert a == b
 
 
 def test_invariants(spark):
     rows = _random_rows(11, unit=False)
-    s = reserve.reserve(ev(spark, rows), ANY.with_(initial_stock=10), chunking=scan.Chunking(30_000))
+    s = reserve.reserve(ev(spark, rows), ANY.with_(initial_stock=10), chunking=scan.Chunking(5))
     adds = sum(1 for r in rows if r[2] == "add")
     agg = s.agg(
         F.min("stock_after").alias("lo"),
@@ -118,7 +118,7 @@ def test_invariants(spark):
 
 def test_item_outcomes_final_stock(spark):
     rows = _random_rows(5, unit=True)
-    s = reserve.reserve(ev(spark, rows), UNIT, chunking=scan.Chunking(25_000))
+    s = reserve.reserve(ev(spark, rows), UNIT, chunking=scan.Chunking(5))
     want = python_fold(rows, UNIT.initial_stock, "unit", True)
     last = {}
     for eid, sec, kind, user, item, q in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -128,25 +128,35 @@ def test_item_outcomes_final_stock(spark):
     assert got == last
 
 
-def test_choose_chunking_small_data_single_chunk(spark):
-    from conftest import SF001
-    from keyfold.sources import testdata as td
+def test_layout_is_the_same_for_every_size(spark):
+    assert scan.choose_chunking(ev(spark, _random_rows(1))) == scan.Chunking(
+        ranges=int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
 
-    # small parquet input: no statistics, one chunk per key, whatever the target
-    d = td.domain_events(td.table(spark, SF001, "events"), 3)
-    assert scan.choose_chunking(d, ["item_id"], target_rows=10).single
-    # unknown size (a local frame): hot keys are measured inside the query
-    assert not scan.choose_chunking(ev(spark, _random_rows(1)), ["item_id"], target_rows=10).single
 
+def test_unit_method_is_guarded(spark):
+    d = ev(spark, _random_rows(1))
+    with pytest.raises(ValueError):
+        reserve.reserve(d, ANY, method="unit")
+    with pytest.raises(ValueError):
+        reserve.reserve(d, UNIT.with_(restock_qty=-1))
 
-def test_reserve_with_hot_items(spark, monkeypatch):
-    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", -1)
-    rows = _random_rows(21, n=500, items=3)
-    for method, p, demand in (("unit", UNIT.with_(initial_stock=4), "unit"),
-                              ("fold", ANY.with_(initial_stock=30), "quantity")):
-        want = python_fold(rows, p.initial_stock, demand, True)
-        got = settled_map(reserve.reserve(ev(spark, rows), p, method=method, target_rows=30))
-        assert got == want
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hot_item_over_many_ranges(spark, seed):
+    """One item holds a third of the rows and spans at least eight ranges;
+    its stock runs dry again and again."""
+    rnd = random.Random(seed)
+    rows = []
+    for eid in range(900):
+        item = 0 if rnd.random() < 0.4 else rnd.randint(1, 30)
+        if rnd.random() < 0.15:
+            rows.append((eid, rnd.randint(0, 500), "restock", None, item, rnd.randint(1, 60)))
+        else:
+            rows.append((eid, rnd.randint(0, 500), "add", rnd.randint(0, 20), item, rnd.choice([1, 2, 5, 9, 30, -2])))
+    p = ANY.with_(initial_stock=rnd.choice([0, 20, 200]))
+    got = settled_map(reserve.reserve(ev(spark, rows), p, method="fold", chunking=scan.Chunking(ranges=24)))
+    assert got == python_fold(rows, p.initial_stock, "quantity", True)
 
 
 @pytest.mark.parametrize("init", [0, 25, 10_000])

@@ -7,16 +7,16 @@ from helpers import ev
 from keyfold.operators import scan
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 1_000, 100_000])
+@pytest.mark.parametrize("ranges", [None, 1, 7])
 @pytest.mark.parametrize("exclusive", [False, True])
-def test_running_sums_match_python(spark, chunk_ms, exclusive):
+def test_running_sums_match_python(spark, ranges, exclusive):
     rnd = random.Random(4)
     rows = [(i, rnd.randint(0, 3000), "add", rnd.randint(0, 3), None, rnd.randint(-3, 9)) for i in range(300)]
     df = ev(spark, rows)
     got = {
         r.event_id: r.s
         for r in scan.running_sums(df, ["user_id"], {"s": F.col("quantity").cast("long")},
-                                   scan.Chunking(chunk_ms), exclusive=exclusive).collect()
+                                   scan.Chunking(ranges), exclusive=exclusive).collect()
     }
     acc, want = {}, {}
     for eid, sec, _k, u, _i, q in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -29,12 +29,12 @@ def test_running_sums_match_python(spark, chunk_ms, exclusive):
     assert got == want
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 700, 50_000])
-def test_reflected_level(spark, chunk_ms):
+@pytest.mark.parametrize("ranges", [None, 1, 5])
+def test_reflected_level(spark, ranges):
     rnd = random.Random(9)
     rows = [(i, rnd.randint(0, 2000), "add", None, rnd.randint(0, 2), rnd.choice([-1, -1, -1, 2, 0])) for i in range(250)]
     df = ev(spark, rows)
-    out = scan.reflected_level(df, ["item_id"], F.col("quantity"), 3, scan.Chunking(chunk_ms))
+    out = scan.reflected_level(df, ["item_id"], F.col("quantity"), 3, scan.Chunking(ranges))
     got = {r.event_id: r._level - r._m for r in out.collect()}
     level, want = {}, {}
     for eid, sec, _k, _u, item, d in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -43,28 +43,6 @@ def test_reflected_level(spark, chunk_ms):
     assert got == want
 
 
-@pytest.mark.parametrize("target", [5, 40, 10**6])
-def test_hot_key_chunking_matches_single(spark, monkeypatch, target):
-    # force the statistics path on tiny data: every key above `target` rows is chunked
-    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", -1)
-    rnd = random.Random(12)
-    rows = [(i, rnd.randint(0, 4000), "add", rnd.choice([0, 0, 0, 0, 1, 2]), None, rnd.randint(-2, 5))
-            for i in range(400)]
-    df = ev(spark, rows)
-    ch = scan.choose_chunking(df, ["user_id"], target_rows=target, mode="time")
-    assert ch.hot is not None
-    hot = {r.user_id for r in ch.hot.collect()}
-    assert (0 in hot) == (target < 200)
-    got = {r.event_id: r.s for r in scan.running_sums(df, ["user_id"], {"s": F.col("quantity").cast("long")}, ch).collect()}
-    want = {r.event_id: r.s for r in scan.running_sums(df, ["user_id"], {"s": F.col("quantity").cast("long")}, scan.Chunking()).collect()}
-    assert got == want
-    lv = scan.reflected_level(df, ["user_id"], F.col("quantity"), 2, ch)
-    lv1 = scan.reflected_level(df, ["user_id"], F.col("quantity"), 2, scan.Chunking())
-    a = {r.event_id: (r._level, r._m, r._m_prev) for r in lv.collect()}
-    b = {r.event_id: (r._level, r._m, r._m_prev) for r in lv1.collect()}
-    assert a == b
-
-
 @pytest.mark.parametrize("ranges", [1, 3, 13])
 def test_range_scan_running_sums_and_level(spark, ranges):
     rnd = random.Random(31)
@@ -111,40 +89,31 @@ def test_range_scan_consistent_under_sampling(spark):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
     from skew_demo import events
 
-    from keyfold.operators import rangescan, reserve
+    from keyfold.operators import reserve
     from keyfold.profiles import get_profile
 
     p = get_profile("remote", initial_stock=1000, restock_qty=300, demand="unit")
     d = events(spark, 600_000)
-    try:
-        cols = ["event_id", "status", "stock_after"]
-        got = reserve.reserve(d, p, method="unit", chunking=scan.Chunking(ranges=32)).select(*cols)
-        want = reserve.reserve(d, p, method="unit", chunking=scan.Chunking()).select(*cols)
-        assert want.exceptAll(got).count() == 0
-        q = get_profile("remote", initial_stock=2000, restock_qty=300)
-        got = reserve.reserve(d, q, method="fold", chunking=scan.Chunking(ranges=32)).select(*cols)
-        want = reserve.reserve(d, q, method="fold", chunking=scan.Chunking()).select(*cols)
-        assert want.exceptAll(got).count() == 0
-    finally:
-        rangescan.release()
+    cols = ["event_id", "status", "stock_after"]
+    got = reserve.reserve(d, p, method="unit", chunking=scan.Chunking(ranges=32)).select(*cols)
+    want = reserve.reserve(d, p, method="unit", chunking=scan.Chunking()).select(*cols)
+    assert want.exceptAll(got).count() == 0 == got.exceptAll(want).count()
+    q = get_profile("remote", initial_stock=2000, restock_qty=300)
+    got = reserve.reserve(d, q, method="fold", chunking=scan.Chunking(ranges=32)).select(*cols)
+    want = reserve.reserve(d, q, method="fold", chunking=scan.Chunking()).select(*cols)
+    assert want.exceptAll(got).count() == 0 == got.exceptAll(want).count()
 
 
 def test_every_nth_positions_under_sampling(spark):
     from keyfold.operators import keyed
-    from keyfold.session import release
 
     n = 600_000
     df = spark.range(0, n, numPartitions=16).select(
         F.col("id").alias("event_id"),
         F.timestamp_millis(F.lit(1_704_067_200_000) + (F.col("id") * 7) % 1_000_000).cast("timestamp_ntz").alias("ts"),
     )
-    try:
-        marks = keyed.every_nth(df, 1000)
-        # the expected position of each event in (ts, event_id) order
-        ranked = df.withColumn("t", F.col("ts").cast("string"))
-        got = sorted((r.event_id, r.position) for r in marks.select("event_id", "position").collect())
-        order = sorted(((r.ts, r.event_id) for r in df.collect()))
-        want = sorted((eid, i + 1) for i, (_, eid) in enumerate(order) if (i + 1) % 1000 == 0)
-        assert got == want
-    finally:
-        release()
+    marks = keyed.every_nth(df, 1000)
+    # the expected position of each event in (ts, event_id) order
+    got = sorted((r.event_id, r.position) for r in marks.select("event_id", "position").collect())
+    order = sorted(((r.ts, r.event_id) for r in df.collect()))
+    assert got == sorted((eid, i + 1) for i, (_, eid) in enumerate(order) if (i + 1) % 1000 == 0)

@@ -19,7 +19,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-STREAM = ("stream_receipts", "stream_resume", "stream_receipt_lines", "stream_out_of_order")
+STREAM = "stream_"
 
 
 def plan_text(df) -> str:
@@ -52,16 +52,12 @@ def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     sf = args[0] if args else "/root/testdata/sf0.1"
     spark = local_session(8)
-    if "--big" in sys.argv:
-        from keyfold.operators import scan
-
-        scan.SMALL_INPUT_BYTES = -1
-    import __spark_entry__ as E
+    from keyfold.plans.catalogue import QUERIES
 
     print("| query | shuffles (range) | broadcasts | windows | python nodes | forbidden |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, q in E.queries().items():
-        if name in STREAM:
+    for name, q in QUERIES.items():
+        if name.startswith(STREAM):
             continue
         a = audit(q(spark, sf))
         print(f"| {name} | {a['shuffles']} ({a['range']}) | {a['broadcasts']} | {a['windows']} | {a['python']} | "

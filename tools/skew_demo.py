@@ -1,10 +1,10 @@
 """Skew check: one item holds a third of all add requests.
 
 Builds N synthetic requests as a Spark job (spark.range + column
-expressions), then settles them with unit demand three ways: one chunk per
-key (a plain per-key window: the hot item is one task), hot-key time chunks,
-and the range-partitioned scan.  Prints one JSON line with the times and
-whether the results are identical.  Usage: python tools/skew_demo.py [N] [target_rows]
+expressions), then settles them with unit demand and with real quantities,
+each as a plain per-key window or fold (the hot item is one task) and on the
+range layout.  Prints one JSON line with the times and whether the results are
+identical.  Usage: python tools/skew_demo.py [N]
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ def events(spark, n: int):
 
 def main() -> None:
     n = int(sys.argv[1]) if len(sys.argv) > 1 else 6_000_000
-    target = int(sys.argv[2]) if len(sys.argv) > 2 else n // 40
     spark = local_session(8, shuffle_partitions=32, app="keyfold-skew")
     p = get_profile("remote", initial_stock=1000, restock_qty=300, demand="unit")
     d = events(spark, n).cache()
@@ -51,23 +50,20 @@ def main() -> None:
 
     def timed(choose, method="unit"):
         t0 = time.perf_counter()
-        ch = choose()  # the statistics job, if any, counts too
+        ch = choose()
         out = reserve.reserve(d, p, method=method, chunking=ch)
         agg = out.agg(F.sum(F.when(F.col("status") == "INSTOCK", 1).otherwise(0)).alias("g"),
                       F.sum("stock_after").alias("s")).first()
         return time.perf_counter() - t0, (agg.g, agg.s), ch
 
     t_single, r_single, _ = timed(lambda: scan.Chunking())
-    t_hot, r_hot, ch = timed(lambda: scan.choose_chunking(d, ["item_id"], target_rows=target, mode="time"))
-    n_hot = ch.hot.count() if ch.hot is not None else 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     t_rng, r_rng, _ = timed(lambda: scan.Chunking(ranges=parts))
     f_single, q_single, _ = timed(lambda: scan.Chunking(), "fold")
     f_rng, q_rng, _ = timed(lambda: scan.Chunking(ranges=parts), "fold")
-    print(json.dumps({"rows": n, "target_rows": target, "hot_keys": n_hot, "range_partitions": parts,
-                      "single_task_s": round(t_single, 2), "time_chunks_s": round(t_hot, 2),
-                      "range_scan_s": round(t_rng, 2),
-                      "identical": r_single == r_hot == r_rng,
+    print(json.dumps({"rows": n, "range_partitions": parts,
+                      "single_task_s": round(t_single, 2), "range_scan_s": round(t_rng, 2),
+                      "identical": r_single == r_rng,
                       "fold_single_task_s": round(f_single, 2), "fold_range_s": round(f_rng, 2),
                       "fold_identical": q_single == q_rng}))
     spark.stop()
