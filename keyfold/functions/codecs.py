@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyfold import schemas
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -40,17 +38,19 @@ def split_key_line(line) -> tuple[Column, Column]:
 
 
 def parse_message(body) -> Column:
-    """JSON body -> struct(userId, itemId, quantity string, publishTimestamp).
+    """JSON object -> map of its fields as text; NULL if it is none.
 
-    A body that is not a JSON object gives NULL for every field; the caller
-    tests fields, not the struct (``from_json`` returns a struct of NULLs).
+    Parse once and read the fields from the map: see ``routing.decode``.
     """
-    return F.from_json(_c(body), schemas.RAW_MESSAGE, {"mode": "PERMISSIVE"})
+    return F.from_json(_c(body), "map<string,string>")
 
 
-def decoded_quantity(q_str) -> Column:
-    """Quantity as int: a quoted number is accepted, a missing one reads as 0."""
-    return F.coalesce(_c(q_str).try_cast("int"), F.lit(0))
+def whole_number(text) -> Column:
+    """The int that a JSON value spells (``4``, ``"4"``, ``4.0``, ``1e2``);
+    NULL for anything else, and beyond 32 bits."""
+    d = _c(text).try_cast("decimal(38,10)")
+    fits = (d == F.floor(d)) & d.between(-(2**31), 2**31 - 1)
+    return F.when(fits, d).try_cast("int")
 
 
 def classify_body(body) -> Column:

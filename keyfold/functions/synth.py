@@ -1,9 +1,9 @@
 """Seedable random columns for synthetic event sets.
 
-Randomness is a pure function of a row id and a seed: a multiplicative hash
-on 32 bits.  The same row always gets the same value, on any executor and on
-any retry, so a lost task recomputes identical data.  Integer arithmetic keeps
-the value identical in other SQL engines too (used by the oracle).
+Randomness is a pure function of a row id and a seed: the first 52 bits of
+SHA-256 over ``seed:id``.  The same row always gets the same value, on any
+executor and on any retry; draws with different seeds are independent; and
+other SQL engines compute the same value (used by the oracle).
 """
 
 from __future__ import annotations
@@ -11,11 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The classic ANSI C linear congruential constants.  The
-# multiplier is below 2^31 so (x mod 2^32) * _MULT fits in a signed long.
-_MULT = 1103515245
-_INC = 12345
-_MASK = 4294967296  # 2^32
+_SPAN = 2**52
 
 
 def _c(x) -> Column:
@@ -23,16 +19,14 @@ def _c(x) -> Column:
 
 
 def uniform(row_id, seed: int = 0) -> Column:
-    """Uniform double in [0, 1) from a long row id."""
-    x = F.pmod(_c(row_id).cast("long") + F.lit(seed * 7919), F.lit(_MASK))
-    h = F.pmod(x * F.lit(_MULT) + F.lit(_INC), F.lit(_MASK))
-    return h.cast("double") / F.lit(float(_MASK))
+    """Uniform double in [0, 1) from a row id."""
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), _c(row_id).cast("string")), 256)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(_SPAN))
 
 
 def uniform_sql(row_id: str, seed: int = 0) -> str:
     """The same value as ``uniform`` written as SQL text (for the oracle)."""
-    x = f"(({row_id} + {seed * 7919}) % {_MASK})"
-    return f"(({x} * {_MULT} + {_INC}) % {_MASK})::DOUBLE / {float(_MASK)}"
+    return f"(('0x' || substr(sha256('{seed}:' || CAST({row_id} AS VARCHAR)), 1, 13))::BIGINT::DOUBLE / {float(_SPAN)})"
 
 
 def uniform_int(row_id, lo: int, hi: int, seed: int = 0) -> Column:
@@ -49,10 +43,11 @@ def power_law_index(row_id, n: int, a: float = 3.0, seed: int = 0) -> Column:
 
 
 def id_string(x, length: int) -> Column:
-    """Stable pseudo-random id text of ``length`` chars (hex of SHA-256)."""
-    h = F.sha2(_c(x).cast("string"), 256)
-    reps = (length + 63) // 64
-    return F.substring(F.repeat(h, reps) if reps > 1 else h, 1, length)
+    """Stable pseudo-random id text of ``length`` chars (hex of SHA-256;
+    each further 64 chars hash the id with their number)."""
+    text = _c(x).cast("string")
+    parts = [F.sha2(text, 256)] + [F.sha2(F.concat(text, F.lit(f":{k}")), 256) for k in range(1, (length + 63) // 64)]
+    return F.substring(F.concat(*parts) if len(parts) > 1 else parts[0], 1, length)
 
 
 def filler(n: int = 500, ch: str = "a") -> Column:

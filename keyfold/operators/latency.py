@@ -8,7 +8,7 @@ table of one row per run, broadcast with that bound.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.timefns import bucket, ms_from_string, ten_bucket
@@ -26,27 +26,28 @@ def run_origins(log: DataFrame) -> DataFrame:
     return log.groupBy("run").agg(F.min(ms_from_string("inputKafkaTimestamp")).alias("t0"))
 
 
+def latency_rows(log: DataFrame) -> DataFrame:
+    """Run, in_ms, out_ms, latency -- one scan, no join."""
+    return log.select(
+        "run",
+        ms_from_string("inputKafkaTimestamp").alias("in_ms"),
+        F.col("outputKafkaTimestamp").cast("long").alias("out_ms"),
+    ).withColumn("latency", F.col("out_ms") - F.col("in_ms"))
+
+
 def latency_frame(log: DataFrame, bucket_ms: int, shifts: dict | None = None) -> DataFrame:
     """Latency and start / end buckets relative to the run's origin.
 
     Columns: run, in_ms, out_ms, latency, start_bucket, end_bucket.
     """
-    shifts = shifts or {}
     origins = F.broadcast(run_origins(log))  # one row per run: bounded by the run list
-    d = log.select(
-        "run",
-        ms_from_string("inputKafkaTimestamp").alias("in_ms"),
-        F.col("outputKafkaTimestamp").cast("long").alias("out_ms"),
-    ).join(origins, "run")
-    shift = _case("run", shifts, 0)
+    d = latency_rows(log).join(origins, "run")
+    shift = _case("run", shifts or {}, 0)
     return d.select(
-        "run",
-        "in_ms",
-        "out_ms",
-        (F.col("out_ms") - F.col("in_ms")).alias("latency"),
+        "run", "in_ms", "out_ms", "latency",
         bucket("in_ms", "t0", bucket_ms, shift).alias("start_bucket"),
         bucket("out_ms", "t0", bucket_ms, shift).alias("end_bucket"),
-    )
+    )
 
 
 def latency_by_start_bucket(lf: DataFrame) -> DataFrame:
@@ -63,32 +64,40 @@ def throughput_by_end_bucket(lf: DataFrame) -> DataFrame:
     return lf.groupBy("run", "end_bucket").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def throughput_gap_filled(spark: SparkSession, lf: DataFrame, include_last: bool = False) -> DataFrame:
+def throughput_gap_filled(lf: DataFrame, include_last: bool = False, max_buckets: int = 10_000_000) -> DataFrame:
     """J4 + A10 + A11: complete bucket spine 0 .. x_max-1 per run, missing -> 0.
 
     ``x_max`` is the largest end bucket over all runs (the reference uses two
-    of three).  As in the reference the spine stops before ``x_max`` unless
-    ``include_last``.  The spine is one distributed ``range`` of
-    ``x_max * runs`` ids, each id giving its run and bucket (no cross join);
-    the run list (one value per run) and ``x_max`` are the only values read
-    on the driver.
+    of three).  As in the reference the spine stops before ``x_max``, and
+    buckets below 0 are left out, unless ``include_last``: then it runs from
+    the smallest bucket (0 at most) to ``x_max``, so that no event is lost.
+    The spine is generated inside the plan from one row of limits; a clock
+    value that would make it longer than ``max_buckets`` fails the query.
     """
     counts = throughput_by_end_bucket(lf)
-    st = lf.agg(F.max("end_bucket").alias("x"), F.collect_set("run").alias("runs")).first()
-    if st is None or st["x"] is None:
-        return counts.limit(0)
-    end = int(st["x"]) + (1 if include_last else 0)
-    runs = sorted(st["runs"])
-    spine = spark.range(0, end * len(runs)).select(
-        F.element_at(F.array(*[F.lit(r) for r in runs]), (F.col("id") / end).cast("int") + 1)
-        .cast("long").alias("run"),
-        (F.col("id") % end).alias("end_bucket"),
+    limits = counts.agg(
+        F.max("end_bucket").alias("x"), F.least(F.lit(0).cast("long"), F.min("end_bucket")).alias("low"),
+        F.collect_set("run").alias("runs"),  # the run list: one value per run
+    ).where("x IS NOT NULL")
+    first = F.col("low") if include_last else F.lit(0).cast("long")
+    last = F.col("x") if include_last else F.col("x") - 1
+    too_long = F.raise_error(F.concat(F.lit("bucket spine too long: "), (last - first).cast("string")))
+    last = F.when(last - first >= max_buckets, too_long.cast("long")).otherwise(last)
+    spine = (
+        limits.where(first <= (F.col("x") if include_last else F.col("x") - 1))
+        .select(F.explode("runs").alias("run"), first.alias("_a"), last.alias("_b"))
+        .select("run", F.explode(F.sequence("_a", "_b")).alias("end_bucket"))
     )
     return spine.join(counts, ["run", "end_bucket"], "left").select(
         "run", "end_bucket", F.coalesce(F.col("n_events"), F.lit(0)).cast("long").alias("n_events")
     )
 
 
+def view_range(per_bucket: DataFrame, bucket_col: str, lo: int, hi: int) -> DataFrame:
+    """the buckets of a plot's view, both ends included."""
+    return per_bucket.where(F.col(bucket_col).between(lo, hi))
+
+
 def latency_ten_bucket(lf: DataFrame, width: int = 10) -> DataFrame:
     """Mean latency per ten-bucket (floored) and run."""
     return (
@@ -115,25 +124,35 @@ def warm_window_stats(lf: DataFrame, lo: int, hi: int, divisor: int, prefix_limi
     )
 
 
-def latency_percentiles(lf: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """A14 + A15: p50, p99, min, max and count per run.
+def latency_percentiles(rows: DataFrame) -> DataFrame:
+    """A14 + A15: exact p50, p99, min, max and count per run.
 
-    Exact ``percentile`` keeps a value -> count map per group (latencies are
-    whole ms, so the map is bounded by the latency range, not the row count);
-    ``exact=False`` uses the mergeable ``percentile_approx`` sketch.
+    From a histogram (run, latency): latencies are whole ms, so it is bounded
+    by their range, and it is built with map-side aggregation.  A running
+    count over the histogram finds the two values around each percentile's
+    rank, which are interpolated linearly.
     """
-    if exact:
-        p50 = F.percentile("latency", 0.5)
-        p99 = F.percentile("latency", 0.99)
-    else:
-        p50 = F.percentile_approx("latency", 0.5, accuracy).cast("double")
-        p99 = F.percentile_approx("latency", 0.99, accuracy).cast("double")
-    return lf.groupBy("run").agg(
-        p50.alias("p50"),
-        p99.alias("p99"),
+    hist = rows.where(F.col("latency").isNotNull()).groupBy("run", "latency").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("run")
+    upto = w.orderBy("latency").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.withColumn("_c", F.sum("n").over(upto)).withColumn("_n", F.sum("n").over(w))
+
+    def at(rank):
+        """The value at a 0-based rank: the first whose running count exceeds it."""
+        return F.min(F.when(F.col("_c") > rank, F.col("latency")))
+
+    def percentile(q: float):
+        rank = (F.col("_n") - 1) * F.lit(q)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        part = F.max(rank - F.floor(rank))
+        return (low + (high - low) * part).cast("double")
+
+    return h.groupBy("run").agg(
+        percentile(0.5).alias("p50"),
+        percentile(0.99).alias("p99"),
         F.min("latency").alias("min_latency"),
         F.max("latency").alias("max_latency"),
-        F.count(F.lit(1)).alias("n_events"),
+        F.sum("n").cast("long").alias("n_events"),
     )
 
 
@@ -172,9 +191,9 @@ def latency_pivot(lf: DataFrame, run_labels: dict, width: int = 10) -> DataFrame
     )
 
 
-def achieved_rate(lf: DataFrame) -> DataFrame:
+def achieved_rate(rows: DataFrame) -> DataFrame:
     """Events per second over the run's input time span."""
-    return lf.groupBy("run").agg(
+    return rows.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_events"),
         ((F.max("in_ms") - F.min("in_ms")) / F.lit(1000.0)).alias("elapsed_s"),
     ).withColumn(
@@ -213,10 +232,10 @@ LATENCY_SEP = " latency  "
 COUNT_SEP = " for "
 
 
-def latency_series(lf: DataFrame, run_labels: dict, root: str = "benchmark") -> DataFrame:
+def latency_series(rows: DataFrame, run_labels: dict, root: str = "benchmark") -> DataFrame:
     """A14 + A15 + P24: per-run max / p99 / p50 / min latency and count in
     long form (one row per series and stat), labelled as on the dashboard."""
-    p = latency_percentiles(lf)
+    p = latency_percentiles(rows)
     long = p.select(
         "run",
         F.expr(

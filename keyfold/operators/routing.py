@@ -13,11 +13,11 @@ from keyfold.functions import codecs
 
 TOPICS = ("add-to-cart", "checkout", "restock")
 
-# Fields each topic's message must carry to decode.
-_REQUIRED = {
-    "add-to-cart": ("userId", "itemId"),
-    "checkout": ("userId",),
-    "restock": ("itemId",),
+# The fields that each topic's message declares.
+_FIELDS = {
+    "add-to-cart": ("userId", "itemId", "quantity", "publishTimestamp"),
+    "checkout": ("userId", "publishTimestamp"),
+    "restock": ("itemId", "quantity", "publishTimestamp"),
 }
 
 
@@ -33,23 +33,29 @@ def decode(routed: DataFrame) -> DataFrame:
     """P1-P3 + F6: parse each body against its topic's schema.
 
     Adds ``userId, itemId, quantity (int), publishTimestamp, decoded (bool)``.
-    A message decodes when its JSON parses and carries its topic's fields;
-    quantity accepts a quoted number and reads as 0 when absent.
+    As with the message format's own parser, a body decodes when it is a JSON
+    object, has no field that its message does not declare, and its quantity,
+    if there, spells a 32-bit integer.  An absent or null field is a default:
+    0 or the empty text (publishTimestamp) or NULL (ids).
+
+    The body is parsed once: the parsed map comes out of a generator, which the
+    optimizer neither copies nor moves filters through.
     """
-    m = codecs.parse_message(F.col("body"))
-    d = routed.withColumn("_m", m)
-    ok = None
-    for topic, fields in _REQUIRED.items():
+    d = routed.select("*", F.explode(F.array(codecs.parse_message("body"))).alias("_m"))
+    m = F.col("_m")
+    known = None
+    for topic, fields in _FIELDS.items():
         cond = F.col("topic") == topic
-        for f in fields:
-            cond = cond & F.col("_m")[f].isNotNull() & (F.col("_m")[f] != "")
-        ok = cond if ok is None else ok | cond
+        value = F.array(*[F.lit(f) for f in fields])
+        known = F.when(cond, value) if known is None else known.when(cond, value)
+    number = codecs.whole_number(m["quantity"])
+    ok = m.isNotNull() & (F.size(F.array_except(F.map_keys(m), known)) == 0) & (m["quantity"].isNull() | number.isNotNull())
     return d.select(
-        *[c for c in routed.columns],
-        F.col("_m")["userId"].alias("userId"),
-        F.col("_m")["itemId"].alias("itemId"),
-        codecs.decoded_quantity(F.col("_m")["quantity"]).alias("quantity"),
-        F.coalesce(F.col("_m")["publishTimestamp"], F.lit("")).alias("publishTimestamp"),
+        *[F.col(c) for c in routed.columns],
+        m["userId"].alias("userId"),
+        m["itemId"].alias("itemId"),
+        F.coalesce(number, F.lit(0)).alias("quantity"),
+        F.coalesce(m["publishTimestamp"], F.lit("")).alias("publishTimestamp"),
         F.coalesce(ok, F.lit(False)).alias("decoded"),
     )
 
@@ -61,22 +67,29 @@ def rejects(decoded: DataFrame) -> DataFrame:
     )
 
 
-def accepted(decoded: DataFrame, topic: str) -> DataFrame:
-    return decoded.where(F.col("decoded") & (F.col("topic") == topic))
-
-
-def quarantine(decoded: DataFrame, message_col: str | None = None) -> DataFrame:
-    """Poison records: negative quantity on an add, empty message,
-    or a record of no known type.  The reference crashes on them once and
-    then processes them on replay; here they are split off with a reason so
-    the job never has to crash (use ``strict`` for the crash)."""
+def poison_reason(message_col: str | None = None):
+    """Why a record is poison, or NULL: a negative quantity on an add,
+    an empty message, or a type that is none of the topics."""
     reason = F.when(
         (F.col("topic") == "add-to-cart") & F.col("decoded") & (F.col("quantity") < 0), F.lit("negative_quantity")
     )
     if message_col is not None:
         reason = reason.when(F.col(message_col) == "", F.lit("empty_message"))
-    reason = reason.when(~F.col("topic").isin(*TOPICS), F.lit("unknown_type"))
-    return decoded.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return reason.when(~F.col("topic").isin(*TOPICS), F.lit("unknown_type"))
+
+
+def accepted(decoded: DataFrame, topic: str) -> DataFrame:
+    """Decoded records of a topic that are not poison: with ``rejects`` and
+    ``quarantine`` a partition of the log.  A job that replays after a crash
+    and then processes its poison (R12) unions the quarantine back in."""
+    return decoded.where(F.col("decoded") & (F.col("topic") == topic) & poison_reason().isNull())
+
+
+def quarantine(decoded: DataFrame, message_col: str | None = None) -> DataFrame:
+    """Poison records with their reason.  The reference crashes on them
+    once and then processes them on replay; here they are split off so the job
+    never has to crash (use ``strict`` for the crash)."""
+    return decoded.withColumn("reason", poison_reason(message_col)).where(F.col("reason").isNotNull())
 
 
 def strict(decoded: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ map-only stage over any id source -- ``spark.range`` for a fixed size, or a
 driver table so that the output grows with it -- and recomputing a lost
 partition yields identical rows.
 
-Re-aimed: the per-user cart cycle of the reference (a random number of adds
-and then a checkout) is drawn i.i.d. per row with the same mean cycle
-length, since a sequential per-user simulator would pass every user
-through one loop.
+``events`` draws independent requests; ``cart_cycles`` draws whole carts (a
+user, a number of adds, the checkout behind them), so that users fill carts
+and check them out without a loop over users.
 """
 
 from __future__ import annotations
@@ -80,6 +79,27 @@ def events(
     )
 
 
+def cart_cycles(ids: DataFrame, id_col: str, n_users: int, n_items: int, power_a: float = 3.0) -> DataFrame:
+    """One cart per id: 2 to ``MAX_ADDS`` adds of one user, then the checkout.
+
+    Columns: cart, step (1 ..), kind, user_idx, item_idx, quantity.
+    """
+    cart = F.col(id_col).cast("long")
+    carts = ids.select(
+        cart.alias("cart"),
+        R.power_law_index(cart, n_users, power_a, seed=11).alias("user_idx"),
+        R.uniform_int(cart, 2, MAX_ADDS, seed=12).alias("_adds"),
+    )
+    steps = carts.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_adds") + 1)))
+    add = F.col("step") <= F.col("_adds")
+    row = F.concat_ws("/", "cart", "step")
+    return steps.select(
+        "cart", "step", F.when(add, F.lit("add")).otherwise(F.lit("checkout")).alias("kind"), "user_idx",
+        F.when(add, R.power_law_index(row, n_items, power_a, seed=13)).alias("item_idx"),
+        F.when(add, R.uniform_int(row, 1, MAX_QUANTITY, seed=14)).cast("int").alias("quantity"),
+    )
+
+
 def to_lines(ev: DataFrame, stamp) -> DataFrame:
     """The generator's ``key=json`` lines."""
     add = F.to_json(F.struct(F.col("userId"), F.col("quantity"), F.col("itemId"), stamp.alias("publishTimestamp")))

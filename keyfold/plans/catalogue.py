@@ -221,6 +221,10 @@ def _lf(spark, sf_dir):
     return lat.latency_frame(log, P.BUCKET_MS, P.RUN_SHIFTS)
 
 
+def _rows(spark, sf_dir):
+    return lat.latency_rows(latencylog.from_events(td.table(spark, sf_dir, "events"), P.N_RUNS))
+
+
 def _shift_sql(col: str) -> str:
     whens = " ".join(f"WHEN {k} THEN {v}" for k, v in P.RUN_SHIFTS.items())
     return f"CASE {col} {whens} ELSE 0 END"
@@ -259,7 +263,7 @@ SELECT sp.run, sp.end_bucket, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_events
 FROM sp LEFT JOIN c ON sp.run = c.run AND sp.end_bucket = c.end_bucket""")
 def q_throughput_gap_filled(spark, sf_dir):
     """Spine 0 .. x_max-1 (last bucket dropped as in the reference)."""
-    return lat.throughput_gap_filled(spark, _lf(spark, sf_dir))
+    return lat.throughput_gap_filled(_lf(spark, sf_dir))
 
 
 @register("latency_ten_bucket", LF_SQL + """SELECT run, CAST(floor(start_bucket / 10) * 10 AS BIGINT) AS ten_bucket,
@@ -285,7 +289,7 @@ def q_warm_window_stats(spark, sf_dir):
   count(*) AS n_events FROM lf GROUP BY run""")
 def q_latency_percentiles(spark, sf_dir):
     """Exact percentiles per run."""
-    return lat.latency_percentiles(_lf(spark, sf_dir))
+    return lat.latency_percentiles(_rows(spark, sf_dir))
 
 
 def _spans_values_sql() -> str:
@@ -324,7 +328,7 @@ def q_latency_pivot(spark, sf_dir):
 FROM lf GROUP BY run""")
 def q_achieved_rate(spark, sf_dir):
     """Events per second over each run's span."""
-    return lat.achieved_rate(_lf(spark, sf_dir))
+    return lat.achieved_rate(_rows(spark, sf_dir))
 
 
 # ------------------------------------------------------- log decode / route
@@ -372,10 +376,10 @@ def q_route_topics(spark, sf_dir):
 
 @register("quarantine_poison", f"""SELECT {_U} AS key, {_U} AS userId, {_ITEM} AS itemId, -1 AS quantity,
   {_STAMP} AS publishTimestamp, 'negative_quantity' AS reason
-FROM events WHERE event_type IN ('click','view') AND day(ts) = {P.FAIL_PERIOD}
+FROM events WHERE event_type IN ('click','view') AND datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) = {P.FAIL_PERIOD}
 ORDER BY ts, event_id LIMIT 1""")
 def q_quarantine_poison(spark, sf_dir):
-    """Poison injected once (first add of the fail period), split off."""
+    """Poison injected once (first add of the fail period), split off."""
     lines = eventlog.inject_poison_first_add(_lines(spark, sf_dir), P.FAIL_PERIOD)
     dec = routing.decode(routing.route(lines))
     return routing.quarantine(dec).select("key", "userId", "itemId", "quantity", "publishTimestamp", "reason")
@@ -410,7 +414,7 @@ def q_item_frequency(spark, sf_dir):
     return keyed.frequency(adds, "item_id")
 
 
-@register("distinct_users_by_day", """WITH e AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS period FROM events),
+@register("distinct_users_by_day", """WITH e AS (SELECT user_id, CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS period FROM events),
 per AS (SELECT period, count(DISTINCT user_id) AS n_distinct FROM e GROUP BY period),
 f AS (SELECT period, count(*) AS n_new FROM (SELECT user_id, min(period) AS period FROM e GROUP BY user_id) GROUP BY period)
 SELECT per.period, per.n_distinct, CAST(COALESCE(f.n_new, 0) AS BIGINT) AS n_new,
@@ -503,7 +507,7 @@ def _series_sql() -> str:
 @register("latency_series", _series_sql())
 def q_latency_series(spark, sf_dir):
     """Dashboard stats per run in long form with series labels."""
-    return lat.latency_series(_lf(spark, sf_dir), P.RUN_LABELS)
+    return lat.latency_series(_rows(spark, sf_dir), P.RUN_LABELS)
 
 
 @register("stream_receipt_lines", ORACLES["receipt_lines"])
@@ -521,3 +525,321 @@ def q_stream_out_of_order(spark, sf_dir):
     from keyfold.streaming.replay import stream_receipts_out_of_order
 
     return stream_receipts_out_of_order(spark, sf_dir, P.UNIT)
+
+
+# ------------------------------------------------- variants, each as it stands
+@register("echo_confirms", f"""SELECT {_U} AS "userId", {_ITEM} AS "itemId", {_Q} AS quantity,
+  CAST((epoch_us(ts) // 1000) AS VARCHAR) AS "publishTimestamp", event_id
+FROM events WHERE event_type IN ('click','view')""")
+def q_echo_confirms(spark, sf_dir):
+    """The simple variant echoes every add at once with its raw quantity."""
+    out = carts.echo_confirms(_domain(spark, sf_dir, P.SIMPLE, ("add",)))
+    return out.select("userId", "itemId", "quantity", "publishTimestamp", "event_id")
+
+
+@register("receipts_embedded", _cart_sql(P.EMBEDDED, RECEIPT_CLEAR_SELECT))
+def q_receipts_embedded(spark, sf_dir):
+    """The embedded variant as it is (unit demand, restocks ignored)."""
+    return _receipts(spark, sf_dir, P.EMBEDDED)
+
+
+@register("confirms_remote", _settled_sql(P.ANY, CONFIRM_SELECT))
+def q_confirms_remote(spark, sf_dir):
+    """The remote variant's confirmations carry the real quantity."""
+    return carts.add_confirms(_settled(spark, sf_dir, P.ANY))
+
+
+def _topic_sql(profile, receipts_select: str) -> str:
+    stamp = "CAST((epoch_us(ts) // 1000) AS VARCHAR)"
+    receipts = receipts_select.replace("SELECT user_id, event_id, running", "SELECT user_id, event_id, ts, running")
+    return _cart_sql(profile, f"""SELECT 'add-confirm' AS topic, CAST(user_id AS VARCHAR) AS "key",
+  '{{"userId":"' || user_id || '","itemId":"' || item_id || '"'
+  || CASE WHEN requested <> 0 THEN ',"quantity":' || requested ELSE '' END
+  || ',"publishTimestamp":"' || {stamp} || '"}}' AS value
+FROM settled WHERE kind = 'add' AND user_id IS NOT NULL
+UNION ALL
+SELECT '{profile.receipt_topic}', CAST(user_id AS VARCHAR),
+  '{{"userId":"' || user_id || '","receipt":"' || receipt || '","publishTimestamp":"' || "publishTimestamp" || '"}}'
+FROM ({receipts}) r""")
+
+
+@register("topic_records", _topic_sql(P.ANY, RECEIPT_RUNNING_SELECT))
+def q_topic_records(spark, sf_dir):
+    """Confirmations and receipts as topic records (remote)."""
+    from keyfold.streaming.pipeline import to_topic_records
+
+    settled = _settled(spark, sf_dir, P.ANY)
+    adds = settled.where((F.col("kind") == "add") & F.col("user_id").isNotNull())
+    confirms = carts.add_confirms(adds).select(
+        F.lit("confirm").alias("kind"), F.col("userId").cast("long").alias("user_id"),
+        F.col("itemId").cast("long").alias("item_id"), "quantity", F.lit(None).cast("string").alias("receipt"),
+        "publishTimestamp",
+    )
+    receipts = carts.receipts(settled, _domain(spark, sf_dir, P.ANY, ("checkout",)), P.ANY).select(
+        F.lit("receipt").alias("kind"), "user_id", F.lit(None).cast("long").alias("item_id"),
+        F.lit(None).cast("int").alias("quantity"), "receipt", "publishTimestamp",
+    )
+    records = to_topic_records(confirms.unionByName(receipts), P.ANY)
+    return records.withColumn("key", F.decode("key", "UTF-8"))
+
+
+# --------------------------------------------------------------- more decoding
+@register("decode_checkouts", f"""SELECT {_U} AS key, {_U} AS "userId", {_STAMP} AS "publishTimestamp"
+FROM events WHERE event_type = 'purchase'""")
+def q_decode_checkouts(spark, sf_dir):
+    """P2."""
+    dec = routing.decode(routing.route(_lines(spark, sf_dir)))
+    return routing.accepted(dec, "checkout").select("key", "userId", "publishTimestamp")
+
+
+@register("decode_restocks", f"""SELECT {_ITEM} AS key, {_ITEM} AS "itemId", CAST(300 AS INTEGER) AS quantity,
+  {_STAMP} AS "publishTimestamp" FROM events WHERE event_type = 'signup'""")
+def q_decode_restocks(spark, sf_dir):
+    """P3."""
+    dec = routing.decode(routing.route(_lines(spark, sf_dir)))
+    return routing.accepted(dec, "restock").select("key", "itemId", "quantity", "publishTimestamp")
+
+
+# JSON texts of a quantity by event_id % 10, and what each decodes to (NULL: rejected).
+_QUANTITY_FORMS = [
+    ('"4"', 4), ("3.0", 3), ("3.5", None), ("99999999999", None), ("abc", None),
+    ('"x"', None), ("null", 0), ("[1]", None), ("2147483647", 2147483647), ("1e2", 100),
+]
+
+
+def _forms_sql(column: int) -> str:
+    def lit(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {lit(f[column])}" for i, f in enumerate(_QUANTITY_FORMS)) + " END"
+
+
+@register("decode_variants", f"""SELECT event_id,
+  event_id % 7 <> 0 AND (event_id % 3 = 0 OR {_forms_sql(1)} IS NOT NULL) AS decoded,
+  CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE COALESCE({_forms_sql(1)}, 0) END AS INTEGER) AS quantity,
+  {_U} AS "userId" FROM events WHERE event_type IN ('click','view') AND event_id % 10 <> 4
+UNION ALL SELECT event_id, event_id % 3 = 0 AND event_id % 7 <> 0, CAST(0 AS INTEGER),
+  CASE WHEN event_id % 3 = 0 THEN {_U} END
+FROM events WHERE event_type IN ('click','view') AND event_id % 10 = 4""")
+def q_decode_variants(spark, sf_dir):
+    """Quoted, fractional, too large, malformed and absent quantities,
+    absent item ids, and (every 7th) a field that the message does not declare."""
+    adds = _events(spark, sf_dir).where(F.col("event_type").isin(*td.ADD_TYPES))
+    form = F.element_at(F.array(*[F.lit(f[0]) for f in _QUANTITY_FORMS]), (F.col("event_id") % 10).cast("int") + 1)
+    quantity = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(',"quantity":'), form))
+    extra = F.when(F.col("event_id") % 7 == 0, ',"quantityUnit":1').otherwise("")
+    user = F.col("user_id").cast("string")
+    body = F.concat(F.lit('{"userId":"'), user, F.lit('"'), quantity, extra, F.lit("}"))
+    lines = adds.select("event_id", F.lit("add-to-cart").alias("topic"), body.alias("body"))
+    return routing.decode(lines).select("event_id", "decoded", "quantity", "userId")
+
+
+@register("poison_kinds", """WITH t AS (SELECT event_id, event_type,
+  CASE WHEN event_id % 11 = 0 THEN -1 ELSE 2 END AS q, CASE WHEN event_id % 13 = 0 THEN '' ELSE props END AS message FROM events)
+SELECT event_id, CASE WHEN event_type IN ('click','view') AND q < 0 THEN 'negative_quantity'
+  WHEN message = '' THEN 'empty_message' ELSE 'unknown_type' END AS reason
+FROM t WHERE (event_type IN ('click','view') AND q < 0) OR message = '' OR event_type = 'error'""")
+def q_poison_kinds(spark, sf_dir):
+    """negative quantity, empty message, unknown type."""
+    et = F.col("event_type")
+    topic = (
+        F.when(et.isin(*td.ADD_TYPES), "add-to-cart").when(et.isin(*td.CHECKOUT_TYPES), "checkout")
+        .when(et.isin(*td.RESTOCK_TYPES), "restock").otherwise("no-such-topic")
+    )
+    records = _events(spark, sf_dir).select(
+        "event_id", topic.alias("topic"), F.lit(True).alias("decoded"),
+        F.when(F.col("event_id") % 11 == 0, -1).otherwise(2).alias("quantity"),
+        F.when(F.col("event_id") % 13 == 0, "").otherwise(F.col("props")).alias("message"),
+    )
+    return routing.quarantine(records, "message").select("event_id", "reason")
+
+
+# ------------------------------------------------------------- logs as files
+@register("latency_log_round_trip", f"""SELECT CAST(event_id % {P.N_RUNS} AS BIGINT) AS run,
+  CAST((epoch_us(ts) // 1000) AS VARCHAR) AS "inputKafkaTimestamp",
+  (epoch_us(ts) // 1000) + CAST(floor(value) AS BIGINT) AS "outputKafkaTimestamp" FROM events""")
+def q_latency_log_round_trip(spark, sf_dir):
+    """JSON lines written per run, one record of each cut off, read back."""
+    from keyfold.session import shared_path
+
+    path = shared_path(spark, "latency-log")
+    log = latencylog.from_events(_events(spark, sf_dir), P.N_RUNS)
+    latencylog.write_json(log, path)
+    cut = log.select("run").distinct().select("run", F.lit('{"inputKafkaTimestamp":"17040').alias("value"))
+    cut.write.mode("append").partitionBy("run").text(path)
+    return latencylog.read_json(spark, path).select(F.col("run").cast("long").alias("run"), "inputKafkaTimestamp", "outputKafkaTimestamp")
+
+
+@register("period_log_round_trip", f"""SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS period,
+  {_KEY_SQL} || '=' || ({_BODY_SQL}) AS value FROM events""")
+def q_period_log_round_trip(spark, sf_dir):
+    """The text log written one folder a period, and read back."""
+    from keyfold.session import shared_path
+
+    path = shared_path(spark, "period-log")
+    eventlog.write_periods(_lines(spark, sf_dir), path)
+    return eventlog.read_periods(spark, path).select(F.col("period").cast("int").alias("period"), "value")
+
+
+@register("forward_fill", """WITH r AS (SELECT event_id % 3 AS part, event_id, (epoch_us(ts) // 1000) AS ms, floor(value) AS late,
+  CASE WHEN event_type <> 'error' THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) END AS i FROM events),
+f AS (SELECT last_value(i IGNORE NULLS) OVER (PARTITION BY part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  AS "inputKafkaTimestamp", CAST(ms + late AS BIGINT) AS "outputKafkaTimestamp" FROM r)
+SELECT * FROM f WHERE "inputKafkaTimestamp" IS NOT NULL""")
+def q_forward_fill(spark, sf_dir):
+    """A record that does not parse takes the input time of the one before."""
+    from keyfold.functions.timefns import epoch_ms
+
+    ms = epoch_ms("ts")
+    value = F.when(
+        F.col("event_type") != "error", F.to_json(F.struct(ms.cast("string").alias("publishTimestamp")))
+    ).otherwise('{"publishTimestamp":')
+    raw = _events(spark, sf_dir).select(
+        (F.col("event_id") % 3).alias("partition"), F.col("event_id").alias("offset"), value.alias("value"),
+        (ms + F.floor("value")).cast("long").alias("timestamp"),
+    )
+    return latencylog.forward_fill_failed(raw)
+
+
+@register("endless_replay", f"""SELECT event_id, CAST(r AS INTEGER) AS round,
+  (epoch_us(ts) // 1000) + r * {P.REPLAY_PERIOD_MS} AS ts_ms
+FROM events, (SELECT unnest(range(0, {P.REPLAY_ROUNDS})) AS r)""")
+def q_endless_replay(spark, sf_dir):
+    """The data set again and again, each round shifted in time."""
+    from keyfold.functions.timefns import epoch_ms
+
+    e = _events(spark, sf_dir).select("event_id", epoch_ms("ts").alias("ts_ms"))
+    return syn.endless_replay(e, P.REPLAY_ROUNDS, P.REPLAY_PERIOD_MS).select("event_id", "round", "ts_ms")
+
+
+# ---------------------------------------------------------- latency, completed
+@register("view_range", LF_SQL + f"""SELECT run, start_bucket, avg(latency) AS mean_latency, count(*) AS n_events
+FROM lf WHERE start_bucket BETWEEN {P.VIEW_LO} AND {P.VIEW_HI} GROUP BY run, start_bucket""")
+def q_view_range(spark, sf_dir):
+    """the part of the latency plot that is shown."""
+    per_bucket = lat.latency_by_start_bucket(_lf(spark, sf_dir))
+    return lat.view_range(per_bucket, "start_bucket", P.VIEW_LO, P.VIEW_HI)
+
+
+@register("gap_filled_full", LF_SQL + """, c AS (SELECT run, end_bucket, count(*) AS n FROM lf GROUP BY run, end_bucket),
+sp AS (SELECT r.run, CAST(unnest(range(m.lo, m.xm + 1)) AS BIGINT) AS end_bucket
+       FROM (SELECT DISTINCT run FROM lf) r, (SELECT max(end_bucket) AS xm, least(0, min(end_bucket)) AS lo FROM lf) m)
+SELECT sp.run, sp.end_bucket, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_events
+FROM sp LEFT JOIN c ON sp.run = c.run AND sp.end_bucket = c.end_bucket""")
+def q_gap_filled_full(spark, sf_dir):
+    """J4 with the last and any negative buckets: no event is lost."""
+    return lat.throughput_gap_filled(_lf(spark, sf_dir), include_last=True)
+
+
+# ------------------------------------------------------------ baskets, carts
+_SIGNED = "CASE WHEN event_type = 'view' THEN -CAST(1 + event_id % 9 AS BIGINT) ELSE CAST(1 + event_id % 9 AS BIGINT) END"
+
+
+@register("baskets_with_removals", f"""WITH RECURSIVE r AS (SELECT user_id,
+    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, event_id, {_SIGNED} AS d,
+    row_number() OVER (PARTITION BY user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('click','view')),
+f AS (SELECT user_id, item_id, event_id, rn, greatest(d, 0) AS q FROM r WHERE rn = 1
+  UNION ALL SELECT r.user_id, r.item_id, r.event_id, r.rn, greatest(f.q + r.d, 0)
+  FROM f JOIN r ON f.user_id = r.user_id AND f.item_id = r.item_id AND r.rn = f.rn + 1)
+SELECT user_id, item_id, event_id, CAST(q AS BIGINT) AS basket_qty FROM f""")
+def q_baskets_with_removals(spark, sf_dir):
+    """A3: clicks add, views remove; an entry that would drop to 0 is removed."""
+    d = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view")).select(
+        "event_id", "ts", "user_id", td.item_col().alias("item_id"),
+        F.when(F.col("event_type") == "view", -td.raw_add_quantity()).otherwise(td.raw_add_quantity()).alias("quantity"),
+    )
+    return carts.basket_with_removals(d).select("user_id", "item_id", "event_id", F.col("basket_qty").cast("long").alias("basket_qty"))
+
+
+@register("basket_maps", _cart_sql(P.UNIT, BASKET_ITEMS_SELECT))
+def q_basket_maps(spark, sf_dir):
+    """A4: each cart's basket as one map, its entries listed again."""
+    maps = carts.basket_maps(q_basket_items(spark, sf_dir))
+    return maps.select("user_id", "cart_no", F.explode("basket").alias("item_id", "quantity"))
+
+
+def _cycles_sql() -> str:
+    row = "(cart || '/' || step)"
+    def power(expr, n, seed):
+        return f"CAST(floor(pow({R.uniform_sql(expr, seed)}, 1.0 / {P.SYN_POWER_A}) * {n}) AS BIGINT)"
+
+    return f"""WITH c AS (SELECT event_id AS cart, {power('event_id', 1000, 11)} AS user_idx,
+  CAST(floor({R.uniform_sql('event_id', 12)} * {syn.MAX_ADDS - 1}) + 2 AS BIGINT) AS adds FROM events),
+s AS (SELECT *, unnest(range(1, adds + 2)) AS step FROM c)
+SELECT cart, CAST(step AS BIGINT) AS step, CASE WHEN step <= adds THEN 'add' ELSE 'checkout' END AS kind, user_idx,
+  CASE WHEN step <= adds THEN {power(row, P.SYN_ITEMS, 13)} END AS item_idx,
+  CAST(CASE WHEN step <= adds THEN floor({R.uniform_sql(row, 14)} * {syn.MAX_QUANTITY}) + 1 END AS INTEGER) AS quantity FROM s"""
+
+
+@register("synth_cart_cycles", _cycles_sql())
+def q_synth_cart_cycles(spark, sf_dir):
+    """One whole cart per driver event: its adds, then the checkout."""
+    return syn.cart_cycles(_events(spark, sf_dir), "event_id", 1000, P.SYN_ITEMS, P.SYN_POWER_A)
+
+
+# --------------------------------------------------------------- more streams
+@register("stream_receipts_running", ORACLES["receipts_running"])
+def q_stream_receipts_running(spark, sf_dir):
+    """The remote variant streamed: real quantities, running receipts."""
+    from keyfold.streaming.replay import stream_receipts
+
+    return stream_receipts(spark, sf_dir, P.ANY)
+
+
+@register("stream_from_log", ORACLES["receipts_embedded"])
+def q_stream_from_log(spark, sf_dir):
+    """Text log lines routed, decoded and settled in one stream."""
+    from keyfold.streaming.replay import stream_receipts_from_log
+
+    return stream_receipts_from_log(spark, sf_dir, P.EMBEDDED)
+
+
+def _poisoned(sql: str) -> str:
+    """The oracle over events whose first add of the fail period asks for -1."""
+    first = (f"(SELECT arg_min(event_id, ts) FROM events WHERE event_type IN ('click','view') "
+             f"AND datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) = {P.FAIL_PERIOD})")
+    plain = "THEN CAST(1 + event_id % 9 AS INTEGER)"
+    return sql.replace(plain, f"THEN CASE WHEN event_id = {first} THEN -1 ELSE CAST(1 + event_id % 9 AS INTEGER) END")
+
+
+@register("stream_crash_resume", _poisoned(ORACLES["receipts_embedded"]))
+def q_stream_crash_resume(spark, sf_dir):
+    """A crash inside a micro-batch on a poison record, then a restart."""
+    from keyfold.streaming.replay import stream_crash_resume
+
+    return stream_crash_resume(spark, sf_dir, P.EMBEDDED, P.FAIL_PERIOD)
+
+
+@register("state_final_stock", _settled_sql(P.UNIT, "SELECT item_id, final_stock FROM (" + OUTCOME_SELECT + ") o"))
+def q_state_final_stock(spark, sf_dir):
+    """Final stock per item read from the stream's state."""
+    from keyfold.streaming.replay import state_final_stock
+
+    return state_final_stock(spark, sf_dir, P.UNIT)
+
+
+@register("live_buckets", f"""SELECT CAST(event_id % {P.N_RUNS} AS BIGINT) AS run,
+  CAST((epoch_us(ts) // 3600000000) * 3600000 AS BIGINT) AS bucket_ms, count(*) AS n_events,
+  avg(CAST(floor(value) AS BIGINT)) AS mean_latency FROM events GROUP BY 1, 2""")
+def q_live_buckets(spark, sf_dir):
+    """Windows closed by a watermark in append mode; a tick beyond the
+    log's end and its lateness bound closes the last."""
+    from keyfold.session import shared_path
+    from keyfold.streaming import extras
+
+    base = shared_path(spark, "live")
+    log = latencylog.from_events(_events(spark, sf_dir), P.N_RUNS)
+    tick = log.groupBy().agg(F.max(F.col("inputKafkaTimestamp").cast("long")).alias("t")).where("t IS NOT NULL").select(
+        F.lit(-1).cast("long").alias("run"), (F.col("t") + 86_400_000 * 60).cast("string").alias("inputKafkaTimestamp"),
+        (F.col("t") + 86_400_000 * 60).alias("outputKafkaTimestamp"),
+    )
+    for part in (log, tick):
+        part.write.mode("append").parquet(f"{base}/in")
+        out = extras.live_buckets(spark.readStream.schema(log.schema).parquet(f"{base}/in"), P.LIVE_WINDOW, P.LIVE_LATENESS)
+        out.writeStream.format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint"
+        ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("run >= 0").select(
+        "run", F.unix_millis("bucket_start").alias("bucket_ms"), "n_events", "mean_latency"
+    )

@@ -34,9 +34,15 @@ RECOVERY_SPANS = [
     ("lazy", "throughput", 505, 515),
     ("disk", "throughput", 505, 517),
 ]
-# Poison injection period (day of month of the event time).
-FAIL_PERIOD = 15
+# Poison injection period: 2024-01-15, as days since 1970-01-01.
+FAIL_PERIOD = 19737
 # Synthetic generator sizes (reference: 6 M users, 10 k items, power law a=3).
 SYN_USERS = 6_000_000
 SYN_ITEMS = 10_000
 SYN_POWER_A = 3.0
+# View range of the reference's latency plots (F12), in buckets.
+VIEW_LO, VIEW_HI = 100, 600
+# Replays of the data set (S14) and the shift of each: its 30 days.
+REPLAY_ROUNDS, REPLAY_PERIOD_MS = 3, 2_592_000_000
+# Live buckets (T11): window and lateness bound of the replayed log.
+LIVE_WINDOW, LIVE_LATENESS = "1 hour", "40 days"

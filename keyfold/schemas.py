@@ -1,44 +1,7 @@
-"""Declared schemas (never inferred) for messages and logs.
-
-Quantities are decoded as strings first, then ``try_cast`` to int, so that a
-quoted number (``"4"``) is read like the message format's JSON reader does.
-"""
+"""Declared schemas (never inferred) for logs."""
 
 from pyspark.sql import types as T
 
-S, I, L = T.StringType(), T.IntegerType(), T.LongType()
-
-
-def _st(*fields):
-    return T.StructType([T.StructField(n, t, True) for n, t in fields])
-
-
-ADD_TO_CART = _st(("userId", S), ("itemId", S), ("quantity", I), ("publishTimestamp", S))
-REQUEST_ITEM = _st(("quantity", I), ("publishTimestamp", S))
-ITEM_AVAILABILITY = _st(("status", S), ("quantity", I), ("publishTimestamp", S))
-CHECKOUT = _st(("userId", S), ("publishTimestamp", S))
-RESTOCK_ITEM = _st(("itemId", S), ("quantity", I), ("publishTimestamp", S))
-RECEIPT = _st(("userId", S), ("receipt", S), ("publishTimestamp", S))
-MSG = _st(("userId", S), ("message", S))
-
-# Wire form used by the decoder: every field as string, typed afterwards.
-RAW_MESSAGE = _st(
-    ("userId", S), ("itemId", S), ("quantity", S), ("publishTimestamp", S)
+LATENCY_LOG = T.StructType(
+    [T.StructField("inputKafkaTimestamp", T.StringType()), T.StructField("outputKafkaTimestamp", T.LongType())]
 )
-
-LATENCY_LOG = _st(("inputKafkaTimestamp", S), ("outputKafkaTimestamp", L))
-EVENT_LOG_LINE = _st(("value", S))
-
-# One union frame for all domain events (U1 / P7 envelope).
-DOMAIN_EVENT = T.StructType(
-    [
-        T.StructField("event_id", L, False),
-        T.StructField("ts", T.TimestampNTZType(), False),
-        T.StructField("kind", S, False),
-        T.StructField("user_id", L, True),
-        T.StructField("item_id", L, True),
-        T.StructField("quantity", I, True),
-    ]
-)
-
-AVAILABILITY_STATUS = ("INSTOCK", "OUTOFSTOCK")  # proto enum order 0, 1

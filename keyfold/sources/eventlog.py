@@ -18,8 +18,9 @@ from keyfold.sources import testdata as td
 
 
 def period_col(ts="ts"):
-    """Period of an event: its day of month (30 periods in the tables)."""
-    return F.dayofmonth(F.col(ts)).cast("int")
+    """Period of an event: its calendar day, as days since 1970-01-01, so that
+    periods follow time order however long the log is."""
+    return F.unix_date(F.col(ts).cast("date")).cast("int")
 
 
 def lines_from_events(events: DataFrame, restock_qty: int = 300) -> DataFrame:

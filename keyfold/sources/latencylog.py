@@ -5,7 +5,7 @@ Record: ``{"inputKafkaTimestamp": "<epoch ms string>", "outputKafkaTimestamp": <
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,14 +69,20 @@ def forward_fill_failed(raw: DataFrame, order_cols=("partition", "offset")) -> D
     """W5 (opt-in): a record that failed to parse re-uses the previous record's
     input time with its own output time, as the reference consumer does.
 
-    ``raw`` holds ``partition, offset, value (text), timestamp (ms)``.  The
-    fill runs per topic partition, which is how the consumer sees records.
+    ``raw`` holds ``partition, offset, value (text), timestamp (ms)``.  A
+    running count of parsed records per topic partition (the range scan, so a
+    partition is cut into many tasks) numbers the stretch that each record
+    belongs to; the stretch's one parsed record gives its input time.
     """
-    parsed = raw.withColumn(
-        "_in", F.get_json_object(F.col("value"), "$.publishTimestamp")
+    from keyfold.operators import scan
+
+    part, offset = order_cols
+    parsed = raw.withColumn("_in", F.get_json_object(F.col("value"), "$.publishTimestamp"))
+    counted = scan.running_sums(
+        parsed.select(part, offset, "timestamp", "_in"), [part], {"_stretch": F.col("_in").isNotNull().cast("long")},
+        scan.choose_chunking(raw), order=(offset,),
+    ).where("_stretch > 0")
+    inputs = counted.where("_in IS NOT NULL").select(part, "_stretch", F.col("_in").alias("inputKafkaTimestamp"))
+    return counted.join(inputs, [part, "_stretch"]).select(
+        "inputKafkaTimestamp", F.col("timestamp").cast("long").alias("outputKafkaTimestamp")
     )
-    w = Window.partitionBy(order_cols[0]).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    return parsed.select(
-        F.last("_in", ignorenulls=True).over(w).alias("inputKafkaTimestamp"),
-        F.col("timestamp").cast("long").alias("outputKafkaTimestamp"),
-    ).where(F.col("inputKafkaTimestamp").isNotNull())

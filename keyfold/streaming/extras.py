@@ -13,11 +13,11 @@ from keyfold.session import ship_package
 from keyfold.streaming.processors import LatestMessageProcessor
 
 
-def live_buckets(log_stream: DataFrame, width: str = "1 second", watermark: str = "10 seconds") -> DataFrame:
+def live_buckets(log_stream: DataFrame, width: str, watermark: str) -> DataFrame:
     """Per-run event count and mean latency in tumbling event-time windows.
 
-    The watermark (our addition, opt-in through ``watermark``) lets append
-    mode close a window; Spark refuses NTZ for watermarks, so the input time
+    ``watermark``, the lateness up to which rows count, lets append mode close
+    a window (rows later than that are dropped, so the caller names it); Spark refuses NTZ for watermarks, so the input time
     is cast to a timestamp.
     """
     t = F.timestamp_millis(F.col("inputKafkaTimestamp").try_cast("long"))

@@ -187,7 +187,7 @@ def after_watermark(pred, event_time: str = "event_time"):
     return F.when(F.col(event_time).isNotNull(), pred).otherwise(F.lit(False))
 
 
-def build_ordered_pipeline(domain: DataFrame, profile: Profile, lateness: str = "10 minutes") -> DataFrame:
+def build_ordered_pipeline(domain: DataFrame, profile: Profile, lateness: str) -> DataFrame:
     """The chain in event order under a watermark (opt-in; the reference is
     arrival-ordered).  Events may arrive out of order by up to ``lateness``;
     older ones are dropped as late.  Each stage buffers its keys' rows in

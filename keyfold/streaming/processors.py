@@ -14,10 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from keyfold.operators.reserve import settle_run
+
 
 SETTLED_SCHEMA = T.StructType(
     [
@@ -72,20 +75,12 @@ class StockProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _batch(rows)
         s = int(self.stock.get()[0]) if self.stock.exists() else self.initial_stock
-        status, after = [], []
-        for kind, req, rst in zip(pdf["kind"], pdf["requested"], pdf["restock"]):
-            if kind == "add":
-                q = int(req)
-                if s >= q:
-                    s -= q
-                    status.append("INSTOCK")
-                else:
-                    status.append("OUTOFSTOCK")
-            else:
-                if self.restock_applies and pd.notna(rst):
-                    s += int(rst)
-                status.append(None)
-            after.append(s)
+        is_add = (pdf["kind"] == "add").to_numpy(dtype=bool)
+        restock = pdf["restock"].fillna(0).to_numpy(dtype=np.int64) * self.restock_applies
+        delta = np.where(is_add, -pdf["requested"].fillna(0).to_numpy(dtype=np.int64), restock)
+        ok, after = settle_run(s, delta, is_add)
+        status = np.where(is_add, np.where(ok, "INSTOCK", "OUTOFSTOCK"), None)
+        s = int(after[-1])
         self.stock.update((s,))
         yield pd.DataFrame(
             {
@@ -129,35 +124,47 @@ class CartProcessor(StatefulProcessor):
         user = int(key[0])
         pdf = _batch(rows)
         b = int(self.basket.get()[0]) if self.basket.exists() else None
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.kind == "add":
-                for f in self.fillers:
-                    if not f.exists():
-                        f.update(("a" * 500,))
-                q = int(r.requested)
-                if r.status == "INSTOCK":
-                    b = q if b is None else b + q
-                out.append(("confirm", user, int(r.item_id), int(r.event_id), q, None, None, str(int(r.ts_ms))))
-            elif r.kind == "checkout":
-                if self.checkout == "clear":
-                    if b is not None:
-                        out.append(("receipt", user, None, int(r.event_id), None, b, self._text(user, b),
-                                    str(int(r.ts_ms))))
-                        b = None
-                elif self.checkout == "running":
-                    n = 0 if b is None else b
-                    out.append(("receipt", user, None, int(r.event_id), None, n, self._text(user, n),
-                                str(int(r.ts_ms))))
+        add, check = ((pdf["kind"] == k).to_numpy(dtype=bool) for k in ("add", "checkout"))
+        if add.any():
+            for f in self.fillers:
+                if not f.exists():
+                    f.update(("a" * 500,))
+        qty = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
+        granted = add & (pdf["status"] == "INSTOCK").to_numpy(dtype=bool)
+        # items and grants up to each row, the carried basket counted as one grant
+        items = np.cumsum(np.where(granted, qty, 0)) + (b or 0)
+        grants = np.cumsum(granted) + (b is not None)
+        at = np.flatnonzero(check)
+        if self.checkout == "clear":
+            n = np.diff(items[at], prepend=0)
+            shown = np.diff(grants[at], prepend=0) > 0
+            base, seen = (items[at[-1]], grants[at[-1]]) if len(at) else (0, 0)
+            b = int(items[-1] - base) if grants[-1] > seen else None
+        else:
+            n, shown = items[at], np.full(len(at), self.checkout == "running")
+            b = int(items[-1]) if grants[-1] else None
+        at, n = at[shown], n[shown].tolist()
+        rows_out = np.concatenate([np.flatnonzero(add), at])
+        n_add = int(add.sum())
+        stamp = pdf["ts_ms"].to_numpy(dtype=np.int64)[rows_out]
+        out = {
+            "kind": ["confirm"] * n_add + ["receipt"] * len(at),
+            "user_id": [user] * len(rows_out),
+            "item_id": pdf["item_id"].where(add)[rows_out].tolist(),
+            "event_id": pdf["event_id"][rows_out].tolist(),
+            "quantity": qty[add].tolist() + [None] * len(at),
+            "n_items": [None] * n_add + n,
+            "receipt": [None] * n_add + [self._text(user, k) for k in n],
+            "publishTimestamp": [str(t) for t in stamp.tolist()],
+        }
         if b is None:
             self.basket.clear()
         else:
             self.basket.update((b,))
-        cols = [f.name for f in OUTPUT_SCHEMA.fields]
-        df = pd.DataFrame(out, columns=cols)
+        df = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
         for c in ("user_id", "item_id", "event_id", "n_items"):
-            df[c] = pd.array(df[c], dtype="Int64")
-        df["quantity"] = pd.array(df["quantity"], dtype="Int32")
+            df[c] = pd.array([None if pd.isna(x) else int(x) for x in df[c]], dtype="Int64")
+        df["quantity"] = pd.array(df["quantity"].tolist(), dtype="Int32")
         yield df
 
     def close(self) -> None:
@@ -199,19 +206,30 @@ class CartItemsProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         user = int(key[0])
         pdf = _batch(rows)
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.kind == "add":
-                if r.status == "INSTOCK":
-                    k = (int(r.item_id),)
-                    cur = self.items.getValue(k) if self.items.containsKey(k) else None
-                    q = int(r.requested) + (int(cur[0]) if cur is not None else 0)
-                    self.items.updateValue(k, (q,))
-            elif r.kind == "checkout" and self.items.exists():
-                entries = sorted((int(k[0]), int(v[0])) for k, v in self.items.iterator())
-                lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in entries)
-                out.append((user, int(r.event_id), f"User {user} receipt: \n{lines}"))
-                self.items.clear()
+        check = (pdf["kind"] == "checkout").to_numpy(dtype=bool)
+        cart = np.cumsum(check) - check  # a checkout belongs to the cart that it closes
+        add = ((pdf["kind"] == "add") & (pdf["status"] == "INSTOCK")).to_numpy(dtype=bool)
+        sums = pdf[add].assign(cart=cart[add]).groupby(["cart", "item_id"])["requested"].sum()
+        by_cart: dict[int, dict[int, int]] = {}
+        for (c, item), q in sums.items():
+            by_cart.setdefault(int(c), {})[int(item)] = int(q)
+        held = {int(k[0]): int(v[0]) for k, v in self.items.iterator()} if check.any() and self.items.exists() else {}
+        out, carried = [], bool(held)
+        for c, event_id in enumerate(pdf["event_id"][check].tolist()):
+            basket = by_cart.pop(c, {})
+            for item, q in held.items():
+                basket[item] = basket.get(item, 0) + q
+            held = {}
+            if basket:
+                lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in sorted(basket.items()))
+                out.append((user, int(event_id), f"User {user} receipt: \n{lines}"))
+        if carried:
+            self.items.clear()
+        for basket in by_cart.values():  # the cart still open
+            for item, q in basket.items():
+                k = (item,)
+                have = self.items.getValue(k) if not check.any() and self.items.containsKey(k) else None
+                self.items.updateValue(k, (q + (int(have[0]) if have is not None else 0),))
         df = pd.DataFrame(out, columns=["user_id", "event_id", "receipt"])
         df["user_id"] = pd.array(df["user_id"], dtype="Int64")
         df["event_id"] = pd.array(df["event_id"], dtype="Int64")

@@ -1,29 +1,48 @@
 """Ordered replay of driver events through the streaming pipeline.
 
-The events are written as parquet under a shared folder in ``waves`` of
-consecutive periods (days); the stream processes each wave to completion,
-and with ``restart`` a fresh query object resumes from the checkpoint for the
-next wave -- the stop / restart of the reference's crash test.  All paths
-sit under ``spark.checkpoint.dir``.
+The events are written as parquet under a shared folder in ``waves`` of equal
+time spans; the stream processes each wave to completion, and with more than
+one wave a fresh query object resumes from the checkpoint for the next -- the
+stop / restart of the reference's crash test.  All paths sit under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.operators import routing
 from keyfold.profiles import Profile
 from keyfold.session import shared_path
+from keyfold.sources import eventlog
 from keyfold.sources import testdata as td
-from keyfold.sources.eventlog import period_col
 from keyfold.streaming import pipeline
 
+RECEIPT_COLS = ("user_id", "event_id", "n_items", "receipt", "publishTimestamp")
+
+
+def time_waves(domain: DataFrame, waves: int, ts_ms: str = "ts_ms") -> list[DataFrame]:
+    """``domain`` cut into ``waves`` consecutive spans of its own time range,
+    each row in exactly one."""
+    low, high = domain.agg(F.min(ts_ms), F.max(ts_ms)).first()
+    if low is None or waves == 1:
+        return [domain]
+    cuts = [low + (high - low + 1) * i // waves for i in range(1, waves)]
+    wave = F.lit(0)
+    for c in cuts:
+        wave = wave + (F.col(ts_ms) >= c).cast("int")
+    return [domain.where(wave == i) for i in range(waves)]
+
 
 def replay_events(
-    spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, n_periods: int = 31,
-    base: str | None = None, build=None,
+    spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, base: str | None = None, build=None,
+    domain: DataFrame | None = None,
 ) -> DataFrame:
-    """Run the chain over the events table in ``waves`` ordered waves.
+    """Run the chain over the events table (or ``domain``) in ordered waves.
 
     Returns the sink contents (confirms and receipts) as a batch DataFrame;
     source, sink and checkpoint live under ``base`` (a fresh shared folder
@@ -31,13 +50,9 @@ def replay_events(
     """
     base = base or shared_path(spark, "replay")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty).withColumn(
-        "_period", period_col()
-    )
-    bounds = [round(i * n_periods / waves) for i in range(waves + 1)]
-    for i in range(waves):
-        lo, hi = bounds[i], bounds[i + 1]
-        part = domain.where((F.col("_period") > lo) & (F.col("_period") <= hi)).drop("_period")
+    if domain is None:
+        domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    for part in time_waves(domain, waves):
         part.write.mode("append").parquet(src)
         stream = pipeline.file_source(spark, src)
         out = (build or pipeline.build_pipeline)(stream, profile)
@@ -45,11 +60,14 @@ def replay_events(
     return spark.read.parquet(sink)
 
 
-def stream_receipts(spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1) -> DataFrame:
-    out = replay_events(spark, sf_dir, profile, waves)
-    return out.where(F.col("kind") == "receipt").select(
-        "user_id", "event_id", "n_items", "receipt", "publishTimestamp"
-    )
+def receipts_of(out: DataFrame) -> DataFrame:
+    return out.where(F.col("kind") == "receipt").select(*RECEIPT_COLS)
+
+
+def stream_receipts(
+    spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, domain: DataFrame | None = None
+) -> DataFrame:
+    return receipts_of(replay_events(spark, sf_dir, profile, waves, domain=domain))
 
 
 def stream_receipt_lines(spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1) -> DataFrame:
@@ -58,29 +76,103 @@ def stream_receipt_lines(spark: SparkSession, sf_dir: str, profile: Profile, wav
 
 
 def stream_receipts_out_of_order(
-    spark: SparkSession, sf_dir: str, profile: Profile, lateness: str = "40 days"
+    spark: SparkSession, sf_dir: str, profile: Profile, domain: DataFrame | None = None
 ) -> DataFrame:
-    """Ordered mode over out-of-order arrival: the second half of the month
-    arrives first, then the first half (every event, reverse time order),
-    then one far-future tick that moves the watermark past everything.  With
-    ``lateness`` above the data's span nothing is late, so the receipts equal
-    the batch result."""
-    import datetime as dt
-
+    """Ordered mode over out-of-order arrival: the later half of the time span
+    arrives first, then the earlier half, then one tick beyond both that moves
+    the watermark past everything.  The lateness bound is the data's own span
+    and a day, so nothing is late and the receipts equal the batch result."""
     base = shared_path(spark, "replay-ordered")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty).withColumn(
-        "_period", period_col()
-    )
-    waves = [domain.where(F.col("_period") > 15), domain.where(F.col("_period") <= 15)]
+    if domain is None:
+        domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    low, high = domain.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    if low is None:
+        return spark.createDataFrame([], "user_id long, event_id long, n_items long, receipt string, publishTimestamp string")
+    day = 86_400_000
+    days = (high - low) // day + 2
+    at = high + (days + 2) * day
     tick = spark.createDataFrame(
-        [(-1, dt.datetime(2100, 1, 1), 4102444800000, "tick", None, None, None)],
+        [(-1, dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=at), at, "tick", None, None, None)],
         "event_id long, ts timestamp_ntz, ts_ms long, kind string, user_id long, item_id long, quantity int",
     )
-    for part in [w.drop("_period") for w in waves] + [tick]:
+    for part in [*reversed(time_waves(domain, 2)), tick]:
         part.write.mode("append").parquet(src)
-        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, src), profile, lateness)
+        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, src), profile, f"{days} days")
         pipeline.run_available(spark, out, sink, ckpt)
-    return spark.read.parquet(sink).where(F.col("kind") == "receipt").select(
-        "user_id", "event_id", "n_items", "receipt", "publishTimestamp"
-    )
+    return receipts_of(spark.read.parquet(sink))
+
+
+# -------------------------------------------------------- streams of log text
+
+
+def log_stream(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Log records (text line, offset, broker time) to domain
+    events: route, decode, and drop what does not decode.  ``strict`` fails on
+    a poison record, as the reference does the first time."""
+    src = spark.readStream.schema("event_id long, ts timestamp_ntz, ts_ms long, value string").parquet(path)
+    decoded = routing.decode(routing.route(src))
+    if strict:
+        decoded = routing.strict(decoded)
+    topic = F.col("topic")
+    kind = F.when(topic == "add-to-cart", "add").when(topic == "checkout", "checkout").otherwise("restock")
+    return decoded.where("decoded").select(
+        "event_id", "ts", "ts_ms", kind.alias("kind"),
+        F.col("userId").try_cast("long").alias("user_id"), F.col("itemId").try_cast("long").alias("item_id"),
+        F.when(kind != "checkout", F.col("quantity")).cast("int").alias("quantity"),
+    )
+
+
+def _write_log(lines: DataFrame, path: str) -> None:
+    from keyfold.functions.timefns import epoch_ms
+
+    lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value").write.mode("append").parquet(path)
+
+
+def stream_receipts_from_log(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """The whole chain in one stream: text lines to receipts."""
+    base = shared_path(spark, "replay-log")
+    _write_log(eventlog.lines_from_events(td.table(spark, sf_dir, "events"), profile.restock_qty), f"{base}/source")
+    out = pipeline.build_pipeline(log_stream(spark, f"{base}/source"), profile)
+    pipeline.run_available(spark, out, f"{base}/sink", f"{base}/checkpoint")
+    return receipts_of(spark.read.parquet(f"{base}/sink"))
+
+
+def stream_crash_resume(spark: SparkSession, sf_dir: str, profile: Profile, fail_period: int) -> DataFrame:
+    """The log holds one poison record.  The first run fails inside
+    the micro-batch that reads it; the second, on the same checkpoint, takes
+    the batch again and processes the record.  State and sink show no trace of
+    the failed attempt."""
+    base = shared_path(spark, "replay-crash")
+    lines = eventlog.lines_from_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    lines = eventlog.inject_poison_first_add(lines, fail_period)
+    early = F.col("period") < fail_period
+    has_poison = not lines.where((F.col("period") == fail_period) & (F.col("kind") == "add")).isEmpty()
+
+    def run(strict: bool) -> None:
+        out = pipeline.build_pipeline(log_stream(spark, f"{base}/source", strict), profile)
+        pipeline.run_available(spark, out, f"{base}/sink", f"{base}/checkpoint")
+
+    _write_log(lines.where(early), f"{base}/source")
+    run(strict=True)
+    _write_log(lines.where(~early), f"{base}/source")
+    try:
+        run(strict=True)
+        crashed = False
+    except StreamingQueryException:
+        crashed = True
+    if crashed != has_poison:
+        raise RuntimeError("the poison record did not stop the stream" if has_poison else "the stream failed by itself")
+    if crashed:
+        run(strict=False)
+    return receipts_of(spark.read.parquet(f"{base}/sink"))
+
+
+def state_final_stock(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """The final stock per item, read from the stream's state."""
+    from keyfold.streaming.extras import read_state
+
+    base = shared_path(spark, "replay-state")
+    replay_events(spark, sf_dir, profile, base=base)
+    st = read_state(spark, f"{base}/checkpoint", "stock")
+    return st.select(F.col("key.item_id").alias("item_id"), F.col("value.stock").alias("final_stock"))

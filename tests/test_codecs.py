@@ -28,7 +28,7 @@ def test_decode_cases(spark):
     assert rows[2].quantity == 300 and rows[2].itemId == "x1"
     assert rows[3].quantity == -1 and rows[3].decoded
     assert not rows[4].decoded  # cut-off record -> reject side
-    assert rows[5].quantity == 4 and rows[5].decoded  # quoted number, unknown field ignored
+    assert rows[5].quantity == 4 and not rows[5].decoded  # quoted number; a field that is not declared
     assert rows[6].quantity == 0 and rows[6].decoded
     assert rows[7].key == "ffff" and rows[7].decoded  # trimmed
 
@@ -39,6 +39,39 @@ def test_missing_quantity_reads_zero(spark):
     assert rows[0].quantity == 0
 
 
+def test_quantity_forms_and_defaults(spark):
+    body = 'u={"userId":"d","quantity":%s}'
+    forms = ['"abc"', "3.5", "99999999999", "[1]", "null", "4.0", "1e2", '"7"', "-2147483648"]
+    rows = _decode(spark, [body % f for f in forms] + ['u={"userId":"d","quantity":2}', "u=[1]", "u=7", "u"])
+    assert [r.decoded for r in rows] == [False] * 4 + [True] * 6 + [False] * 3
+    assert [r.quantity for r in rows[4:9]] == [0, 4, 100, 7, -2147483648]
+    assert rows[9].itemId is None and rows[9].quantity == 2  # an absent field is a default
+
+
+def test_body_is_parsed_once(spark):
+    df = spark.createDataFrame([("u={}",)], "value string")
+    dec = routing.decode(routing.route(df))
+    for out in (routing.accepted(dec, "add-to-cart"), routing.rejects(dec), routing.quarantine(dec)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
+
+
+def test_accepted_and_quarantined_are_disjoint(spark):
+    df = spark.createDataFrame([('e={"userId":"e","quantity":-1,"itemId":"x"}',), ('f={"userId":"f","quantity":1}',)], "value string")
+    dec = routing.decode(routing.route(df))
+    assert [r.key for r in routing.accepted(dec, "add-to-cart").collect()] == ["f"]
+    assert [r.key for r in routing.quarantine(dec).collect()] == ["e"]
+
+
+def test_draws_are_independent(spark):
+    df = spark.range(0, 20000).select(*[synth.uniform("id", s).alias(f"u{s}") for s in (1, 2, 11)])
+    for a, b in (("u1", "u2"), ("u1", "u11"), ("u2", "u11")):
+        r = df.agg(F.corr(a, b).alias("c"), F.countDistinct(F.round(F.col(a) - F.col(b), 6)).alias("n")).first()
+        assert abs(r.c) < 0.03 and r.n > 10000
+    texts = spark.range(3).select(synth.id_string("id", 250).alias("s")).collect()
+    assert all(len(r.s) == 250 and r.s[:64] != r.s[64:128] for r in texts)
+
+
 def test_quarantine_and_strict(spark):
     df = spark.createDataFrame([('b={"userId":"b","quantity":-1,"itemId":"x"}',),
                                 ('a={"userId":"a","quantity":2,"itemId":"x"}',)], "value string")
@@ -122,4 +155,5 @@ def test_endless_replay_and_period_files(spark):
     assert len([d for d in os.listdir(path) if d.startswith("period=")]) == lines.select("period").distinct().count()
     back = eventlog.read_periods(spark, path)
     assert back.count() == lines.count()
-    assert back.where(back.period == 1).count() == lines.where(lines.period == 1).count()
+    day = lines.first().period
+    assert back.where(back.period == day).count() == lines.where(lines.period == day).count()

@@ -92,3 +92,38 @@ def test_ordered_mode_settles_in_event_order(spark):
     rec = [(r.event_id, r.n_items) for r in out if r.kind == "receipt"]
     assert rec == [(3, 2)]  # user 5 got item 1's only unit (t=10 before t=15) and item 2
     assert sorted(r.event_id for r in out if r.kind == "confirm") == [1, 2, 5]
+
+
+def _long_log(spark):
+    """400 events over seven months, a third of them of one item, 8 users."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        kind = rnd.choices(["add", "checkout", "restock"], [6, 2, 1])[0]
+        item = None if kind == "checkout" else 0 if rnd.random() < 0.33 else rnd.randint(1, 4)
+        user = None if kind == "restock" else rnd.randint(1, 8)
+        q = None if kind == "checkout" else 3 if kind == "restock" else rnd.randint(1, 9)
+        rows.append((i, rnd.randint(0, 210 * 86400), kind, user, item, q))
+    return ev(spark, rows)
+
+
+def test_streams_equal_batch_on_a_log_of_months(spark):
+    from keyfold.streaming.replay import stream_receipts_out_of_order, time_waves
+
+    d = _long_log(spark)
+    want = carts.receipts(reserve.reserve(d, P.UNIT), d, P.UNIT).select(*_RECEIPT_COLS)
+    assert want.count() > 20
+    waves = time_waves(d, 3)
+    assert sum(w.count() for w in waves) == 400 and all(w.count() > 50 for w in waves)
+    assert _same(stream_receipts(spark, "", P.UNIT, waves=1, domain=d), want)
+    assert _same(stream_receipts(spark, "", P.UNIT, waves=3, domain=d), want)
+    assert _same(stream_receipts_out_of_order(spark, "", P.UNIT, domain=d), want)
+
+
+def test_periods_follow_the_calendar(spark):
+    from keyfold.sources.eventlog import period_col
+
+    p = _long_log(spark).select(period_col().alias("p")).distinct().count()
+    assert p > 100
