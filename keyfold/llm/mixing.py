@@ -197,7 +197,9 @@ def pieces(placed: DataFrame, taken: DataFrame, block: int = BLOCK) -> DataFrame
     spread = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"position DIV {block}"), last)))
     begin, end = F.greatest(F.col("position"), F.col("block") * block), F.least(F.col("position") + F.col("size"), (F.col("block") + 1) * block)
     return (
-        spread.join(taken, ["source_no", "block"], "left")
+        # the blocks taken grow with the input, but come from a small range that
+        # Spark would take them to be as small as: never broadcast them
+        spread.join(taken.hint("merge"), ["source_no", "block"], "left")
         .withColumn("start", begin - F.col("position")).withColumn("words", end - begin)
         .withColumn("times", F.coalesce("times", F.lit(0)))
     )
