@@ -10,16 +10,17 @@ least ``percent`` of the union shared) needs that sum to reach a known size.
    smallest.  The number of hashes taken, k, is that of an exact prefix filter
    or, for large sets, the k at which a linked pair shares none of them with a
    chance below 2**-64 - no more than that of a clash of the hashes themselves.
-3. Star round: in each block every set is tried against one other, the first
-   in a random order that all blocks share; pairs that pass the bound are
-   verified on the full sets, and the links give components.  Its pairs are
-   never more than the rows of the blocks.
-4. Tree round: blocks that still hold several components are cut into tiles of
-   ``TILE`` rows in order of set size.  A tile is an R-tree: leaves of ``LEAF``
-   points under their coordinate maxima.  Tiles of a block are joined with
-   themselves and each other through the tree, a task per pair of tiles, and
-   only pairs between components are kept.  These too are verified, so every
-   link that could join two components is found.
+3. Star rounds: in each block every set is tried against one other, the first
+   in a random order; pairs that pass the bound are verified on the full sets,
+   and the links give components.  Blocks that still hold several components go
+   into the next round, with other orders, while rounds find links.  A round's
+   pairs are never more than the rows of its blocks.
+4. Tree round: what is left of the blocks is cut into tiles of ``TILE`` rows in
+   order of set size.  A tile is an R-tree: leaves of ``LEAF`` points under
+   their coordinate maxima.  Tiles of a block are joined with themselves and
+   each other through the tree, a task per pair of tiles, and only pairs
+   between components are kept.  These too are verified, so every link that
+   could join two components is found.
 
 Defined cases: a text without words has an empty set and links with nothing;
 shorter texts are one shingle; rows with a null id are returned with their set
@@ -35,6 +36,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,11 @@ from keyfold.llm.common import materialise, shingle_sets, spans, utf8
 from keyfold.llm.components import components
 from keyfold.session import ship_package
 
-GROUPS, TILE, LEAF = 64, 1024, 32
+GROUPS, TILE, LEAF = 256, 1024, 32
+#: Star rounds at most, and the random orders in which a round's blocks find their first.
+STAR_ROUNDS, ORDERS = 1, 8
+#: Sets that are held at once to verify pairs.
+SETS = 2048
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -55,7 +61,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _counts(s: np.ndarray) -> bytes:
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
     top = int(c.max(initial=0))
     return c.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
@@ -91,24 +97,38 @@ def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             )
 
 
+#: Pairs with the place (block or tile, and batch) that they were found in.
+PAIRS = "a bigint, b bigint, place bigint, part bigint"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, place, part: int) -> pa.RecordBatch:
+    n = len(a)
+    place = np.full(n, place, np.int64) if np.isscalar(place) else place
+    columns = (np.minimum(a, b), np.maximum(a, b), place, np.full(n, part, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "place", "part"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, n, point) sorted by key: each against its block's first."""
-    head = None
+    """Rows (key, rep, n, point, label) sorted by key: each against the first of
+    its block, where their components differ."""
+    from pyspark import TaskContext
+
+    head, serial = None, TaskContext.get().partitionId() << 32
     for batch in batches:
+        serial += 1
         if not batch.num_rows:
             continue
-        key, rep, n = (batch.column(i).to_numpy() for i in range(3))
+        key, rep, n, label = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
         vec = points(batch.column(3))
         if head:  # the block that the last batch ended in goes on
-            key, rep, n = (np.concatenate([[h], x]) for h, x in zip(head, (key, rep, n)))
-            vec = np.concatenate([head[3][None], vec])
+            key, rep, n, label = (np.concatenate([[h], x]) for h, x in zip(head, (key, rep, n, label)))
+            vec = np.concatenate([head[4][None], vec])
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lead = np.repeat(first, np.diff(np.append(first, len(key))))
         k = int(first[-1])
-        head = (key[k], rep[k], n[k], vec[k])
-        ok = _may_link(np.minimum(vec, vec[lead]).sum(1, dtype=np.int64), n + n[lead], percent) & (rep != rep[lead])
-        a, b = rep[lead][ok], rep[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        head = (key[k], rep[k], n[k], label[k], vec[k])
+        ok = _may_link(np.minimum(vec, vec[lead]).sum(1, dtype=np.int64), n + n[lead], percent) & (label != label[lead])
+        yield _pairs(rep[lead][ok], rep[ok], key[ok], serial)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +144,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial += 1
         n, rep, label = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
         raw = [x for r in rows for x in r[4]]
-        vec = points(raw).astype("<u4")
+        vec = points(raw)
         return rows[0][0], serial, int(n.min()), int(n.max()), len(n), n.tobytes(), rep.tobytes(), label.tobytes(), vec.tobytes()
 
     for batch in batches:
@@ -157,13 +177,14 @@ def _no_tiles(names: list[str]) -> pa.RecordBatch:
 
 
 def _tree(sizes: bytes, reps: bytes, labels: bytes, vecs: bytes):
-    """Leaves of one tile: points with their coordinate maxima and least size."""
+    """Leaves of one tile: coordinate maxima, least and greatest size."""
     n, rep, label = (np.frombuffer(x, np.int64) for x in (sizes, reps, labels))
-    vec = np.frombuffer(vecs, "<u4").reshape(-1, GROUPS)
+    width = len(vecs) // max(1, len(n) * GROUPS)
+    vec = np.frombuffer(vecs, f"<u{width or 1}").reshape(-1, GROUPS)
     starts = range(0, len(n), LEAF)
     top = np.stack([vec[i : i + LEAF].max(0) for i in starts])
-    least = np.array([n[i : i + LEAF].min() for i in starts])
-    return n, rep, label, vec, top, least
+    ends = [(n[i : i + LEAF].min(), n[i : i + LEAF].max()) for i in starts]
+    return n, rep, label, vec, top, np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
 
 
 def tree_join(x, y, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -172,30 +193,35 @@ def tree_join(x, y, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     same, y = y is None, x if y is None else y
     out = []
     for i in range(len(x[5])):
-        near = _may_link(np.minimum(y[4], x[4][i]).sum(1, dtype=np.int64), y[5] + x[5][i], percent)
+        near = (percent * y[5] <= 100 * x[6][i]) & (percent * x[5][i] <= 100 * y[6])
+        near &= _may_link(np.minimum(y[4], x[4][i]).sum(1, dtype=np.int64), y[5] + x[5][i], percent)
         rows = np.arange(i * LEAF, min((i + 1) * LEAF, len(x[0])))
         for j in np.flatnonzero(near):
             if same and j < i:
                 continue
             other = np.arange(j * LEAF, min((j + 1) * LEAF, len(y[0])))
-            bound = np.minimum(x[3][rows][:, None, :], y[3][other][None]).sum(2, dtype=np.int64)
-            ok = _may_link(bound, x[0][rows][:, None] + y[0][other][None], percent)
-            ok &= x[2][rows][:, None] != y[2][other][None]
+            ok = x[2][rows][:, None] != y[2][other][None]
             if same and i == j:
                 ok &= rows[:, None] < other[None]
             p, q = np.nonzero(ok)
+            bound = np.minimum(x[3][rows[p]], y[3][other[q]]).sum(1, dtype=np.int32)
+            ok = _may_link(bound, x[0][rows[p]] + y[0][other[q]], percent)
+            p, q = p[ok], q[ok]
             if len(p):
                 out.append((x[1][rows[p]], y[1][other[q]]))
     return out
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, its tree[, another tree]) to the pairs that may link."""
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            x = _tree(*row[:4])
-            y = _tree(*row[4:]) if len(row) > 4 else None
-            for a, b in tree_join(x, y, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            x = _tree(*row[1:5])
+            y = _tree(*row[5:]) if len(row) > 5 else None
+            found = tree_join(x, y, percent)
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found))
+                yield _pairs(a, b, int(row[0]), 0 if y is None else 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,32 +232,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * shared >= percent * (len(both) - shared) and shared > 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+def _verified(percent: int):
+    def verify(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        sets = {i: np.frombuffer(x, np.uint64) for i, x in zip(members["id"], members["set"])}
+        keep = np.zeros(len(pairs), bool)
+        for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"])):
+            x, y = sets.get(a), sets.get(b)
+            if x is None or y is None:
+                continue
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            at = np.searchsorted(y, x)
+            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+            keep[k] = shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+        return pairs.loc[keep, ["a", "b"]]
+
+    return verify
 
 
 # ------------------------------------------------------------------ operator
 
 
 def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    pairs = materialise(pairs.distinct(), "join-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary"), "join-sets")
-    full = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        .select("a", "b", "x", "y")
+    """The pairs whose full sets reach the threshold.
+
+    A pair found in several places is checked in the first of them.  Places
+    hold a batch or two tiles at most, and pairs of one place share documents:
+    each group of places gets every set that it needs once, not once per pair.
+    """
+    pairs = materialise(
+        pairs.groupBy("a", "b").agg(F.min(F.struct("place", "part")).alias("at")).select("a", "b", F.xxhash64("at.place", "at.part").alias("at")),
+        "join-pairs",
     )
-    return materialise(full.mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint").distinct(), "join-links")
+    need = pairs.select("at", F.col("a").alias("id")).union(pairs.select("at", "b")).distinct()
+    sets = rows.join(need.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary")
+    sets = materialise(sets, "join-sets")
+    groups = max(1, -(-need.count() // SETS))
+    group = F.pmod("at", F.lit(groups)).alias("group")
+    members = need.select(group, "id").distinct().join(sets, "id")
+    return materialise(
+        pairs.select(group, "a", "b").groupBy("group").cogroup(members.groupBy("group"))
+        .applyInPandas(_verified(percent), "a bigint, b bigint"),
+        "join-links",
+    )
+
+
+def _open(blocks: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of blocks that hold several components, with their labels."""
+    marked = blocks.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return marked.join(mixed, "key").select("key", "rep", "n", "point", "label")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -257,17 +306,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         "join-blocks",
     )
 
-    order = F.xxhash64("rep")
-    stars = (
-        blocks.repartitionByRange(F.col("key"), order).sortWithinPartitions("key", order)
-        .mapInArrow(lambda it: _stars(it, percent), "a bigint, b bigint")
-    )
-    links = _links(rows, stars, percent)
-    label = materialise(components(links), "join-labels")
-
-    marked = blocks.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_rows = marked.join(mixed, "key").select("key", "n", "rep", "label", "point")
+    label = spark.createDataFrame([], "node bigint, label bigint")
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    for turn in range(STAR_ROUNDS):
+        order = F.xxhash64("rep", F.lit(turn), F.pmod("key", F.lit(ORDERS)))
+        stars = (
+            _open(blocks, label).repartitionByRange(F.col("key"), order).sortWithinPartitions("key", order)
+            .mapInArrow(lambda it: _stars(it, percent), PAIRS)
+        )
+        found = _links(rows, stars, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        label = materialise(components(links), "join-labels")
+
+    open_rows = _open(blocks, label).select("key", "n", "rep", "label", "point")
     tiles = materialise(
         open_rows.repartitionByRange("key", "n", "rep").sortWithinPartitions("key", "n", "rep").mapInArrow(
             _tiles, "key bigint, tile bigint, low bigint, high bigint, rows bigint, sizes binary, reps binary, labels binary, points binary"
@@ -284,8 +337,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     across = meet.join(tiles.select(F.col("tile").alias("p"), *tree), "p").join(
         tiles.select(F.col("tile").alias("q"), *[F.col(c).alias(f"{c}_q") for c in tree]), "q"
     )
-    found = tiles.select(*tree).repartition(F.xxhash64("reps", "sizes")).mapInArrow(lambda it: _tile_pairs(it, percent), "a bigint, b bigint").unionByName(
-        across.select(*tree, *[f"{c}_q" for c in tree]).mapInArrow(lambda it: _tile_pairs(it, percent), "a bigint, b bigint")
+    alone = tiles.select("tile", *tree).repartition(F.xxhash64("tile"))
+    found = alone.mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS).unionByName(
+        across.select("p", *tree, *[f"{c}_q" for c in tree]).mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS)
     )
     more = _links(rows, found, percent)
     label = materialise(components(links.unionByName(more)), "join-labels") if not more.isEmpty() else label
