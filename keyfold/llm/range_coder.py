@@ -27,7 +27,8 @@ import numpy as np
 
 U = np.uint64
 #: Fixed values of the format.
-BITS, LITERAL = 24, 1 << 20
+BITS, LITERAL_BITS = 24, 20
+LITERAL = 1 << LITERAL_BITS
 TOP, BOTTOM = 1 << 48, 1 << 40
 SLOTS, SURE = 1 << 16, 7
 LANES, LANE_IDS = 4096, 256
@@ -38,8 +39,10 @@ MAGIC = b"CMX1"
 class _Models:
     """What the coder knows so far; both directions call the same methods."""
 
-    def __init__(self, vocab: int, lanes: int):
-        self.vocab = vocab
+    def __init__(self, vocab: int, lanes: int, search: bool = False):
+        if vocab > LITERAL // 2:
+            raise ValueError(f"more than {LITERAL // 2} ids")
+        self.vocab, self.search = vocab, search
         self.next2, self.sure2 = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
         self.next1, self.sure1 = np.full(vocab, -1, np.int64), np.zeros(vocab, np.int64)
         self.seen, self.right2, self.right1 = (np.zeros(2 * (SURE + 1) ** 2, np.int64) for _ in range(3))
@@ -51,13 +54,15 @@ class _Models:
         self._frequencies()
 
     def _frequencies(self) -> None:
+        """Where each id's share of the LITERAL order-0 units begins: one unit
+        for each id, the rest by counts."""
         if self.recent:
             self.count += np.bincount(np.concatenate(self.recent), minlength=self.vocab)
             self.recent.clear()
-        total = max(1, int(self.count.sum()))
-        share = 1 + self.count * (LITERAL // 2) // total
-        self.below = np.concatenate([[0], np.cumsum(share)])
-        self.total = int(self.below[-1])
+        upto = np.concatenate([[0], np.cumsum(self.count if self.steps else self.count + 1)])
+        self.below = np.arange(self.vocab + 1) + upto * (LITERAL - self.vocab) // upto[-1]
+        if self.search:
+            self.owner = np.repeat(np.arange(self.vocab, dtype=np.int32), np.diff(self.below))
 
     def predict(self) -> None:
         self.slot = ((self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA6B) >> 7) & (SLOTS - 1)
@@ -74,15 +79,21 @@ class _Models:
         self.r0 = (1 << BITS) - self.base
 
     def literal(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.r0 * self.below[ids] // self.total
-        return self.base + low, self.r0 * self.below[ids + 1] // self.total - low
+        low = self.r0 * self.below[ids] >> LITERAL_BITS
+        return self.base + low, (self.r0 * self.below[ids + 1] >> LITERAL_BITS) - low
+
+    def find(self, rest: np.ndarray) -> np.ndarray:
+        """The id whose literal share holds the unit ``rest``."""
+        unit = (((rest + 1) << LITERAL_BITS) - 1).astype(U) // self.r0.astype(U)
+        return self.owner[unit.astype(np.int64)].astype(np.int64)
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.p2, ids == self.p1
-        kinds = len(self.seen)
-        self.seen += np.bincount(self.context, minlength=kinds)
-        self.right2 += np.bincount(self.context[hit2], minlength=kinds)
-        self.right1 += np.bincount(self.context[hit1 & ~hit2], minlength=kinds)
+        # per context: neither, order 1 alone, order 2 (with or without it)
+        outcome = np.bincount(self.context * 4 + hit1 + 2 * hit2, minlength=4 * len(self.seen)).reshape(-1, 4)
+        self.seen += outcome.sum(1)
+        self.right2 += outcome[:, 2] + outcome[:, 3]
+        self.right1 += outcome[:, 1]
         self.next2[self.slot] = np.where(hit2 | (self.c2 > 0), self.p2, ids)
         self.sure2[self.slot] = np.where(hit2, np.minimum(self.c2 + 1, SURE), self.c2 >> 1)
         self.next1[self.before1] = np.where(hit1 | (self.c1 > 0), self.p1, ids)
@@ -95,14 +106,17 @@ class _Models:
             self.rebuild_at += min(self.steps, 16)
 
 
-def _settle(low: np.ndarray, span: np.ndarray):
-    """Lanes that must move 16 bits on, with their range cut to the next
-    multiple of BOTTOM where it straddles one for too long."""
-    same = (low ^ (low + span)) < U(TOP)
-    short = ~same & (span < U(BOTTOM))
+def _settle(low: np.ndarray, span: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+    """Which (of these) lanes must move 16 bits on; a range that straddles a
+    multiple of BOTTOM for too long is cut there."""
+    x, s = (low, span) if lanes is None else (low[lanes], span[lanes])
+    same = (x ^ (x + s)) < U(TOP)
+    short = ~same & (s < U(BOTTOM))
     if short.any():
-        span[short] = (U(0) - low[short]) & U(BOTTOM - 1)
-    return np.flatnonzero(same | short)
+        at = np.flatnonzero(short) if lanes is None else lanes[short]
+        span[at] = (U(0) - low[at]) & U(BOTTOM - 1)
+    move = same | short
+    return np.flatnonzero(move) if lanes is None else lanes[move]
 
 
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
@@ -126,11 +140,13 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         unit = span >> U(BITS)
         low += unit * start
         span = unit * width
-        while len(go := _settle(low, span)):
+        go = _settle(low, span)
+        while len(go):
             lane_of.append(go.astype(np.uint16))
             word_of.append((low[go] >> U(48)).astype(np.uint16))
             low[go] <<= U(16)
             span[go] <<= U(16)
+            go = _settle(low, span, go)
         m.learn(x)
     close = low + U(1 << 33)  # two more words point into every lane's range
     every = np.arange(lanes, dtype=np.uint16)
@@ -169,7 +185,7 @@ def decode_block(data: bytes, vocab: int) -> np.ndarray:
     code = np.zeros(lanes, U)
     for _ in range(4):
         code = (code << U(16)) | pull(every)
-    m = _Models(vocab, lanes)
+    m = _Models(vocab, lanes, search=True)
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     grid = np.empty((steps, lanes), np.int64)
     for t in range(steps):
@@ -179,17 +195,19 @@ def decode_block(data: bytes, vocab: int) -> np.ndarray:
         is2 = value < m.r2
         is1 = ~is2 & (value < m.base)
         rest = np.maximum(value - m.base, 0)
-        x = np.searchsorted(m.below, ((rest + 1) * m.total - 1) // m.r0, "right") - 1
+        x = m.find(np.minimum(rest, m.r0 - 1))
         x = np.where(is2, m.p2, np.where(is1, m.p1, x))
         start, width = m.literal(x)
         start = np.where(is2, 0, np.where(is1, m.r2, start)).astype(U)
         width = np.where(is2, m.r2, np.where(is1, m.r1, width)).astype(U)
         low += unit * start
         span = unit * width
-        while len(go := _settle(low, span)):
+        go = _settle(low, span)
+        while len(go):
             low[go] <<= U(16)
             span[go] <<= U(16)
             code[go] = (code[go] << U(16)) | pull(go)
+            go = _settle(low, span, go)
         grid[t] = x
         m.learn(x)
     ids = grid.T.reshape(-1)[:n].astype(np.uint32)

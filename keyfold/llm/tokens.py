@@ -47,7 +47,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         self.tok = Tokenizer.from_str(text)
-        self.joined = "\\s+" not in json.dumps(json.loads(text)["normalizer"] or "").replace("\\\\", "\\")
+        normalizer = json.dumps(json.loads(text)["normalizer"] or "").replace("\\\\", "\\")
+        self.joined, self.folds = "\\s+" not in normalizer, '"Lowercase"' in normalizer
         self.stops = {p: self.tok.encode(p, add_special_tokens=False).ids for p in (".", ",")}
         # byte-level tokens that begin with a space, or word vocabularies' last tokens
         vocab = self.tok.get_vocab()
@@ -84,22 +85,30 @@ class Encoder:
             return
         first = len(self.known) - len(new)
         mark = "\x00" if self.joined else ""  # tells a text's first piece from later ones
-        # letters and one full stop or comma: the vocabularies cut between them
-        tail = {i: p[:-1] for i, p in enumerate(new) if p[-1:] in (".", ",") and p[:-1].removeprefix(mark).isalpha()}
-        for base in tail.values():
-            self.known[base]
+        # letters and one full stop or comma: the vocabularies cut between them;
+        # ASCII letters in a word vocabulary, which folds their case
+        alias = {}
+        for i, p in enumerate(new[:]):
+            stop = p[-1] if p[-1:] in (".", ",") and p[:-1].removeprefix(mark).isalpha() else ""
+            core = p[:-1] if stop else p
+            if self.folds and core.isascii() and core.isalpha():
+                core = core.lower()
+            if core != p:
+                alias[i] = core, stop
+        for core, _ in alias.values():
+            self.known[core]
         lists: list = [None] * len(new)
-        plain = self._many([i for i, p in enumerate(new) if i not in tail and p.isalpha()], new, lists)
-        plain += [i for i, p in enumerate(new) if i not in tail and not p.isalpha()]
+        plain = self._many([i for i, p in enumerate(new) if i not in alias and p.isalpha()], new, lists)
+        plain += [i for i, p in enumerate(new) if i not in alias and not p.isalpha()]
         texts = [new[i] for i in plain]
         if self.joined:
             texts = [p[1:] if p[:1] == mark else " " + p for p in texts]
         for i, e in zip(plain, self.tok.encode_batch(texts, add_special_tokens=False)):
             lists[i] = e.ids
-        for i, base in tail.items():
-            k = self.known[base]
+        for i, (core, stop) in alias.items():
+            k = self.known[core]
             have = lists[k - first] if k >= first else self.ids[self.at[k] : self.at[k] + self.length[k]].tolist()
-            lists[i] = have + self.stops[new[i][-1]]
+            lists[i] = have + self.stops[stop] if stop else have
         counts = np.fromiter(map(len, lists), np.int32, len(lists))
         if self.joined:  # -1: this piece makes its text one to encode whole
             for i in plain:
