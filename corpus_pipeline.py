@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from keyfold.llm import exact_dedup, mixing, ngram_join, packing, quality
 from keyfold.llm.catalogue import QUALITY_THRESHOLD, vocabulary
-from keyfold.llm.common import materialise, table
+from keyfold.llm.common import materialise, small, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = ngram_join.classes(docs).where("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.join(materialise(dropped, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    gone = small(materialise(dropped, "near-copies"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

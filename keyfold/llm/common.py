@@ -34,6 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few dozen bytes that may be sent to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has few rows; else
+    as it is, so that Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def open_store(uri: str):
     """The file system of a shared path, for tasks that write or range-read
     files of their own, and the path in it."""

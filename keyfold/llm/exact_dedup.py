@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import SPACE_RUN, materialise, scratch
+from keyfold.llm.common import SPACE_RUN, materialise, scratch, small
 from keyfold.session import use_rocksdb_state
 
 #: Input bytes of a micro-batch (a bound on what one batch shuffles).
@@ -97,21 +97,25 @@ def decide(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
 
 def _unequal(docs: DataFrame, state: DataFrame, text_col: str, digest, salt_rows: int) -> DataFrame:
     """Digests under which some hit's bytes differ from those of the text that
-    stays.  Hits are salted by the size of their group, and the text that
-    stays is copied once per salt: rows / ``salt_rows`` copies in all."""
-    many = state.where("n > 1").select(
-        "digest", "stays", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")
+    stays, which is found through its locator.  Only texts of groups are
+    shuffled (by a filter on 64 bits of the digest while the groups are few
+    enough to broadcast); hits are salted by the size of their group, and the
+    text that stays is copied once per salt: rows / ``salt_rows`` copies in all."""
+    many = materialise(
+        state.where("n > 1").select(
+            "digest", "stays", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"), F.xxhash64("digest").alias("bits")
+        ),
+        "dedup-groups",
     )
     norm = normalised(F.col(text_col))
     here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = docs.select(here.alias("at"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hits = rows.join(many, "digest")
-    # null-safe, so that no filter reaches one branch's scan: both then share one shuffle
-    is_first = F.col("at").eqNullSafe(F.col("stays.at"))
-    first = hits.where(is_first).select(
+    bits = small(many.select("bits"))
+    rows = rows.withColumn("bits", F.xxhash64("digest")).join(bits, "bits", "left_semi").drop("bits")
+    first = rows.drop("digest").join(many.select("digest", F.col("stays.at").alias("at"), "salts"), "at").select(
         "digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("stored")
     )
-    rest = hits.where(~is_first).select(
+    rest = rows.join(many.select("digest", "salts"), "digest").select(
         "digest", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int").alias("salt"), "norm"
     )
     return rest.join(first, ["digest", "salt"]).where(F.col("norm") != F.col("stored")).select("digest").distinct()
@@ -142,7 +146,10 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     path = scratch(spark, "dedup-docs")
     docs.write.parquet(path)
-    keep = decide(spark, path, id_col, text_col).where("kept").select("at")
+    dropped = materialise(
+        decide(spark, path, id_col, text_col).where(~F.col("kept")).select("at.file", "at.row"), "dedup-dropped"
+    )
+    gone = small(dropped)
     stored = spark.read.schema(docs.schema).parquet(path)
-    mine = (stored["_metadata.file_path"] == keep["at.file"]) & (stored["_metadata.row_index"] == keep["at.row"])
-    return stored.join(keep, mine, "left_semi").select(*[stored[c] for c in docs.columns])
+    same = (stored["_metadata.file_path"] == gone["file"]) & (stored["_metadata.row_index"] == gone["row"])
+    return stored.join(gone, same, "left_anti").select(*[stored[c] for c in docs.columns])

@@ -254,17 +254,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = (
         pieces(placed, taken, options.get("block", BLOCK))
         .groupBy("id", "mark", "size", "source_no", "position").agg(F.max("times").alias("most"), F.collect_list(F.struct("start", "words", "times")).alias("spans"))
-        .where("most > 0")
+        .withColumn("spans", F.when(F.col("most") > 0, F.col("spans")))
     )
     # rows alike in id and text (of any source) are told apart by their order
-    spans = spans.withColumn("nth", F.row_number().over(W.partitionBy("id", "mark").orderBy("source_no", "position"))).select(
-        F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("nth").alias("_nth"), F.col("spans").alias("_spans")
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_mark", F.xxhash64(text))
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_mark").orderBy(F.col(source_col).asc_nulls_last())))
-    same = rows["_id"].eqNullSafe(spans["_id"]) & (rows["_mark"] == spans["_mark"]) & (rows["_nth"] == spans["_nth"])
+    same = W.partitionBy("id", "mark").orderBy("source_no", "position")
+    spans = (
+        spans.withColumn("nth", F.row_number().over(same)).groupBy("id", "mark")
+        .agg(F.map_from_entries(F.collect_list(F.struct("nth", "spans"))).alias("_by"))
+        .select(F.xxhash64("id", "mark").alias("_key"), F.col("id").alias("_i"), F.col("mark").alias("_m"), "_by")
+    )
     columns = docs.columns
-    full = rows.join(spans, same).select(*[rows[c] for c in columns], spans["_spans"])
+    rows = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # one shuffle of the texts, by one key: the window stays in its partitions
+    both = rows.withColumn("_key", F.xxhash64("_id", "_mark")).join(spans, "_key")
+    alike = W.partitionBy("_key", "_id", "_mark", "_i", "_m").orderBy(F.col(source_col).asc_nulls_last())
+    full = (
+        both.withColumn("_nth", F.row_number().over(alike))
+        .where(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")))
+        .withColumn("_spans", F.try_element_at("_by", "_nth")).where("_spans IS NOT NULL").select(*columns, "_spans")
+    )
     chars = chars_col if chars_col in columns else None
     return full.mapInPandas(lambda it: _cut(it, columns, text_col, chars), docs.schema)
