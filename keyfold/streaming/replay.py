@@ -15,6 +15,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.functions.timefns import epoch_ms
 from keyfold.operators import routing
 from keyfold.profiles import Profile
 from keyfold.session import shared_path
@@ -86,7 +87,7 @@ def stream_receipts_out_of_order(
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     if domain is None:
         domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    low, high = domain.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    low, high = domain.agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
     if low is None:
         return spark.createDataFrame([], "user_id long, event_id long, n_items long, receipt string, publishTimestamp string")
     day = 86_400_000
@@ -124,8 +125,6 @@ def log_stream(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def _write_log(lines: DataFrame, path: str) -> None:
-    from keyfold.functions.timefns import epoch_ms
-
     lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value").write.mode("append").parquet(path)
 
 
