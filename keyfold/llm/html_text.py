@@ -60,6 +60,8 @@ WALL = frozenset({"td", "th", "table", "caption"})
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Raw-text element -> its end tag.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I | re.A) for tag in RAW}
 _HIDE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -172,7 +174,6 @@ class _Builder:
 def build(source: str) -> Node:
     """The element tree of a page."""
     b, at = _Builder(), 0
-    lower = None
     while True:
         m = _MARKUP.search(source, at)
         if m is None:
@@ -187,9 +188,8 @@ def build(source: str) -> Node:
             tag, rest = m[2].lower(), m[3]
             b.start(tag, _attributes(rest) if rest.strip(" /\n\t\r\f") else {}, rest.endswith("/"))
             if tag in RAW:
-                lower = lower or source.lower()
-                stop = lower.find(f"</{tag}", at)
-                stop = len(source) if stop < 0 else stop
+                end = _RAW_END[tag].search(source, at)
+                stop = end.start() if end else len(source)
                 inside = source[at:stop]
                 if tag == "textarea":
                     b.text(htmllib.unescape(inside))

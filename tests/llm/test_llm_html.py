@@ -35,6 +35,19 @@ def test_layout(source):
     assert to_text(source) == CASES[source]
 
 
+RAW_CASES = {
+    "<title>İ</title><p>body": "body",
+    "<div>İİ<script>x</script><p>rest of page</p></div>": "İİ\n\nrest of page",
+    "<p>İ<textarea>a</textarea> b<STYLE>p{}</Style >c": "İa bc",
+    "<script>'</scripts>'</script>after": "after",
+}
+
+
+@pytest.mark.parametrize("source", RAW_CASES)
+def test_raw_text_ends_at_its_own_end_tag(source):
+    assert to_text(source) == RAW_CASES[source]
+
+
 def test_any_depth_and_length():
     assert to_text("<div>" * 60000 + "deep" + "</div>" * 60000 + "<p>end") == "deep\n\nend"
     assert to_text("<table><tr><td>" * 300 + "cell").strip() == "cell"
