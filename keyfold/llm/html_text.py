@@ -6,7 +6,9 @@ parts of tables, head and body), closes void elements and ignores end tags that
 close nothing.  The renderer walks the tree without recursion and writes what a
 reader would see: text of hidden elements is left out (head, script, style,
 template, noscript and embedded media; ``hidden``; ``display: none``,
-``visibility: hidden`` until made visible again; closed details and dialogs),
+``visibility: hidden`` until made visible again; closed details and dialogs;
+in svg and math what is only a definition or description, also where an svg
+``use`` would draw it elsewhere),
 white space collapses outside pre, blocks begin on lines of their own,
 paragraphs and headings stand between empty lines, list items carry marks and
 are indented, and the cells of a table are aligned in columns.
@@ -32,7 +34,16 @@ from keyfold.session import ship_package
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist svg math map".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist".split())
+#: Elements of svg and math that are never shown where they stand.
+UNSEEN_FOREIGN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern script style symbol title".split())
+#: Elements of svg and math whose content is read as html again.
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Start tags that end an open svg or math element.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl figure hr ul ol menu fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup legend li listing main nav "
@@ -67,10 +78,14 @@ _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict | None = None):
+    def __init__(self, tag: str, attrs: dict | None = None, foreign: bool = False):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.foreign = foreign  # an element of svg or math
+
+    def holds_foreign(self) -> bool:
+        return self.foreign and self.tag not in POINTS
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,7 +102,7 @@ class _Builder:
         self.body = None
 
     def _push(self, tag: str, attrs: dict | None = None) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, tag in ("svg", "math") or self.stack[-1].holds_foreign())
         self.stack[-1].children.append(node)
         self.stack.append(node)
 
@@ -116,6 +131,14 @@ class _Builder:
         self.stack[-1].children.append(data)
 
     def start(self, tag: str, attrs: dict, empty: bool) -> None:
+        if self.stack[-1].holds_foreign():
+            if tag not in BREAKS_OUT:
+                self._push(tag, attrs)
+                if empty:
+                    self.stack.pop()
+                return
+            while self.stack[-1].holds_foreign():
+                self.stack.pop()
         if tag == "html":
             self.root.attrs.update({k: v for k, v in attrs.items() if k not in self.root.attrs})
             return
@@ -181,18 +204,25 @@ def build(source: str) -> Node:
             return b.root
         if m.start() > at:
             b.text(htmllib.unescape(source[at : m.start()]))
+        if source.startswith("<![CDATA[", m.start()) and b.stack[-1].holds_foreign():
+            stop = source.find("]]>", m.start())
+            b.text(source[m.start() + 9 : stop if stop >= 0 else len(source)])
+            at = stop + 3 if stop >= 0 else len(source)
+            continue
         at = m.end()
         if m[1]:
             b.end(m[1].lower())
         elif m[2]:
             tag, rest = m[2].lower(), m[3]
             b.start(tag, _attributes(rest) if rest.strip(" /\n\t\r\f") else {}, rest.endswith("/"))
-            if tag in RAW:
+            if tag in RAW and not b.stack[-1].foreign:
                 end = _RAW_END[tag].search(source, at)
                 stop = end.start() if end else len(source)
                 inside = source[at:stop]
                 if tag == "textarea":
                     b.text(htmllib.unescape(inside))
+                elif tag == "xmp":
+                    b.text(inside)
                 at = stop  # the end tag, if there is one, comes next
 
 
@@ -318,6 +348,8 @@ def _span(node: Node, name: str, most: int) -> int:
 
 def _hidden(node: Node, parent: Node) -> bool:
     a = node.attrs
+    if node.foreign and (node.tag in UNSEEN_FOREIGN or a.get("display", "").strip() == "none"):
+        return True
     if node.tag in UNSEEN or "hidden" in a and a["hidden"] != "until-found":
         return True
     if node.tag == "dialog" and "open" not in a or "style" in a and _HIDE.search(a["style"]):
@@ -348,6 +380,11 @@ def render(root: Node) -> str:
         tag = node.tag
         if "style" in node.attrs and (m := _VISIBLE.search(node.attrs["style"])):
             visible = m[1].lower() == "visible"
+        elif node.foreign and (m := _VISIBLE.match("visibility:" + node.attrs.get("visibility", ""))):
+            visible = m[1].lower() == "visible"
+        if node.foreign:  # a label or a row of a formula has a line of its own, its cells stand apart
+            flow.space = flow.space or tag == "mtd"
+            tag = "div" if tag in ("text", "mtr") else ""
         if tag == "br":
             if visible:
                 flow.newline()

@@ -48,6 +48,23 @@ def test_raw_text_ends_at_its_own_end_tag(source):
     assert to_text(source) == RAW_CASES[source]
 
 
+SHOWN_CASES = {
+    "<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b": "a x=2 b",
+    "<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>": "1 2\n3",
+    "<svg><title/><style/><text>Q1</text><text>Q2 <tspan>up</tspan></text></svg> end": "Q1\nQ2 up\nend",
+    "<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><a>yes</a></svg>": "yes",
+    "<svg><text display=none>no</text><g visibility=hidden>no</g><text><![CDATA[a > &amp;]]></text></svg>": "a > &amp;",
+    "<svg><foreignObject><p>in</p></foreignObject></svg><svg><defs><path><p>out": "in\n\nout",
+    "<map name=m><area><a href=x>place</a></map><desc>html</desc>": "placehtml",
+    "a<xmp>\n <b>x</b> &amp;  y</xmp>z": "a\n\n <b>x</b> &amp;  y\nz",
+}
+
+
+@pytest.mark.parametrize("source", SHOWN_CASES)
+def test_formulas_charts_maps_and_xmp(source):
+    assert to_text(source) == SHOWN_CASES[source]
+
+
 def test_any_depth_and_length():
     assert to_text("<div>" * 60000 + "deep" + "</div>" * 60000 + "<p>end") == "deep\n\nend"
     assert to_text("<table><tr><td>" * 300 + "cell").strip() == "cell"
@@ -61,6 +78,13 @@ def test_no_visible_word_is_lost(parts):
     assert text.count("word") == "".join(parts).count("word")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<svg>", "</svg>", "<text>", "</text>", "<g/>", "<math>", "</math>", "<mi>", "</mi>", "<mtr>", "<mtd>", "<map>", "</map>", "<xmp>", "</xmp>", "<p>", "</p>", "<table>", "<td>", "</table>", "<li>", "<foreignObject>", "<style></style>", "İ", "word", " "]), max_size=40))
+def test_no_word_of_formulas_charts_maps_and_xmp_is_lost(parts):
+    source = "".join(parts)
+    assert to_text(source).count("word") == source.count("word")
+
+
 def test_column(spark):
     rows = [(1, "<p>a", "x"), (2, None, None), (3, "", "y"), (1, "<p>a", "x"), (None, "b", "z")]
     df = spark.createDataFrame(rows, "page_id bigint, html string, batch string")
