@@ -10,8 +10,11 @@ and different values of a kind stay different.  What fails validation stays.
 
 kinds: ``email`` (letters and digits of the local part), ``ip``, ``phone``
 (the national number), ``card`` (13 to 19 digits), ``ssn``, ``iban`` (account
-part), ``date`` (yyyy-mm-dd, mm/dd/yyyy, dd.mm.yyyy within its span of 73000
-days, 1900-01-01 to 2099-11-12).
+part), ``date`` (yyyy-mm-dd, yyyy/mm/dd, mm/dd/yyyy, dd/mm/yyyy, dd.mm.yyyy,
+also without leading zeros, within its span of 73000 days, 1900-01-01 to
+2099-11-12).  A date of two numbers and a year with slashes has its month
+first, unless the first number is above 12; where a text mixes both orders,
+two different days may come out as the same signs.
 
 The Feistel network: the value is a list of small numbers with their moduli
 (10 for a digit, 26 for a letter, 256 for an octet).  The list is cut in two;
@@ -35,10 +38,16 @@ EPOCH, DAYS_HIGH, DAYS_LOW = "1900-01-01", 250, 292
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[.,/-][0-9])",
+    "date": r"(?<![0-9])(?:(?<![0-9][.-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9][./])(?:[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./][0-9])"
+    r"|(?<![0-9]\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9]))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"
+    r"|(?<![0-9+])\+[0-9]{1,3}(?: ?\([0-9]{1,4}\)|[ .-][0-9](?=[ .-]))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    # national numbers: ten or eleven digits behind a trunk 0, or ten digits without separators
+    r"|(?<![0-9+(])(?<![0-9][.-])(?=\(?0(?:[ ).-]{0,2}[0-9]){9,10}(?![0-9]))\(?0[1-9][0-9]{0,3}\)?(?:(?:[ .-][0-9]{2,4}){2,4}|[ .-][0-9]{5,8})(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9+])(?<![0-9][.-])(?:0[1-9][0-9]{8,9}|[2-9][0-9]{9})(?![0-9]|[.-][0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -132,13 +141,17 @@ def _ip(x: str, key: str) -> str:
 
 
 def _date(x: str, key: str) -> str:
-    def written(form: str) -> str:
-        days = f"datediff(try_to_timestamp({x}, '{form}'), DATE'{EPOCH}')"
-        fresh = permuted(f"array(int(n div {DAYS_LOW}), int(n % {DAYS_LOW}))", f"array({DAYS_HIGH}, {DAYS_LOW})", key, "date")
-        moved = _let("p", fresh, f"date_format(date_add(DATE'{EPOCH}', p[0] * {DAYS_LOW} + p[1]), '{form}')")
-        return _let("n", days, f"CASE WHEN n BETWEEN 0 AND {DAYS_HIGH * DAYS_LOW - 1} THEN {moved} ELSE {x} END")
-
-    return f"CASE WHEN {x} rlike '-' THEN {written('yyyy-MM-dd')} WHEN {x} rlike '/' THEN {written('MM/dd/yyyy')} ELSE {written('dd.MM.yyyy')} END"
+    day_first = f"{x} rlike '^(?:1[3-9]|[2-9][0-9])/'"
+    form = (
+        f"CASE WHEN {x} rlike '-' THEN 'yyyy-MM-dd' WHEN {x} rlike '^[0-9]{{4}}/' THEN 'yyyy/MM/dd' "
+        f"WHEN {day_first} THEN 'dd/MM/yyyy' WHEN {x} rlike '/' THEN 'MM/dd/yyyy' ELSE 'dd.MM.yyyy' END"
+    )
+    # without leading zeros
+    form = f"CASE WHEN length({x}) = 10 THEN {form} ELSE replace(replace({form}, 'MM', 'M'), 'dd', 'd') END"
+    days = f"datediff(try_to_timestamp({x}, g), DATE'{EPOCH}')"
+    fresh = permuted(f"array(int(n div {DAYS_LOW}), int(n % {DAYS_LOW}))", f"array({DAYS_HIGH}, {DAYS_LOW})", key, "date")
+    moved = _let("p", fresh, f"date_format(date_add(DATE'{EPOCH}', p[0] * {DAYS_LOW} + p[1]), g)")
+    return _let("g", form, _let("n", days, f"CASE WHEN n BETWEEN 0 AND {DAYS_HIGH * DAYS_LOW - 1} THEN {moved} ELSE {x} END"))
 
 
 def _signs(values_of: str, key: str, kind: str) -> str:

@@ -40,6 +40,35 @@ def test_formats_stay_and_values_go(spark):
         assert re.fullmatch(form, new) and new != value and n == 1, (value, text)
 
 
+MORE_FORMS = {
+    "1990-01-02": r"\d{4}-\d\d-\d\d", "25/12/1999": r"\d\d/\d\d/\d{4}", "1999/12/25": r"\d{4}/\d\d/\d\d",
+    "3/4/2020": r"\d\d?/\d\d?/\d{4}", "25/1/2020": r"\d\d?/\d\d?/\d{4}", "3.4.2020": r"\d\d?\.\d\d?\.\d{4}", "2020-3-4": r"\d{4}-\d\d?-\d\d?",
+    "+33 1 23 45 67 89": r"\+\d\d \d( \d\d){4}", "+44 (0)20 7946 0958": r"\+\d\d \(\d\)\d\d \d{4} \d{4}", "01 23 45 67 89": r"\d\d( \d\d){4}",
+    "020 7946 0958": r"\d{3} \d{4} \d{4}", "07700 900123": r"\d{5} \d{6}", "5551234567": r"\d{10}",
+}
+
+
+def test_values_between_commas_and_in_further_spellings_go(spark):
+    frames = ["Smith,{},12", "x,{}", "{},12", "12,{},7", "see {}."]
+    texts, changed = run(spark, [f.format(v) for v in MORE_FORMS for f in frames])
+    cases = [(v, form, f) for v, form in MORE_FORMS.items() for f in frames]
+    for (value, form, frame), text, n in zip(cases, texts, changed):
+        head, tail = frame.split("{}")
+        assert text.startswith(head) and text.endswith(tail) and n == 1, (value, text)
+        new = text[len(head) : len(text) - len(tail)]
+        assert re.fullmatch(form, new) and new != value, (value, text)
+
+
+def test_spellings_of_one_date_stay_linked_and_other_numbers_stay(spark):
+    (iso, slash, day, dot), _ = run(spark, ["1999-12-25", "1999/12/25", "25/12/1999", "25.12.1999"])
+    y, m, d = iso.split("-")
+    assert (slash, day, dot) == (f"{y}/{m}/{d}", f"{d}/{m}/{y}", f"{d}.{m}.{y}")
+    (span,), changed = run(spark, ["1999-12-25/2000-01-02"])
+    assert span.split("/")[0] == iso and changed == [2]
+    texts = ["31.12.2020.1", "1.2.3.2020", "32/13/2020", "0 0 0 0 0 0 0 0 0 0", "00 00 00 00 00", "0.5551234567", "1700000000", "5551234567.25"]
+    assert run(spark, texts) == (texts, [0] * len(texts))
+
+
 def test_results_are_valid_again(spark):
     cards = ["4111111111111111", "5500005555555559", "9807915762804490"]
     cards = [c for c in cards if luhn(c)]
