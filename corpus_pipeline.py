@@ -6,7 +6,8 @@ return the columns of ``documents``:
 
 1. quality: documents that the factorisation machine rejects go;
 2. exact_dedup: of equal texts the smallest id stays;
-3. ngram_join: of each group of near duplicates the smallest id stays;
+3. ngram_join: of each group of near duplicates the smallest id stays, and
+   rows that share an id go or stay by their own texts;
 4. mixing: documents as often, and as far, as their source's target takes them;
 5. packing: pieces of documents in sequences of at most 2048 tokens.
 
@@ -35,9 +36,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = ngram_join.classes(docs).where("id <> component").select(F.col("id").alias("doc_id"))
+    dropped = ngram_join.classes(docs, mark_col="mark").where("id <> component").select("id", "mark")
     gone = small(materialise(dropped, "near-copies"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, (docs["doc_id"] == gone["id"]) & (ngram_join.mark(docs["text"]) == gone["mark"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

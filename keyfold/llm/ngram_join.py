@@ -5,7 +5,8 @@ hashes fall into ``GROUPS`` groups; the counts per group are a point, and two
 sets share at most the sum of their points' coordinate minima.  A link (at
 least ``percent`` of the union shared) needs that sum to reach a known size.
 
-1. Equal sets collapse to the row with the smallest id.
+1. Equal sets collapse to one node with a number of its own; the node's row is
+   that with the smallest id.
 2. Sets meet in blocks: a block holds the sets that have one hash among their
    smallest.  The number of hashes taken, k, is that of an exact prefix filter
    or, for large sets, the k at which a linked pair shares none of them with a
@@ -24,8 +25,10 @@ least ``percent`` of the union shared) needs that sum to reach a known size.
 
 Defined cases: a text without words has an empty set and links with nothing;
 shorter texts are one shingle; rows with a null id are returned with their set
-size and no component and link with nothing; ids are taken as unique (rows
-that share one each get the component of their own text); an empty table gives
+size and no component and link with nothing; rows that share an id each get
+the component of their own text, which is the smallest id of all rows in it
+(texts of one id are told apart by a 64-bit hash, and sets by their digest); an
+empty table gives
 an empty result; other columns are not read.
 """
 
@@ -80,6 +83,10 @@ def _may_link(bound: np.ndarray, size_sum: np.ndarray, percent: int) -> np.ndarr
     return (100 + percent) * bound.astype(np.int64) >= percent * size_sum
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, at = utf8(batch.column(1))
@@ -88,12 +95,13 @@ def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
+                    batch.column(2).slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array([s[: prefix_length(len(s), percent)].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([_counts(s) for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "digest", "keys", "point"],
+                names=["id", "mark", "n", "digest", "keys", "point"],
             )
 
 
@@ -225,11 +233,14 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text, digest) to the sets that have that digest."""
     for batch in batches:
         body, at = utf8(batch.column(1))
         for a, b in spans(at):
-            sets = [s.tobytes() for s in shingle_sets(body, at[a : b + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets = shingle_sets(body, at[a : b + 1])
+            own = pa.array([_digest(s) == d for s, d in zip(sets, batch.column(2).slice(a, b - a).to_pylist())], pa.bool_())
+            out = [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in out], names=["id", "set"])
 
 
 def _verified(percent: int):
@@ -252,7 +263,12 @@ def _verified(percent: int):
 # ------------------------------------------------------------------ operator
 
 
-def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def mark(text) -> F.Column:
+    """A text's hash, by which rows that share an id are told apart."""
+    return F.xxhash64(text)
+
+
+def _links(rows: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
     A pair found in several places is checked in the first of them.  Places
@@ -264,7 +280,8 @@ def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         "join-pairs",
     )
     need = pairs.select("at", F.col("a").alias("id")).union(pairs.select("at", "b")).distinct()
-    sets = rows.join(need.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary")
+    wanted = need.select(F.col("id").alias("rep")).distinct().join(reps.select("rep", "id", "mark", "digest"), "rep")
+    sets = rows.join(wanted, ["id", "mark"]).select("rep", "text", "digest").mapInArrow(_sets, "id bigint, set binary")
     sets = materialise(sets, "join-sets")
     groups = max(1, -(-need.count() // SETS))
     group = F.pmod("at", F.lit(groups)).alias("group")
@@ -283,26 +300,28 @@ def _open(blocks: DataFrame, label: DataFrame) -> DataFrame:
     return marked.join(mixed, "key").select("key", "rep", "n", "point", "label")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per row of ``docs``: id, n (set size), component (smallest linked id)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, mark_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n (set size), component (smallest linked
+    id); ``mark_col``: also the ``mark`` of its text."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), mark(F.col(text_col)).alias("mark"))
     profile = materialise(
         rows.mapInArrow(
-            lambda it: _profiles(it, percent), "id bigint, n bigint, digest binary, keys array<bigint>, point binary"
+            lambda it: _profiles(it, percent), "id bigint, mark bigint, n bigint, digest binary, keys array<bigint>, point binary"
         ),
         "join-profiles",
     )
     reps = materialise(
         profile.where("n > 0 AND id IS NOT NULL").groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")),
+        .agg(F.min(F.struct("id", "mark")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+        .select("digest", "at.id", "at.mark", F.monotonically_increasing_id().alias("rep"), "n", "keys", "point"),
         "join-reps",
     )
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     blocks = materialise(
-        keyed.join(shared, "key").join(reps.select("rep", "n", "point").distinct(), "rep").select("key", "rep", "n", "point"),
+        keyed.join(shared, "key").join(reps.select("rep", "n", "point"), "rep").select("key", "rep", "n", "point"),
         "join-blocks",
     )
 
@@ -314,7 +333,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             _open(blocks, label).repartitionByRange(F.col("key"), order).sortWithinPartitions("key", order)
             .mapInArrow(lambda it: _stars(it, percent), PAIRS)
         )
-        found = _links(rows, stars, percent)
+        found = _links(rows, reps, stars, percent)
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -341,12 +360,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     found = alone.mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS).unionByName(
         across.select("p", *tree, *[f"{c}_q" for c in tree]).mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS)
     )
-    more = _links(rows, found, percent)
+    more = _links(rows, reps, found, percent)
     label = materialise(components(links.unionByName(more)), "join-labels") if not more.isEmpty() else label
 
-    of_set = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("label", "rep").alias("component")
+    label = label.withColumnRenamed("node", "rep")
+    least = label.join(reps.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("least"))
+    of_set = reps.select("digest", "rep", "id").join(label.join(least, "label"), "rep", "left").select(
+        "digest", F.coalesce("least", "id").alias("component")
     )
-    return profile.select("id", "n", "digest").join(of_set, "digest", "left").select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
+    marked = [F.col("mark").alias(mark_col)] if mark_col else []
+    return profile.select("id", "mark", "n", "digest").join(of_set, "digest", "left").select(
+        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"), *marked
     )

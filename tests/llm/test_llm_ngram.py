@@ -40,6 +40,33 @@ def test_null_ids_repeats_clashing_columns_and_empty(spark):
     assert N.classes(spark.createDataFrame([], schema)).count() == 0
 
 
+def shared_ids():
+    """Rows of which some share an id with another text, and their components."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (7, x + " more"), (8, y + " more"), (3, z), (8, z + " more"), (4, "q r s"), (8, "q r s"), (5, "alone here")]
+    return rows, [5, 5, 5, 5, 3, 3, 4, 4, 5]
+
+
+def test_rows_that_share_an_id_have_the_component_of_their_own_text(spark):
+    rows, want = shared_ids()
+    for turn in range(2):  # in either order
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows[:: 1 - 2 * turn]], DOCS)
+        got = sorted((r["id"], r["n"], r["component"]) for r in N.classes(df).collect())
+        assert got == sorted((i, len(shingles(t)), c) for (i, t), c in zip(rows, want))
+
+
+def test_the_stage_drops_rows_by_their_own_text(spark):
+    import corpus_pipeline
+
+    rows, want = shared_ids()
+    rows, want = [*rows, (8, "clean text of its own"), (None, rows[0][1]), (9, None)], [*want, 8, None, 9]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted((r for r, c in zip(rows, want) if r[0] == c), key=key)
+
+
 def test_tree_join_finds_every_pair_under_the_bound():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 80), dtype=np.uint64)) for _ in range(150)]
