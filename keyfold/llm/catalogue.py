@@ -154,3 +154,85 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyfold.llm.html_text import extract
 
     return extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.spelling import counted, variants
+
+    return variants(counted(table(spark, sf_dir, "documents"), typos=31))
+
+
+@query(
+    "op12_phrase_index",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), b AS (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), win AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS m, w[k:k + least(len(w), 10) - 1] AS run
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+    ), place AS (
+        SELECT r, m, p, w[p:p + m - 1] AS run
+        FROM (SELECT r, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)
+    ), occ AS (SELECT r, p, m, item_id FROM place JOIN win USING (m, run)),
+    hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT r, p, m FROM occ)) GROUP BY r),
+    held AS (
+        SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM occ WHERE item_id IS NOT NULL) GROUP BY r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+    """,
+)
+def op12_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.phrase_index import contamination, index, windows
+
+    runs, of_items = windows(table(spark, sf_dir, "benchmark"))
+    return contamination(index(table(spark, sf_dir, "documents")), runs, of_items)
+
+
+@query(
+    "op13_phrase_mining",
+    r"""
+    WITH piece AS (
+        SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+    ), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+    gram AS (
+        SELECT lang, m, g, count(*) AS f
+        FROM (SELECT lang, m, w[p:p + m - 1] AS g
+              FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM piece, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m))
+        GROUP BY lang, m, g HAVING count(*) >= 30
+    ), cut AS (
+        SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f)::HUGEINT AS score
+        FROM (SELECT lang, g, m, f, unnest(range(1, m)) AS k FROM gram WHERE m > 1) c
+        JOIN gram x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN gram y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m]
+    ), low AS (
+        SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+    ), inside AS (
+        SELECT lang, s, max(f) AS held
+        FROM (SELECT lang, f, g[p:p + q - 1] AS s
+              FROM (SELECT lang, g, m, f, q, unnest(range(1, m - q + 2)) AS p FROM gram, (SELECT unnest(range(2, 4)) AS q) WHERE q < m))
+        GROUP BY lang, s
+    ), kept AS (
+        SELECT low.*, array_to_string(g, ' ') AS phrase FROM low LEFT JOIN inside ON inside.lang = low.lang AND s = g
+        WHERE held IS NULL OR 100::HUGEINT * held < 80::HUGEINT * a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+    WHERE rank <= 2000
+    """,
+)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyfold.llm.phrase_mining import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert sorted({int(n.split("_")[0][2:]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n.split("_")[0][2:]) for n in QUERIES}) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= E.queries().keys() and ORACLES.keys() <= E.oracle_sql().keys()
 
 
