@@ -182,42 +182,48 @@ class Trie:
             self.check = np.append(self.check, np.full(more, -1, np.int32))
 
     def _level(self, parent: np.ndarray, symbol: np.ndarray, taken: int) -> tuple[np.ndarray, int]:
-        """Places the children of one level; rows are sorted by phrase."""
+        """Places the children of one level, those of one parent together and
+        large families first; rows are sorted by phrase."""
         new = np.append(True, (parent[1:] != parent[:-1]) | (symbol[1:] != symbol[:-1]))
         p, c = parent[new], symbol[new]
         head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
         size = np.diff(np.append(head, len(p)))
         where = np.empty(len(p), np.int64)
-        low = taken  # every slot before it is full or was tried
-        for g in np.argsort(-size, kind="stable").tolist():
+        start, last = 0, 0
+        for g in np.flatnonzero(size > 1)[np.argsort(-size[size > 1], kind="stable")].tolist():
             a, k = int(head[g]), int(size[g])
             children = c[a : a + k]
-            if k == 1:
-                # the next free slot, whatever the symbol
-                while self.check[low] != -1:
-                    low += 1
-                    self._grow(low + 1)
-                base = low - int(children[0])
-            else:
-                base = self._fit(children, low, taken)
-            places = base + children
-            self._grow(int(places[-1]) + 1)
-            self.check[places], self.base[p[a]] = p[a], base
+            self._grow(taken + int(children[-1] - children[0]) + 2)
+            # a family of this size found no place before the last one's
+            start = start if k == last else 0
+            at = self._fit(children - children[0], start, taken)
+            places = at + children - children[0]
+            self.check[places], self.base[p[a]] = p[a], at - children[0]
             where[a : a + k] = places
-            taken = max(taken, int(places[-1]) + 1)
-            self._grow(taken + 1)
+            start, last, taken = at, k, max(taken, int(places[-1]) + 1)
+        # a single child goes to any free slot
+        single = head[size == 1]
+        free = np.flatnonzero(self.check[:taken] == -1)[: len(single)]
+        free = np.append(free, taken + np.arange(len(single) - len(free)))
+        taken += max(0, len(single) - int((free < taken).sum()))
+        self._grow(taken + 1)
+        self.check[free], self.base[p[single]] = p[single], free - c[single]
+        where[single] = free
         return where[np.cumsum(new) - 1], taken
 
-    def _fit(self, children: np.ndarray, low: int, taken: int) -> int:
-        """A base that leaves all children on free slots: among the first free
-        slots, or behind everything."""
-        span = self.check[low : min(low + 4096, taken)]
-        for at in (np.flatnonzero(span == -1)[:48] + low).tolist():
-            base = at - int(children[0])
-            places = base + children
-            if (self.check[places[places < taken]] == -1).all():
-                return base
-        return taken - int(children[0])
+    def _fit(self, offsets: np.ndarray, start: int, taken: int) -> int:
+        """The first slot from ``start`` on where all offsets are free."""
+        while start < taken:
+            end = min(start + 4096, taken)
+            at = np.flatnonzero(self.check[start:end] == -1) + start
+            for o in offsets[1:].tolist():
+                if not len(at):
+                    break
+                at = at[self.check[at + o] == -1]
+            if len(at):
+                return int(at[0])
+            start = end
+        return taken
 
     def walk(self, body: np.ndarray) -> np.ndarray:
         """The state each position reaches after ``depth`` words, or -1."""
