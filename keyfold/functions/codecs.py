@@ -114,6 +114,19 @@ def unpack_envelope(env) -> tuple[Column, Column]:
     return e["typename"], F.decode(e["value"], "UTF-8")
 
 
+def typed_envelope(type_name, message) -> Column:
+    """A message (a struct) as (typename, payload): its type's name and its
+    fields as VARIANT, so that messages of all types are one stream."""
+    payload = F.parse_json(F.to_json(_c(message)))
+    return F.struct((F.lit(type_name) if isinstance(type_name, str) else type_name).alias("typename"), payload.alias("payload"))
+
+
+def open_envelope(payload, fields: dict[str, str]) -> list[Column]:
+    """The declared fields of a VARIANT payload, by name and type; NULL
+    where the message does not carry one."""
+    return [F.try_variant_get(_c(payload), f"$.{name}", kind).alias(name) for name, kind in fields.items()]
+
+
 def receipt_text(fmt: str, user, n) -> Column:
     """Receipt text from a format with {user} and {n}."""
     parts = []

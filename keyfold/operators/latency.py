@@ -8,10 +8,11 @@ table of one row per run, broadcast with that bound.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions.timefns import bucket, ms_from_string, ten_bucket
+from keyfold.operators import scan
 
 
 def _case(col: str, mapping: dict, default=0):
@@ -129,13 +130,14 @@ def latency_percentiles(rows: DataFrame) -> DataFrame:
 
     From a histogram (run, latency): latencies are whole ms, so it is bounded
     by their range, and it is built with map-side aggregation.  A running
-    count over the histogram finds the two values around each percentile's
-    rank, which are interpolated linearly.
+    count over the histogram, cut into ranges of values (so one run is many
+    tasks), finds the two values around each percentile's rank, which are
+    interpolated linearly.
     """
     hist = rows.where(F.col("latency").isNotNull()).groupBy("run", "latency").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("run")
-    upto = w.orderBy("latency").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = hist.withColumn("_c", F.sum("n").over(upto)).withColumn("_n", F.sum("n").over(w))
+    h = scan.running_sums(hist, ["run"], {"_c": F.col("n")}, scan.choose_chunking(hist), order=("latency",))
+    totals = h.groupBy("run").agg(F.sum("n").alias("_n"))
+    h = h.join(F.broadcast(totals), "run")  # one row per run: bounded by the run list
 
     def at(rank):
         """The value at a 0-based rank: the first whose running count exceeds it."""

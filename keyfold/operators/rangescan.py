@@ -177,3 +177,70 @@ def range_prefix(
     drop = [PID, *vnames, *[f"_o{v}" for v in vnames]] + (["_g"] if vmin is not None else [])
     out = out.drop(*drop)
     return out.withColumnsRenamed({f"_l{f'_v{n}'}": f"_l_{n}" for n in vals})
+
+
+def _carry_fn(keys: list[str], value: str):
+    """Per-partition pass over rows sorted by (keys, order): the last defined
+    ``value`` of the key at each row, carried across batch borders."""
+
+    def fn(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        last_key, carry = None, None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            change = np.zeros(n, dtype=bool)
+            for c in keys:
+                a = pdf[c].to_numpy()
+                change[1:] |= a[1:] != a[:-1]
+            change[0] = last_key is None or tuple(pdf[c].iloc[0] for c in keys) != last_key
+            start = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+            held = pdf[value].to_numpy(dtype=object)
+            at = np.maximum.accumulate(np.where(pd.notna(held), np.arange(n), -1))
+            open_ = at < start  # nothing defined since the key began in this batch
+            filled = held[np.maximum(at, 0)]
+            filled[open_] = None
+            if not change[0]:
+                filled[open_ & (start == 0)] = carry
+            res = pdf.copy(deep=False)
+            res[PID] = np.int32(pid)
+            res[value] = filled
+            last_key, carry = tuple(pdf[c].iloc[-1] for c in keys), filled[-1]
+            yield res
+
+    return fn
+
+
+def range_carry(df: DataFrame, keys: list[str], value: str, partitions: int, order=("ts", "event_id")) -> DataFrame:
+    """``df`` with each null of the string column ``value`` replaced by the last
+    value before it in its key's order (null where there is none).
+
+    "The latest defined one" is associative like a sum: a local pass per range,
+    then for keys that cross a border the last value of the ranges before.  The
+    pass is written once, as in ``range_prefix``, and the border table has at
+    most two rows a range.
+    """
+    from keyfold.session import ship_package, write_table
+
+    ship_package(df.sparkSession)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(PID, T.IntegerType())])
+    local = write_table(
+        df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
+        .mapInPandas(_carry_fn(keys, value), schema),
+        "range-carry",
+    )
+    kst = F.struct(*keys)
+    bounds = local.groupBy(PID).agg(F.min(kst).alias("_kfirst"), F.max(kst).alias("_klast"))
+    border = local.join(F.broadcast(bounds), PID).where(  # one row per partition
+        (kst == F.col("_kfirst")) | (kst == F.col("_klast"))
+    )
+    ends = border.groupBy(*keys, PID).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, PID, F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    out = local.join(F.broadcast(carried), [*keys, PID], "left")  # at most two rows per partition
+    return out.withColumn(value, F.coalesce(value, "_before")).select(*df.columns)

@@ -823,23 +823,95 @@ def q_state_final_stock(spark, sf_dir):
   CAST((epoch_us(ts) // 3600000000) * 3600000 AS BIGINT) AS bucket_ms, count(*) AS n_events,
   avg(CAST(floor(value) AS BIGINT)) AS mean_latency FROM events GROUP BY 1, 2""")
 def q_live_buckets(spark, sf_dir):
-    """Windows closed by a watermark in append mode; a tick beyond the
-    log's end and its lateness bound closes the last."""
-    from keyfold.session import shared_path
+    """Windows closed by a watermark in append mode."""
     from keyfold.streaming import extras
 
+    out = _live(spark, sf_dir, extras.live_buckets)
+    return out.select("run", F.unix_millis("bucket_start").alias("bucket_ms"), "n_events", "mean_latency")
+
+
+def _live(spark, sf_dir, build):
+    """The rows that a live aggregate over the latency log has let go; a tick
+    beyond the log's end and its lateness bound closes the last window."""
+    from keyfold.session import shared_path
+    from keyfold.streaming.pipeline import run_available, stream_session
+
     base = shared_path(spark, "live")
     log = latencylog.from_events(_events(spark, sf_dir), P.N_RUNS)
     tick = log.groupBy().agg(F.max(F.col("inputKafkaTimestamp").cast("long")).alias("t")).where("t IS NOT NULL").select(
         F.lit(-1).cast("long").alias("run"), (F.col("t") + 86_400_000 * 60).cast("string").alias("inputKafkaTimestamp"),
         (F.col("t") + 86_400_000 * 60).alias("outputKafkaTimestamp"),
     )
+    session = stream_session(spark)
     for part in (log, tick):
         part.write.mode("append").parquet(f"{base}/in")
-        out = extras.live_buckets(spark.readStream.schema(log.schema).parquet(f"{base}/in"), P.LIVE_WINDOW, P.LIVE_LATENESS)
-        out.writeStream.format("parquet").option("path", f"{base}/out").option(
-            "checkpointLocation", f"{base}/checkpoint"
-        ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").where("run >= 0").select(
-        "run", F.unix_millis("bucket_start").alias("bucket_ms"), "n_events", "mean_latency"
-    )
+        stream = session.readStream.schema(log.schema).parquet(f"{base}/in")
+        run_available(build(stream, P.LIVE_WINDOW, P.LIVE_LATENESS), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").where("run >= 0")
+
+
+@register("live_percentiles", f"""SELECT CAST(event_id % {P.N_RUNS} AS BIGINT) AS run,
+  CAST((epoch_us(ts) // 3600000000) * 3600000 AS BIGINT) AS bucket_ms, count(*) AS n_events, true AS p50_ok, true AS p99_ok
+FROM events GROUP BY 1, 2""")
+def q_live_percentiles(spark, sf_dir):
+    """Live percentiles from sketches; per window, whether the exact
+    ranks of the reported values are within the stated error (twice, for the
+    one case in a hundred)."""
+    from keyfold.streaming import extras
+
+    live = _live(spark, sf_dir, extras.live_percentiles).select(
+        "run", F.unix_millis("bucket_start").alias("bucket_ms"), "n_events", "p50", "p99")
+    rows = lat.latency_rows(latencylog.from_events(_events(spark, sf_dir), P.N_RUNS)).select(
+        "run", (F.floor(F.col("in_ms") / 3_600_000) * 3_600_000).alias("bucket_ms"), "latency")
+    error = 2 * extras.KLL_RANK_ERROR
+
+    def ok(p: str, q: float):
+        below, upto = F.avg((F.col("latency") < F.col(p)).cast("int")), F.avg((F.col("latency") <= F.col(p)).cast("int"))
+        return ((below <= q + error) & (upto >= q - error)).alias(f"{p}_ok")
+
+    return live.join(rows, ["run", "bucket_ms"]).groupBy("run", "bucket_ms", "n_events").agg(ok("p50", 0.5), ok("p99", 0.99))
+
+
+@register("state_by_wave", _settled_sql(P.UNIT, f"""SELECT CAST(w.wave AS INTEGER) AS wave, item_id,
+  CAST(arg_max(stock_after, rn) AS BIGINT) AS stock
+FROM settled, (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM ({td.domain_events_sql(P.UNIT.restock_qty)}) d),
+  (SELECT unnest(range(0, {P.STATE_WAVES})) AS wave) w
+WHERE (epoch_us(ts) // 1000) < lo + (hi - lo + 1) * (w.wave + 1) // {P.STATE_WAVES} GROUP BY w.wave, item_id"""))
+def q_state_by_wave(spark, sf_dir):
+    """Each item's stock after each wave, from the state at that epoch."""
+    from keyfold.streaming.replay import state_by_wave
+
+    return state_by_wave(spark, sf_dir, P.UNIT, P.STATE_WAVES)
+
+
+@register("stream_topic_records", ORACLES["topic_records"])
+def q_stream_topic_records(spark, sf_dir):
+    """Topic records leave the stream exactly once, over two crashes."""
+    from keyfold.streaming.replay import stream_topic_records
+
+    return stream_topic_records(spark, sf_dir, P.ANY, P.N_FILLER).withColumn("key", F.decode("key", "UTF-8"))
+
+
+@register("stream_latency_log", _settled_sql(P.UNIT, f"""SELECT CAST(0 AS BIGINT) AS run,
+  CAST((ms - (SELECT min(epoch_us(ts) // 1000) FROM settled WHERE kind = 'add' AND user_id IS NOT NULL)) // {P.BUCKET_MS} AS BIGINT) AS start_bucket,
+  count(*) AS n_events, true AS later
+FROM (SELECT epoch_us(ts) // 1000 AS ms FROM settled WHERE kind = 'add' AND user_id IS NOT NULL) GROUP BY 1, 2"""))
+def q_stream_latency_log(spark, sf_dir):
+    """The stream's confirmations become a latency log, which the
+    evaluator reads: events per start bucket, all confirmed after they came in."""
+    from keyfold.streaming.replay import stream_latency_log
+
+    log = stream_latency_log(spark, sf_dir, P.UNIT).withColumn("run", F.lit(0).cast("long"))
+    per_bucket = lat.latency_by_start_bucket(lat.latency_frame(log, P.BUCKET_MS))
+    return per_bucket.select("run", "start_bucket", "n_events", (F.col("mean_latency") > 0).alias("later"))
+
+
+@register("stream_envelope", f"""SELECT event_id, CASE WHEN kind = 'add' THEN 'add-to-cart' WHEN kind = 'checkout' THEN 'checkout' ELSE 'restock-item' END AS typename,
+  CAST(user_id AS VARCHAR) AS "userId", CAST(item_id AS VARCHAR) AS "itemId", quantity, CAST(ts_ms AS VARCHAR) AS "publishTimestamp"
+FROM ({td.domain_events_sql(P.UNIT.restock_qty)}) d""")
+def q_stream_envelope(spark, sf_dir):
+    """Messages of three types in one stream of typed VARIANT envelopes,
+    each unpacked by its own function's fields."""
+    from keyfold.streaming.replay import stream_envelope
+
+    return stream_envelope(spark, sf_dir, P.UNIT)

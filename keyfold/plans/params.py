@@ -21,11 +21,11 @@ SIMPLE = get_profile("simple")
 BUCKET_MS = 3_600_000
 N_RUNS = 3
 RUN_LABELS = {0: "eager", 1: "lazy", 2: "disk"}
-# Fixed per-run bucket shifts of the reference notebook (+8, 0, +2).
+# P21, per-run bucket shifts of the reference notebook (+8, 0, +2).
 RUN_SHIFTS = {0: 8, 1: 0, 2: 2}
 WARM_LO, WARM_HI, WARM_DIVISOR = 10, 410, 400
 PREFIX_LIMIT = 450
-# Recovery spans per run as hand-placed in the notebook plots.
+# Recovery spans per run as hand-placed in the notebook plots.
 RECOVERY_SPANS = [
     ("eager", "latency", 504, 542),
     ("lazy", "latency", 504, 514),
@@ -46,3 +46,5 @@ VIEW_LO, VIEW_HI = 100, 600
 REPLAY_ROUNDS, REPLAY_PERIOD_MS = 3, 2_592_000_000
 # Live buckets (T11): window and lateness bound of the replayed log.
 LIVE_WINDOW, LIVE_LATENESS = "1 hour", "40 days"
+# State read at an epoch (T12): waves of the replay.  Filler states of a user (T5).
+STATE_WAVES, N_FILLER = 3, 2

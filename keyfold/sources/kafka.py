@@ -20,48 +20,41 @@ RESTOCK_TOPIC = "restock"
 CONFIRM_TOPIC = "add-confirm"
 
 
-def read_stream(
-    spark: SparkSession,
+def stream_options(
     bootstrap: str,
     topics: list[str],
     starting_offsets: str = "latest",
     max_offsets_per_trigger: int | None = None,
     min_partitions: int | None = None,
-) -> DataFrame:
-    """S1-S3 (+ S13 rate bound, T10 start position): raw records as a stream.
-
-    ``min_partitions`` splits large offset ranges, so a topic partition that
-    holds a third of the records is read by many tasks.
-    """
-    r = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", bootstrap)
-        .option("subscribe", ",".join(topics))
-        .option("startingOffsets", starting_offsets)
-    )
-    if max_offsets_per_trigger:
-        r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    if min_partitions:
-        r = r.option("minPartitions", min_partitions)
-    return r.load()
+) -> dict[str, str]:
+    """The options of a stream over ``topics``: T10 start position, S13 rate
+    bound; ``min_partitions`` splits large offset ranges, so a topic partition
+    that holds a third of the records is read by many tasks."""
+    given = {
+        "kafka.bootstrap.servers": bootstrap, "subscribe": ",".join(topics), "startingOffsets": starting_offsets,
+        "maxOffsetsPerTrigger": max_offsets_per_trigger, "minPartitions": min_partitions,
+    }
+    return {k: str(v) for k, v in given.items() if v}
 
 
-def read_batch(
-    spark: SparkSession, bootstrap: str, topic: str, committed_only: bool = True,
-    min_partitions: int | None = None,
-) -> DataFrame:
-    """A topic from the earliest offset, optionally committed records only."""
-    r = (
-        spark.read.format("kafka")
-        .option("kafka.bootstrap.servers", bootstrap)
-        .option("subscribe", topic)
-        .option("startingOffsets", "earliest")
-    )
-    if committed_only:
-        r = r.option("kafka.isolation.level", "read_committed")
-    if min_partitions:
-        r = r.option("minPartitions", min_partitions)
-    return r.load()
+def batch_options(
+    bootstrap: str, topic: str, committed_only: bool = True, min_partitions: int | None = None
+) -> dict[str, str]:
+    """The options of a scan from the earliest offset (S6), of committed records only."""
+    options = stream_options(bootstrap, [topic], "earliest", None, min_partitions)
+    return options | ({"kafka.isolation.level": "read_committed"} if committed_only else {})
+
+
+def read_stream(spark: SparkSession, *args, **kwargs) -> DataFrame:
+    """Raw records as a stream; arguments as ``stream_options``."""
+    from keyfold.streaming.pipeline import stream_session
+
+    return stream_session(spark).readStream.format("kafka").options(**stream_options(*args, **kwargs)).load()
+
+
+def read_batch(spark: SparkSession, *args, **kwargs) -> DataFrame:
+    """A topic as a table; arguments as ``batch_options``."""
+    return spark.read.format("kafka").options(**batch_options(*args, **kwargs)).load()
 
 
 def records_to_lines(records: DataFrame) -> DataFrame:
@@ -85,7 +78,7 @@ def records_to_routed(records: DataFrame) -> DataFrame:
 
 def write_stream(df: DataFrame, bootstrap: str, topic: str, key_col: str, value_col: str, checkpoint: str):
     """Key and JSON value to a topic (at-least-once; pair with an
-    idempotent consumer, or use ``pipeline.idempotent_batch_writer``)."""
+    idempotent consumer, or use ``keyfold.streaming.sinks.committed_sink``)."""
     return (
         df.select(codecs.key_bytes(key_col).alias("key"), F.encode(F.col(value_col), "UTF-8").alias("value"))
         .writeStream.format("kafka")

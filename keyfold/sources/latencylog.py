@@ -69,20 +69,18 @@ def forward_fill_failed(raw: DataFrame, order_cols=("partition", "offset")) -> D
     """W5 (opt-in): a record that failed to parse re-uses the previous record's
     input time with its own output time, as the reference consumer does.
 
-    ``raw`` holds ``partition, offset, value (text), timestamp (ms)``.  A
-    running count of parsed records per topic partition (the range scan, so a
-    partition is cut into many tasks) numbers the stretch that each record
-    belongs to; the stretch's one parsed record gives its input time.
+    ``raw`` holds ``partition, offset, value (text), timestamp (ms)``.  The last
+    parsed time is carried along each topic partition by the range pass, so a
+    partition is cut into many tasks, and a run of failures over any number of
+    them too; one shuffle, no join but with the ranges' border values.
     """
-    from keyfold.operators import scan
+    from keyfold.operators import rangescan, scan
 
     part, offset = order_cols
-    parsed = raw.withColumn("_in", F.get_json_object(F.col("value"), "$.publishTimestamp"))
-    counted = scan.running_sums(
-        parsed.select(part, offset, "timestamp", "_in"), [part], {"_stretch": F.col("_in").isNotNull().cast("long")},
-        scan.choose_chunking(raw), order=(offset,),
-    ).where("_stretch > 0")
-    inputs = counted.where("_in IS NOT NULL").select(part, "_stretch", F.col("_in").alias("inputKafkaTimestamp"))
-    return counted.join(inputs, [part, "_stretch"]).select(
+    parsed = raw.select(
+        part, offset, "timestamp", F.get_json_object(F.col("value"), "$.publishTimestamp").alias("inputKafkaTimestamp")
+    )
+    filled = rangescan.range_carry(parsed, [part], "inputKafkaTimestamp", scan.choose_chunking(raw).ranges, (offset,))
+    return filled.where("inputKafkaTimestamp IS NOT NULL").select(
         "inputKafkaTimestamp", F.col("timestamp").cast("long").alias("outputKafkaTimestamp")
     )

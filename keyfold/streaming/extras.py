@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from keyfold.functions import synth
 from keyfold.session import ship_package
+from keyfold.streaming.pipeline import in_order, stream_session
 from keyfold.streaming.processors import LatestMessageProcessor
 
 
@@ -32,6 +33,29 @@ def live_buckets(log_stream: DataFrame, width: str, watermark: str) -> DataFrame
     )
 
 
+#: Rank error of the sketches at their default size (99 % of cases), as a share of the rows.
+KLL_RANK_ERROR = 0.0133
+
+
+def live_percentiles(log_stream: DataFrame, width: str, watermark: str) -> DataFrame:
+    """Per-run median and 99th percentile of latency in tumbling
+    event-time windows.  The state holds one mergeable KLL sketch a window: its
+    size does not grow with the rows, and a percentile's rank is off by at most
+    about ``KLL_RANK_ERROR``.  ``watermark`` as in ``live_buckets``."""
+    t = F.timestamp_millis(F.col("inputKafkaTimestamp").try_cast("long"))
+    lat = F.col("outputKafkaTimestamp") - F.col("inputKafkaTimestamp").try_cast("long")
+    sketches = (
+        log_stream.withColumn("event_time", t).withColumn("latency", lat).withWatermark("event_time", watermark)
+        .groupBy("run", F.window("event_time", width).alias("bucket"))
+        .agg(F.count("latency").alias("n_events"), F.kll_sketch_agg_bigint("latency").alias("sketch"))
+    )
+    return sketches.select(
+        "run", F.col("bucket.start").alias("bucket_start"), "n_events",
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5)).alias("p50"),
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.99)).alias("p99"),
+    )
+
+
 def find_operator(spark: SparkSession, checkpoint: str, state_var: str) -> int:
     """The id of the stateful operator that declares ``state_var`` (from the
     checkpoint's state metadata: one row per operator)."""
@@ -67,7 +91,7 @@ def generated_messages(spark: SparkSession, rows_per_batch: int, crash_at: int |
     sequence number; user id (20 chars) and message (250 chars) are pure
     functions of it.  Row ``crash_at`` carries the empty (poison) message.
     """
-    src = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
+    src = stream_session(spark).readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
     seq = F.col("value")
     msg = synth.id_string(seq, 250)
     if crash_at is not None:
@@ -97,7 +121,7 @@ def harness(messages: DataFrame, quarantine_poison: bool = True) -> DataFrame:
     """
     ship_package(messages.sparkSession)
     m = messages.where(F.col("message") != "") if quarantine_poison else messages
-    return m.groupBy("user_id").transformWithStateInPandas(
+    return in_order(m, "user_id").groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=LatestMessageProcessor(),
         outputStructType=LATEST_SCHEMA,
         outputMode="Append",

@@ -6,14 +6,16 @@ sinks are plain DataFrame readers / writers chosen by the caller:
 
 * file sources (``file_source``) for tests and backfill, Kafka
   (``keyfold.sources.kafka``) in production;
-* the file sink is exactly-once through its metadata log;
-  ``idempotent_batch_writer`` gives the same guarantee for a ``foreachBatch``
-  sink by overwriting the output of a replayed batch id.
-
-Ordering: Spark orders rows only inside a micro-batch.  Each processor sorts
-its key's rows of the batch by ``(ts, event_id)``; across batches, files
-(or Kafka offsets) must arrive in event order -- the tests feed ordered
-waves of files.
+* the file sink is exactly-once through its metadata log; ``sinks`` gives the
+  same guarantee to a ``foreachBatch`` sink through a commit log.
+
+Ordering: each processor gets its key's rows of a micro-batch in
+``(ts, event_id)`` order (``in_order``); across batches, files (or Kafka
+offsets) must arrive in event order.  ``write_in_order`` writes files that do,
+and ``file_source`` takes a bounded number of them per batch (S13).
+
+A stream runs in a session of its own (``stream_session``), so that its state
+partitions and state store are no setting of any other query.
 """
 
 from __future__ import annotations
@@ -28,30 +30,80 @@ from keyfold.profiles import Profile
 from keyfold.session import ship_package, use_rocksdb_state
 from keyfold.streaming.processors import (
     OUTPUT_SCHEMA,
+    DOMAIN_SCHEMA,
     SETTLED_SCHEMA,
     CartItemsProcessor,
     CartProcessor,
-    OrderedCartProcessor,
-    OrderedStockProcessor,
+    ReorderProcessor,
     StockProcessor,
 )
 
-
-
-def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Domain events from parquet files as a stream (S1-S3 stand-in; S13 rate bound)."""
-    r = spark.readStream.schema(
-        "event_id long, ts timestamp_ntz, ts_ms long, kind string, user_id long, item_id long, quantity int"
-    )
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path)
+#: Rows of a replayed file, and files of a micro-batch.
+ROWS_PER_FILE, FILES_PER_TRIGGER = 100_000, 1
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for one stream on the same cluster: RocksDB state, its own
+    number of state partitions (fixed in the checkpoint by the first run;
+    default: the cluster's default parallelism), and leave to sort the rows of
+    a micro-batch within their partitions, which the plan check for streams
+    does not tell from a sort of the whole stream."""
+    s = spark.newSession()
+    use_rocksdb_state(s)
+    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        s.conf.set(key, spark.conf.get(key))
+    s.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    s.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
+    return s
+
+
+def file_source(
+    spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER, schema: str | T.StructType = DOMAIN_SCHEMA
+) -> DataFrame:
+    """Events from parquet files as a stream of its own session (S1-S3
+    stand-in), at most ``files_per_trigger`` files a micro-batch (S13)."""
+    r = stream_session(spark).readStream.schema(schema)
+    return r.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Append ``df`` to ``path`` as files of about ``rows_per_file`` rows that
+    the file source takes in (ts, event_id) order; returns their number.
+
+    One job writes them, cut by range; the source goes by modification time, so
+    the files' times are then set in range order, each a millisecond after the
+    one before.  The folder must be on a file system that can set times."""
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def files() -> dict[str, tuple]:
+        if not fs.exists(folder):
+            return {}
+        found = ((f.getPath(), f.getModificationTime()) for f in fs.listStatus(folder))
+        return {p.getName(): (p, t) for p, t in found if p.getName().startswith("part-")}
+
+    old = files()
+    n = max(1, -(-df.count() // rows_per_file))
+    df.repartitionByRange(n, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
+    now = files()
+    new = sorted(now.keys() - old.keys())
+    last = max((t for _, t in now.values()), default=0)
+    for i, name in enumerate(new, 1):
+        fs.setTimes(now[name][0], last + i, -1)
+    return len(new)
+
+
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of each micro-batch dealt by ``key`` and, in each partition, in
+    (key, ts, event_id) order: the order in which a processor gets them."""
+    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id")
 
 
 def settle_stream(domain: DataFrame, profile: Profile) -> DataFrame:
     """Stage 1 (T1, T2, T6): stock per item."""
     ship_package(domain.sparkSession)
-    rows = stock_rows(domain, profile)
+    rows = in_order(stock_rows(domain, profile), "item_id")
     return rows.groupBy("item_id").transformWithStateInPandas(
         statefulProcessor=StockProcessor(profile.initial_stock, profile.restock_applies),
         outputStructType=SETTLED_SCHEMA,
@@ -60,17 +112,17 @@ def settle_stream(domain: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def _cart_input(domain: DataFrame, profile: Profile) -> DataFrame:
+def _cart_input(domain: DataFrame, profile: Profile, checkouts: DataFrame | None = None) -> DataFrame:
     settled = settle_stream(domain, profile).where(F.col("kind") == "add").select(
         "event_id", "ts", "ts_ms", "kind", "user_id", "item_id", "requested", "status"
     )
-    checkouts = domain.where(F.col("kind") == "checkout").select(
+    checkouts = (domain if checkouts is None else checkouts).where(F.col("kind") == "checkout").select(
         "event_id", "ts", "ts_ms", "kind", "user_id",
         F.lit(None).cast("long").alias("item_id"),
         F.lit(None).cast("int").alias("requested"),
         F.lit(None).cast("string").alias("status"),
     )
-    return settled.unionByName(checkouts).where(F.col("user_id").isNotNull())
+    return in_order(settled.unionByName(checkouts).where(F.col("user_id").isNotNull()), "user_id")
 
 
 def build_item_receipts(domain: DataFrame, profile: Profile) -> DataFrame:
@@ -83,9 +135,12 @@ def build_item_receipts(domain: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def build_pipeline(domain: DataFrame, profile: Profile, n_filler: int = 0) -> DataFrame:
-    """The whole chain; output rows are confirms and receipts (``kind``)."""
-    return _cart_input(domain, profile).groupBy("user_id").transformWithStateInPandas(
+def build_pipeline(
+    domain: DataFrame, profile: Profile, n_filler: int = 0, checkouts: DataFrame | None = None
+) -> DataFrame:
+    """The whole chain; output rows are confirms and receipts (``kind``).
+    ``checkouts``: their stream, if it is not part of ``domain``."""
+    return _cart_input(domain, profile, checkouts).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=CartProcessor(profile.checkout, profile.receipt_format, n_filler),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
@@ -93,38 +148,16 @@ def build_pipeline(domain: DataFrame, profile: Profile, n_filler: int = 0) -> Da
     )
 
 
-def run_available(
-    spark: SparkSession,
-    out: DataFrame,
-    sink_path: str,
-    checkpoint: str,
-    query_name: str | None = None,
-    state_partitions: int | None = None,
-) -> None:
-    """Process everything available now, append to a parquet file sink, stop.
+def run_available(out: DataFrame, sink, checkpoint: str, fmt: str = "parquet", trigger: dict | None = None) -> None:
+    """Process everything available now, append it to a file sink (a path) or
+    hand it to a ``foreachBatch`` function, and stop (T7, T8).
 
     Restarting with the same ``checkpoint`` resumes after the last committed
-    batch: state and sink are exactly-once.  ``state_partitions`` sets the
-    number of state store partitions on the first run (it is then fixed in
-    the checkpoint); default: the cluster's default parallelism.
+    batch: state and file sink are exactly-once.
     """
-    use_rocksdb_state(spark)
-    n = state_partitions or spark.sparkContext.defaultParallelism
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    w = (
-        out.writeStream.format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-    )
-    if query_name:
-        w = w.queryName(query_name)
-    try:
-        q = w.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    w = out.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.foreachBatch(sink) if callable(sink) else w.format(fmt).option("path", sink)
+    q = w.trigger(**(trigger or {"availableNow": True})).start()
     try:
         q.awaitTermination()
     finally:
@@ -134,16 +167,6 @@ def run_available(
         raise q.exception()
 
 
-def idempotent_batch_writer(path: str, fmt: str = "parquet"):
-    """S4/S5 sink for ``foreachBatch``: a replayed batch id overwrites its own
-    output folder, so the sink is effectively exactly-once."""
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
-
-    return write
-
-
 def console_sink(out: DataFrame, checkpoint: str):
     """Print sink (the harness's printing egress)."""
     return out.writeStream.format("console").option("checkpointLocation", checkpoint).outputMode("append")
@@ -187,39 +210,34 @@ def after_watermark(pred, event_time: str = "event_time"):
     return F.when(F.col(event_time).isNotNull(), pred).otherwise(F.lit(False))
 
 
-def build_ordered_pipeline(domain: DataFrame, profile: Profile, lateness: str) -> DataFrame:
+def reorder(src: DataFrame, pred, bucket_ms: int, spread: int) -> DataFrame:
+    """T4/O2: the rows of ``src`` (watermarked on ``event_time``) that satisfy
+    ``pred``, let go bucket by bucket as the watermark passes: every row of a
+    micro-batch is later than all rows of the batches before it.  A bucket is
+    dealt over ``spread`` keys, so a burst at one time is not one task."""
+    ship_package(src.sparkSession)
+    keyed = src.where(after_watermark(pred)).select(
+        F.floor(epoch_ms("ts") / bucket_ms).cast("long").alias("bucket"),
+        F.pmod("event_id", F.lit(spread)).cast("int").alias("part"), *DOMAIN_SCHEMA.fieldNames(), "event_time")
+    return keyed.groupBy("bucket", "part").transformWithStateInPandas(
+        statefulProcessor=ReorderProcessor(bucket_ms),
+        outputStructType=DOMAIN_SCHEMA,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def build_ordered_pipeline(
+    domain: DataFrame, profile: Profile, lateness: str, bucket_ms: int = 3_600_000, spread: int = 4
+) -> DataFrame:
     """The chain in event order under a watermark (opt-in; the reference is
     arrival-ordered).  Events may arrive out of order by up to ``lateness``;
-    older ones are dropped as late.  Each stage buffers its keys' rows in
-    list state until the watermark passes them; stage 1 hands its event time
-    on (``eventTimeColumnName``) so stage 2 keeps the same watermark.
-    Output rows are emitted once the watermark has passed them."""
-    ship_package(domain.sparkSession)
+    older ones, and rows without a time, are dropped.  Rows wait in buckets of
+    ``bucket_ms`` until the watermark passes them (``reorder``); what is let go
+    runs through the same chain as in arrival order."""
     # event time from the UTC epoch of the wall-clock ts: independent of the
-    # session time zone, and the same clock the processors read from ts
+    # session time zone, and the same clock that cuts the buckets
     src = domain.withColumn("event_time", F.timestamp_millis(epoch_ms("ts"))).withWatermark("event_time", lateness)
-    rows = stock_rows(src, profile, keep=("event_time",), wrap=after_watermark)
-    settled_schema = T.StructType(list(SETTLED_SCHEMA.fields) + [T.StructField("event_time", T.TimestampType())])
-    settled = rows.groupBy("item_id").transformWithStateInPandas(
-        statefulProcessor=OrderedStockProcessor(profile.initial_stock, profile.restock_applies),
-        outputStructType=settled_schema,
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="event_time",
-    )
-    adds = settled.where(F.col("kind") == "add").select(
-        "event_id", "ts", "ts_ms", "kind", "user_id", "item_id", "requested", "status", "event_time"
-    )
-    checkouts = src.where(after_watermark((F.col("kind") == "checkout") & F.col("user_id").isNotNull())).select(
-        "event_id", "ts", "ts_ms", "kind", "user_id",
-        F.lit(None).cast("long").alias("item_id"),
-        F.lit(None).cast("int").alias("requested"),
-        F.lit(None).cast("string").alias("status"),
-        "event_time",
-    )
-    return adds.where(F.col("user_id").isNotNull()).unionByName(checkouts).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=OrderedCartProcessor(profile.checkout, profile.receipt_format),
-        outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    stock = reorder(src, F.col("kind").isin("add", "restock") & F.col("item_id").isNotNull(), bucket_ms, spread)
+    checkouts = reorder(src, (F.col("kind") == "checkout") & F.col("user_id").isNotNull(), bucket_ms, spread)
+    return build_pipeline(stock, profile, checkouts=checkouts)

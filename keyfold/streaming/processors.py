@@ -2,9 +2,12 @@
 
 Stage 1 is keyed by item (stock), stage 2 by user (basket).  The request /
 reply cycle of the reference becomes a chain: settled adds carry their user
-to stage 2 (J2), checkouts join the stream before stage 2.  Each handler
-sorts its key's rows of the micro-batch by ``(ts, event_id)`` before folding,
-so the result equals the batch plan when micro-batches arrive in order.
+to stage 2 (J2), checkouts join the stream before stage 2.  A handler is given
+its key's rows of the micro-batch in ``(ts, event_id)`` order, as a series of
+Arrow chunks (``pipeline.in_order``: Spark sorts each partition, on disk where
+it must), and folds chunk by chunk with the state carried along.  Memory is one
+chunk, however many rows a hot key has.  The result equals the batch plan when
+micro-batches arrive in order.
 
 State per key is a few ValueStates in the RocksDB store; it is checkpointed
 with every batch, so a restart on the same checkpoint resumes exactly.
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,12 +54,22 @@ OUTPUT_SCHEMA = T.StructType(
     ]
 )
 
-_ORDER = ["ts", "event_id"]
+def us(ts: pd.Series) -> np.ndarray:
+    return ts.astype("datetime64[us]").to_numpy().astype("int64")
 
 
-def _batch(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    pdf = pd.concat(list(rows), ignore_index=True)
-    return pdf.sort_values(_ORDER, kind="stable").reset_index(drop=True)
+def _chunks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The key's chunks, held against the order they must come in."""
+    last = None
+    for pdf in rows:
+        if not len(pdf):
+            continue
+        ts, ids = us(pdf["ts"]), pdf["event_id"].to_numpy(dtype=np.int64)
+        before = (ts[:-1] < ts[1:]) | ((ts[:-1] == ts[1:]) & (ids[:-1] <= ids[1:]))
+        if not before.all() or last is not None and last > (ts[0], ids[0]):
+            raise RuntimeError("rows of a key out of (ts, event_id) order")
+        last = (ts[-1], ids[-1])
+        yield pdf.reset_index(drop=True)
 
 
 def _nullable_long(values) -> pd.Series:
@@ -73,29 +87,29 @@ class StockProcessor(StatefulProcessor):
         self.stock = handle.getValueState("stock", "stock long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _batch(rows)
         s = int(self.stock.get()[0]) if self.stock.exists() else self.initial_stock
-        is_add = (pdf["kind"] == "add").to_numpy(dtype=bool)
-        restock = pdf["restock"].fillna(0).to_numpy(dtype=np.int64) * self.restock_applies
-        delta = np.where(is_add, -pdf["requested"].fillna(0).to_numpy(dtype=np.int64), restock)
-        ok, after = settle_run(s, delta, is_add)
-        status = np.where(is_add, np.where(ok, "INSTOCK", "OUTOFSTOCK"), None)
-        s = int(after[-1])
+        for pdf in _chunks(rows):
+            is_add = (pdf["kind"] == "add").to_numpy(dtype=bool)
+            restock = pdf["restock"].fillna(0).to_numpy(dtype=np.int64) * self.restock_applies
+            delta = np.where(is_add, -pdf["requested"].fillna(0).to_numpy(dtype=np.int64), restock)
+            ok, after = settle_run(s, delta, is_add)
+            status = np.where(is_add, np.where(ok, "INSTOCK", "OUTOFSTOCK"), None)
+            s = int(after[-1])
+            yield pd.DataFrame(
+                {
+                    "event_id": pdf["event_id"].astype("int64"),
+                    "ts": pdf["ts"],
+                    "ts_ms": pdf["ts_ms"].astype("int64"),
+                    "kind": pdf["kind"],
+                    "user_id": _nullable_long(pdf["user_id"]),
+                    "item_id": _nullable_long(pdf["item_id"]),
+                    "requested": pd.array(pdf["requested"], dtype="Int32"),
+                    "restock": pd.array(pdf["restock"], dtype="Int32"),
+                    "status": status,
+                    "stock_after": after,
+                }
+            )
         self.stock.update((s,))
-        yield pd.DataFrame(
-            {
-                "event_id": pdf["event_id"].astype("int64"),
-                "ts": pdf["ts"],
-                "ts_ms": pdf["ts_ms"].astype("int64"),
-                "kind": pdf["kind"],
-                "user_id": _nullable_long(pdf["user_id"]),
-                "item_id": _nullable_long(pdf["item_id"]),
-                "requested": pd.array(pdf["requested"], dtype="Int32"),
-                "restock": pd.array(pdf["restock"], dtype="Int32"),
-                "status": status,
-                "stock_after": after,
-            }
-        )
 
     def close(self) -> None:
         pass
@@ -121,14 +135,23 @@ class CartProcessor(StatefulProcessor):
         return self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        pdf = _batch(rows)
-        b = int(self.basket.get()[0]) if self.basket.exists() else None
+        b, filled = int(self.basket.get()[0]) if self.basket.exists() else None, False
+        for pdf in _chunks(rows):
+            if not filled and (pdf["kind"] == "add").any():
+                filled = True
+                for f in self.fillers:
+                    if not f.exists():
+                        f.update(("a" * 500,))
+            b, out = self._fold(int(key[0]), b, pdf)
+            yield out
+        if b is None:
+            self.basket.clear()
+        else:
+            self.basket.update((b,))
+
+    def _fold(self, user: int, b: int | None, pdf: pd.DataFrame) -> tuple[int | None, pd.DataFrame]:
+        """The basket after a chunk of the user's rows, and the chunk's output."""
         add, check = ((pdf["kind"] == k).to_numpy(dtype=bool) for k in ("add", "checkout"))
-        if add.any():
-            for f in self.fillers:
-                if not f.exists():
-                    f.update(("a" * 500,))
         qty = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
         granted = add & (pdf["status"] == "INSTOCK").to_numpy(dtype=bool)
         # items and grants up to each row, the carried basket counted as one grant
@@ -157,15 +180,11 @@ class CartProcessor(StatefulProcessor):
             "receipt": [None] * n_add + [self._text(user, k) for k in n],
             "publishTimestamp": [str(t) for t in stamp.tolist()],
         }
-        if b is None:
-            self.basket.clear()
-        else:
-            self.basket.update((b,))
         df = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
         for c in ("user_id", "item_id", "event_id", "n_items"):
             df[c] = pd.array([None if pd.isna(x) else int(x) for x in df[c]], dtype="Int64")
         df["quantity"] = pd.array(df["quantity"].tolist(), dtype="Int32")
-        yield df
+        return b, df
 
     def close(self) -> None:
         pass
@@ -180,16 +199,15 @@ class LatestMessageProcessor(StatefulProcessor):
         self.m2 = handle.getValueState("message2", "v string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _batch(rows)
-        last = None
-        for m in pdf["message"]:
-            if m is None or m == "":
+        last, n = None, 0
+        for pdf in _chunks(rows):
+            if (pdf["message"].isna() | (pdf["message"] == "")).any():
                 raise RuntimeError(f"poison message for user {key[0]}")
-            last = m
+            last, n = pdf["message"].iloc[-1], n + len(pdf)
         if last is not None:
             self.m1.update((last,))
             self.m2.update((last,))
-        yield pd.DataFrame({"user_id": [str(key[0])], "latest_message": [last], "n_messages": [len(pdf)]})
+        yield pd.DataFrame({"user_id": [str(key[0])], "latest_message": [last], "n_messages": [n]})
 
     def close(self) -> None:
         pass
@@ -205,188 +223,96 @@ class CartItemsProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         user = int(key[0])
-        pdf = _batch(rows)
-        check = (pdf["kind"] == "checkout").to_numpy(dtype=bool)
-        cart = np.cumsum(check) - check  # a checkout belongs to the cart that it closes
-        add = ((pdf["kind"] == "add") & (pdf["status"] == "INSTOCK")).to_numpy(dtype=bool)
-        sums = pdf[add].assign(cart=cart[add]).groupby(["cart", "item_id"])["requested"].sum()
-        by_cart: dict[int, dict[int, int]] = {}
-        for (c, item), q in sums.items():
-            by_cart.setdefault(int(c), {})[int(item)] = int(q)
-        held = {int(k[0]): int(v[0]) for k, v in self.items.iterator()} if check.any() and self.items.exists() else {}
-        out, carried = [], bool(held)
-        for c, event_id in enumerate(pdf["event_id"][check].tolist()):
-            basket = by_cart.pop(c, {})
-            for item, q in held.items():
-                basket[item] = basket.get(item, 0) + q
-            held = {}
-            if basket:
-                lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in sorted(basket.items()))
-                out.append((user, int(event_id), f"User {user} receipt: \n{lines}"))
-        if carried:
+        stored = self.items.exists()  # the open cart's part that is in the state
+        cleared, opened = False, {}
+        for pdf in _chunks(rows):
+            check = (pdf["kind"] == "checkout").to_numpy(dtype=bool)
+            cart = np.cumsum(check) - check  # a checkout belongs to the cart that it closes
+            add = ((pdf["kind"] == "add") & (pdf["status"] == "INSTOCK")).to_numpy(dtype=bool)
+            sums = pdf[add].assign(cart=cart[add]).groupby(["cart", "item_id"])["requested"].sum()
+            by_cart: dict[int, dict[int, int]] = {}
+            for (c, item), q in sums.items():
+                by_cart.setdefault(int(c), {})[int(item)] = int(q)
+            out = []
+            for c, event_id in enumerate(pdf["event_id"][check].tolist()):
+                for item, q in by_cart.pop(c, {}).items():
+                    opened[item] = opened.get(item, 0) + q
+                if stored and not cleared:
+                    for k, v in self.items.iterator():
+                        opened[int(k[0])] = opened.get(int(k[0]), 0) + int(v[0])
+                cleared = True
+                if opened:
+                    lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in sorted(opened.items()))
+                    out.append((user, int(event_id), f"User {user} receipt: \n{lines}"))
+                opened = {}
+            for basket in by_cart.values():  # the cart still open
+                for item, q in basket.items():
+                    opened[item] = opened.get(item, 0) + q
+            df = pd.DataFrame(out, columns=["user_id", "event_id", "receipt"])
+            df["user_id"] = pd.array(df["user_id"], dtype="Int64")
+            df["event_id"] = pd.array(df["event_id"], dtype="Int64")
+            yield df
+        if stored and cleared:
             self.items.clear()
-        for basket in by_cart.values():  # the cart still open
-            for item, q in basket.items():
-                k = (item,)
-                have = self.items.getValue(k) if not check.any() and self.items.containsKey(k) else None
-                self.items.updateValue(k, (q + (int(have[0]) if have is not None else 0),))
-        df = pd.DataFrame(out, columns=["user_id", "event_id", "receipt"])
-        df["user_id"] = pd.array(df["user_id"], dtype="Int64")
-        df["event_id"] = pd.array(df["event_id"], dtype="Int64")
-        yield df
+        for item, q in opened.items():
+            have = None if cleared or not stored or not self.items.containsKey((item,)) else self.items.getValue((item,))
+            self.items.updateValue((item,), (q + (int(have[0]) if have is not None else 0),))
 
     def close(self) -> None:
         pass
 
 
 # ------------------------------------------------------------------ ordered mode
-# Event-time variants: rows wait in list state until the watermark passes
-# them, then are settled in (ts, event_id) order.  Rows older than the
-# watermark are dropped by Spark as late; so every row a key settles can no
-# longer be preceded by one still to come.  Opt-in (the reference is
+# Rows that arrive out of order wait in time buckets until the watermark has
+# passed the bucket's end; rows older than the watermark are dropped by Spark as
+# late, so a bucket that is let go is complete.  Opt-in (the reference is
 # arrival-ordered); the lateness bound is the watermark delay.
 
-_STOCK_BUF = "event_id long, ts_us long, ts_ms long, kind string, user_id long, requested int, restock int"
-_CART_BUF = "event_id long, ts_us long, ts_ms long, kind string, item_id long, requested int, status string"
-
-
-def _us(ts: pd.Series) -> list[int]:
-    return (ts.astype("datetime64[us]").astype("int64")).tolist()
+DOMAIN_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("ts_ms", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("item_id", T.LongType()),
+        T.StructField("quantity", T.IntegerType()),
+    ]
+)
+_ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.TimestampNTZType(): pa.timestamp("us")}
+_DOMAIN_ARROW = pa.schema([(f.name, _ARROW[f.dataType]) for f in DOMAIN_SCHEMA.fields])
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
 
 
-def _ready(buf, wm: int, handle):
-    """Split buffered rows into those before the watermark (sorted) and the rest.
+class ReorderProcessor(StatefulProcessor):
+    """T4/O2: one time bucket (and one of ``spread`` parts of it) per key.
 
-    Readiness uses the row's own time (``ts`` in µs, field 1), the same
-    clock as the watermarked event time.
+    Each chunk of rows that arrives is appended to the bucket's list state as
+    one Arrow message; the bucket's one timer reads the list once, emits it and
+    clears it.  A row is thus written once and read once, whatever else waits.
     """
-    rows = list(buf.get()) if buf.exists() else []
-    ready = sorted((r for r in rows if r[1] // 1000 < wm), key=lambda r: (r[1], r[0]))
-    rest = [r for r in rows if r[1] // 1000 >= wm]
-    if rest:
-        buf.put(rest)
-        handle.registerTimer(min(r[1] for r in rest) // 1000 + 1)
-    else:
-        buf.clear()
-    return ready
-
-
-class OrderedStockProcessor(StatefulProcessor):
-    """Stock per item, settled in event order under a watermark."""
 
-    def __init__(self, initial_stock: int, restock_applies: bool):
-        self.initial_stock = int(initial_stock)
-        self.restock_applies = bool(restock_applies)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.stock = handle.getValueState("stock", "stock long")
-        self.buf = handle.getListState("buffer", _STOCK_BUF)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        self.buf.appendList([
-            (int(e), u, int(m), k, None if pd.isna(uid) else int(uid),
-             None if pd.isna(q) else int(q), None if pd.isna(r) else int(r))
-            for e, u, m, k, uid, q, r in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
-                                             pdf["user_id"], pdf["requested"], pdf["restock"])
-        ])
-        self.handle.registerTimer(min(_us(pdf["ts"])) // 1000 + 1)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        item = int(key[0])
-        wm = timerValues.getCurrentWatermarkInMs()
-        ready = _ready(self.buf, wm, self.handle)
-        s = int(self.stock.get()[0]) if self.stock.exists() else self.initial_stock
-        out = []
-        for e, u, m, k, uid, q, r in ready:
-            st = None
-            if k == "add":
-                if s >= q:
-                    s, st = s - q, "INSTOCK"
-                else:
-                    st = "OUTOFSTOCK"
-            elif self.restock_applies and r is not None:
-                s += r
-            out.append((e, u, m, k, uid, item, q, r, st, s))
-        if ready:
-            self.stock.update((s,))
-        cols = ["event_id", "ts_us", "ts_ms", "kind", "user_id", "item_id", "requested", "restock", "status",
-                "stock_after"]
-        df = pd.DataFrame(out, columns=cols)
-        res = pd.DataFrame({
-            "event_id": df["event_id"].astype("int64"),
-            "ts": pd.to_datetime(df["ts_us"].astype("int64"), unit="us"),
-            "ts_ms": df["ts_ms"].astype("int64"),
-            "kind": df["kind"],
-            "user_id": pd.array(df["user_id"], dtype="Int64"),
-            "item_id": pd.array(df["item_id"], dtype="Int64"),
-            "requested": pd.array(df["requested"], dtype="Int32"),
-            "restock": pd.array(df["restock"], dtype="Int32"),
-            "status": df["status"],
-            "stock_after": df["stock_after"].astype("int64"),
-        })
-        # event time handed downstream = just after the emission watermark:
-        # Spark takes no output row at or before the watermark; order keeps ts
-        res["event_time"] = pd.to_datetime(pd.Series([wm + 1] * len(res), dtype="int64"), unit="ms")
-        yield res
-
-    def close(self) -> None:
-        pass
-
-
-class OrderedCartProcessor(StatefulProcessor):
-    """Basket per user under a watermark: confirms and receipts in event order."""
-
-    def __init__(self, checkout: str, receipt_format: str):
-        self.checkout = checkout
-        self.receipt_format = receipt_format
+    def __init__(self, bucket_ms: int):
+        self.bucket_ms = int(bucket_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.basket = handle.getValueState("basket", "n long")
-        self.buf = handle.getListState("buffer", _CART_BUF)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        self.buf.appendList([
-            (int(e), u, int(m), k, None if pd.isna(i) else int(i), None if pd.isna(q) else int(q),
-             None if (st is None or (isinstance(st, float) and pd.isna(st))) else st)
-            for e, u, m, k, i, q, st in zip(pdf["event_id"], _us(pdf["ts"]), pdf["ts_ms"], pdf["kind"],
-                                            pdf["item_id"], pdf["requested"], pdf["status"])
-        ])
-        self.handle.registerTimer(min(_us(pdf["ts"])) // 1000 + 1)
+        for pdf in rows:
+            batch = pa.RecordBatch.from_pandas(pdf[_DOMAIN_ARROW.names], _DOMAIN_ARROW, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _DOMAIN_ARROW) as w:
+                w.write_batch(batch)
+            self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer((int(key[0]) + 1) * self.bucket_ms)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        ready = _ready(self.buf, timerValues.getCurrentWatermarkInMs(), self.handle)
-        b = int(self.basket.get()[0]) if self.basket.exists() else None
-        out = []
-        text = lambda n: self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
-        for e, u, m, k, i, q, st in ready:
-            if k == "add":
-                if st == "INSTOCK":
-                    b = q if b is None else b + q
-                out.append(("confirm", user, i, e, q, None, None, str(m)))
-            elif k == "checkout":
-                if self.checkout == "clear" and b is not None:
-                    out.append(("receipt", user, None, e, None, b, text(b), str(m)))
-                    b = None
-                elif self.checkout == "running":
-                    n = 0 if b is None else b
-                    out.append(("receipt", user, None, e, None, n, text(n), str(m)))
-        if ready:
-            if b is None:
-                self.basket.clear()
-            else:
-                self.basket.update((b,))
-        df = pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
-        for c in ("user_id", "item_id", "event_id", "n_items"):
-            df[c] = pd.array(df[c], dtype="Int64")
-        df["quantity"] = pd.array(df["quantity"], dtype="Int32")
-        yield df
+        for (message,) in self.waiting.get():
+            yield pa.ipc.open_stream(message).read_all().to_pandas(types_mapper=_NULLABLE.get)
+        self.waiting.clear()
 
     def close(self) -> None:
         pass

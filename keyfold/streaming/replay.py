@@ -1,9 +1,10 @@
 """Ordered replay of driver events through the streaming pipeline.
 
-The events are written as parquet under a shared folder in ``waves`` of equal
-time spans; the stream processes each wave to completion, and with more than
-one wave a fresh query object resumes from the checkpoint for the next -- the
-stop / restart of the reference's crash test.  All paths sit under
+The events are written under a shared folder in ``waves`` of equal time spans,
+each as files of bounded size in event order; the stream takes a bounded number
+of files a micro-batch (S13) until the wave is processed, and with more than one
+wave a fresh query object resumes from the checkpoint for the next -- the stop /
+restart of the reference's crash test.  All paths sit under
 ``spark.checkpoint.dir``.
 """
 
@@ -15,6 +16,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.functions import codecs
 from keyfold.functions.timefns import epoch_ms
 from keyfold.operators import routing
 from keyfold.profiles import Profile
@@ -41,24 +43,27 @@ def time_waves(domain: DataFrame, waves: int, ts_ms: str = "ts_ms") -> list[Data
 
 def replay_events(
     spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, base: str | None = None, build=None,
-    domain: DataFrame | None = None,
-) -> DataFrame:
+    domain: DataFrame | None = None, rows_per_file: int = pipeline.ROWS_PER_FILE, sink=None, after_wave=None,
+) -> DataFrame | None:
     """Run the chain over the events table (or ``domain``) in ordered waves.
 
     Returns the sink contents (confirms and receipts) as a batch DataFrame;
     source, sink and checkpoint live under ``base`` (a fresh shared folder
-    by default).
+    by default).  ``sink``: a ``foreachBatch`` function in the file sink's
+    place.  ``after_wave(wave)`` is called when a wave is processed.
     """
     base = base or shared_path(spark, "replay")
-    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+    src, ckpt = f"{base}/source", f"{base}/checkpoint"
     if domain is None:
         domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    for part in time_waves(domain, waves):
-        part.write.mode("append").parquet(src)
+    for wave, part in enumerate(time_waves(domain, waves)):
+        pipeline.write_in_order(part, src, rows_per_file)
         stream = pipeline.file_source(spark, src)
         out = (build or pipeline.build_pipeline)(stream, profile)
-        pipeline.run_available(spark, out, sink, ckpt)
-    return spark.read.parquet(sink)
+        pipeline.run_available(out, sink or f"{base}/sink", ckpt)
+        if after_wave:
+            after_wave(wave)
+    return None if sink else spark.read.parquet(f"{base}/sink")
 
 
 def receipts_of(out: DataFrame) -> DataFrame:
@@ -98,9 +103,9 @@ def stream_receipts_out_of_order(
         "event_id long, ts timestamp_ntz, ts_ms long, kind string, user_id long, item_id long, quantity int",
     )
     for part in [*reversed(time_waves(domain, 2)), tick]:
-        part.write.mode("append").parquet(src)
-        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, src), profile, f"{days} days")
-        pipeline.run_available(spark, out, sink, ckpt)
+        pipeline.write_in_order(part, src)
+        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, src), profile, f"{days} days", day, spread=2)
+        pipeline.run_available(out, sink, ckpt)
     return receipts_of(spark.read.parquet(sink))
 
 
@@ -111,7 +116,7 @@ def log_stream(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     """Log records (text line, offset, broker time) to domain
     events: route, decode, and drop what does not decode.  ``strict`` fails on
     a poison record, as the reference does the first time."""
-    src = spark.readStream.schema("event_id long, ts timestamp_ntz, ts_ms long, value string").parquet(path)
+    src = pipeline.file_source(spark, path, schema="event_id long, ts timestamp_ntz, ts_ms long, value string")
     decoded = routing.decode(routing.route(src))
     if strict:
         decoded = routing.strict(decoded)
@@ -125,7 +130,7 @@ def log_stream(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def _write_log(lines: DataFrame, path: str) -> None:
-    lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value").write.mode("append").parquet(path)
+    pipeline.write_in_order(lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value"), path)
 
 
 def stream_receipts_from_log(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
@@ -133,7 +138,7 @@ def stream_receipts_from_log(spark: SparkSession, sf_dir: str, profile: Profile)
     base = shared_path(spark, "replay-log")
     _write_log(eventlog.lines_from_events(td.table(spark, sf_dir, "events"), profile.restock_qty), f"{base}/source")
     out = pipeline.build_pipeline(log_stream(spark, f"{base}/source"), profile)
-    pipeline.run_available(spark, out, f"{base}/sink", f"{base}/checkpoint")
+    pipeline.run_available(out, f"{base}/sink", f"{base}/checkpoint")
     return receipts_of(spark.read.parquet(f"{base}/sink"))
 
 
@@ -150,7 +155,7 @@ def stream_crash_resume(spark: SparkSession, sf_dir: str, profile: Profile, fail
 
     def run(strict: bool) -> None:
         out = pipeline.build_pipeline(log_stream(spark, f"{base}/source", strict), profile)
-        pipeline.run_available(spark, out, f"{base}/sink", f"{base}/checkpoint")
+        pipeline.run_available(out, f"{base}/sink", f"{base}/checkpoint")
 
     _write_log(lines.where(early), f"{base}/source")
     run(strict=True)
@@ -175,3 +180,94 @@ def state_final_stock(spark: SparkSession, sf_dir: str, profile: Profile) -> Dat
     replay_events(spark, sf_dir, profile, base=base)
     st = read_state(spark, f"{base}/checkpoint", "stock")
     return st.select(F.col("key.item_id").alias("item_id"), F.col("value.stock").alias("final_stock"))
+
+
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that a stream's checkpoint has committed."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    names = (f.getPath().getName() for f in folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder))
+    return max(int(n) for n in names if n.isdigit())
+
+
+def state_by_wave(spark: SparkSession, sf_dir: str, profile: Profile, waves: int) -> DataFrame:
+    """The stock per item as the state had it after each wave: the epoch
+    is the wave's last batch, read back when all waves are done."""
+    from keyfold.streaming.extras import read_state
+
+    base, epochs = shared_path(spark, "replay-epochs"), []
+    replay_events(spark, sf_dir, profile, waves, base=base,
+                  after_wave=lambda wave: epochs.append((wave, last_batch(spark, f"{base}/checkpoint"))))
+    out = None
+    for wave, batch in epochs:
+        st = read_state(spark, f"{base}/checkpoint", "stock", batch_id=batch)
+        st = st.select(F.lit(wave).alias("wave"), F.col("key.item_id").alias("item_id"), F.col("value.stock").alias("stock"))
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
+def stream_topic_records(spark: SparkSession, sf_dir: str, profile: Profile, n_filler: int, crash: bool = True) -> DataFrame:
+    """Confirmations and receipts leave the stream as topic
+    records through the commit log.  The first run crashes between a batch's
+    write and its commit, the second between the commit and the checkpoint; the
+    third finds each batch once."""
+    from keyfold.streaming import sinks
+
+    base = shared_path(spark, "replay-topics")
+    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    pipeline.write_in_order(domain, f"{base}/source")
+    for fault in [sinks.crash_at("written", 0), sinks.crash_at("committed", 0), None] if crash else [None]:
+        out = pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/source"), profile, n_filler)
+        sink = sinks.committed_sink(f"{base}/topics", lambda df: pipeline.to_topic_records(df, profile), fault)
+        try:
+            pipeline.run_available(out, sink, f"{base}/checkpoint")
+        except StreamingQueryException:
+            if fault is None:
+                raise
+    return sinks.read_committed(spark, f"{base}/topics")
+
+
+def stream_latency_log(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """Each confirmation leaves the stream as a latency record, stamped
+    with the time of its micro-batch, into a log of JSON lines; returns the log
+    as the evaluator reads it."""
+    from keyfold.sources import latencylog
+
+    base = shared_path(spark, "replay-latency")
+    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    pipeline.write_in_order(domain, f"{base}/source")
+    out = pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/source"), profile)
+    confirms = out.where(F.col("kind") == "confirm")
+    log = latencylog.from_confirms(confirms, F.unix_millis(F.current_timestamp()))
+    pipeline.run_available(log, f"{base}/log", f"{base}/checkpoint", fmt="json")
+    return latencylog.read_json(spark, f"{base}/log")
+
+
+#: The declared fields of each message type.
+MESSAGE_FIELDS = {
+    "add-to-cart": {"userId": "string", "itemId": "string", "quantity": "int", "publishTimestamp": "string"},
+    "checkout": {"userId": "string", "publishTimestamp": "string"},
+    "restock-item": {"itemId": "string", "quantity": "int", "publishTimestamp": "string"},
+}
+
+
+def stream_envelope(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """Every event packed into an envelope of its type; one stream of
+    them, from which each type's function takes its own fields."""
+    base = shared_path(spark, "replay-envelope")
+    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
+    name = F.when(F.col("kind") == "add", "add-to-cart").when(F.col("kind") == "checkout", "checkout").otherwise("restock-item")
+    message = F.struct(
+        F.col("user_id").cast("string").alias("userId"), F.col("item_id").cast("string").alias("itemId"), "quantity",
+        F.col("ts_ms").cast("string").alias("publishTimestamp"),
+    )
+    packed = domain.select("event_id", "ts", codecs.typed_envelope(name, message).alias("e"))
+    pipeline.write_in_order(packed.select("event_id", "ts", "e.typename", "e.payload"), f"{base}/source")
+    stream = pipeline.file_source(spark, f"{base}/source", schema="event_id long, ts timestamp_ntz, typename string, payload variant")
+    out = None
+    for typename, fields in MESSAGE_FIELDS.items():
+        own = stream.where(F.col("typename") == typename)
+        own = own.select("event_id", "typename", *codecs.open_envelope("payload", fields))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    pipeline.run_available(out, f"{base}/sink", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/sink")

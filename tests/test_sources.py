@@ -31,11 +31,32 @@ def test_kafka_records_decode_path(spark):
     assert dec.quantity == 2 and dec.decoded and dec.topic == "add-to-cart"
 
 
-def test_idempotent_batch_writer(spark):
-    path = shared_path(spark, "t-idem")
-    w = pipeline.idempotent_batch_writer(path)
-    df = spark.range(5)
-    w(df, 0)
-    w(df, 0)  # a replayed batch overwrites its own output
-    w(spark.range(3), 1)
-    assert spark.read.parquet(path).count() == 8
+def test_committed_sink_keeps_each_batch_once(spark):
+    from keyfold.session import shared_path
+    from keyfold.streaming import sinks
+
+    path = shared_path(spark, "t-sink")
+    for where, rows in (("written", 3), ("committed", 4), (None, 5)):
+        fault = sinks.crash_at(where, 0) if where else None
+        write = sinks.committed_sink(path, lambda df: df.withColumnRenamed("id", "x"), fault)
+        try:
+            write(spark.range(rows), 0)
+            assert where is None
+        except sinks.SinkCrash:
+            assert where
+    sinks.committed_sink(path, lambda df: df.withColumnRenamed("id", "x"))(spark.range(10, 12), 1)
+    # the try of 3 rows has no commit; the try of 4 has, so the one of 5 is left
+    assert sorted(r.x for r in sinks.read_committed(spark, path).collect()) == [0, 1, 2, 3, 10, 11]
+
+
+def test_kafka_options_without_a_broker():
+    from keyfold.sources import kafka
+
+    assert kafka.stream_options("b:9092", ["x", "y"], "earliest", 500, 32) == {
+        "kafka.bootstrap.servers": "b:9092", "subscribe": "x,y", "startingOffsets": "earliest",
+        "maxOffsetsPerTrigger": "500", "minPartitions": "32",
+    }
+    assert kafka.stream_options("b:9092", ["x"])["startingOffsets"] == "latest"
+    scan = kafka.batch_options("b:9092", "add-confirm")
+    assert scan["startingOffsets"] == "earliest" and scan["kafka.isolation.level"] == "read_committed"
+    assert "kafka.isolation.level" not in kafka.batch_options("b:9092", "add-confirm", committed_only=False)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -6,7 +7,7 @@ from keyfold.operators import carts, reserve
 from keyfold.plans import params as P
 from keyfold.session import shared_path
 from keyfold.streaming import pipeline
-from keyfold.streaming.replay import replay_events, stream_receipts
+from keyfold.streaming.replay import last_batch, replay_events, stream_receipts
 
 _RECEIPT_COLS = ["user_id", "event_id", "n_items", "receipt", "publishTimestamp"]
 
@@ -49,9 +50,9 @@ def test_stream_literal_ordering_inside_batch(spark):
     rows = [(3, 3, "checkout", 5, None, None), (1, 1, "add", 5, 1, 1), (2, 2, "add", 5, 1, 1),
             (4, 4, "add", 5, 1, 1)]
     base = shared_path(spark, "t-literal")
-    ev(spark, rows).write.parquet(f"{base}/src")
+    pipeline.write_in_order(ev(spark, rows), f"{base}/src")
     out_df = pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/src"), P.EMBEDDED)
-    pipeline.run_available(spark, out_df, f"{base}/sink", f"{base}/ckpt")
+    pipeline.run_available(out_df, f"{base}/sink", f"{base}/ckpt")
     rec = spark.read.parquet(f"{base}/sink").where(F.col("kind") == "receipt").collect()
     assert [(r.event_id, r.n_items) for r in rec] == [(3, 2)]
 
@@ -61,10 +62,10 @@ def test_topic_records_per_profile(spark):
 
     rows = [(1, 1, "add", 5, 1, 1), (2, 2, "checkout", 5, None, None)]
     base = shared_path(spark, "t-topics")
-    ev(spark, rows).write.parquet(f"{base}/src")
+    pipeline.write_in_order(ev(spark, rows), f"{base}/src")
     p = get_profile("remote", initial_stock=10)
     out = pipeline.to_topic_records(pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/src"), p), p)
-    pipeline.run_available(spark, out, f"{base}/sink", f"{base}/ckpt")
+    pipeline.run_available(out, f"{base}/sink", f"{base}/ckpt")
     got = sorted((r.topic, bytes(r.key).decode(), r.value) for r in spark.read.parquet(f"{base}/sink").collect())
     assert got == [
         ("add-confirm", "5", '{"userId":"5","itemId":"1","quantity":1,"publishTimestamp":"1000"}'),
@@ -81,9 +82,9 @@ def test_ordered_mode_settles_in_event_order(spark):
     P1 = P.UNIT.with_(initial_stock=1)
 
     def wave(rows):
-        ev(spark, rows).write.mode("append").parquet(f"{base}/src")
-        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, f"{base}/src"), P1, "30 seconds")
-        pipeline.run_available(spark, out, f"{base}/sink", f"{base}/ckpt")
+        pipeline.write_in_order(ev(spark, rows), f"{base}/src")
+        out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, f"{base}/src"), P1, "30 seconds", bucket_ms=1000, spread=2)
+        pipeline.run_available(out, f"{base}/sink", f"{base}/ckpt")
 
     wave([(3, 20, "checkout", 5, None, None), (5, 15, "add", 6, 1, 1)])
     wave([(1, 10, "add", 5, 1, 1), (2, 12, "add", 5, 2, 1)])
@@ -127,3 +128,110 @@ def test_periods_follow_the_calendar(spark):
 
     p = _long_log(spark).select(period_col().alias("p")).distinct().count()
     assert p > 100
+
+
+# ------------------------------------------------- bounded batches, carried folds
+
+
+@pytest.mark.parametrize("records,rows_per_file", [(16, 10_000), (10_000, 90)])
+def test_chunks_of_a_key_and_files_of_a_wave(spark, records, rows_per_file):
+    """A hot item's batch spans many Arrow chunks; or the log many micro-batches."""
+    d = _long_log(spark)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        base = shared_path(spark, "t-chunks")
+        out = replay_events(spark, "", P.UNIT, domain=d, rows_per_file=rows_per_file, base=base)
+        got = out.where("kind = 'receipt'").select(*_RECEIPT_COLS)
+        assert _same(got, carts.receipts(reserve.reserve(d, P.UNIT), d, P.UNIT).select(*_RECEIPT_COLS))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert last_batch(spark, f"{base}/checkpoint") >= (3 if rows_per_file < 100 else 0)
+
+
+def test_files_are_taken_in_event_order(spark):
+    import glob
+    import os
+
+    base = shared_path(spark, "t-files")
+    n = pipeline.write_in_order(_long_log(spark), base, rows_per_file=50)
+    files = sorted(glob.glob(f"{base}/part-*.parquet"), key=os.path.getmtime)
+    assert n == len(files) > 4
+    ends = [spark.read.parquet(f).agg(F.min("ts"), F.max("ts")).first() for f in files]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+class _List:
+    def __init__(self):
+        self.held, self.written, self.read = [], 0, 0
+
+    def appendValue(self, v):
+        self.held.append(v)
+        self.written += 1
+
+    def get(self):
+        self.read += len(self.held)
+        return iter(list(self.held))
+
+    def clear(self):
+        self.held = []
+
+
+def test_reorder_state_is_written_and_read_once():
+    import pandas as pd
+
+    from keyfold.streaming.processors import DOMAIN_SCHEMA, ReorderProcessor
+
+    timers, states = [], []
+
+    class Handle:
+        def getListState(self, name, schema):
+            states.append(_List())
+            return states[-1]
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    names = DOMAIN_SCHEMA.fieldNames()
+    for bucket in range(50):  # each key has its own list, as in the state store
+        p = ReorderProcessor(1000)
+        p.init(Handle())
+        for k in range(4):
+            ts = bucket * 1000 + 10 * k
+            rows = pd.DataFrame([(k, pd.Timestamp(ts, unit="ms"), ts, "add", 1, None, 2)], columns=names)
+            assert list(p.handleInputRows((bucket, 0), iter([rows]), None)) == []
+        out = pd.concat(list(p.handleExpiredTimer((bucket, 0), None, None)))
+        assert out["event_id"].tolist() == [0, 1, 2, 3] and out["item_id"].isna().all()
+    assert timers == [(b + 1) * 1000 for b in range(50) for _ in range(4)]
+    assert [(s.written, s.read, s.held) for s in states] == [(4, 4, [])] * 50
+
+
+def test_rows_out_of_order_are_refused():
+    import pandas as pd
+
+    from keyfold.streaming.processors import _chunks
+
+    def chunk(*ids):
+        return pd.DataFrame({"ts": pd.to_datetime(list(ids), unit="s"), "event_id": list(ids)})
+
+    assert [len(c) for c in _chunks(iter([chunk(1, 2), chunk(), chunk(2, 3)]))] == [2, 2]
+    for bad in ([chunk(2, 1)], [chunk(1, 3), chunk(2)]):
+        with pytest.raises(RuntimeError, match="out of"):
+            list(_chunks(iter(bad)))
+
+
+def test_processing_time_trigger_and_topic_records(spark):
+    """Micro-batches on a clock; S16: the print sink starts and stops."""
+    base = shared_path(spark, "t-clock")
+    pipeline.write_in_order(ev(spark, [(1, 1, "add", 5, 1, 1)]), f"{base}/src")
+    stream = pipeline.file_source(spark, f"{base}/src")
+    w = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+    q = pipeline.processing_trigger(w, 1).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{base}/out").count() == 1
+    q = pipeline.console_sink(stream, f"{base}/ck2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
