@@ -54,6 +54,17 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker freed to the system: a
+    worker serves many stages, and its allocators keep their peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---------------------------------------------------------------- numpy text
 
 _RNG = np.random.default_rng(20240607)
@@ -97,7 +108,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
-def spans(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def spans(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each (a longer text stands alone)."""
     a, n = 0, len(at) - 1
     while a < n:

@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import SPACE_RUN, materialise, scratch, small
-from keyfold.session import use_rocksdb_state
+from keyfold.streaming.pipeline import stream_session
 
 #: Input bytes of a micro-batch (a bound on what one batch shuffles).
 BATCH_BYTES = 256 << 30
+#: Memory of an executor's state stores (their data lie on disk), in MB.
+STORE_MB = "128"
 #: Rows of one group that a single task compares with the text that stays.
 SALT_ROWS = 2000
 
@@ -39,25 +41,28 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _at(df: DataFrame) -> Column:
+    """The content locator of each row, whatever columns ``df`` has."""
+    of_file = df.metadataColumn("_metadata")
+    return F.struct(of_file["file_path"].alias("file"), of_file["row_index"].alias("row")).alias("at")
+
+
 def _located(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """Identifier, digest and content locator of each row."""
-    norm = normalised(F.col(text_col))
-    return df.select(
-        F.col(id_col).alias("id"),
-        digest(norm).alias("digest"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-    )
+    return df.select(F.col(id_col).alias("id"), digest(normalised(F.col(text_col))).alias("digest"), _at(df))
 
 
 def run_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, checkpoint: str | None = None, batch_bytes: int = BATCH_BYTES, files_per_batch: int | None = None) -> DataFrame:
     """Feed every file of ``path`` that ``checkpoint`` has not seen through the
     state, and read the state back: digest, stays (id, at), n."""
-    use_rocksdb_state(spark)
-    # many small stores: do not reserve log space for each in advance
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    stream = stream_session(spark)
+    # many small stores: do not reserve log space for each in advance, and let
+    # those of an executor share one bounded block cache
+    for key, value in (("allowFAllocate", "false"), ("boundedMemoryUsage", "true"), ("maxMemoryUsageMB", STORE_MB)):
+        stream.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{key}", value)
     checkpoint = checkpoint or scratch(spark, "dedup-state")
     limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", batch_bytes)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option(*limit)
+    reader = stream.readStream.schema(spark.read.parquet(path).schema).option(*limit)
     # as a glob the path may be one file or a folder; a stream takes only folders otherwise
     stem = path.rstrip("/")
     rows = _located(reader.parquet(f"{stem[:-1]}[{stem[-1]}]"), id_col, text_col, digest)
@@ -108,8 +113,7 @@ def _unequal(docs: DataFrame, state: DataFrame, text_col: str, digest, salt_rows
         "dedup-groups",
     )
     norm = normalised(F.col(text_col))
-    here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows = docs.select(here.alias("at"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    rows = docs.select(_at(docs), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     bits = small(many.select("bits"))
     rows = rows.withColumn("bits", F.xxhash64("digest")).join(bits, "bits", "left_semi").drop("bits")
     first = rows.drop("digest").join(many.select("digest", F.col("stays.at").alias("at"), "salts"), "at").select(
@@ -125,9 +129,8 @@ def _regrouped(docs: DataFrame, plain: DataFrame, odd: DataFrame, id_col: str, t
     """The rows of colliding digests, grouped by their whole text."""
     norm = normalised(F.col(text_col))
     rows = docs.select(
-        F.col(id_col).alias("id"), digest(norm).alias("digest"), norm.alias("norm"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-    )
+        F.col(id_col).alias("id"), digest(norm).alias("digest"), norm.alias("norm"), _at(docs),
+    )
     rows = rows.join(odd, "digest", "left_semi")
     groups = rows.groupBy("digest", "norm").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("stays"), F.count("*").alias("n")
@@ -151,5 +154,6 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     gone = small(dropped)
     stored = spark.read.schema(docs.schema).parquet(path)
-    same = (stored["_metadata.file_path"] == gone["file"]) & (stored["_metadata.row_index"] == gone["row"])
+    of_file = stored.metadataColumn("_metadata")
+    same = (of_file["file_path"] == gone["file"]) & (of_file["row_index"] == gone["row"])
     return stored.join(gone, same, "left_anti").select(*[stored[c] for c in docs.columns])

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from keyfold.session import ship_package
 
 WIDTH = 2048
+#: Pieces that a packing worker remembers.
+PIECES = 1_000_000
 #: Penalties of a cut, in tokens of padding.
 SENTENCE, INSIDE = 4, 24
 #: Least distance of two sentence cuts, and of cuts inside a sentence.
@@ -121,10 +123,11 @@ def pack_run(docs: list[tuple], ids: np.ndarray, ends: np.ndarray, stops: np.nda
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    from keyfold.llm.tokens import batches as groups
+    from keyfold.llm.common import give_back, spans, utf8
     from keyfold.llm.tokens import encoder
 
-    enc = encoder(path)
+    give_back()
+    enc = encoder(path, PIECES)
     stops = sentence_stops(enc.tok, end_id)
     sequence = TaskContext.get().partitionId() << 40
     keys, parts, sizes, held = [], [], [], 0
@@ -137,14 +140,15 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     for batch in batches:
-        ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in groups(texts):
-            flat, counts = enc.encode(texts[a:b])
+        # a batch may hold many texts: a megabyte at a time becomes Python strings
+        for a, b in spans(utf8(batch.column(1))[1], 1 << 20):
+            texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+            flat, counts = enc.encode(texts)
             stop = np.cumsum(counts)
             flat = np.insert(flat, stop, end_id)  # the end id behind each document
             if held and held + len(flat) > RUN:
                 yield run(False)
-            keys += ids_of[a:b]
+            keys += batch.column(0).slice(a, b - a).to_pylist()
             parts.append(flat.astype(np.uint32))
             sizes += (counts + 1).tolist()
             held += len(flat)

@@ -12,7 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond, it forgets all and goes on.
+#: Pieces that a worker remembers unless it is told otherwise; beyond, it
+#: forgets all and goes on.
 MEMORY = 1_500_000
 
 
@@ -37,7 +38,7 @@ class Encoder:
     another run of white space at a space are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
         import json
         import os
 
@@ -54,6 +55,7 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t[:1] == "\u0120" if self.joined else t.endswith("</w>"))]] = True
+        self.memory = memory
         self._forget()
 
     def _forget(self) -> None:
@@ -131,7 +133,7 @@ class Encoder:
         new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > MEMORY:
+        if len(self.known) > (self.memory or MEMORY):
             self._forget()
         numbers, counts = [], []
         find = self.known.__getitem__
@@ -174,10 +176,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+def encoder(path: str, memory: int | None = None) -> Encoder:
+    """One encoder per Python worker and vocabulary (the first call's memory holds)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, memory)
     return _ENCODERS[path]
 
 

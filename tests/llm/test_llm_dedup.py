@@ -67,3 +67,11 @@ def test_empty_table_and_columns_kept(spark, tmp_path):
     out = X.dedup_table(spark.createDataFrame(rows(), SCHEMA))
     assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert out.count() == len({r[3] for r in brute(rows())})
+
+
+def test_a_column_named_like_the_file_metadata(spark):
+    docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, None)], "doc_id long, text string")
+    docs = docs.withColumn("_metadata", F.lit("theirs")).withColumn("file", F.lit("f"))
+    kept = X.dedup_table(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["_metadata"], r.file) for r in kept.collect()) == [(1, "theirs", "f"), (3, "theirs", "f")]
