@@ -47,7 +47,8 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     number of state partitions (fixed in the checkpoint by the first run;
     default: the cluster's default parallelism), and leave to sort the rows of
     a micro-batch within their partitions, which the plan check for streams
-    does not tell from a sort of the whole stream."""
+    does not tell from a sort of the whole stream.  Listeners are added to the
+    stream's session too: ``stream.sparkSession.streams``."""
     s = spark.newSession()
     use_rocksdb_state(s)
     for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):

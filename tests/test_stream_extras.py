@@ -13,13 +13,13 @@ def test_harness_latest_message_with_poison_quarantined(spark):
     base = shared_path(spark, "t-harness")
     out = extras.harness(extras.generated_messages(spark, 40, crash_at=17))
     listener = extras.ProgressListener(10)
-    spark.streams.addListener(listener)
+    out.sparkSession.streams.addListener(listener)
     try:
         q = (out.writeStream.format("parquet").option("path", base + "/out")
              .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        spark.streams.removeListener(listener)
+        out.sparkSession.streams.removeListener(listener)
     got = spark.read.parquet(base + "/out")
     n = got.agg(F.sum("n_messages")).first()[0]
     batches = q.lastProgress["batchId"] + 1 if q.lastProgress else 1
@@ -60,9 +60,9 @@ def test_progress_listener_marks(spark):
 
     base = shared_path(spark, "t-progress")
     listener = extras.ProgressListener(25)
-    spark.streams.addListener(listener)
+    src = extras.generated_messages(spark, 60)
+    src.sparkSession.streams.addListener(listener)  # listeners belong to the stream's session
     try:
-        src = extras.generated_messages(spark, 60)
         q = (src.writeStream.format("parquet").option("path", base + "/out")
              .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -72,6 +72,6 @@ def test_progress_listener_marks(spark):
                 break
             time.sleep(0.2)
     finally:
-        spark.streams.removeListener(listener)
+        src.sparkSession.streams.removeListener(listener)
     assert listener.total == n
     assert listener.marks == [k * 25 for k in range(1, n // 25 + 1)]
