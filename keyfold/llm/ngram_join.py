@@ -16,12 +16,20 @@ least ``percent`` of the union shared) needs that sum to reach a known size.
    and the links give components.  Blocks that still hold several components go
    into the next round, with other orders, while rounds find links.  A round's
    pairs are never more than the rows of its blocks.
-4. Tree round: what is left of the blocks is cut into tiles of ``TILE`` rows in
-   order of set size.  A tile is an R-tree: leaves of ``LEAF`` points under
-   their coordinate maxima.  Tiles of a block are joined with themselves and
-   each other through the tree, a task per pair of tiles, and only pairs
-   between components are kept.  These too are verified, so every link that
-   could join two components is found.
+4. Tree round: what is left of the blocks is cut into tiles of at most ``TILE``
+   rows and about ``SHINGLES`` shingles, in order of set size.  A tile is an
+   R-tree packed by median splits: leaves of ``LEAF`` points, ``FAN`` nodes under
+   each node above, every node with the least and greatest coordinates, sizes and
+   components below it.  Tiles of a block are joined with themselves and each
+   other from the roots down, a task per pair of tiles.  A pair counts only in
+   the block of the smallest hash that both sets take, and only if its
+   components differ.
+5. The join hands on the sets that may link, per pair of tiles, never the pairs.
+   Each pair of tiles gets those sets and tries them in full; a set that links
+   joins its component there, and no pair within one component is tried again.
+   What comes out is one link for each two components that meet, so rows stay
+   below those of the tiles.  Tiles are settled on their own first; pairs of
+   tiles that are one component by then are left out.
 
 Defined cases: a text without words has an empty set and links with nothing;
 shorter texts are one shingle; rows with a null id are returned with their set
@@ -48,11 +56,13 @@ from keyfold.llm.common import materialise, shingle_sets, spans, utf8
 from keyfold.llm.components import components
 from keyfold.session import ship_package
 
-GROUPS, TILE, LEAF = 256, 1024, 32
+GROUPS, TILE, LEAF, FAN = 256, 1024, 32, 4
+#: Shingles at which a tile is closed (its last set may pass them).
+SHINGLES = 1 << 20
 #: Star rounds at most, and the random orders in which a round's blocks find their first.
 STAR_ROUNDS, ORDERS = 1, 8
-#: Sets that are held at once to verify pairs.
-SETS = 2048
+#: Sets that are held at once to verify the pairs of a star round, about.
+SETS = 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -109,10 +119,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 PAIRS = "a bigint, b bigint, place bigint, part bigint"
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, place, part: int) -> pa.RecordBatch:
-    n = len(a)
-    place = np.full(n, place, np.int64) if np.isscalar(place) else place
-    columns = (np.minimum(a, b), np.maximum(a, b), place, np.full(n, part, np.int64))
+def _pairs(a: np.ndarray, b: np.ndarray, place: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    columns = (np.minimum(a, b), np.maximum(a, b), place, part)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "place", "part"])
 
 
@@ -121,7 +129,7 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     its block, where their components differ."""
     from pyspark import TaskContext
 
-    head, serial = None, TaskContext.get().partitionId() << 32
+    head, serial = None, TaskContext.get().partitionId() << 20
     for batch in batches:
         serial += 1
         if not batch.num_rows:
@@ -136,31 +144,67 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         k = int(first[-1])
         head = (key[k], rep[k], n[k], label[k], vec[k])
         ok = _may_link(np.minimum(vec, vec[lead]).sum(1, dtype=np.int64), n + n[lead], percent) & (label != label[lead])
-        yield _pairs(rep[lead][ok], rep[ok], key[ok], serial)
+        yield _pairs(rep[lead][ok], rep[ok], key[ok], (serial << 20) + np.arange(len(key))[ok] // SETS)
+
+
+def _spatial(vec: np.ndarray) -> np.ndarray:
+    """An order of the points in which every ``LEAF`` in a row lie close: median
+    splits by the coordinate that varies most."""
+    order, todo = np.arange(len(vec)), [(0, len(vec))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= LEAF:
+            continue
+        part = order[a:b]
+        by = vec[part, int(vec[part].var(0).argmax())]
+        order[a:b] = part[np.argsort(by, kind="stable")]
+        mid = a + LEAF * (-(-(b - a) // LEAF) // 2)
+        todo += [(a, mid), (mid, b)]
+    return order
+
+
+def _padded(keys: list[np.ndarray]) -> np.ndarray:
+    """Lists of hashes as rows of one width; a shorter list repeats its last."""
+    width = max(map(len, keys))
+    return np.stack([np.concatenate([k, np.full(width - len(k), k[-1])]) for k in keys])
+
+
+TILES = "key bigint, tile bigint, low bigint, high bigint, first bigint, last bigint, sizes binary, reps binary, labels binary, points binary, hashes binary"
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, rep, label, point) sorted by key and n, packed by tile."""
+    """Rows (key, n, rep, label, point, keys) sorted by key and n, packed by tile."""
     from pyspark import TaskContext
 
     serial = TaskContext.get().partitionId() << 40
-    names = ["key", "tile", "low", "high", "rows", "sizes", "reps", "labels", "points"]
+    names = [c.split()[0] for c in TILES.split(", ")]
     held: list[tuple] = []
 
     def packed(rows):
         nonlocal serial
         serial += 1
         n, rep, label = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-        raw = [x for r in rows for x in r[4]]
-        vec = points(raw)
-        return rows[0][0], serial, int(n.min()), int(n.max()), len(n), n.tobytes(), rep.tobytes(), label.tobytes(), vec.tobytes()
+        vec = points([x for r in rows for x in r[4]])
+        own = _padded([k for r in rows for k in r[5]])
+        if len(n) > LEAF:
+            order = _spatial(vec)
+            n, rep, label, vec, own = (x[order] for x in (n, rep, label, vec, own))
+        ends = int(n.min()), int(n.max()), int(label.min()), int(label.max())
+        return rows[0][0], serial, *ends, *(x.tobytes() for x in (n, rep, label, vec, own))
+
+    def table(out):
+        columns = zip(*out) if out else [[]] * len(names)
+        kinds = [pa.int64()] * 6 + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         key, n, rep, label = (batch.column(i).to_numpy() for i in range(4))
         raw = batch.column(4).to_pylist()
+        at, hashes = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
         cuts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+        total = np.concatenate([[0], np.cumsum(n)])
         out = []
         for a, b in zip(cuts, cuts[1:]):
             if held and held[0][0] != int(key[a]):
@@ -168,68 +212,220 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
             while a < b:
                 room = TILE - sum(len(h[1]) for h in held)
-                c = min(b, a + room)
-                held.append((int(key[a]), n[a:c], rep[a:c], label[a:c], raw[a:c]))
-                if c - a == room:
+                weight = SHINGLES - sum(int(h[1].sum()) for h in held)
+                # up to the row that fills the tile
+                c = min(b, a + room, max(a + 1, int(np.searchsorted(total, total[a] + weight, "left"))))
+                held.append((int(key[a]), n[a:c], rep[a:c], label[a:c], raw[a:c], [hashes[at[i] : at[i + 1]] for i in range(a, c)]))
+                if c - a == room or total[c] - total[a] >= weight:
                     out.append(packed(held))
                     held = []
                 a = c
-        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out))))) if out else _no_tiles(names)
+        yield table(out)
     if held:
-        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*[packed(held)])))))
+        yield table([packed(held)])
 
 
-def _no_tiles(names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
+class Tree:
+    """One tile: its rows and, level by level up to the root, the nodes' least
+    and greatest coordinates, sizes and components."""
 
+    def __init__(self, sizes: bytes, reps: bytes, labels: bytes, vecs: bytes, hashes: bytes | None = None):
+        self.n, self.rep, self.label = (np.frombuffer(x, np.int64) for x in (sizes, reps, labels))
+        width = len(vecs) // max(1, len(self.n) * GROUPS)
+        self.vec = np.frombuffer(vecs, f"<u{width or 1}").reshape(-1, GROUPS)
+        self.keys = None if hashes is None else np.frombuffer(hashes, np.uint64).reshape(len(self.n), -1)
+        self.levels = []
+        if len(self.n) > LEAF:
+            level = tuple((x, x) for x in (self.vec, self.n, self.label))
+            step = LEAF
+            while not self.levels or len(level[1][0]) > 1:
+                at = np.arange(0, len(level[1][0]), step)
+                level = tuple((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)) for low, high in level)
+                self.levels.append(level)
+                step = FAN
 
-def _tree(sizes: bytes, reps: bytes, labels: bytes, vecs: bytes):
-    """Leaves of one tile: coordinate maxima, least and greatest size."""
-    n, rep, label = (np.frombuffer(x, np.int64) for x in (sizes, reps, labels))
-    width = len(vecs) // max(1, len(n) * GROUPS)
-    vec = np.frombuffer(vecs, f"<u{width or 1}").reshape(-1, GROUPS)
-    starts = range(0, len(n), LEAF)
-    top = np.stack([vec[i : i + LEAF].max(0) for i in starts])
-    ends = [(n[i : i + LEAF].min(), n[i : i + LEAF].max()) for i in starts]
-    return n, rep, label, vec, top, np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
 
+def _tree(*columns: bytes) -> Tree:
+    return Tree(*columns)
 
-def tree_join(x, y, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of two trees (``y`` None: of one) that may link and whose
-    components differ.  Inner nodes first, points only under surviving nodes."""
-    same, y = y is None, x if y is None else y
-    out = []
-    for i in range(len(x[5])):
-        near = (percent * y[5] <= 100 * x[6][i]) & (percent * x[5][i] <= 100 * y[6])
-        near &= _may_link(np.minimum(y[4], x[4][i]).sum(1, dtype=np.int64), y[5] + x[5][i], percent)
-        rows = np.arange(i * LEAF, min((i + 1) * LEAF, len(x[0])))
-        for j in np.flatnonzero(near):
-            if same and j < i:
-                continue
-            other = np.arange(j * LEAF, min((j + 1) * LEAF, len(y[0])))
-            ok = x[2][rows][:, None] != y[2][other][None]
-            if same and i == j:
-                ok &= rows[:, None] < other[None]
-            p, q = np.nonzero(ok)
-            bound = np.minimum(x[3][rows[p]], y[3][other[q]]).sum(1, dtype=np.int32)
-            ok = _may_link(bound, x[0][rows[p]] + y[0][other[q]], percent)
-            p, q = p[ok], q[ok]
-            if len(p):
-                out.append((x[1][rows[p]], y[1][other[q]]))
+
+def _below(node: np.ndarray, fan: int, many: int) -> list[np.ndarray]:
+    return [np.arange(i * fan, min((i + 1) * fan, many)) for i in node.tolist()]
+
+
+def _products(p: list[np.ndarray], q: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (child of p[k], child of q[k])."""
+    return (
+        np.concatenate([np.repeat(a, len(b)) for a, b in zip(p, q)]),
+        np.concatenate([np.tile(b, len(a)) for a, b in zip(p, q)]),
+    )
+
+
+def _nodes_meet(x, y, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """May a point below node p of level ``x`` link with one below q of ``y``?"""
+    (x_low, x_high), (nx_low, nx_high), (lx_low, lx_high) = x
+    (y_low, y_high), (ny_low, ny_high), (ly_low, ly_high) = y
+    shared = np.minimum(x_high[p], y_high[q]).sum(1, dtype=np.int64)
+    union = np.maximum(x_low[p], y_low[q]).sum(1, dtype=np.int64)
+    ok = _may_link(shared, nx_low[p] + ny_low[q], percent) & (100 * shared >= percent * union)
+    ok &= (percent * ny_low[q] <= 100 * nx_high[p]) & (percent * nx_low[p] <= 100 * ny_high[q])
+    return ok & ~((lx_low[p] == lx_high[p]) & (ly_low[q] == ly_high[q]) & (lx_low[p] == ly_low[q]))
+
+
+def _owned(x: Tree, y: Tree, p: np.ndarray, q: np.ndarray, key: int) -> np.ndarray:
+    """Pairs whose smallest common hash is ``key``: other blocks leave them alone."""
+    out = np.ones(len(p), bool)
+    for a in range(0, len(p), 4096):
+        kx, ky = x.keys[p[a : a + 4096]], y.keys[q[a : a + 4096]]
+        smaller = (kx[:, :, None] == ky[:, None, :]) & (kx < np.uint64(key % 2**64))[:, :, None]
+        out[a : a + 4096] = ~smaller.any((1, 2))
     return out
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, its tree[, another tree]) to the pairs that may link."""
+def meeting(x: Tree, y: Tree | None, percent: int, key: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of two trees (``y`` None: of one) that may link and
+    whose components differ, from the roots down."""
+    same, y = y is None, x if y is None else y
+    p = q = np.zeros(1, np.int64)
+    dx, dy = len(x.levels), len(y.levels)
+    # points are level 0; the taller tree goes down first
+    rows = tuple((v, v) for v in (x.vec, x.n, x.label)), tuple((v, v) for v in (y.vec, y.n, y.label))
+    if not dx:
+        p = np.arange(len(x.n))
+    if not dy:
+        q = np.arange(len(y.n))
+    p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+    while len(p):
+        lx = x.levels[dx - 1] if dx else rows[0]
+        ly = y.levels[dy - 1] if dy else rows[1]
+        if same and dx == dy:
+            keep = p <= q if dx else p < q
+            p, q = p[keep], q[keep]
+        if not dx and not dy:
+            break
+        ok = _nodes_meet(lx, ly, p, q, percent)
+        p, q = p[ok], q[ok]
+        if not len(p):
+            return
+        down_x, down_y = dx >= dy and dx > 0, dy >= dx and dy > 0
+        fan_x = (FAN if dx > 1 else LEAF) if down_x else 1
+        fan_y = (FAN if dy > 1 else LEAF) if down_y else 1
+        many_x = len(x.levels[dx - 2][1][0]) if dx > 1 else len(x.n)
+        many_y = len(y.levels[dy - 2][1][0]) if dy > 1 else len(y.n)
+        px = _below(p, fan_x, many_x) if down_x else [np.array([i]) for i in p.tolist()]
+        qy = _below(q, fan_y, many_y) if down_y else [np.array([i]) for i in q.tolist()]
+        dx, dy = dx - down_x, dy - down_y
+        p, q = _products(px, qy)
+    for a in range(0, len(p), 1 << 14):
+        i, j = p[a : a + (1 << 14)], q[a : a + (1 << 14)]
+        ok = x.label[i] != y.label[j]
+        i, j = i[ok], j[ok]
+        bound = np.minimum(x.vec[i], y.vec[j]).sum(1, dtype=np.int64)
+        ok = _may_link(bound, x.n[i] + y.n[j], percent)
+        i, j = i[ok], j[ok]
+        if key is not None and len(i):
+            ok = _owned(x, y, i, j, key)
+            i, j = i[ok], j[ok]
+        if len(i):
+            yield i, j
+
+
+def tree_join(x: Tree, y: Tree | None, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of the pairs that ``meeting`` finds."""
+    return [(x.rep[i], (x if y is None else y).rep[j]) for i, j in meeting(x, y, percent)]
+
+
+#: Sets that a pair of tiles (p, q; q is p for one alone) needs to settle its links.
+NEEDS = "p bigint, q bigint, key bigint, side int, rep bigint, label bigint"
+
+
+def _needs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tile, its tree[, another tile, its tree]) to the rows of the
+    tiles that may link with one another."""
+    names = [c.split()[0] for c in NEEDS.split(", ")]
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            x = _tree(*row[1:5])
-            y = _tree(*row[5:]) if len(row) > 5 else None
-            found = tree_join(x, y, percent)
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found))
-                yield _pairs(a, b, int(row[0]), 0 if y is None else 1)
+            key, p, q = row[0], row[1], row[7] if len(row) > 7 else row[1]
+            x = Tree(*row[2:7])
+            y = Tree(*row[8:]) if len(row) > 7 else None
+            used = np.zeros(len(x.n), bool), np.zeros(len(x.n if y is None else y.n), bool)
+            for i, j in meeting(x, y, percent, key):
+                used[0][i] = True
+                used[0 if y is None else 1][j] = True
+            for side, tree in enumerate((x, y)):
+                at = np.flatnonzero(used[side]) if tree is not None else ()
+                if len(at):
+                    fixed = [pa.array(np.full(len(at), v, np.int64)) for v in (p, q, key)]
+                    columns = [*fixed, pa.array(np.full(len(at), side, np.int32)), pa.array(tree.rep[at]), pa.array(tree.label[at])]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def settled(key: int, side: np.ndarray, rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components that links between the two sides (or
+    within side 0, if there is no other) join; pairs whose smallest common hash
+    is not ``key`` belong to other blocks."""
+    size = np.array([len(s) for s in sets])
+    label, links = label.copy(), []
+    alone = not side.any()
+    small = len(sets) <= 4
+    if not small:
+        tree = Tree(size.tobytes(), rep.tobytes(), label.tobytes(), points([_counts(s) for s in sets]).tobytes(), None)
+        tree.keys = _padded([s[: prefix_length(len(s), percent)] for s in sets])
+        values, number = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(size)])
+        seen = np.zeros(len(values), np.int8)
+    for i in np.flatnonzero(side == 0).tolist():
+        other = label != label[i]
+        if alone:
+            other[: i + 1] = False
+        else:
+            other &= side == 1
+        other &= (percent * size <= 100 * size[i]) & (percent * size[i] <= 100 * size)
+        j = np.flatnonzero(other)
+        if small:
+            shared = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j.tolist()], np.int64)
+        elif len(j):
+            bound = np.minimum(tree.vec[i], tree.vec[j]).sum(1, dtype=np.int64)
+            j = j[_may_link(bound, size[i] + size[j], percent)]
+            j = j[_owned(tree, tree, np.full(len(j), i), j, key)]
+            if not len(j):
+                continue
+            mine = number[at[i] : at[i + 1]]
+            seen[mine] = 1
+            hit = seen[np.concatenate([number[at[k] : at[k + 1]] for k in j.tolist()])]
+            shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[j])[:-1]]), dtype=np.int64)
+            seen[mine] = 0
+        if not len(j):
+            continue
+        for k in j[(shared > 0) & (100 * shared >= percent * (size[i] + size[j] - shared))].tolist():
+            if label[k] != label[i]:
+                links.append((int(rep[i]), int(rep[k])))
+                label[label == label[k]] = label[i]
+    return links
+
+
+def _settled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (p, q, key, side, rep, label, set) sorted by p, q and side to links.
+    A pair of tiles is held at once, which tiles bound."""
+    held: list[tuple] = []
+
+    def links(rows):
+        side, rep, label = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
+        return settled(rows[0][2], side, rep, label, [np.frombuffer(r[6], np.uint64) for r in rows], percent)
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if held and held[0][:2] != row[:2]:
+                out += links(held)
+                held = []
+            held.append(row)
+        yield table(out)
+    if held:
+        yield table(links(held))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,21 +464,26 @@ def mark(text) -> F.Column:
     return F.xxhash64(text)
 
 
+def _sets_of(rows: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of the nodes ``wanted`` (rep)."""
+    wanted = wanted.distinct().join(reps.select("rep", "id", "mark", "digest"), "rep")
+    sets = rows.join(wanted, ["id", "mark"]).select("rep", "text", "digest").mapInArrow(_sets, "id bigint, set binary")
+    return materialise(sets, "join-sets")
+
+
 def _links(rows: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold.
+    """The pairs of a star round whose full sets reach the threshold.
 
-    A pair found in several places is checked in the first of them.  Places
-    hold a batch or two tiles at most, and pairs of one place share documents:
-    each group of places gets every set that it needs once, not once per pair.
+    A pair found in several places is checked in the first of them.  Pairs of
+    one place share a set: each group of places gets every set that it needs
+    once, not once per pair.
     """
     pairs = materialise(
         pairs.groupBy("a", "b").agg(F.min(F.struct("place", "part")).alias("at")).select("a", "b", F.xxhash64("at.place", "at.part").alias("at")),
         "join-pairs",
     )
     need = pairs.select("at", F.col("a").alias("id")).union(pairs.select("at", "b")).distinct()
-    wanted = need.select(F.col("id").alias("rep")).distinct().join(reps.select("rep", "id", "mark", "digest"), "rep")
-    sets = rows.join(wanted, ["id", "mark"]).select("rep", "text", "digest").mapInArrow(_sets, "id bigint, set binary")
-    sets = materialise(sets, "join-sets")
+    sets = _sets_of(rows, reps, need.select(F.col("id").alias("rep")))
     groups = max(1, -(-need.count() // SETS))
     group = F.pmod("at", F.lit(groups)).alias("group")
     members = need.select(group, "id").distinct().join(sets, "id")
@@ -293,6 +494,19 @@ def _links(rows: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
     )
 
 
+def _settle(rows: DataFrame, reps: DataFrame, needs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links between components, settled per pair of tiles on the full sets."""
+    now = needs.drop("label").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = now.groupBy("p", "q").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("p", "q")
+    now = materialise(now.join(several, ["p", "q"]).select("p", "q", "key", "side", "rep", "label"), "join-needs")
+    sets = _sets_of(rows, reps, now.select("rep")).withColumnRenamed("id", "rep")
+    full = now.join(sets, "rep").select("p", "q", "key", "side", "rep", "label", "set")
+    return materialise(
+        full.repartition("p", "q").sortWithinPartitions("p", "q", "side", "rep").mapInArrow(lambda it: _settled(it, percent), "a bigint, b bigint"),
+        "join-links",
+    )
+
+
 def _open(blocks: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of blocks that hold several components, with their labels."""
     marked = blocks.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -339,29 +553,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         links = links.unionByName(found)
         label = materialise(components(links), "join-labels")
 
-    open_rows = _open(blocks, label).select("key", "n", "rep", "label", "point")
+    open_rows = _open(blocks, label).join(reps.select("rep", "keys"), "rep").select("key", "n", "rep", "label", "point", "keys")
     tiles = materialise(
-        open_rows.repartitionByRange("key", "n", "rep").sortWithinPartitions("key", "n", "rep").mapInArrow(
-            _tiles, "key bigint, tile bigint, low bigint, high bigint, rows bigint, sizes binary, reps binary, labels binary, points binary"
-        ),
-        "join-tiles",
+        open_rows.repartitionByRange("key", "n", "rep").sortWithinPartitions("key", "n", "rep").mapInArrow(_tiles, TILES), "join-tiles"
     )
-    tree = ["sizes", "reps", "labels", "points"]
-    at = tiles.select("key", "tile", "low", "high")
+    tree = ["sizes", "reps", "labels", "points", "hashes"]
+    # a tile that is one component has nothing to settle
+    alone = tiles.where("first < last").select("key", "tile", *tree).repartition(F.xxhash64("tile"))
+    at = tiles.select("key", "tile", "low", "high", "first", "last")
     meet = (
         at.alias("p").join(at.alias("q"), F.col("p.key") == F.col("q.key"))
         .where((F.col("p.tile") < F.col("q.tile")) & (percent * F.col("p.low") <= 100 * F.col("q.high")) & (percent * F.col("q.low") <= 100 * F.col("p.high")))
+        .where(F.least("p.first", "q.first") < F.greatest("p.last", "q.last"))
         .select(F.col("p.tile").alias("p"), F.col("q.tile").alias("q"))
     )
-    across = meet.join(tiles.select(F.col("tile").alias("p"), *tree), "p").join(
-        tiles.select(F.col("tile").alias("q"), *[F.col(c).alias(f"{c}_q") for c in tree]), "q"
-    )
-    alone = tiles.select("tile", *tree).repartition(F.xxhash64("tile"))
-    found = alone.mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS).unionByName(
-        across.select("p", *tree, *[f"{c}_q" for c in tree]).mapInArrow(lambda it: _tile_pairs(it, percent), PAIRS)
+    across = (
+        meet.join(tiles.select("key", F.col("tile").alias("p"), *tree), "p")
+        .join(tiles.select(F.col("tile").alias("q"), *[F.col(c).alias(f"{c}_q") for c in tree]), "q")
+        .select("key", "p", *tree, "q", *[f"{c}_q" for c in tree])
     )
-    more = _links(rows, reps, found, percent)
-    label = materialise(components(links.unionByName(more)), "join-labels") if not more.isEmpty() else label
+    for found in (alone, across):
+        needs = materialise(found.mapInArrow(lambda it: _needs(it, percent), NEEDS), "join-needs")
+        more = _settle(rows, reps, needs, label, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = materialise(components(links), "join-labels")
 
     label = label.withColumnRenamed("node", "rep")
     least = label.join(reps.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("least"))

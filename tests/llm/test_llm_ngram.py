@@ -94,3 +94,101 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def family(rng, n, size=120, edits=30):
+    """Sets that each differ from one base in some hashes: links and near misses."""
+    base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+    out = []
+    for _ in range(n):
+        s = base.copy()
+        at = rng.choice(size, rng.integers(0, edits), replace=False)
+        s[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        out.append(np.unique(s))
+    return out
+
+
+def tile_of(sets, first, label=None):
+    """A tree of the sets in spatial order, and the sets by node."""
+    vec = N.points([N._counts(s) for s in sets])
+    order = N._spatial(vec)
+    rep = order + first
+    own = N._padded([sets[i][: N.prefix_length(len(sets[i]), 75)] for i in order])
+    n = np.array([len(sets[i]) for i in order])
+    label = rep if label is None else label[order]
+    return N.Tree(*(x.tobytes() for x in (n, rep, label, np.ascontiguousarray(vec[order]), own)))
+
+
+def linked(x, y):
+    shared = len(np.intersect1d(x, y))
+    return shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
+
+
+def test_trees_of_several_levels_meet_as_all_pairs_do():
+    rng = np.random.default_rng(11)
+    left = family(rng, 150) + family(rng, 40, 900, 300)
+    right = family(rng, 20) + left[:70] + family(rng, 8, 30, 9)
+    x, y = tile_of(left, 0), tile_of(right, 1000, np.arange(1000, 1000 + len(right)))
+    assert len(x.levels) >= 2 and x.levels[-1][1][0].shape == (1,)
+    sets = dict(enumerate(left)) | {1000 + i: s for i, s in enumerate(right)}
+    across = {(a, b) for i, j in N.meeting(x, y, 75) for a, b in zip(x.rep[i].tolist(), y.rep[j].tolist())}
+    assert {(a, b) for a in range(len(left)) for b in range(1000, 1000 + len(right)) if linked(sets[a], sets[b])} <= across
+    within = {tuple(sorted(p)) for i, j in N.meeting(x, None, 75) for p in zip(x.rep[i].tolist(), x.rep[j].tolist())}
+    assert {(a, b) for b in range(len(left)) for a in range(b) if linked(left[a], left[b])} <= within
+
+
+def test_each_pair_is_met_in_the_block_of_its_smallest_common_hash():
+    rng = np.random.default_rng(2)
+    sets = family(rng, 60)
+    tile = tile_of(sets, 0)
+    every = [tuple(sorted(p)) for i, j in N.meeting(tile, None, 75) for p in zip(tile.rep[i].tolist(), tile.rep[j].tolist())]
+    keys = sorted({int(k) for k in np.unique(tile.keys)})
+    owned = []
+    for key in keys:
+        inside = np.array([(k == np.uint64(key)).any() for k in tile.keys])
+        for i, j in N.meeting(tile, None, 75, key):
+            both = inside[i] & inside[j]
+            owned += [tuple(sorted(p)) for p in zip(tile.rep[i][both].tolist(), tile.rep[j][both].tolist())]
+    # pairs without a common hash cannot link; all others are met exactly once
+    assert len(owned) == len(set(owned))
+    own = {r: set(k.tolist()) for r, k in zip(tile.rep.tolist(), tile.keys)}
+    assert set(owned) == {p for p in every if own[p[0]] & own[p[1]]}
+
+
+def test_a_family_settles_with_fewer_links_than_rows():
+    rng = np.random.default_rng(3)
+    sets = family(rng, 300)
+    rep = label = np.arange(300)
+    up = list(range(300))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for b in range(300):
+        for a in range(b):
+            if linked(sets[a], sets[b]):
+                up[root(b)] = root(a)
+    want = {}
+    for i in range(300):
+        want.setdefault(root(i), set()).add(i)
+    parts = {i: {i} for i in range(300)}
+    total = 0
+    key_of = sorted({int(k) for s in sets for k in s[: N.prefix_length(len(s), 75)]})
+    for key in key_of:  # every block of the family
+        rows = [i for i, s in enumerate(sets) if np.uint64(key) in s[: N.prefix_length(len(s), 75)]]
+        if len(rows) < 2:
+            continue
+        found = N.settled(key, np.zeros(len(rows), np.int64), rep[rows], label[rows], [sets[i] for i in rows], 75)
+        assert len(found) < len(rows)
+        total += len(found)
+        for a, b in found:
+            assert linked(sets[a], sets[b])
+            joined = parts[a] | parts[b]
+            for m in joined:
+                parts[m] = joined
+    assert {frozenset(p) for p in parts.values()} == {frozenset(w) for w in want.values()}
+    sides = (np.arange(300) % 2).astype(np.int64)
+    across = N.settled(key_of[0], sides, rep, label, sets, 75)
+    assert all(a % 2 != b % 2 and linked(sets[a], sets[b]) for a, b in across) and len(across) < 300
