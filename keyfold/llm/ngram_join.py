@@ -28,8 +28,7 @@ least ``percent`` of the union shared) needs that sum to reach a known size.
    Each pair of tiles gets those sets and tries them in full; a set that links
    joins its component there, and no pair within one component is tried again.
    What comes out is one link for each two components that meet, so rows stay
-   below those of the tiles.  Tiles are settled on their own first; pairs of
-   tiles that are one component by then are left out.
+   below those of the tiles.
 
 Defined cases: a text without words has an empty set and links with nothing;
 shorter texts are one shingle; rows with a null id are returned with their set
@@ -494,13 +493,10 @@ def _links(rows: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
     )
 
 
-def _settle(rows: DataFrame, reps: DataFrame, needs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _settle(rows: DataFrame, reps: DataFrame, needs: DataFrame, percent: int) -> DataFrame:
     """Links between components, settled per pair of tiles on the full sets."""
-    now = needs.drop("label").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    several = now.groupBy("p", "q").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("p", "q")
-    now = materialise(now.join(several, ["p", "q"]).select("p", "q", "key", "side", "rep", "label"), "join-needs")
-    sets = _sets_of(rows, reps, now.select("rep")).withColumnRenamed("id", "rep")
-    full = now.join(sets, "rep").select("p", "q", "key", "side", "rep", "label", "set")
+    sets = _sets_of(rows, reps, needs.select("rep")).withColumnRenamed("id", "rep")
+    full = needs.join(sets, "rep").select("p", "q", "key", "side", "rep", "label", "set")
     return materialise(
         full.repartition("p", "q").sortWithinPartitions("p", "q", "side", "rep").mapInArrow(lambda it: _settled(it, percent), "a bigint, b bigint"),
         "join-links",
@@ -572,12 +568,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         .join(tiles.select(F.col("tile").alias("q"), *[F.col(c).alias(f"{c}_q") for c in tree]), "q")
         .select("key", "p", *tree, "q", *[f"{c}_q" for c in tree])
     )
-    for found in (alone, across):
-        needs = materialise(found.mapInArrow(lambda it: _needs(it, percent), NEEDS), "join-needs")
-        more = _settle(rows, reps, needs, label, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = materialise(components(links), "join-labels")
+    needs = materialise(
+        alone.mapInArrow(lambda it: _needs(it, percent), NEEDS).unionByName(across.mapInArrow(lambda it: _needs(it, percent), NEEDS)), "join-needs"
+    )
+    more = _settle(rows, reps, needs, percent)
+    if not more.isEmpty():
+        # the components so far are stars already: few rounds are left
+        stars = label.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        label = materialise(components(stars.unionByName(more)), "join-labels")
 
     label = label.withColumnRenamed("node", "rep")
     least = label.join(reps.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("least"))
