@@ -164,3 +164,12 @@ def shingle_sets(body: np.ndarray, at: np.ndarray, size: int = 5) -> list[np.nda
 def row_order(*columns: str) -> list:
     """Ascending with nulls last, for a total order over nullable keys."""
     return [F.col(c).asc_nulls_last() for c in columns]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as it takes to differ from
+    all ``columns``; Spark's names do not tell upper from lower case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

@@ -2,7 +2,8 @@
 
 The words of a source, its documents in id order, form one sequence that is
 packed into blocks of ``BLOCK`` words.  A source gets as many slots of the mix
-as its target holds blocks.  Output shards of ``SHARD`` slots draw their source
+as its target holds blocks; what its target holds beyond whole blocks is one more
+slot, which takes that share of its block's words, from the first.  Output shards of ``SHARD`` slots draw their source
 counts multinomially: the slots still to give are split between the two halves
 of the shard range, and so on down to one shard, each split a seeded
 multinomial draw without more than is left of a source.  A shard therefore
@@ -10,7 +11,9 @@ finds its counts, and the first slot number of each source, in log2(shards)
 draws of its own, and the sum over all shards is exact.  Slot i of a source
 with n blocks is block ``permutation(i mod n)`` of round ``i div n``, where
 each round has a keyed pseudorandom permutation; the slots are then joined to
-the blocks by index.  A block is thus taken floor or ceiling of slots / n times.
+the blocks by index.  A block is thus taken floor or ceiling of slots / n times,
+one of them perhaps in part, and a source smaller than a block comes as near its
+target as a large one.
 
 Weights 5, 2, 1 repeat over the sources by code point, null last; a target
 stops at 3 times its source and the rest is shared anew by weight.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import WORD, materialise, row_order
+from keyfold.llm.common import WORD, free_name, materialise, row_order
 from keyfold.session import ship_package
 
 BLOCK, SHARD, SOURCES = 128, 4096, 100_000
@@ -106,8 +109,17 @@ def shard_counts(slots: np.ndarray, shard: int, shards: int, size: int, seed: in
     return have, before
 
 
-def _slots(batches: Iterator[pd.DataFrame], slots: np.ndarray, blocks: np.ndarray, shards: int, seed: int):
-    """Shard numbers to (shard, source, block) rows."""
+def slot_numbers(goal: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots per source, and the share of its block that the last one takes.  A
+    slot brings as many words as the source's blocks hold on average."""
+    want = np.minimum(goal * blocks / np.maximum(sizes, 1), MOST * blocks)
+    slots = np.ceil(want - 1e-9).astype(np.int64)
+    return slots, np.where(slots > 0, np.clip(want - slots + 1, 0, 1), 1.0)
+
+
+def _slots(batches: Iterator[pd.DataFrame], slots: np.ndarray, last: np.ndarray, sizes: np.ndarray, size: int, shards: int, seed: int):
+    """Shard numbers to (shard, source, block, words) rows, one per slot."""
+    blocks = -(-sizes // size)
     for batch in batches:
         for shard in batch["id"]:
             have, before = shard_counts(slots, int(shard), shards, SHARD, seed)
@@ -117,7 +129,9 @@ def _slots(batches: Iterator[pd.DataFrame], slots: np.ndarray, blocks: np.ndarra
                 block = np.empty(len(i), np.int64)
                 for k in np.unique(number):
                     block[number == k] = permuted(index[number == k], int(blocks[s]), _key(seed, "round", int(s), int(k)))
-                yield pd.DataFrame({"shard": shard, "source_no": s, "block": block})
+                words = np.minimum(size, sizes[s] - block * size)
+                words = np.where(i == slots[s] - 1, np.rint(words * last[s]), words).astype(np.int64)
+                yield pd.DataFrame({"shard": shard, "source_no": s, "block": block, "words": words})
 
 
 def _positions(batches: Iterator[pd.DataFrame]):
@@ -142,7 +156,8 @@ def _positions(batches: Iterator[pd.DataFrame]):
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Two tables.  Documents: id, mark (hash of the text), size, source_no,
     position (words before it in its source), source_size, target.  Blocks
-    taken: source_no, block, times."""
+    taken: source_no, block, times, low, high (the words of the block that are
+    taken so often: a block taken in part has a second row)."""
     spark = docs.sparkSession
     ship_package(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -160,8 +175,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sizes = np.array([r["n"] for r in found], np.int64)
     goal = np.array(targets(sizes.tolist(), total))
     blocks = -(-sizes // block)
-    # a slot brings as many words as the source's blocks hold on average
-    slots = np.minimum(np.rint(goal * blocks / np.maximum(sizes, 1)).astype(np.int64), MOST * blocks)
+    slots, last = slot_numbers(goal, sizes, blocks)
     listed = spark.createDataFrame(
         [(i, r["source"], int(sizes[i]), float(goal[i])) for i, r in enumerate(found)],
         "source_no bigint, source string, source_size bigint, target double",
@@ -184,9 +198,15 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
     shards = -(-int(slots.sum()) // SHARD)
     drawn = spark.range(shards).mapInPandas(
-        lambda it: _slots(it, slots, blocks, shards, seed), "shard bigint, source_no bigint, block bigint"
+        lambda it: _slots(it, slots, last, sizes, block, shards, seed), "shard bigint, source_no bigint, block bigint, words bigint"
     )
-    taken = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # only the slot taken in part can have fewer words than the block's others
+    counts = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"), F.min("words").alias("cut"))
+    sides = F.array(
+        F.struct("times", F.lit(0).cast("bigint").alias("low"), F.col("cut").alias("high")),
+        F.struct((F.col("times") - 1).alias("times"), F.col("cut").alias("low"), F.lit(block).cast("bigint").alias("high")),
+    )
+    taken = counts.select("source_no", "block", F.inline(sides)).where("low < high")
     return placed.select("id", "mark", "size", "source_no", "position", "source_size", "target"), taken
 
 
@@ -195,13 +215,15 @@ def pieces(placed: DataFrame, taken: DataFrame, block: int = BLOCK) -> DataFrame
     the document), words and times (0 where the block is not taken)."""
     last = F.expr(f"CASE WHEN size > 0 THEN (position + size - 1) DIV {block} END")
     spread = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"position DIV {block}"), last)))
-    begin, end = F.greatest(F.col("position"), F.col("block") * block), F.least(F.col("position") + F.col("size"), (F.col("block") + 1) * block)
+    edge = F.col("block") * block
+    begin = F.greatest(F.col("position"), edge + F.coalesce("low", F.lit(0)))
+    end = F.least(F.col("position") + F.col("size"), edge + F.coalesce("high", F.lit(block)))
     return (
         # the blocks taken grow with the input, but come from a small range that
         # Spark would take them to be as small as: never broadcast them
         spread.join(taken.hint("merge"), ["source_no", "block"], "left")
-        .withColumn("start", begin - F.col("position")).withColumn("words", end - begin)
-        .withColumn("times", F.coalesce("times", F.lit(0)))
+        .withColumn("start", begin - F.col("position")).withColumn("words", end - begin).where("words > 0")
+        .withColumn("times", F.coalesce("times", F.lit(0))).drop("low", "high")
     )
 
 
@@ -215,7 +237,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _cut(batches: Iterator[pd.DataFrame], columns: list[str], text_col: str, chars_col: str | None):
+def _cut(batches: Iterator[pd.DataFrame], columns: list[str], text_col: str, chars_col: str | None, spans_col: str):
     """Rows with their pieces (start, words, times) to one row per round,
     holding the words that the mix takes in that round."""
     import re
@@ -223,7 +245,7 @@ def _cut(batches: Iterator[pd.DataFrame], columns: list[str], text_col: str, cha
     word = re.compile(WORD)
     for b in batches:
         out = []
-        for row, spans in zip(b[columns].itertuples(index=False, name=None), b["_spans"]):
+        for row, spans in zip(b[columns].itertuples(index=False, name=None), b[spans_col]):
             text = row[columns.index(text_col)] or ""
             spans = sorted((s["start"], s["words"], s["times"]) for s in spans)
             low, high = min(s[2] for s in spans), max(s[2] for s in spans)
@@ -264,14 +286,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.xxhash64("id", "mark").alias("_key"), F.col("id").alias("_i"), F.col("mark").alias("_m"), "_by")
     )
     columns = docs.columns
-    rows = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    spans_col = free_name(columns, "spans")
+    # the row travels as one column, so that no name of ours meets one of its own
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_id"), F.col(source_col).cast("string").alias("_source"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark"),
+    )
     # one shuffle of the texts, by one key: the window stays in its partitions
     both = rows.withColumn("_key", F.xxhash64("_id", "_mark")).join(spans, "_key")
-    alike = W.partitionBy("_key", "_id", "_mark", "_i", "_m").orderBy(F.col(source_col).asc_nulls_last())
+    alike = W.partitionBy("_key", "_id", "_mark", "_i", "_m").orderBy(F.col("_source").asc_nulls_last())
     full = (
         both.withColumn("_nth", F.row_number().over(alike))
         .where(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")))
-        .withColumn("_spans", F.try_element_at("_by", "_nth")).where("_spans IS NOT NULL").select(*columns, "_spans")
+        .withColumn("_spans", F.try_element_at("_by", "_nth")).where("_spans IS NOT NULL")
+        .select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("_spans").alias(spans_col))
     )
     chars = chars_col if chars_col in columns else None
-    return full.mapInPandas(lambda it: _cut(it, columns, text_col, chars), docs.schema)
+    return full.mapInPandas(lambda it: _cut(it, columns, text_col, chars, spans_col), docs.schema)

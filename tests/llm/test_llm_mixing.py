@@ -85,3 +85,32 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", "en", "s", 5, *[9] * 7)], schema)
     assert M.mix(df).first()["taken"] == 3
     assert M.mixed_documents(df).collect() == df.collect()
+
+
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)), "en", f"s{i:02d}", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["id"]: r for r in M.mix(df).collect()}
+    for i in range(60):
+        assert got[i]["target"] == (93.75, 37.5, 18.75)[i % 3]
+        assert abs(got[i]["taken"] - got[i]["target"]) <= 1
+    out = M.mixed_documents(df).toPandas()
+    have = out.text.map(lambda t: len(WORD.findall(t))).groupby(out.doc_id).sum()
+    assert have.to_dict() == {i: got[i]["taken"] for i in got}
+
+
+def test_slots_hold_the_target_to_the_word():
+    sizes = np.array([50, 1000, 0, 128, 129, 7, 10**9])
+    for goal in (np.array(M.targets(sizes.tolist())), 3.0 * sizes, 0.0 * sizes, 1.0 * sizes):
+        blocks = -(-sizes // M.BLOCK)
+        slots, last = M.slot_numbers(goal, sizes, blocks)
+        mean = sizes / np.maximum(blocks, 1)
+        assert np.allclose((slots - (slots > 0) + np.where(slots > 0, last, 0)) * mean, goal, rtol=1e-6, atol=1e-5)
+        assert (slots <= 3 * blocks).all()
+
+
+def test_columns_named_as_the_operator_names_its_own(spark):
+    own = ["_spans", "_i", "_key", "_id", "_mark", "_m", "_by", "_nth", "_source", "row", "spans", "low", "high", "words", "times", "start"]
+    df = spark.createDataFrame([(1, "a b c", "en", "s", 5, *range(len(own)))], DOCS + "".join(f", {c} int" for c in own))
+    assert M.mixed_documents(df).collect() == df.collect()
+    assert M.mix(df).first()["taken"] == 3
