@@ -8,7 +8,8 @@ most |q_rest| * |c_rest| (the remaining mass, Cauchy-Schwarz); a candidate whose
 bound is under a query's k-th best score so far is dropped, and the survivors
 are compacted: first whole columns that no query of the tile still needs, then,
 once few pairs are left, the single pairs.  Sums of integers below 2**53 are
-exact in doubles; larger components are summed as Python integers.
+exact in doubles, which holds for any two vectors with less than ``HEAVY`` as sum
+of squares.  Only pairs with a heavier vector are summed as Python integers.
 
 Queries are a stated set.  They are dealt into chunks of about ``CHUNK`` by a
 hash; each chunk (a bounded number of vectors) is sent to all tasks, which
@@ -19,7 +20,8 @@ components take no part; vectors of another length than the query's are not
 compared with it; a row's id and vector make it a candidate (repeated rows are
 candidates each); a query id that repeats gives one query per distinct vector,
 and rows with a query's own id are never its answers; rows without an id take
-no part; ties go to the smaller id; scores beyond 64 bits raise.
+no part; ties go to the smaller id; scores beyond 64 bits are ranked by their exact
+value and returned as the nearest 64-bit integer.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from keyfold.llm.common import materialise, scratch
 from keyfold.session import ship_package
 
 CHUNK, BLOCK_ROWS, TILE, DIMS = 2048, 4096, 64, 16
+HEAVY = 2.0**51
 #: Share of live pairs under which pairs are handled one by one.
 SPARSE = 0.05
 
@@ -115,44 +118,85 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def usable(vec: Column, scale: int) -> Column:
-    """The integer vector as doubles, or null where it takes no part."""
-    whole = F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """The vector scaled, as doubles, its components floored where a double has
+    a fraction at all; null where it takes no part."""
+    scaled = F.transform(vec, lambda x: x.cast("double") * scale)
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     return F.when((F.size(vec) > 0) & F.coalesce(fine, F.lit(False)), whole)
 
 
-def _exact(q: np.ndarray, rows: pd.DataFrame, ids: np.ndarray, k: int):
-    """Components too large for exact doubles: Python integers throughout."""
-    left = [[int(x) for x in v] for v in q]
-    for i, v in enumerate(left):
-        found = sorted(
-            ((-sum(a * int(b) for a, b in zip(v, c)), r) for r, c in zip(rows["id"], rows["vec"]) if r != ids[i])
-        )[:k]
-        yield from ((i, r, -s) for s, r in found)
+def _integers(whole: np.ndarray, raw: np.ndarray, scale: int) -> list[int]:
+    """Exact components; those whose scaled double is infinite are scaled here."""
+    return [int(x) * scale if np.isinf(w) else int(w) for w, x in zip(whole, raw)]
 
 
-def _searched(batches: Iterator[pd.DataFrame], chunk: dict[int, tuple[np.ndarray, np.ndarray]], k: int, exact: bool):
-    searches = {n: _Search(i, v, k) for n, (i, v) in chunk.items()}
-    held: list[pd.DataFrame] = []
+def _wide(score: int) -> str:
+    """Orders, as text, scores that are the same when cut to 64 bits."""
+    if -(2**63) <= score < 2**63:
+        return "" if score >= 0 else "~"
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04d}{digits}"
+    return f"{9999 - len(digits):04d}" + "".join(str(9 - int(d)) for d in digits)
+
+
+def _exact(asked: list[tuple[int, int, list[int]]], others: list[tuple[int, list[int]]], k: int):
+    """Python integers throughout: (query number, candidate, score), k best each."""
+    for number, own, v in asked:
+        found = sorted((-sum(a * b for a, b in zip(v, c)), r) for r, c in others if r != own)[:k]
+        yield from ((number, r, -s) for s, r in found)
+
+
+FOUND = "query_id bigint, query_no bigint, id bigint, score bigint, wide string"
+
+
+class _Asked:
+    """The queries of one length in a chunk, light and heavy ones."""
+
+    def __init__(self, rows: pd.DataFrame, scale: int):
+        self.ids, self.heavy = rows["id"].to_numpy(), rows["heavy"].to_numpy(bool)
+        vec = _matrix(rows["vec"])
+        self.light_at = np.flatnonzero(~self.heavy)
+        self.light = vec[self.light_at]
+        self.raw, self.vec, self.scale = list(rows["raw"]), vec, scale
+
+    def integers(self, at) -> list[tuple[int, int, list[int]]]:
+        return [(int(i), int(self.ids[i]), _integers(self.vec[i], self.raw[i], self.scale)) for i in at]
+
+
+def _searched(batches: Iterator[pd.DataFrame], chunk: dict[int, _Asked], k: int):
+    searches = {n: _Search(a.ids[a.light_at], a.light, k) for n, a in chunk.items()}
+    held: dict[int, list[tuple[int, int, int]]] = {n: [] for n in chunk}
+
+    def others(part, scale):
+        return [(int(i), _integers(np.asarray(v, float), x, scale)) for i, v, x in zip(part["id"], part["vec"], part["raw"])]
+
     for batch in batches:
         for n, rows in batch.groupby("n", sort=False):
             if n not in chunk:
                 continue
-            if exact:
-                for at in range(0, len(rows), BLOCK_ROWS):
-                    part = rows.iloc[at : at + BLOCK_ROWS]
-                    searches[n].feed(part["id"].to_numpy(), np.ascontiguousarray(_matrix(part["vec"]).T))
-            else:
-                ids, vectors = chunk[n]
-                held.append(pd.DataFrame(list(_exact(vectors, rows, ids, k)), columns=["q", "id", "score"]).assign(query_id=lambda d, i=ids: i[d["q"].astype(int)], query_no=lambda d: d["q"].astype("int64")))
-    for n, s in searches.items() if exact else ():
-        qi, ids, score = s.best
-        held.append(pd.DataFrame({"q": qi, "id": ids, "score": score, "query_id": s.ids[qi], "query_no": qi}))
-    for h in held:
-        h["score"] = h["score"].map(int) if not exact else h["score"].astype("int64")
-        if len(h) and max(map(abs, h["score"])) >= 2**63:
-            raise OverflowError("a score beyond 64 bits")
-        yield h.assign(n=len(h))[["query_id", "query_no", "id", "score"]].astype("int64")
+            asked = chunk[n]
+            light, heavy = rows[~rows["heavy"].astype(bool)], rows[rows["heavy"].astype(bool)]
+            for at in range(0, len(light), BLOCK_ROWS):
+                part = light.iloc[at : at + BLOCK_ROWS]
+                searches[n].feed(part["id"].to_numpy(), np.ascontiguousarray(_matrix(part["vec"]).T))
+            # pairs with a heavy vector: heavy candidates with all queries, heavy queries with the rest
+            found = held[n]
+            if len(heavy):
+                found += _exact(asked.integers(range(len(asked.ids))), others(heavy, asked.scale), k)
+            if asked.heavy.any() and len(light):
+                found += _exact(asked.integers(np.flatnonzero(asked.heavy)), others(light, asked.scale), k)
+            found.sort(key=lambda f: (f[0], -f[2], f[1]))
+            seen: dict[int, int] = {}
+            held[n] = [f for f in found if seen.setdefault(f[0], 0) < k and not seen.update({f[0]: seen[f[0]] + 1})]
+    for n, s in searches.items():
+        asked, (qi, ids, score) = chunk[n], s.best
+        rows = [*zip(asked.light_at[qi].tolist(), ids.tolist(), map(int, score)), *held[n]]
+        yield pd.DataFrame(
+            [(int(asked.ids[q]), q, i, min(max(x, -(2**63)), 2**63 - 1), _wide(x)) for q, i, x in rows],
+            columns=["query_id", "query_no", "id", "score", "wide"],
+        )
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, chunk: int = CHUNK) -> DataFrame:
@@ -161,25 +205,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     ship_package(spark)
     rows = materialise(
         vectors.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("bigint").alias("id"), is_query.alias("asks"), usable(F.col(vec_col), scale).alias("vec"))
-        .where("vec IS NOT NULL").withColumn("n", F.size("vec")),
+        .select(F.col(id_col).cast("bigint").alias("id"), is_query.alias("asks"), usable(F.col(vec_col), scale).alias("vec"), F.col(vec_col).cast("array<double>").alias("raw"))
+        .where("vec IS NOT NULL").withColumn("n", F.size("vec"))
+        .withColumn("heavy", F.aggregate("vec", F.lit(0.0), lambda have, x: have + x * x) >= HEAVY)
+        # only the components of heavy vectors are read again unscaled
+        .withColumn("raw", F.when(F.col("heavy"), F.col("raw")).otherwise(F.col("vec"))),
         "search-vectors",
     )
-    queries = rows.where("asks").select("id", "n", "vec").distinct()
-    top = rows.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max("n")).first()
-    exact = top[0] is None or top[0] ** 2 * top[1] < 2**52
+    queries = rows.where("asks").select("id", "n", "vec", "raw", "heavy").distinct()
     chunks = -(-queries.count() // chunk)
     base = scratch(spark, "search-found")
     for number in range(chunks):
         # about ``chunk`` vectors: the bound on what goes to the driver and every task
         got = queries.where(F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)) == number).toPandas().sort_values("id", kind="stable")
-        sent = {int(n): (g["id"].to_numpy(), _matrix(g["vec"])) for n, g in got.groupby("n")}
-        found = rows.select("id", "n", "vec").mapInPandas(
-            lambda it, s=sent: _searched(it, s, k, exact), "query_id bigint, query_no bigint, id bigint, score bigint"
-        )
+        sent = {int(n): _Asked(g, scale) for n, g in got.groupby("n")}
+        found = rows.select("id", "n", "vec", "raw", "heavy").mapInPandas(lambda it, s=sent: _searched(it, s, k), FOUND)
         found.write.parquet(f"{base}/chunk={number}")
     if not chunks:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    found = spark.read.schema("query_id bigint, query_no bigint, id bigint, score bigint, chunk int").parquet(base)
-    order = W.partitionBy("chunk", "query_id", "query_no").orderBy(F.desc("score"), "id")
+    found = spark.read.schema(f"{FOUND}, chunk int").parquet(base)
+    order = W.partitionBy("chunk", "query_id", "query_no").orderBy(F.desc("score"), F.desc("wide"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

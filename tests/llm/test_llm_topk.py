@@ -73,3 +73,37 @@ def test_bound_prunes_and_never_loses():
     want = np.argwhere(exact >= floor[:, None])
     assert {*map(tuple, want.tolist())} <= {*zip(qi.tolist(), ci.tolist())}
     assert np.array_equal(s, exact[qi, ci])
+
+
+def clipped(ranked):
+    return {(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in ranked}
+
+
+def test_an_outlier_leaves_other_pairs_to_the_search(spark, monkeypatch):
+    rows = vectors(200, 12, 3)
+    rows[7] = (7, [1e17, -3.0] + [0.5] * 10)
+    rows[50] = (50, [-1e16, 1e15] + [0.25] * 10)
+    assert run(spark, rows) == clipped(brute(rows))
+    # light pairs never reach the integer path
+    light = S._Asked(S.pd.DataFrame({"id": [0], "vec": [[256.0, 512.0]], "raw": [[1.0, 2.0]], "heavy": [False]}), 256)
+    monkeypatch.setattr(S, "_exact", lambda *a: 1 / 0)
+    batch = S.pd.DataFrame({"id": [1, 2], "n": [2, 2], "vec": [[1.0, 1.0], [2.0, 0.0]], "raw": [[1.0, 1.0], [2.0, 0.0]], "heavy": [False, False]})
+    (out,) = S._searched(iter([batch]), {2: light}, 5)
+    assert out[["id", "score"]].values.tolist() == [[1, 768], [2, 512]]
+
+
+def test_scores_beyond_64_bits_are_ranked_by_their_value(spark):
+    rows = [(i, [(-1.0) ** i * 1e300 * (1 + i % 7), 1e18 + i]) for i in range(60)]
+    rows += [(100, [1.7e308, 1.0]), (101, [-1.7e308, 2.0]), (102, [1e18, 1e18])]
+    assert run(spark, rows) == clipped(brute_exact(rows))
+
+
+def brute_exact(rows, k=5):
+    """As ``brute``, with components that no scaled double holds."""
+    ok = [(i, [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v]) for i, v in rows]
+    out = set()
+    for q, v in ok:
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in ok if i != q)
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])}
+    return out
