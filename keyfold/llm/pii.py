@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm.common import free_name
+
 ROUNDS = 8
 EPOCH, DAYS_HIGH, DAYS_LOW = "1900-01-01", 250, 292
 
@@ -203,14 +205,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     text = F.col(text_col)
     hit = F.coalesce(text.rlike("@|[0-9][ ./()-]{0,2}[0-9]"), F.lit(False))
     none = F.array().cast("array<string>")
-    found = docs.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
+    # columns of our own that no column of the caller's is called
+    taken = [*docs.columns, out_col, *([changed_col] if changed_col else [])]
+    values, parts, fresh = (free_name(taken, f"_{name}") for name in ("found", "between", "fresh"))
+    found = docs.withColumn(values, F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
     # the text between the values: one part more than there are values
-    between = F.when(F.size("_found") > 0, F.split(text, ANY, -1))
-    found = found.withColumn("_between", between).withColumn(
-        "_fresh", F.when(F.size("_found") > 0, F.expr(f"transform(_found, x -> {pseudonym('x', key)})")).otherwise(none)
+    between = F.when(F.size(values) > 0, F.split(text, ANY, -1))
+    found = found.withColumn(parts, between).withColumn(
+        fresh, F.when(F.size(values) > 0, F.expr(f"transform({values}, x -> {pseudonym('x', key)})")).otherwise(none)
     )
-    woven = F.concat(F.col("_between")[0], F.expr("array_join(zip_with(_fresh, slice(_between, 2, size(_fresh)), (x, y) -> concat(x, y)), '')"))
-    out = found.withColumn(out_col, F.when(F.size("_found") > 0, woven).otherwise(text))
+    woven = F.concat(F.col(parts)[0], F.expr(f"array_join(zip_with({fresh}, slice({parts}, 2, size({fresh})), (x, y) -> concat(x, y)), '')"))
+    out = found.withColumn(out_col, F.when(F.size(values) > 0, woven).otherwise(text))
     if changed_col:
-        out = out.withColumn(changed_col, F.expr("int(size(filter(zip_with(_found, _fresh, (x, y) -> x <> y), z -> z)))"))
-    return out.drop("_found", "_between", "_fresh")
+        out = out.withColumn(changed_col, F.expr(f"int(size(filter(zip_with({values}, {fresh}, (x, y) -> x <> y), z -> z)))"))
+    return out.drop(values, parts, fresh)

@@ -117,3 +117,11 @@ def test_plan_is_native(spark):
     df = pseudonymise(spark.createDataFrame([(1, "a", 0, 1, "f")], SCHEMA), "k")
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_as_the_operator_names_its_own(spark):
+    df = spark.createDataFrame([(1, "write to a@b.com", 7, 8, 9, 10)], "doc_id long, text string, _found int, _Between int, _fresh int, x int")
+    out = pseudonymise(df, "key")
+    assert out.columns == df.columns
+    row = out.first()
+    assert tuple(row)[2:] == (7, 8, 9, 10) and row["text"] != "write to a@b.com" and row["text"].startswith("write to ")
