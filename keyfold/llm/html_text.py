@@ -69,11 +69,12 @@ CELLS = ("td", "th")
 #: An end tag does not close elements outside the cell or table it stands in.
 WALL = frozenset({"td", "th", "table", "caption"})
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Raw-text element -> its end tag.
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I | re.A) for tag in RAW}
-_HIDE = re.compile(r"display\s*:\s*none", re.I)
+_HIDE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
@@ -100,26 +101,33 @@ class _Builder:
         self.root = Node("html")
         self.stack = [self.root]
         self.body = None
+        self.places: dict[str, list[int]] = {}  # tag -> where it stands in the stack
 
     def _push(self, tag: str, attrs: dict | None = None) -> None:
         node = Node(tag, attrs, tag in ("svg", "math") or self.stack[-1].holds_foreign())
         self.stack[-1].children.append(node)
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
 
+    def _drop(self, low: int) -> None:
+        """Close all elements from place ``low`` on."""
+        while len(self.stack) > low:
+            self.places[self.stack.pop().tag].pop()
+
+    def _last(self, names) -> int:
+        """The innermost place of an open element of these names, 0 if there is none."""
+        return max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+
     def _need_body(self) -> None:
         if self.body is None:
-            del self.stack[1:]  # an open head ends here
+            self._drop(1)  # an open head ends here
             self._push("body")
             self.body = self.stack[-1]
 
     def _close(self, names: set, wall) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in names:
-                del self.stack[i:]
-                return
-            if tag in wall:
-                return
+        at = self._last(names)
+        if at and at >= self._last(wall):
+            self._drop(at)
 
     def text(self, data: str) -> None:
         if not data:
@@ -135,10 +143,10 @@ class _Builder:
             if tag not in BREAKS_OUT:
                 self._push(tag, attrs)
                 if empty:
-                    self.stack.pop()
+                    self._drop(len(self.stack) - 1)
                 return
             while self.stack[-1].holds_foreign():
-                self.stack.pop()
+                self._drop(len(self.stack) - 1)
         if tag == "html":
             self.root.attrs.update({k: v for k, v in attrs.items() if k not in self.root.attrs})
             return
@@ -163,10 +171,10 @@ class _Builder:
                     break
             self._supply(tag)
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and self.stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.stack.pop()
+            self._drop(len(self.stack) - 1)
         self._push(tag, attrs)
         if tag in VOID or empty and tag not in BLOCK and tag not in RAW:
-            self.stack.pop()
+            self._drop(len(self.stack) - 1)
 
     def _supply(self, tag: str) -> None:
         """Table parts that must stand around ``tag``."""
@@ -181,43 +189,93 @@ class _Builder:
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "p" and all(n.tag != "p" for n in self.stack):
+        if tag == "p" and not self.places.get("p"):
             self.start("p", {}, False)
         if tag == "br":
             return self.start("br", {}, True)
-        for i in range(len(self.stack) - 1, 0, -1):
-            here = self.stack[i].tag
-            if here == tag:
-                del self.stack[i:]
-                return
-            if here in WALL and tag not in ("table", "tr", "tbody", "thead", "tfoot", *CELLS, "caption") or here == "table":
-                return
+        at = self._last((tag,))
+        walls = ("table",) if tag in ("table", "tr", "tbody", "thead", "tfoot", *CELLS, "caption") else WALL
+        if at and at >= self._last(walls):
+            self._drop(at)
+
+
+class _Scanner:
+    """Finds tags and comments from left to right in time that grows with the
+    text alone: what a failed search has learnt is kept."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.stop = (0, -1)  # from the first to the second no quote and no >
+        self.dead: set[int] = set()  # quotes from which no tag ends
+
+    def _stop(self, at: int) -> int:
+        if not self.stop[0] <= at <= self.stop[1]:
+            m = _STOP.search(self.source, at)
+            self.stop = (at, m.start() if m else len(self.source))
+        return self.stop[1]
+
+    def _tag_end(self, at: int) -> int:
+        """The > outside quotes that ends a tag, or -1."""
+        passed = []
+        while True:
+            at = self._stop(at)
+            if at < len(self.source) and self.source[at] == ">":
+                return at
+            close = -1 if at == len(self.source) or at in self.dead else self.source.find(self.source[at], at + 1)
+            if close < 0:
+                self.dead.update(passed, (at,))
+                return -1
+            passed.append(at)
+            at = close + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, kind (start, end or other), tag name and rest of the next
+        markup; a < that begins none is text."""
+        source = self.source
+        while (at := source.find("<" if at <= self.last else "<!--", at)) >= 0:
+            after = source[at + 1 : at + 3]
+            if source.startswith("<!--", at):
+                stop = source.find("-->", at + 4)
+                return at, stop + 3 if stop >= 0 else len(source), "other", "", ""
+            if at < self.last:
+                if after[:1] in ("!", "?"):
+                    return at, source.find(">", at) + 1, "other", "", ""
+                if after[:1] == "/" and (m := _NAME.match(source, at + 2)):
+                    return at, source.find(">", m.end()) + 1, "end", m[0], ""
+                if m := _NAME.match(source, at + 1, self.last + 1):
+                    stop = self._tag_end(m.end())
+                    if stop >= 0:
+                        return at, stop + 1, "start", m[0], source[m.end() : stop]
+            at += 1
+        return None
 
 
 def build(source: str) -> Node:
     """The element tree of a page."""
-    b, at = _Builder(), 0
+    b, at, scanner = _Builder(), 0, _Scanner(source)
     while True:
-        m = _MARKUP.search(source, at)
-        if m is None:
+        found = scanner.next(at)
+        if found is None:
             b.text(htmllib.unescape(source[at:]))
             return b.root
-        if m.start() > at:
-            b.text(htmllib.unescape(source[at : m.start()]))
-        if source.startswith("<![CDATA[", m.start()) and b.stack[-1].holds_foreign():
-            stop = source.find("]]>", m.start())
-            b.text(source[m.start() + 9 : stop if stop >= 0 else len(source)])
+        start, end, kind, name, rest = found
+        if start > at:
+            b.text(htmllib.unescape(source[at:start]))
+        if source.startswith("<![CDATA[", start) and b.stack[-1].holds_foreign():
+            stop = source.find("]]>", start)
+            b.text(source[start + 9 : stop if stop >= 0 else len(source)])
             at = stop + 3 if stop >= 0 else len(source)
             continue
-        at = m.end()
-        if m[1]:
-            b.end(m[1].lower())
-        elif m[2]:
-            tag, rest = m[2].lower(), m[3]
+        at = end
+        if kind == "end":
+            b.end(name.lower())
+        elif kind == "start":
+            tag = name.lower()
             b.start(tag, _attributes(rest) if rest.strip(" /\n\t\r\f") else {}, rest.endswith("/"))
             if tag in RAW and not b.stack[-1].foreign:
-                end = _RAW_END[tag].search(source, at)
-                stop = end.start() if end else len(source)
+                closing = _RAW_END[tag].search(source, at)
+                stop = closing.start() if closing else len(source)
                 inside = source[at:stop]
                 if tag == "textarea":
                     b.text(htmllib.unescape(inside))
@@ -234,7 +292,7 @@ class _Flow:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.now = ""
+        self.now: list[str] = []  # parts of the open line
         self.gap, self.space = 0, False
         self.indent: list[str] = []
         self.mark = ""
@@ -248,7 +306,7 @@ class _Flow:
             if self.mark:
                 inner = inner[: len(inner) - len(self.mark)] + self.mark
                 self.mark = ""
-            self.now = inner
+            self.now = [inner]
             self.space = False
 
     def words(self, data: str) -> None:
@@ -260,8 +318,8 @@ class _Flow:
         fresh = not self.now
         self._open()
         if not fresh and (self.space or data[0] in " \t\n\r\f"):
-            self.now += " "
-        self.now += " ".join(parts)
+            self.now.append(" ")
+        self.now.append(" ".join(parts))
         self.space = data[-1] in " \t\n\r\f"
 
     def exact(self, data: str) -> None:
@@ -270,21 +328,21 @@ class _Flow:
                 self.newline()
             if line:
                 self._open()
-                self.now += line
+                self.now.append(line)
 
     def newline(self) -> None:
         """A line break that the text asks for."""
         if not self.now:
             self._open()
-        self.lines.append(self.now.rstrip())
-        self.now, self.space = "", False
+        self.lines.append("".join(self.now).rstrip())
+        self.now, self.space = [], False
         self.gap = max(self.gap, 1)
 
     def block(self, gap: int) -> None:
         """The next text begins on a line of its own, ``gap`` - 1 lines down."""
         if self.now:
-            self.lines.append(self.now.rstrip())
-            self.now = ""
+            self.lines.append("".join(self.now).rstrip())
+            self.now = []
         self.space = False
         self.gap = max(self.gap, gap)
 
@@ -305,16 +363,16 @@ class _Table:
 
     def lines(self) -> list[str]:
         """Cells padded to the widths of their columns."""
-        grid, taken = [], {}
+        grid: list[list[tuple[int, int, list[str]]]] = []
+        until: dict[int, int] = {}  # column -> the first row that no cell above reaches
         for r, row in enumerate(self.rows):
             c, placed = 0, []
             for span, down, lines in row:
-                while taken.get((r, c)):
+                while until.get(c, 0) > r:
                     c += 1
                 placed.append((c, span, lines))
-                for k in range(1, down):
-                    for x in range(c, c + span):
-                        taken[r + k, x] = True
+                for x in range(c, c + span) if down > 1 else ():
+                    until[x] = max(until.get(x, 0), r + down)
                 c += span
             grid.append(placed)
         columns = max((c + s for row in grid for c, s, _ in row), default=0)
@@ -396,13 +454,13 @@ def render(root: Node) -> str:
             flow.block(2)
 
             def leave(table=table, flow=flow):
-                tables.remove(table)
+                tables.pop()
                 lines = table.lines()
                 flow.block(2)
                 for line in lines:
                     if line:
                         flow._open()
-                        flow.now += line
+                        flow.now.append(line)
                     flow.block(1 if line else 2)
                 flow.block(2)
         elif tag in CELLS and tables:
@@ -413,7 +471,7 @@ def render(root: Node) -> str:
                 table.rows.append([])
 
             def leave(cell=cell, table=table, node=node):
-                flows.remove(cell)
+                flows.pop()
                 table.rows[-1].append((_span(node, "colspan", 1000), _span(node, "rowspan", 65534), cell.done()))
         elif tag == "tr" and tables:
             tables[-1].rows.append([])
@@ -422,7 +480,7 @@ def render(root: Node) -> str:
             flows.append(cell)
 
             def leave(cell=cell, table=tables[-1]):
-                flows.remove(cell)
+                flows.pop()
                 table.caption += cell.done()
         elif tag in ("ul", "ol", "menu", "dir"):
             start = node.attrs.get("start", "")

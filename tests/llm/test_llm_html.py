@@ -91,3 +91,44 @@ def test_column(spark):
     got = extract(df).collect()
     assert [(r["page_id"], r["text"], r["batch"]) for r in got] == [(1, "a", "x"), (2, None, None), (3, "", "y"), (1, "a", "x"), (None, "b", "z")]
     assert extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<a " * 350_000, "<a \"" * 250_000 + "'", "<a '" * 125_001 + "<b \">" * 100_000, "</a" * 350_000, "<!" * 500_000,
+        "<div>" * 100_000 + "</p>" * 100_000, "<i><table><td>" + "<b>" * 150_000 + "</i>" * 150_000, "a<b>c</b>" * 110_000,
+        "<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 20, "x<span></y>" * 90_000,
+    ],
+    ids=["unclosed", "quotes", "mixed-quotes", "unclosed-ends", "declarations", "p-ends", "walled-ends", "one-line", "spans", "unknown-ends"],
+)
+def test_broken_pages_of_a_megabyte_take_linear_time(source):
+    import time
+
+    begin = time.process_time()
+    assert to_text(source) is not None
+    assert time.process_time() - begin < 10
+
+
+def test_markup_is_found_as_the_grammar_says():
+    """The scanner against one regular expression of the same grammar."""
+    import random
+    import re
+
+    from keyfold.llm.html_text import _Scanner
+
+    grammar = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*+)[^>]*>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(6)
+    for _ in range(20_000):
+        source = "".join(rng.choices(["<", ">", "/", "a", "b ", '"', "'", "!", "--", "?", " x="], k=rng.randrange(1, 24)))
+        scanner, at, got, want = _Scanner(source), 0, [], []
+        while found := scanner.next(at):
+            got.append((*found[:2], found[3], found[4]))
+            at = found[1]
+        for m in grammar.finditer(source):
+            want.append((m.start(), m.end(), m[1] or m[2] or "", m[3] or ""))
+        assert got == want, source
+
+
+def test_only_the_display_property_hides():
+    assert to_text("<p style='xdisplay : none'>a<p style='-x-display:none'>b<p style='color:red;display : none'>c") == "a\n\nb"
