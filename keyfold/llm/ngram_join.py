@@ -55,7 +55,7 @@ from keyfold.llm.common import materialise, shingle_sets, spans, utf8
 from keyfold.llm.components import components
 from keyfold.session import ship_package
 
-GROUPS, TILE, LEAF, FAN = 256, 1024, 32, 4
+GROUPS, TILE, LEAF, FAN = 256, 2048, 32, 4
 #: Shingles at which a tile is closed (its last set may pass them).
 SHINGLES = 1 << 20
 #: Star rounds at most, and the random orders in which a round's blocks find their first.
@@ -507,7 +507,7 @@ def _open(blocks: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of blocks that hold several components, with their labels."""
     marked = blocks.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    return marked.join(mixed, "key").select("key", "rep", "n", "point", "label")
+    return marked.join(mixed, "key").select("key", "rep", "n", "label")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, mark_col: str | None = None) -> DataFrame:
@@ -528,19 +528,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         .select("digest", "at.id", "at.mark", F.monotonically_increasing_id().alias("rep"), "n", "keys", "point"),
         "join-reps",
     )
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    blocks = materialise(
-        keyed.join(shared, "key").join(reps.select("rep", "n", "point"), "rep").select("key", "rep", "n", "point"),
-        "join-blocks",
-    )
+    # points are many times as wide: they join the rows of open blocks only
+    blocks = materialise(keyed.join(shared, "key").select("key", "rep", "n"), "join-blocks")
 
     label = spark.createDataFrame([], "node bigint, label bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
     for turn in range(STAR_ROUNDS):
         order = F.xxhash64("rep", F.lit(turn), F.pmod("key", F.lit(ORDERS)))
         stars = (
-            _open(blocks, label).repartitionByRange(F.col("key"), order).sortWithinPartitions("key", order)
+            _open(blocks, label).join(reps.select("rep", "point"), "rep").select("key", "rep", "n", "point", "label")
+            .repartitionByRange(F.col("key"), order).sortWithinPartitions("key", order)
             .mapInArrow(lambda it: _stars(it, percent), PAIRS)
         )
         found = _links(rows, reps, stars, percent)
@@ -549,7 +548,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         links = links.unionByName(found)
         label = materialise(components(links), "join-labels")
 
-    open_rows = _open(blocks, label).join(reps.select("rep", "keys"), "rep").select("key", "n", "rep", "label", "point", "keys")
+    open_rows = _open(blocks, label).join(reps.select("rep", "point", "keys"), "rep").select("key", "n", "rep", "label", "point", "keys")
     tiles = materialise(
         open_rows.repartitionByRange("key", "n", "rep").sortWithinPartitions("key", "n", "rep").mapInArrow(_tiles, TILES), "join-tiles"
     )
