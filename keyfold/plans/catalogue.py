@@ -872,6 +872,23 @@ def q_live_percentiles(spark, sf_dir):
     return live.join(rows, ["run", "bucket_ms"]).groupBy("run", "bucket_ms", "n_events").agg(ok("p50", 0.5), ok("p99", 0.99))
 
 
+@register("live_gap_filled", ORACLES["gap_filled_full"])
+def q_live_gap_filled(spark, sf_dir):
+    """The gap-filled counts as the stream lets them go bucket by
+    bucket, up to the log's last bucket (the tick behind it lets go more)."""
+    from keyfold.streaming import extras
+
+    origins = lat.run_origins(latencylog.from_events(_events(spark, sf_dir), P.N_RUNS)).collect()  # one row per run
+    bases = [(r["run"], r["t0"] - P.RUN_SHIFTS.get(r["run"], 0) * P.BUCKET_MS) for r in origins if r["t0"] is not None]
+
+    def build(stream, _window, lateness):
+        return extras.live_gap_filled(stream, stream.sparkSession.createDataFrame(bases, "run long, base long"), P.BUCKET_MS, lateness)
+
+    rows = _live(spark, sf_dir, build)
+    last = rows.where("n_events > 0").agg(F.max("end_bucket").alias("last"))
+    return rows.join(F.broadcast(last), F.col("end_bucket") <= F.col("last")).drop("last")
+
+
 @register("state_by_wave", _settled_sql(P.UNIT, f"""SELECT CAST(w.wave AS INTEGER) AS wave, item_id,
   CAST(arg_max(stock_after, rn) AS BIGINT) AS stock
 FROM settled, (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM ({td.domain_events_sql(P.UNIT.restock_qty)}) d),

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from keyfold.functions import synth
 from keyfold.session import ship_package
-from keyfold.streaming.pipeline import in_order, stream_session
-from keyfold.streaming.processors import LatestMessageProcessor
+from keyfold.streaming.pipeline import after_watermark, in_order, stream_session
+from keyfold.streaming.processors import LatestMessageProcessor, SpineProcessor
 
 
 def live_buckets(log_stream: DataFrame, width: str, watermark: str) -> DataFrame:
@@ -56,6 +56,42 @@ def live_percentiles(log_stream: DataFrame, width: str, watermark: str) -> DataF
     )
 
 
+def live_gap_filled(log_stream: DataFrame, bases: DataFrame, bucket_ms: int, watermark: str) -> DataFrame:
+    """Events per end bucket and run, with a row of 0 for every bucket
+    that elapses without an event.
+
+    ``bases`` (run, base: the time in ms at which the run's bucket 0 begins) is
+    the run list, one row a run; runs that it lacks give no rows.  A run's times
+    are moved back by its base's phase in the bucket grid, so that its buckets
+    are Spark's own windows: events fold into window counts on the map side, and
+    only counts of closed windows reach the run's processor.  ``watermark`` as in
+    ``live_buckets``; it is taken over moved times, which are up to one bucket
+    early, so name a bucket more than the lateness.  Rows run on until the
+    watermark stops.
+    """
+    ship_package(log_stream.sparkSession)
+    phase = F.pmod(F.col("base"), F.lit(bucket_ms))
+    known = log_stream.join(F.broadcast(bases.select("run", "base")), "run", "left")
+    moved = known.withColumn("start", F.coalesce(F.col("base") - phase, F.lit(0))).withColumn(
+        "event_time", F.timestamp_millis(F.col("outputKafkaTimestamp") - F.coalesce(phase, F.lit(0)))
+    )
+    counts = (
+        moved.withWatermark("event_time", watermark)
+        .groupBy("run", "start", F.col("base").isNotNull().alias("listed"), F.window("event_time", f"{bucket_ms} milliseconds").alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_events"))
+    )
+    closed = counts.select(
+        "run", "start", "listed", F.expr(f"(unix_millis(w.start) - start) DIV {bucket_ms}").alias("bucket"), "n_events", F.window_time("w").alias("closed")
+    )
+    # pushed below the watermark, the filter would keep unlisted rows from it
+    return closed.where(after_watermark(F.col("listed"), "closed")).drop("listed").groupBy("run", "start").transformWithStateInPandas(
+        statefulProcessor=SpineProcessor(bucket_ms),
+        outputStructType="run long, end_bucket long, n_events long",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def find_operator(spark: SparkSession, checkpoint: str, state_var: str) -> int:
     """The id of the stateful operator that declares ``state_var`` (from the
     checkpoint's state metadata: one row per operator)."""

@@ -316,3 +316,56 @@ class ReorderProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+# ------------------------------------------------------------------ live spine
+
+
+class SpineProcessor(StatefulProcessor):
+    """J4 live: one row per elapsed bucket of a run, also where no event came.
+
+    Input are counts of closed buckets, a row each; state is the next bucket to
+    emit, and one timer stands at its end.  A count lets go the empty buckets
+    before it; the timer lets go those that the watermark has passed since.
+    Buckets start at 0, or at the run's first if that is earlier.
+    """
+
+    def __init__(self, bucket_ms: int):
+        self.bucket_ms = int(bucket_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "bucket long")
+
+    def _end(self, key, bucket: int) -> int:
+        return int(key[1]) + (bucket + 1) * self.bucket_ms
+
+    def _rows(self, key, first: int, counts: np.ndarray) -> pd.DataFrame:
+        at = first + np.arange(len(counts), dtype=np.int64)
+        return pd.DataFrame({"run": np.full(len(at), int(key[0]), np.int64), "end_bucket": at, "n_events": counts.astype(np.int64)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = pd.concat([pdf[["bucket", "n_events"]] for pdf in rows])  # a row per bucket, not per event
+        start = int(self.next.get()[0]) if self.next.exists() else None
+        first = min(0, int(closed["bucket"].min())) if start is None else start
+        after = int(closed["bucket"].max()) + 1
+        if int(closed["bucket"].min()) < first:
+            raise RuntimeError("a bucket was closed after it had been let go")
+        if start is not None:
+            self.handle.deleteTimer(self._end(key, start))
+        counts = np.zeros(after - first, np.int64)
+        counts[closed["bucket"].to_numpy(dtype=np.int64) - first] = closed["n_events"].to_numpy(dtype=np.int64)
+        self.next.update((after,))
+        self.handle.registerTimer(self._end(key, after))
+        yield self._rows(key, first, counts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first = int(self.next.get()[0])
+        after = (int(timerValues.getCurrentWatermarkInMs()) - int(key[1])) // self.bucket_ms
+        if after > first:
+            self.next.update((after,))
+            self.handle.registerTimer(self._end(key, after))
+            yield self._rows(key, first, np.zeros(after - first, np.int64))
+
+    def close(self) -> None:
+        pass

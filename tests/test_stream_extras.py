@@ -55,6 +55,30 @@ def test_live_buckets(spark):
     assert got == {1.0: 10, 2.0: 10, 3.0: 10, 4.0: 10}
 
 
+def test_live_gap_filled_lets_go_empty_buckets_as_time_passes(spark):
+    from keyfold.streaming.pipeline import run_available, stream_session
+
+    base = shared_path(spark, "t-spine")
+    schema = "run long, inputKafkaTimestamp string, outputKafkaTimestamp long"
+    session = stream_session(spark, 2)
+    bases = [(0, 10_500), (1, 9_000)]  # run 0 begins within the bucket grid, run 9 is not listed
+
+    def wave(times):
+        rows = [(run, str(t - 1), t) for run, t in times]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        stream = session.readStream.schema(schema).parquet(base + "/in")
+        out = extras.live_gap_filled(stream, session.createDataFrame(bases, "run long, base long"), 1_000, "1 second")
+        run_available(out, base + "/out", base + "/ck")
+        return sorted(tuple(r) for r in spark.read.parquet(base + "/out").collect())
+
+    got = wave([(0, 10_500), (0, 11_499), (0, 13_500), (1, 9_999), (1, 12_000), (9, 16_000)])
+    # watermark 15 s (of moved times): windows up to it are closed, empty ones too
+    assert got == [(0, 0, 2), (0, 1, 0), (0, 2, 0), (0, 3, 1), (0, 4, 0), (1, 0, 1), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 0), (1, 5, 0)]
+    more = wave([(1, 17_100), (9, 20_000)])
+    assert [r for r in more if r in got] == got  # what was let go stays as it was
+    assert [r for r in more if r not in got] == [(0, b, 0) for b in range(5, 9)] + [(1, 6, 0), (1, 7, 0), (1, 8, 1), (1, 9, 0)]
+
+
 def test_progress_listener_marks(spark):
     import time
 
