@@ -1,7 +1,8 @@
 """Streaming order pipeline.
 
 ``build_pipeline(domain_stream, profile)`` wires source -> stage 1 (stock,
-keyed by item) -> stage 2 (cart, keyed by user) -> output.  Sources and
+keyed by item) -> stage 2 (cart, keyed by shard of users,
+a state entry per user) -> output.  Sources and
 sinks are plain DataFrame readers / writers chosen by the caller:
 
 * file sources (``file_source``) for tests and backfill, Kafka
@@ -38,8 +39,10 @@ from keyfold.streaming.processors import (
     StockProcessor,
 )
 
-#: Rows of a replayed file, and files of a micro-batch.
-ROWS_PER_FILE, FILES_PER_TRIGGER = 100_000, 1
+#: Rows of a replayed file (S13).  A micro-batch takes a file a core.
+ROWS_PER_FILE = 100_000
+#: The users are dealt over so many keys of stage 2.  Fixed in a checkpoint.
+USER_SHARDS = 1024
 
 
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
@@ -59,12 +62,15 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
 
 
 def file_source(
-    spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER, schema: str | T.StructType = DOMAIN_SCHEMA
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, schema: str | T.StructType = DOMAIN_SCHEMA
 ) -> DataFrame:
     """Events from parquet files as a stream of its own session (S1-S3
-    stand-in), at most ``files_per_trigger`` files a micro-batch (S13)."""
+    stand-in), at most ``files_per_trigger`` files a micro-batch (S13; default:
+    the cluster's default parallelism).  A batch costs its fixed part and a
+    handler call per key that occurs in it, so the bound grows with the cluster:
+    by a file of a few rows per key, the calls would outweigh the rows."""
     r = stream_session(spark).readStream.schema(schema)
-    return r.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return r.option("maxFilesPerTrigger", files_per_trigger or spark.sparkContext.defaultParallelism).parquet(path)
 
 
 def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -95,10 +101,11 @@ def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
     return len(new)
 
 
-def in_order(rows: DataFrame, key: str) -> DataFrame:
+def in_order(rows: DataFrame, key: str, *within: str) -> DataFrame:
     """The rows of each micro-batch dealt by ``key`` and, in each partition, in
-    (key, ts, event_id) order: the order in which a processor gets them."""
-    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    (key, ``within``, ts, event_id) order: the order in which a processor gets
+    them."""
+    return rows.repartition(key).sortWithinPartitions(key, *within, "ts", "event_id")
 
 
 def settle_stream(domain: DataFrame, profile: Profile) -> DataFrame:
@@ -123,12 +130,14 @@ def _cart_input(domain: DataFrame, profile: Profile, checkouts: DataFrame | None
         F.lit(None).cast("int").alias("requested"),
         F.lit(None).cast("string").alias("status"),
     )
-    return in_order(settled.unionByName(checkouts).where(F.col("user_id").isNotNull()), "user_id")
+    rows = settled.unionByName(checkouts).where(F.col("user_id").isNotNull())
+    shard = F.pmod(F.xxhash64("user_id"), F.lit(USER_SHARDS)).cast("int")
+    return in_order(rows.withColumn("shard", shard), "shard", "user_id")
 
 
 def build_item_receipts(domain: DataFrame, profile: Profile) -> DataFrame:
     """The chain with a map-state basket; output = per-item receipts."""
-    return _cart_input(domain, profile).groupBy("user_id").transformWithStateInPandas(
+    return _cart_input(domain, profile).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=CartItemsProcessor(),
         outputStructType="user_id long, event_id long, receipt string",
         outputMode="Append",
@@ -141,7 +150,7 @@ def build_pipeline(
 ) -> DataFrame:
     """The whole chain; output rows are confirms and receipts (``kind``).
     ``checkouts``: their stream, if it is not part of ``domain``."""
-    return _cart_input(domain, profile, checkouts).groupBy("user_id").transformWithStateInPandas(
+    return _cart_input(domain, profile, checkouts).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=CartProcessor(profile.checkout, profile.receipt_format, n_filler),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",

@@ -58,20 +58,36 @@ def us(ts: pd.Series) -> np.ndarray:
     return ts.astype("datetime64[us]").to_numpy().astype("int64")
 
 
-def _chunks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The key's chunks, held against the order they must come in."""
+def _chunks(rows: Iterator[pd.DataFrame], by: str | None = None) -> Iterator[pd.DataFrame]:
+    """The key's chunks, held against the order they must come in (``by``: a
+    column that goes before the time)."""
     last = None
     for pdf in rows:
         if not len(pdf):
             continue
         ts, ids = us(pdf["ts"]), pdf["event_id"].to_numpy(dtype=np.int64)
+        first = pdf[by].to_numpy(dtype=np.int64) if by else np.zeros(len(pdf), np.int64)
         before = (ts[:-1] < ts[1:]) | ((ts[:-1] == ts[1:]) & (ids[:-1] <= ids[1:]))
-        if not before.all() or last is not None and last > (ts[0], ids[0]):
+        before = (first[:-1] < first[1:]) | ((first[:-1] == first[1:]) & before)
+        if not before.all() or last is not None and last > (first[0], ts[0], ids[0]):
             raise RuntimeError("rows of a key out of (ts, event_id) order")
-        last = (ts[-1], ids[-1])
+        last = (first[-1], ts[-1], ids[-1])
         yield pdf.reset_index(drop=True)
 
 
+def _none(x) -> bool:
+    """Is a value of a nullable column, as pandas holds it, missing?"""
+    return x is None or x is pd.NA or x != x
+
+
+def _long(x) -> int | None:
+    return None if _none(x) else int(x)
+
+
+def _text(x) -> str | None:
+    return None if _none(x) else str(int(x))
+
+
 def _nullable_long(values) -> pd.Series:
     return pd.Series(pd.array(values, dtype="Int64"))
 
@@ -87,7 +103,8 @@ class StockProcessor(StatefulProcessor):
         self.stock = handle.getValueState("stock", "stock long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = int(self.stock.get()[0]) if self.stock.exists() else self.initial_stock
+        held = self.stock.get()
+        s = self.initial_stock if held is None else int(held[0])
         for pdf in _chunks(rows):
             is_add = (pdf["kind"] == "add").to_numpy(dtype=bool)
             restock = pdf["restock"].fillna(0).to_numpy(dtype=np.int64) * self.restock_applies
@@ -115,79 +132,85 @@ class StockProcessor(StatefulProcessor):
         pass
 
 
-class CartProcessor(StatefulProcessor):
+class _ByUser(StatefulProcessor):
+    """The cart functions' frame: a key is a shard of users, its rows are in
+    (user_id, ts, event_id) order, and each user's state is an entry of the
+    shard's map states.  A call's fixed cost (it is milliseconds, a hundred times
+    that of a few rows) is thus paid per shard and micro-batch, not per user; a
+    user that occurs costs one read, and one write if the state changed.
+    """
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        user, state, had = None, None, None
+        for pdf in _chunks(rows, "user_id"):
+            out: list[tuple] = []
+            columns = (pdf[c].tolist() for c in ("user_id", "kind", "event_id", "item_id", "requested", "status", "ts_ms"))
+            for u, kind, event_id, item, q, status, ts_ms in zip(*columns):
+                if u != user:
+                    if user is not None and state != had:
+                        self.write(user, state)
+                    user, had = u, self.read(u)
+                    state = had
+                if kind == "add":
+                    state = self.add(user, state, _long(event_id), _long(item), _long(q) or 0, status == "INSTOCK", ts_ms, out)
+                elif kind == "checkout":
+                    state = self.checked_out(user, state, _long(event_id), ts_ms, out)
+            if out:
+                yield pd.DataFrame(out, columns=self.columns, dtype=object)
+        if user is not None and state != had:
+            self.write(user, state)
+
+    def close(self) -> None:
+        pass
+
+
+class CartProcessor(_ByUser):
     """X1/X2 cart function: basket, confirmations and receipts.
 
     ``n_filler`` named states of 500 chars are set on a user's first add
     (T5/A19/P28, the state-size load of the reference); 0 by default.
     """
 
+    columns = OUTPUT_SCHEMA.fieldNames()
+
     def __init__(self, checkout: str, receipt_format: str, n_filler: int = 0):
         self.checkout = checkout
         self.receipt_format = receipt_format
         self.n_filler = int(n_filler)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.basket = handle.getValueState("basket", "n long")
-        self.fillers = [handle.getValueState(f"filler{i}", "v string") for i in range(self.n_filler)]
+        self.basket = handle.getMapState("basket", "user_id long", "n long")
+        self.fillers = [handle.getMapState(f"filler{i}", "user_id long", "v string") for i in range(self.n_filler)]
+        self.filled = None  # the last user whose fillers are known to be set
 
-    def _text(self, user, n) -> str:
-        return self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
+    def read(self, user: int) -> int | None:
+        held = self.basket.getValue((user,))
+        return None if held is None else int(held[0])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        b, filled = int(self.basket.get()[0]) if self.basket.exists() else None, False
-        for pdf in _chunks(rows):
-            if not filled and (pdf["kind"] == "add").any():
-                filled = True
-                for f in self.fillers:
-                    if not f.exists():
-                        f.update(("a" * 500,))
-            b, out = self._fold(int(key[0]), b, pdf)
-            yield out
+    def write(self, user: int, b: int | None) -> None:
         if b is None:
-            self.basket.clear()
+            self.basket.removeKey((user,))
         else:
-            self.basket.update((b,))
-
-    def _fold(self, user: int, b: int | None, pdf: pd.DataFrame) -> tuple[int | None, pd.DataFrame]:
-        """The basket after a chunk of the user's rows, and the chunk's output."""
-        add, check = ((pdf["kind"] == k).to_numpy(dtype=bool) for k in ("add", "checkout"))
-        qty = pdf["requested"].fillna(0).to_numpy(dtype=np.int64)
-        granted = add & (pdf["status"] == "INSTOCK").to_numpy(dtype=bool)
-        # items and grants up to each row, the carried basket counted as one grant
-        items = np.cumsum(np.where(granted, qty, 0)) + (b or 0)
-        grants = np.cumsum(granted) + (b is not None)
-        at = np.flatnonzero(check)
-        if self.checkout == "clear":
-            n = np.diff(items[at], prepend=0)
-            shown = np.diff(grants[at], prepend=0) > 0
-            base, seen = (items[at[-1]], grants[at[-1]]) if len(at) else (0, 0)
-            b = int(items[-1] - base) if grants[-1] > seen else None
-        else:
-            n, shown = items[at], np.full(len(at), self.checkout == "running")
-            b = int(items[-1]) if grants[-1] else None
-        at, n = at[shown], n[shown].tolist()
-        rows_out = np.concatenate([np.flatnonzero(add), at])
-        n_add = int(add.sum())
-        stamp = pdf["ts_ms"].to_numpy(dtype=np.int64)[rows_out]
-        out = {
-            "kind": ["confirm"] * n_add + ["receipt"] * len(at),
-            "user_id": [user] * len(rows_out),
-            "item_id": pdf["item_id"].where(add)[rows_out].tolist(),
-            "event_id": pdf["event_id"][rows_out].tolist(),
-            "quantity": qty[add].tolist() + [None] * len(at),
-            "n_items": [None] * n_add + n,
-            "receipt": [None] * n_add + [self._text(user, k) for k in n],
-            "publishTimestamp": [str(t) for t in stamp.tolist()],
-        }
-        df = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
-        for c in ("user_id", "item_id", "event_id", "n_items"):
-            df[c] = pd.array([None if pd.isna(x) else int(x) for x in df[c]], dtype="Int64")
-        df["quantity"] = pd.array(df["quantity"].tolist(), dtype="Int32")
-        return b, df
+            self.basket.updateValue((user,), (b,))
 
-    def close(self) -> None:
-        pass
+    def _fill(self, user: int) -> None:
+        self.filled = user
+        for f in self.fillers:
+            if not f.containsKey((user,)):
+                f.updateValue((user,), ("a" * 500,))
+
+    def add(self, user, b, event_id, item, q, granted, ts_ms, out) -> int | None:
+        if self.fillers and self.filled != user:
+            self._fill(user)
+        out.append(("confirm", user, item, event_id, q, None, None, _text(ts_ms)))
+        return (b or 0) + q if granted else b
+
+    def checked_out(self, user, b, event_id, ts_ms, out) -> int | None:
+        if self.checkout == "running" or self.checkout == "clear" and b is not None:
+            n = b or 0
+            text = self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
+            out.append(("receipt", user, None, event_id, None, n, text, _text(ts_ms)))
+        return None if self.checkout == "clear" else b
 
 
 class LatestMessageProcessor(StatefulProcessor):
@@ -213,53 +236,34 @@ class LatestMessageProcessor(StatefulProcessor):
         pass
 
 
-class CartItemsProcessor(StatefulProcessor):
-    """T4 + P12 + X6: the basket as map state (item -> quantity); a checkout
-    with a basket emits the per-item receipt (lines sorted by item) and
-    clears the map."""
+class CartItemsProcessor(_ByUser):
+    """T4 + P12 + X6: the basket as map state (user -> item -> quantity); a
+    checkout with a basket emits the per-item receipt (lines sorted by item) and
+    clears the user's entry."""
+
+    columns = ["user_id", "event_id", "receipt"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("basket_items", "item_id long", "quantity long")
+        self.items = handle.getMapState("basket_items", "user_id long", "items map<bigint, bigint>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        stored = self.items.exists()  # the open cart's part that is in the state
-        cleared, opened = False, {}
-        for pdf in _chunks(rows):
-            check = (pdf["kind"] == "checkout").to_numpy(dtype=bool)
-            cart = np.cumsum(check) - check  # a checkout belongs to the cart that it closes
-            add = ((pdf["kind"] == "add") & (pdf["status"] == "INSTOCK")).to_numpy(dtype=bool)
-            sums = pdf[add].assign(cart=cart[add]).groupby(["cart", "item_id"])["requested"].sum()
-            by_cart: dict[int, dict[int, int]] = {}
-            for (c, item), q in sums.items():
-                by_cart.setdefault(int(c), {})[int(item)] = int(q)
-            out = []
-            for c, event_id in enumerate(pdf["event_id"][check].tolist()):
-                for item, q in by_cart.pop(c, {}).items():
-                    opened[item] = opened.get(item, 0) + q
-                if stored and not cleared:
-                    for k, v in self.items.iterator():
-                        opened[int(k[0])] = opened.get(int(k[0]), 0) + int(v[0])
-                cleared = True
-                if opened:
-                    lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in sorted(opened.items()))
-                    out.append((user, int(event_id), f"User {user} receipt: \n{lines}"))
-                opened = {}
-            for basket in by_cart.values():  # the cart still open
-                for item, q in basket.items():
-                    opened[item] = opened.get(item, 0) + q
-            df = pd.DataFrame(out, columns=["user_id", "event_id", "receipt"])
-            df["user_id"] = pd.array(df["user_id"], dtype="Int64")
-            df["event_id"] = pd.array(df["event_id"], dtype="Int64")
-            yield df
-        if stored and cleared:
-            self.items.clear()
-        for item, q in opened.items():
-            have = None if cleared or not stored or not self.items.containsKey((item,)) else self.items.getValue((item,))
-            self.items.updateValue((item,), (q + (int(have[0]) if have is not None else 0),))
+    def read(self, user: int) -> dict[int, int]:
+        held = self.items.getValue((user,))
+        return {} if held is None else {int(k): int(v) for k, v in held[0].items()}
 
-    def close(self) -> None:
-        pass
+    def write(self, user: int, items: dict[int, int]) -> None:
+        if items:
+            self.items.updateValue((user,), (items,))
+        else:
+            self.items.removeKey((user,))
+
+    def add(self, user, items, event_id, item, q, granted, ts_ms, out) -> dict[int, int]:
+        return {**items, item: items.get(item, 0) + q} if granted else items
+
+    def checked_out(self, user, items, event_id, ts_ms, out) -> dict[int, int]:
+        if items:
+            lines = "".join(f"Item: {i}, Quantity: {q}\n" for i, q in sorted(items.items()))
+            out.append((user, event_id, f"User {user} receipt: \n{lines}"))
+        return {}
 
 
 # ------------------------------------------------------------------ ordered mode

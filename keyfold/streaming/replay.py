@@ -43,7 +43,7 @@ def time_waves(domain: DataFrame, waves: int, ts_ms: str = "ts_ms") -> list[Data
 
 def replay_events(
     spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, base: str | None = None, build=None,
-    domain: DataFrame | None = None, rows_per_file: int = pipeline.ROWS_PER_FILE, sink=None, after_wave=None,
+    domain: DataFrame | None = None, rows_per_file: int | None = None, sink=None, after_wave=None,
 ) -> DataFrame | None:
     """Run the chain over the events table (or ``domain``) in ordered waves.
 
@@ -51,14 +51,16 @@ def replay_events(
     source, sink and checkpoint live under ``base`` (a fresh shared folder
     by default).  ``sink``: a ``foreachBatch`` function in the file sink's
     place.  ``after_wave(wave)`` is called when a wave is processed.
+    ``rows_per_file``: files of so many rows, one a micro-batch (by default
+    ``file_source`` sets the bound).
     """
     base = base or shared_path(spark, "replay")
     src, ckpt = f"{base}/source", f"{base}/checkpoint"
     if domain is None:
         domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
     for wave, part in enumerate(time_waves(domain, waves)):
-        pipeline.write_in_order(part, src, rows_per_file)
-        stream = pipeline.file_source(spark, src)
+        pipeline.write_in_order(part, src, rows_per_file or pipeline.ROWS_PER_FILE)
+        stream = pipeline.file_source(spark, src, 1 if rows_per_file else None)
         out = (build or pipeline.build_pipeline)(stream, profile)
         pipeline.run_available(out, sink or f"{base}/sink", ckpt)
         if after_wave:
