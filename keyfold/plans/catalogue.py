@@ -885,8 +885,8 @@ def q_live_gap_filled(spark, sf_dir):
         return extras.live_gap_filled(stream, stream.sparkSession.createDataFrame(bases, "run long, base long"), P.BUCKET_MS, lateness)
 
     rows = _live(spark, sf_dir, build)
-    last = rows.where("n_events > 0").agg(F.max("end_bucket").alias("last"))
-    return rows.join(F.broadcast(last), F.col("end_bucket") <= F.col("last")).drop("last")
+    last = rows.where("n_events > 0").agg(F.max("end_bucket")).first()[0]  # of what the stream has written
+    return rows.where(F.col("end_bucket") <= F.lit(last).cast("long"))
 
 
 @register("state_by_wave", _settled_sql(P.UNIT, f"""SELECT CAST(w.wave AS INTEGER) AS wave, item_id,
