@@ -15,6 +15,8 @@ with every batch, so a restart on the same checkpoint resumes exactly.
 
 from __future__ import annotations
 
+import copy
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +152,7 @@ class _ByUser(StatefulProcessor):
                     if user is not None and state != had:
                         self.write(user, state)
                     user, had = u, self.read(u)
-                    state = had
+                    state = copy.copy(had)
                 if kind == "add":
                     state = self.add(user, state, _long(event_id), _long(item), _long(q) or 0, status == "INSTOCK", ts_ms, out)
                 elif kind == "checkout":
@@ -237,27 +239,29 @@ class LatestMessageProcessor(StatefulProcessor):
 
 
 class CartItemsProcessor(_ByUser):
-    """T4 + P12 + X6: the basket as map state (user -> item -> quantity); a
-    checkout with a basket emits the per-item receipt (lines sorted by item) and
-    clears the user's entry."""
+    """T4 + P12 + X6: the basket as map state (user -> JSON of item and quantity,
+    since a state's value cannot be a map); a checkout with a basket emits the
+    per-item receipt (lines sorted by item) and clears the user's entry."""
 
     columns = ["user_id", "event_id", "receipt"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("basket_items", "user_id long", "items map<bigint, bigint>")
+        self.items = handle.getMapState("basket_items", "user_id long", "items string")
 
     def read(self, user: int) -> dict[int, int]:
         held = self.items.getValue((user,))
-        return {} if held is None else {int(k): int(v) for k, v in held[0].items()}
+        return {} if held is None else {int(k): v for k, v in json.loads(held[0]).items()}
 
     def write(self, user: int, items: dict[int, int]) -> None:
         if items:
-            self.items.updateValue((user,), (items,))
+            self.items.updateValue((user,), (json.dumps(items),))
         else:
             self.items.removeKey((user,))
 
     def add(self, user, items, event_id, item, q, granted, ts_ms, out) -> dict[int, int]:
-        return {**items, item: items.get(item, 0) + q} if granted else items
+        if granted:
+            items[item] = items.get(item, 0) + q
+        return items
 
     def checked_out(self, user, items, event_id, ts_ms, out) -> dict[int, int]:
         if items:

@@ -315,7 +315,7 @@ def test_a_shard_of_users_is_one_call():
     p.init(handle)
     out = pd.concat(p.handleInputRows((0,), iter([first]), None))
     assert out["receipt"].tolist() == ["User 2 receipt: \nItem: 7, Quantity: 3\n"]
-    assert handle.states["basket_items"].held == {(1,): ({7: 2},)}
+    assert handle.states["basket_items"].held == {(1,): ('{"7": 2}',)}
     out = pd.concat(p.handleInputRows((0,), iter([second]), None))
     assert out["receipt"].tolist() == ["User 1 receipt: \nItem: 7, Quantity: 2\n"]
     assert handle.states["basket_items"].held == {}
