@@ -145,8 +145,8 @@ def settle_run(s: int, delta: np.ndarray, is_add: np.ndarray) -> tuple[np.ndarra
     ``delta`` is what a row does to the stock if granted.  While every request
     is granted the stock is a cumulative sum; the first add at which that sum
     falls below zero is refused, and the sum begins anew behind it.  Work is
-    vectorized between refusals, in blocks that double while none occurs.
-    Returns (granted, stock after each row).
+    vectorized between refusals, and over those that follow one another, in
+    blocks that double while the run goes on.  Returns (granted, stock after each row).
     """
     n = len(delta)
     ok, after = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
@@ -165,8 +165,16 @@ def settle_run(s: int, delta: np.ndarray, is_add: np.ndarray) -> tuple[np.ndarra
         if t > i:
             s = int(level[t - i - 1])
         if t < j:
-            after[t] = s
-            t += 1
+            # the refused add, and all that ask for more than the same stock
+            width = FOLD_BLOCK
+            while t < n:
+                more = is_add[t : t + width] & (s + delta[t : t + width] < 0)
+                k = len(more) if more.all() else int(np.argmin(more))
+                after[t : t + k] = s
+                t += k
+                if k < len(more):
+                    break
+                width = min(width * 2, FOLD_BLOCK_MAX)
         i = t
     return ok, after
 

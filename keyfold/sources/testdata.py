@@ -54,6 +54,16 @@ def raw_add_quantity() -> F.Column:
     return (F.lit(1) + F.pmod(F.col("event_id"), F.lit(9))).cast("int")
 
 
+def of_kinds(events: DataFrame, kinds: tuple[str, ...] = ("add", "checkout", "restock")) -> DataFrame:
+    """The rows of ``events`` that are domain events of ``kinds``."""
+    types = []
+    for k, ts_ in (("add", ADD_TYPES), ("checkout", CHECKOUT_TYPES),
+                   ("restock", RESTOCK_TYPES), ("reject", REJECT_TYPES)):
+        if k in kinds:
+            types.extend(ts_)
+    return events.where(F.col("event_type").isin(*types))
+
+
 def domain_events(
     events: DataFrame,
     restock_qty: int,
@@ -65,14 +75,9 @@ def domain_events(
     ``quantity`` is the raw add quantity or the restock amount; the request a
     profile makes from it is decided later (R3).
     """
-    types = []
-    for k, ts_ in (("add", ADD_TYPES), ("checkout", CHECKOUT_TYPES),
-                   ("restock", RESTOCK_TYPES), ("reject", REJECT_TYPES)):
-        if k in kinds:
-            types.extend(ts_)
     kind = kind_col()
     return (
-        events.where(F.col("event_type").isin(*types))
+        of_kinds(events, kinds)
         .select(
             "event_id",
             "ts",

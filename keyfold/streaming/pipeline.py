@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from keyfold.functions.timefns import epoch_ms
 from keyfold.operators.reserve import stock_rows
@@ -32,17 +33,26 @@ from keyfold.session import ship_package, use_rocksdb_state
 from keyfold.streaming.processors import (
     OUTPUT_SCHEMA,
     DOMAIN_SCHEMA,
+    ITEM_RECEIPT_SCHEMA,
     SETTLED_SCHEMA,
     CartItemsProcessor,
     CartProcessor,
+    Packed,
     ReorderProcessor,
     StockProcessor,
+    arrow_schema,
+    pack,
+    unpack,
 )
 
 #: Rows of a replayed file (S13).  A micro-batch takes a file a core.
 ROWS_PER_FILE = 100_000
-#: The users are dealt over so many keys of stage 2.  Fixed in a checkpoint.
-USER_SHARDS = 1024
+#: The users are dealt over so many keys of stage 2.  Fixed in a checkpoint.  A
+#: call costs some 10 ms, and a shard's open baskets are one value of the state:
+#: raise it for more than 256 cores or some 5 M users.
+USER_SHARDS = 256
+#: Bytes of an Arrow batch that goes to a Python worker of a stream.
+BATCH_BYTES = 16 << 20
 
 
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
@@ -57,6 +67,7 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         s.conf.set(key, spark.conf.get(key))
     s.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    s.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     s.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
     return s
 
@@ -73,9 +84,11 @@ def file_source(
     return r.option("maxFilesPerTrigger", files_per_trigger or spark.sparkContext.defaultParallelism).parquet(path)
 
 
-def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, derive=None) -> int:
     """Append ``df`` to ``path`` as files of about ``rows_per_file`` rows that
     the file source takes in (ts, event_id) order; returns their number.
+    ``derive`` makes the written columns from those of ``df``, row by row: the
+    passes that count and sample the rows then do without it.
 
     One job writes them, cut by range; the source goes by modification time, so
     the files' times are then set in range order, each a millisecond after the
@@ -92,7 +105,8 @@ def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
 
     old = files()
     n = max(1, -(-df.count() // rows_per_file))
-    df.repartitionByRange(n, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
+    ranged = df.repartitionByRange(n, "ts", "event_id")
+    (derive(ranged) if derive else ranged).sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
     now = files()
     new = sorted(now.keys() - old.keys())
     last = max((t for _, t in now.values()), default=0)
@@ -108,16 +122,25 @@ def in_order(rows: DataFrame, key: str, *within: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, *within, "ts", "event_id")
 
 
+def fold(rows: DataFrame, key: str, processor: StatefulProcessor, output: T.StructType, *within: str) -> DataFrame:
+    """``processor`` over the rows of each key in order (``in_order``).  Rows go
+    to it and come from it packed, an Arrow message for the rows of a key in an
+    Arrow batch: a row that went alone would be walked in Python several times."""
+    ship_package(rows.sparkSession)
+    given, made = arrow_schema(rows.schema), arrow_schema(output)
+    messages = T.StructType([rows.schema[key], T.StructField("seq", T.LongType()), T.StructField("rows", T.BinaryType())])
+    packed = in_order(rows, key, *within).mapInArrow(pack(key, given), messages)
+    # a key's messages come from one task, which numbered them
+    folded = packed.repartition(key).sortWithinPartitions(key, "seq").groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Packed(processor, given, made), outputStructType="rows binary", outputMode="Append", timeMode="None"
+    )
+    return folded.mapInArrow(unpack(made), output)
+
+
 def settle_stream(domain: DataFrame, profile: Profile) -> DataFrame:
     """Stage 1 (T1, T2, T6): stock per item."""
-    ship_package(domain.sparkSession)
-    rows = in_order(stock_rows(domain, profile), "item_id")
-    return rows.groupBy("item_id").transformWithStateInPandas(
-        statefulProcessor=StockProcessor(profile.initial_stock, profile.restock_applies),
-        outputStructType=SETTLED_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-    )
+    processor = StockProcessor(profile.initial_stock, profile.restock_applies)
+    return fold(stock_rows(domain, profile), "item_id", processor, SETTLED_SCHEMA)
 
 
 def _cart_input(domain: DataFrame, profile: Profile, checkouts: DataFrame | None = None) -> DataFrame:
@@ -131,18 +154,17 @@ def _cart_input(domain: DataFrame, profile: Profile, checkouts: DataFrame | None
         F.lit(None).cast("string").alias("status"),
     )
     rows = settled.unionByName(checkouts).where(F.col("user_id").isNotNull())
-    shard = F.pmod(F.xxhash64("user_id"), F.lit(USER_SHARDS)).cast("int")
-    return in_order(rows.withColumn("shard", shard), "shard", "user_id")
+    return rows.withColumn("shard", F.pmod(F.xxhash64("user_id"), F.lit(USER_SHARDS)).cast("int"))
+
+
+def _cart_stream(rows: DataFrame, processor: StatefulProcessor, output: T.StructType) -> DataFrame:
+    """Stage 2: the carts of each shard of users."""
+    return fold(rows, "shard", processor, output, "user_id")
 
 
 def build_item_receipts(domain: DataFrame, profile: Profile) -> DataFrame:
     """The chain with a map-state basket; output = per-item receipts."""
-    return _cart_input(domain, profile).groupBy("shard").transformWithStateInPandas(
-        statefulProcessor=CartItemsProcessor(),
-        outputStructType="user_id long, event_id long, receipt string",
-        outputMode="Append",
-        timeMode="None",
-    )
+    return _cart_stream(_cart_input(domain, profile), CartItemsProcessor(), ITEM_RECEIPT_SCHEMA)
 
 
 def build_pipeline(
@@ -150,12 +172,8 @@ def build_pipeline(
 ) -> DataFrame:
     """The whole chain; output rows are confirms and receipts (``kind``).
     ``checkouts``: their stream, if it is not part of ``domain``."""
-    return _cart_input(domain, profile, checkouts).groupBy("shard").transformWithStateInPandas(
-        statefulProcessor=CartProcessor(profile.checkout, profile.receipt_format, n_filler),
-        outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-    )
+    processor = CartProcessor(profile.checkout, profile.receipt_format, n_filler)
+    return _cart_stream(_cart_input(domain, profile, checkouts), processor, OUTPUT_SCHEMA)
 
 
 def run_available(out: DataFrame, sink, checkpoint: str, fmt: str = "parquet", trigger: dict | None = None) -> None:

@@ -11,6 +11,11 @@ micro-batches arrive in order.
 
 State per key is a few ValueStates in the RocksDB store; it is checkpointed
 with every batch, so a restart on the same checkpoint resumes exactly.
+
+Spark's Python side walks a processor's rows one by one, and each call on a
+state is a message to the JVM.  ``Packed`` lets a processor run at the cost of
+its chunks: rows come and go as Arrow messages of many rows, and the map states
+of a shard of users are read and written as one value each.
 """
 
 from __future__ import annotations
@@ -56,6 +61,9 @@ OUTPUT_SCHEMA = T.StructType(
     ]
 )
 
+ITEM_RECEIPT_SCHEMA = T.StructType([OUTPUT_SCHEMA["user_id"], OUTPUT_SCHEMA["event_id"], OUTPUT_SCHEMA["receipt"]])
+
+
 def us(ts: pd.Series) -> np.ndarray:
     return ts.astype("datetime64[us]").to_numpy().astype("int64")
 
@@ -94,6 +102,129 @@ def _nullable_long(values) -> pd.Series:
     return pd.Series(pd.array(values, dtype="Int64"))
 
 
+_ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.TimestampNTZType(): pa.timestamp("us")}
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, _ARROW[f.dataType]) for f in schema.fields])
+
+
+def pack(key: str, given: pa.Schema):
+    """For ``mapInArrow`` over rows in the order of ``key``: a row per run of
+    equal keys in an Arrow batch, with the run's rows as one message.  ``seq``
+    counts up within a task, so it keeps the order of a key's messages."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key))
+            held = keys.to_numpy(zero_copy_only=False)
+            first = np.append(0, np.flatnonzero(held[1:] != held[:-1]) + 1)
+            rows = pa.RecordBatch.from_arrays([batch.column(n).cast(t) for n, t in zip(given.names, given.types)], schema=given)
+            bodies = [rows.slice(a, b - a).serialize().to_pybytes() for a, b in zip(first, [*first[1:], len(held)])]
+            at = pa.array(np.arange(seq, seq + len(first), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first)), at, pa.array(bodies, pa.binary())], [key, "seq", "rows"])
+            seq += len(first)
+
+    return packed
+
+
+def unpack(made: pa.Schema):
+    """For ``mapInArrow``: the rows of the messages that ``Packed`` emits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [pa.ipc.read_record_batch(pa.py_buffer(m.as_py()), made) for m in batch.column(0)]
+            yield from pa.Table.from_batches(held, made).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows
+
+
+class _Entries:
+    """A map state of one key, held as one value of it: read at the first use in
+    a call, written at the call's end if it changed."""
+
+    def __init__(self, value, key_schema: str, value_schema: str):
+        types = {"long": pa.int64(), "string": pa.string()}
+        self.schema = pa.schema([(n, types[t]) for n, t in (key_schema.split(), value_schema.split())])
+        self.value, self.held, self.changed = value, None, False
+
+    def _all(self) -> dict:
+        if self.held is None:
+            message = self.value.get()
+            self.held = {}
+            if message is not None:
+                batch = pa.ipc.read_record_batch(pa.py_buffer(bytes(message[0])), self.schema)
+                self.held = dict(zip(*(c.to_pylist() for c in batch.columns)))
+        return self.held
+
+    def getValue(self, key: tuple) -> tuple | None:
+        held = self._all()
+        return (held[key[0]],) if key[0] in held else None
+
+    def containsKey(self, key: tuple) -> bool:
+        return key[0] in self._all()
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._all()[key[0]] = value[0]
+        self.changed = True
+
+    def removeKey(self, key: tuple) -> None:
+        self.changed |= self._all().pop(key[0], None) is not None
+
+    def save(self) -> None:
+        if self.changed and self.held:
+            columns = zip((list(self.held), list(self.held.values())), self.schema.types)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=self.schema)
+            self.value.update((batch.serialize().to_pybytes(),))
+        elif self.changed:
+            self.value.clear()
+        self.held, self.changed = None, False
+
+
+class _EntriesHandle:
+    """A handle whose map states are ``_Entries``."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.maps = handle, []
+
+    def getValueState(self, name: str, schema: str):
+        return self.handle.getValueState(name, schema)
+
+    def getMapState(self, name: str, key_schema: str, value_schema: str) -> _Entries:
+        self.maps.append(_Entries(self.handle.getValueState(name, "entries binary"), key_schema, value_schema))
+        return self.maps[-1]
+
+
+class Packed(StatefulProcessor):
+    """``inner`` over packed rows (``pack``), whose output is packed too
+    (``unpack``).  ``given`` and ``made`` are the rows' schemas."""
+
+    def __init__(self, inner: StatefulProcessor, given: pa.Schema, made: pa.Schema):
+        self.inner, self.given, self.made = inner, given, made
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = _EntriesHandle(handle)
+        self.inner.init(self.states)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        messages = (m for pdf in rows for m in pdf["rows"])
+        chunks = (
+            pa.ipc.read_record_batch(pa.py_buffer(bytes(m)), self.given).to_pandas(types_mapper=_NULLABLE.get) for m in messages
+        )
+        for pdf in self.inner.handleInputRows(key, chunks, timerValues):
+            batch = pa.RecordBatch.from_pandas(pdf, self.made, preserve_index=False)
+            yield pd.DataFrame({"rows": [batch.serialize().to_pybytes()]})
+        for state in self.states.maps:
+            state.save()
+
+    def close(self) -> None:
+        self.inner.close()
+
+
 class StockProcessor(StatefulProcessor):
     """X1/X2 stock function: all-or-nothing reservation."""
 
@@ -287,9 +418,7 @@ DOMAIN_SCHEMA = T.StructType(
         T.StructField("quantity", T.IntegerType()),
     ]
 )
-_ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.TimestampNTZType(): pa.timestamp("us")}
-_DOMAIN_ARROW = pa.schema([(f.name, _ARROW[f.dataType]) for f in DOMAIN_SCHEMA.fields])
-_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+_DOMAIN_ARROW = arrow_schema(DOMAIN_SCHEMA)
 
 
 class ReorderProcessor(StatefulProcessor):

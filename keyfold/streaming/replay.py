@@ -31,8 +31,10 @@ RECEIPT_COLS = ("user_id", "event_id", "n_items", "receipt", "publishTimestamp")
 def time_waves(domain: DataFrame, waves: int, ts_ms: str = "ts_ms") -> list[DataFrame]:
     """``domain`` cut into ``waves`` consecutive spans of its own time range,
     each row in exactly one."""
+    if waves == 1:
+        return [domain]
     low, high = domain.agg(F.min(ts_ms), F.max(ts_ms)).first()
-    if low is None or waves == 1:
+    if low is None:
         return [domain]
     cuts = [low + (high - low + 1) * i // waves for i in range(1, waves)]
     wave = F.lit(0)
@@ -41,6 +43,15 @@ def time_waves(domain: DataFrame, waves: int, ts_ms: str = "ts_ms") -> list[Data
     return [domain.where(wave == i) for i in range(waves)]
 
 
+def _events(spark: SparkSession, sf_dir: str, profile: Profile, domain: DataFrame | None = None):
+    """The rows to replay, with ts, event_id and ts_ms, and what derives the
+    domain events from them (``pipeline.write_in_order``)."""
+    if domain is not None:
+        return domain, None
+    raw = td.of_kinds(td.table(spark, sf_dir, "events")).withColumn("ts_ms", epoch_ms("ts"))
+    return raw, lambda df: td.domain_events(df, profile.restock_qty)
+
+
 def replay_events(
     spark: SparkSession, sf_dir: str, profile: Profile, waves: int = 1, base: str | None = None, build=None,
     domain: DataFrame | None = None, rows_per_file: int | None = None, sink=None, after_wave=None,
@@ -56,10 +67,9 @@ def replay_events(
     """
     base = base or shared_path(spark, "replay")
     src, ckpt = f"{base}/source", f"{base}/checkpoint"
-    if domain is None:
-        domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    for wave, part in enumerate(time_waves(domain, waves)):
-        pipeline.write_in_order(part, src, rows_per_file or pipeline.ROWS_PER_FILE)
+    rows, derive = _events(spark, sf_dir, profile, domain)
+    for wave, part in enumerate(time_waves(rows, waves)):
+        pipeline.write_in_order(part, src, rows_per_file or pipeline.ROWS_PER_FILE, derive)
         stream = pipeline.file_source(spark, src, 1 if rows_per_file else None)
         out = (build or pipeline.build_pipeline)(stream, profile)
         pipeline.run_available(out, sink or f"{base}/sink", ckpt)
@@ -92,9 +102,8 @@ def stream_receipts_out_of_order(
     and a day, so nothing is late and the receipts equal the batch result."""
     base = shared_path(spark, "replay-ordered")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    if domain is None:
-        domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    low, high = domain.agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
+    rows, derive = _events(spark, sf_dir, profile, domain)
+    low, high = rows.agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
     if low is None:
         return spark.createDataFrame([], "user_id long, event_id long, n_items long, receipt string, publishTimestamp string")
     day = 86_400_000
@@ -104,8 +113,8 @@ def stream_receipts_out_of_order(
         [(-1, dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=at), at, "tick", None, None, None)],
         "event_id long, ts timestamp_ntz, ts_ms long, kind string, user_id long, item_id long, quantity int",
     )
-    for part in [*reversed(time_waves(domain, 2)), tick]:
-        pipeline.write_in_order(part, src)
+    for part, of in [*((w, derive) for w in reversed(time_waves(rows, 2))), (tick, None)]:
+        pipeline.write_in_order(part, src, derive=of)
         out = pipeline.build_ordered_pipeline(pipeline.file_source(spark, src), profile, f"{days} days", day, spread=2)
         pipeline.run_available(out, sink, ckpt)
     return receipts_of(spark.read.parquet(sink))
@@ -131,14 +140,15 @@ def log_stream(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     )
 
 
-def _write_log(lines: DataFrame, path: str) -> None:
-    pipeline.write_in_order(lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value"), path)
+def _log_rows(lines: DataFrame) -> DataFrame:
+    return lines.select("event_id", "ts", epoch_ms("ts").alias("ts_ms"), "value")
 
 
 def stream_receipts_from_log(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
     """The whole chain in one stream: text lines to receipts."""
     base = shared_path(spark, "replay-log")
-    _write_log(eventlog.lines_from_events(td.table(spark, sf_dir, "events"), profile.restock_qty), f"{base}/source")
+    pipeline.write_in_order(td.table(spark, sf_dir, "events"), f"{base}/source",
+                            derive=lambda df: _log_rows(eventlog.lines_from_events(df, profile.restock_qty)))
     out = pipeline.build_pipeline(log_stream(spark, f"{base}/source"), profile)
     pipeline.run_available(out, f"{base}/sink", f"{base}/checkpoint")
     return receipts_of(spark.read.parquet(f"{base}/sink"))
@@ -159,9 +169,9 @@ def stream_crash_resume(spark: SparkSession, sf_dir: str, profile: Profile, fail
         out = pipeline.build_pipeline(log_stream(spark, f"{base}/source", strict), profile)
         pipeline.run_available(out, f"{base}/sink", f"{base}/checkpoint")
 
-    _write_log(lines.where(early), f"{base}/source")
+    pipeline.write_in_order(_log_rows(lines.where(early)), f"{base}/source")
     run(strict=True)
-    _write_log(lines.where(~early), f"{base}/source")
+    pipeline.write_in_order(_log_rows(lines.where(~early)), f"{base}/source")
     try:
         run(strict=True)
         crashed = False
@@ -216,8 +226,8 @@ def stream_topic_records(spark: SparkSession, sf_dir: str, profile: Profile, n_f
     from keyfold.streaming import sinks
 
     base = shared_path(spark, "replay-topics")
-    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    pipeline.write_in_order(domain, f"{base}/source")
+    rows, derive = _events(spark, sf_dir, profile)
+    pipeline.write_in_order(rows, f"{base}/source", derive=derive)
     for fault in [sinks.crash_at("written", 0), sinks.crash_at("committed", 0), None] if crash else [None]:
         out = pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/source"), profile, n_filler)
         sink = sinks.committed_sink(f"{base}/topics", lambda df: pipeline.to_topic_records(df, profile), fault)
@@ -236,8 +246,8 @@ def stream_latency_log(spark: SparkSession, sf_dir: str, profile: Profile) -> Da
     from keyfold.sources import latencylog
 
     base = shared_path(spark, "replay-latency")
-    domain = td.domain_events(td.table(spark, sf_dir, "events"), profile.restock_qty)
-    pipeline.write_in_order(domain, f"{base}/source")
+    rows, derive = _events(spark, sf_dir, profile)
+    pipeline.write_in_order(rows, f"{base}/source", derive=derive)
     out = pipeline.build_pipeline(pipeline.file_source(spark, f"{base}/source"), profile)
     confirms = out.where(F.col("kind") == "confirm")
     log = latencylog.from_confirms(confirms, F.unix_millis(F.current_timestamp()))
