@@ -45,8 +45,11 @@ from keyfold.streaming.processors import (
     unpack,
 )
 
-#: Rows of a replayed file (S13).  A micro-batch takes a file a core.
-ROWS_PER_FILE = 100_000
+#: Most rows of a replayed file (S13).  A micro-batch takes a file a core; its
+#: fixed part is some 3 s, and a task sorts its rows on disk and folds them by chunk.
+ROWS_PER_FILE = 400_000
+#: Below these rows a file is not made smaller to give every core one.
+LEAST_ROWS = 100_000
 #: The users are dealt over so many keys of stage 2.  Fixed in a checkpoint.  A
 #: call costs some 10 ms, and a shard's open baskets are one value of the state:
 #: raise it for more than 256 cores or some 5 M users.
@@ -84,9 +87,11 @@ def file_source(
     return r.option("maxFilesPerTrigger", files_per_trigger or spark.sparkContext.defaultParallelism).parquet(path)
 
 
-def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, derive=None) -> int:
+def write_in_order(df: DataFrame, path: str, rows_per_file: int | None = None, derive=None) -> int:
     """Append ``df`` to ``path`` as files of about ``rows_per_file`` rows that
     the file source takes in (ts, event_id) order; returns their number.
+    Default: ``ROWS_PER_FILE`` at most, and as many files as fill the last
+    micro-batch's cores, if they then have ``LEAST_ROWS``.
     ``derive`` makes the written columns from those of ``df``, row by row: the
     passes that count and sample the rows then do without it.
 
@@ -104,7 +109,10 @@ def write_in_order(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
         return {p.getName(): (p, t) for p, t in found if p.getName().startswith("part-")}
 
     old = files()
-    n = max(1, -(-df.count() // rows_per_file))
+    rows = df.count()
+    n = max(1, -(-rows // (rows_per_file or ROWS_PER_FILE)))
+    if not rows_per_file:
+        n = max(n, min(-(-n // sc.defaultParallelism) * sc.defaultParallelism, rows // LEAST_ROWS))
     ranged = df.repartitionByRange(n, "ts", "event_id")
     (derive(ranged) if derive else ranged).sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
     now = files()

@@ -297,9 +297,20 @@ class _ByUser(StatefulProcessor):
         pass
 
 
+def _with_none(values: pd.Series, there: np.ndarray) -> np.ndarray:
+    """The whole numbers of ``values``, None where ``there`` is false or no value is."""
+    there = there & values.notna().to_numpy(dtype=bool)
+    out = np.full(len(values), None, object)
+    out[there] = values[there].to_numpy(dtype=np.int64).tolist()
+    return out
+
+
 class CartProcessor(_ByUser):
     """X1/X2 cart function: basket, confirmations and receipts.
 
+    A chunk's baskets are running sums over stretches of rows: a user's rows, cut
+    behind each checkout that clears.  Only users and receipts are walked.
+
     ``n_filler`` named states of 500 chars are set on a user's first add
     (T5/A19/P28, the state-size load of the reference); 0 by default.
     """
@@ -332,18 +343,77 @@ class CartProcessor(_ByUser):
             if not f.containsKey((user,)):
                 f.updateValue((user,), ("a" * 500,))
 
-    def add(self, user, b, event_id, item, q, granted, ts_ms, out) -> int | None:
-        if self.fillers and self.filled != user:
-            self._fill(user)
-        out.append(("confirm", user, item, event_id, q, None, None, _text(ts_ms)))
-        return (b or 0) + q if granted else b
-
-    def checked_out(self, user, b, event_id, ts_ms, out) -> int | None:
-        if self.checkout == "running" or self.checkout == "clear" and b is not None:
-            n = b or 0
-            text = self.receipt_format.replace("{user}", str(user)).replace("{n}", str(n))
-            out.append(("receipt", user, None, event_id, None, n, text, _text(ts_ms)))
-        return None if self.checkout == "clear" else b
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        user, state, had = None, None, None
+        for pdf in _chunks(rows, "user_id"):
+            of = pdf["user_id"].to_numpy(dtype=np.int64)
+            kind, status = (pdf[c].to_numpy(dtype=object) for c in ("kind", "status"))
+            add, leaves = (kind == "add").astype(bool), (kind == "checkout").astype(bool)
+            head = np.append(True, of[1:] != of[:-1])
+            owner, first = np.cumsum(head) - 1, np.flatnonzero(head)
+            users = of[first].tolist()
+            if user != users[0]:
+                if user is not None and state != had:
+                    self.write(user, state)
+                state = had = self.read(users[0])
+            begin = [state, *map(self.read, users[1:])]
+            if self.fillers:
+                for u in np.unique(of[add]).tolist():
+                    if self.filled != u:
+                        self._fill(u)
+            n, held = self._baskets(pdf, add & (status == "INSTOCK").astype(bool), leaves, head, owner, begin)
+            end = np.append(first[1:], len(of)) - 1
+            kept = held[end] & ~(leaves[end] if self.checkout == "clear" else False)
+            after = [b if k else None for b, k in zip(n[end].tolist(), kept.tolist())]
+            for u, b, old in zip(users[:-1], after[:-1], [had, *begin[1:]]):
+                if b != old:
+                    self.write(u, b)
+            user, state, had = users[-1], after[-1], had if len(users) == 1 else begin[-1]
+            receipt = leaves & (held if self.checkout == "clear" else self.checkout == "running")
+            out = self._rows(pdf, of, add, receipt, n)
+            if len(out):
+                yield out
+        if user is not None and state != had:
+            self.write(user, state)
+
+    def _baskets(self, pdf, granted, leaves, head, owner, begin) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's basket, itself included but not yet cleared: its size, and
+        whether there is one."""
+        start = head.copy()
+        if self.checkout == "clear":
+            start[1:] |= leaves[:-1]
+        at = np.flatnonzero(start)
+        stretch = np.cumsum(start) - 1
+        put = np.where(granted, pdf["requested"].fillna(0).to_numpy(dtype=np.int64), 0)
+        total, times = np.cumsum(put), np.cumsum(granted)
+        n = total - (total[at] - put[at])[stretch]
+        held = times > (times[at] - granted[at])[stretch]
+        carried = head[at][stretch]
+        n += np.where(carried, np.array([b or 0 for b in begin], np.int64)[owner], 0)
+        held |= carried & np.array([b is not None for b in begin])[owner]
+        return n, held
+
+    def _rows(self, pdf, of, add, receipt, n) -> pd.DataFrame:
+        out = np.flatnonzero(add | receipt)
+        pdf, add, receipt = pdf.iloc[out].reset_index(drop=True), add[out], receipt[out]
+        size = _with_none(pd.Series(n[out]), receipt)
+        text = np.full(len(out), None, object)
+        text[receipt] = [
+            self.receipt_format.replace("{user}", str(u)).replace("{n}", str(b)) for u, b in zip(of[out][receipt].tolist(), size[receipt])
+        ]
+        stamp = _with_none(pdf["ts_ms"], np.ones(len(out), bool))
+        return pd.DataFrame(
+            {
+                "kind": np.where(add, "confirm", "receipt").astype(object),
+                "user_id": of[out],
+                "item_id": _with_none(pdf["item_id"], add),
+                "event_id": pdf["event_id"].to_numpy(dtype=np.int64),
+                "quantity": _with_none(pdf["requested"].fillna(0), add),
+                "n_items": size,
+                "receipt": text,
+                "publishTimestamp": [None if t is None else str(t) for t in stamp],
+            }
+        )
 
 
 class LatestMessageProcessor(StatefulProcessor):
