@@ -30,7 +30,11 @@ U = np.uint64
 BITS, LITERAL_BITS = 24, 20
 LITERAL = 1 << LITERAL_BITS
 TOP, BOTTOM = 1 << 48, 1 << 40
-SLOTS, SURE = 1 << 16, 7
+SLOTS, SURE_BITS = 1 << 16, 3
+SURE = (1 << SURE_BITS) - 1
+#: What a confidence gains when its prediction was right, and when it was wrong.
+UP = np.minimum(np.arange(SURE + 1) + 1, SURE) - np.arange(SURE + 1)
+DOWN = (np.arange(SURE + 1) >> 1) - np.arange(SURE + 1)
 LANES, LANE_IDS = 4096, 256
 HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"CMX1"
@@ -43,8 +47,8 @@ class _Models:
         if vocab > LITERAL // 2:
             raise ValueError(f"more than {LITERAL // 2} ids")
         self.vocab, self.search = vocab, search
-        self.next2, self.sure2 = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
-        self.next1, self.sure1 = np.full(vocab, -1, np.int64), np.zeros(vocab, np.int64)
+        # id * (SURE + 1) + confidence: one look-up and one write for both
+        self.next2, self.next1 = np.full(SLOTS, -SURE - 1, np.int64), np.full(vocab, -SURE - 1, np.int64)
         self.seen, self.right2, self.right1 = (np.zeros(2 * (SURE + 1) ** 2, np.int64) for _ in range(3))
         self.count = np.zeros(vocab, np.int64)
         self.recent: list[np.ndarray] = []
@@ -66,26 +70,35 @@ class _Models:
 
     def predict(self) -> None:
         self.slot = ((self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA6B) >> 7) & (SLOTS - 1)
-        self.p2, self.c2 = self.next2[self.slot], self.sure2[self.slot]
-        self.p1, self.c1 = self.next1[self.before1], self.sure1[self.before1]
+        self.e2, self.e1 = self.next2.take(self.slot), self.next1.take(self.before1)
+        self.p2, self.c2 = self.e2 >> SURE_BITS, self.e2 & SURE
+        self.p1, self.c1 = self.e1 >> SURE_BITS, self.e1 & SURE
         alike = self.p1 == self.p2
-        self.context = (self.c2 * (SURE + 1) + self.c1) * 2 + alike
+        self.context = (self.c2 << SURE_BITS + 1) + (self.c1 << 1) + alike
         room = (1 << BITS) - LITERAL
         share2 = room * (2 * self.right2 + 1) // (2 * self.seen + 3)
         share1 = room * (2 * self.right1 + 1) // (2 * self.seen + 3)
-        self.r2 = np.where(self.p2 >= 0, share2[self.context], 0)
-        self.r1 = np.where((self.p1 >= 0) & ~alike, share1[self.context], 0)
+        self.r2 = share2.take(self.context) * (self.e2 >= 0)
+        self.r1 = share1.take(self.context) * ((self.e1 >= 0) & ~alike)
         self.base = self.r2 + self.r1
         self.r0 = (1 << BITS) - self.base
 
     def literal(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.r0 * self.below[ids] >> LITERAL_BITS
-        return self.base + low, (self.r0 * self.below[ids + 1] >> LITERAL_BITS) - low
+        low = self.r0 * self.below.take(ids) >> LITERAL_BITS
+        return self.base + low, (self.r0 * self.below.take(ids + 1) >> LITERAL_BITS) - low
 
     def find(self, rest: np.ndarray) -> np.ndarray:
         """The id whose literal share holds the unit ``rest``."""
-        unit = (((rest + 1) << LITERAL_BITS) - 1).astype(U) // self.r0.astype(U)
-        return self.owner[unit.astype(np.int64)].astype(np.int64)
+        # below 2**45: the quotient in doubles is at most one too large, which shows
+        top = ((rest + 1) << LITERAL_BITS) - 1
+        unit = (top / self.r0).astype(np.int64)
+        unit -= unit * self.r0 > top
+        return self.owner.take(unit).astype(np.int64)
+
+    def _next(self, entry: np.ndarray, sure: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Right: surer; wrong: half as sure; wrong and not sure at all: the id seen."""
+        step = np.where(hit, UP.take(sure), DOWN.take(sure))
+        return np.where(hit | (sure > 0), entry + step, fresh)
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.p2, ids == self.p1
@@ -94,10 +107,9 @@ class _Models:
         self.seen += outcome.sum(1)
         self.right2 += outcome[:, 2] + outcome[:, 3]
         self.right1 += outcome[:, 1]
-        self.next2[self.slot] = np.where(hit2 | (self.c2 > 0), self.p2, ids)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.c2 + 1, SURE), self.c2 >> 1)
-        self.next1[self.before1] = np.where(hit1 | (self.c1 > 0), self.p1, ids)
-        self.sure1[self.before1] = np.where(hit1, np.minimum(self.c1 + 1, SURE), self.c1 >> 1)
+        fresh = ids << SURE_BITS
+        self.next2[self.slot] = self._next(self.e2, self.c2, hit2, fresh)
+        self.next1[self.before1] = self._next(self.e1, self.c1, hit1, fresh)
         self.recent.append(ids)
         self.before2, self.before1 = self.before1, ids
         self.steps += 1
@@ -135,8 +147,8 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         is2 = x == m.p2
         is1 = ~is2 & (x == m.p1)
         start, width = m.literal(x)
-        start = np.where(is2, 0, np.where(is1, m.r2, start)).astype(U)
-        width = np.where(is2, m.r2, np.where(is1, m.r1, width)).astype(U)
+        start = np.where(is2, 0, np.where(is1, m.r2, start)).view(U)
+        width = np.where(is2, m.r2, np.where(is1, m.r1, width)).view(U)
         unit = span >> U(BITS)
         low += unit * start
         span = unit * width
@@ -198,8 +210,8 @@ def decode_block(data: bytes, vocab: int) -> np.ndarray:
         x = m.find(np.minimum(rest, m.r0 - 1))
         x = np.where(is2, m.p2, np.where(is1, m.p1, x))
         start, width = m.literal(x)
-        start = np.where(is2, 0, np.where(is1, m.r2, start)).astype(U)
-        width = np.where(is2, m.r2, np.where(is1, m.r1, width)).astype(U)
+        start = np.where(is2, 0, np.where(is1, m.r2, start)).view(U)
+        width = np.where(is2, m.r2, np.where(is1, m.r1, width)).view(U)
         low += unit * start
         span = unit * width
         go = _settle(low, span)

@@ -89,28 +89,31 @@ class Encoder:
         mark = "\x00" if self.joined else ""  # tells a text's first piece from later ones
         # letters and one full stop or comma: the vocabularies cut between them;
         # ASCII letters in a word vocabulary, which folds their case
-        alias = {}
+        alias, letters, plain = {}, [], []
+        of, find = len(new), self.known.__getitem__
         for i, p in enumerate(new[:]):
-            stop = p[-1] if p[-1:] in (".", ",") and p[:-1].removeprefix(mark).isalpha() else ""
-            core = p[:-1] if stop else p
-            if self.folds and core.isascii() and core.isalpha():
-                core = core.lower()
-            if core != p:
-                alias[i] = core, stop
-        for core, _ in alias.values():
-            self.known[core]
+            if p.isalpha():
+                if self.folds and p.isascii() and not p.islower():
+                    alias[i] = find(p.lower()), None
+                else:
+                    letters.append(i)
+            elif p[-1:] in self.stops and p[:-1].removeprefix(mark).isalpha():
+                core = p[:-1]
+                alias[i] = find(core.lower() if self.folds and core.isascii() and core.isalpha() else core), self.stops[p[-1]]
+            else:
+                plain.append(i)
+        for i in range(of, len(new)):  # the words that aliases stand for
+            (letters if new[i].isalpha() else plain).append(i)
         lists: list = [None] * len(new)
-        plain = self._many([i for i, p in enumerate(new) if i not in alias and p.isalpha()], new, lists)
-        plain += [i for i, p in enumerate(new) if i not in alias and not p.isalpha()]
+        plain = self._many(letters, new, lists) + plain
         texts = [new[i] for i in plain]
         if self.joined:
             texts = [p[1:] if p[:1] == mark else " " + p for p in texts]
         for i, e in zip(plain, self.tok.encode_batch(texts, add_special_tokens=False)):
             lists[i] = e.ids
-        for i, (core, stop) in alias.items():
-            k = self.known[core]
+        for i, (k, stop) in alias.items():
             have = lists[k - first] if k >= first else self.ids[self.at[k] : self.at[k] + self.length[k]].tolist()
-            lists[i] = have + self.stops[stop] if stop else have
+            lists[i] = have + stop if stop else have
         counts = np.fromiter(map(len, lists), np.int32, len(lists))
         if self.joined:  # -1: this piece makes its text one to encode whole
             for i in plain:

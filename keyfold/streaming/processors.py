@@ -363,7 +363,7 @@ class CartProcessor(_ByUser):
                         self._fill(u)
             n, held = self._baskets(pdf, add & (status == "INSTOCK").astype(bool), leaves, head, owner, begin)
             end = np.append(first[1:], len(of)) - 1
-            kept = held[end] & ~(leaves[end] if self.checkout == "clear" else False)
+            kept = held[end] & ~(leaves[end] & (self.checkout == "clear"))
             after = [b if k else None for b, k in zip(n[end].tolist(), kept.tolist())]
             for u, b, old in zip(users[:-1], after[:-1], [had, *begin[1:]]):
                 if b != old:
