@@ -11,7 +11,9 @@ vocabulary is broadcast.
 **Levels.**  A phrase of k + 1 words can only reach ``least`` if its first k and
 its last k words do.  Each level's pass extends the phrases found so far by the
 next word wherever both parts are accepted; the sums of these extensions over
-all shards leave the next level's candidates.  Candidates are numbered and
+all shards leave the next level's candidates.  Counts go from task to task in
+buckets of their keys, as arrays: a row holds a task's share of a bucket, and a
+bucket's shares are summed together.  Candidates are numbered and
 taken in slices of at most ``SLICE``, each a double-array trie that is sent to
 all tasks: bounded, whatever the corpus.  A task advances the states of all
 positions of its shards together, level by level, and counts the accepting
@@ -42,8 +44,10 @@ from keyfold.llm.common import materialise
 SHARD = 1 << 20
 #: Candidates of one trie.
 SLICE = 400_000
-#: Distinct extensions that a task holds before it hands them on.
-HELD = 4_000_000
+#: Counts that a task holds before it sums them up or hands them on.
+HELD = 2_000_000
+#: Words that are walked through a trie at a time.
+STRETCH = 1 << 18
 ROWS = 50_000
 
 #: floor(scale * a / (l + r)) in decimals.
@@ -253,80 +257,122 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes first: in sorted keys and
+    small counts most bytes then repeat, which Spark's compression takes out."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+_SHARES = "bucket int, keys binary, counts binary"
+
+
 class _Held:
-    """Counts by key that a task has not handed on yet."""
+    """Counts by key (candidate << 32 | next word, 0: the candidate itself)
+    that a task has not handed on yet."""
 
-    def __init__(self):
-        self.parts, self.n = [], 0
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.n = buckets, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(keys, return_counts=True)
+        yield from self.put(*np.unique(keys, return_counts=True))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((keys, counts))
         self.n += len(keys)
         if self.n > HELD:
-            k, c = _sums(*map(np.concatenate, zip(*self.parts)))
-            self.parts, self.n = [(k, c)], len(k)
+            self._sum()
             if self.n > HELD // 2:
                 yield from self.rows()
 
+    def _sum(self) -> None:
+        parts, self.parts = self.parts, []
+        self.parts = [_sums(*map(np.concatenate, zip(*parts)))]
+        self.n = len(self.parts[0][0])
+
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            k, c = _sums(*map(np.concatenate, zip(*self.parts)))
-            self.parts, self.n = [], 0
-            for a in range(0, len(k), ROWS):
-                yield _counts(k[a : a + ROWS] >> 32, k[a : a + ROWS] & 0xFFFFFFFF, c[a : a + ROWS])
+        if not self.n:
+            return
+        self._sum()
+        (k, c), self.parts, self.n = self.parts[0], [], 0
+        bucket = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        k, c, bucket = k[order], c[order], bucket[order]
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for a, b in zip(heads, np.append(heads[1:], len(k))):
+            yield pa.record_batch({
+                "bucket": pa.array(bucket[a : a + 1]), "keys": pa.array([_planes(k[a:b])], pa.binary()),
+                "counts": pa.array([_planes(c[a:b])], pa.binary())})
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    from keyfold.llm.common import give_back
+
+    give_back()
+    for batch in batches:
+        for value in batch.column(0):
+            yield np.frombuffer(value.as_buffer(), np.int32)
 
 
-def _counts(no: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({
-        "no": pa.array(no.astype(np.int64)),
-        "word": pa.nulls(len(no), pa.int64()) if word is None else pa.array(word.astype(np.int64)),
-        "n": pa.array(n.astype(np.int64))})
+def _pairs(buckets: int):
+    """Level 1 extended: (word, next word, count) of frequent neighbours."""
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(buckets)
+        for body in _bodies(batches):
+            at = np.flatnonzero((body[:-1] > 0) & (body[1:] > 0))
+            yield from held.add((body[at].astype(np.int64) << 32) | body[at + 1])
+        yield from held.rows()
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Level 1 extended: (word, next word, count) of frequent neighbours."""
-    held = _Held()
-    for batch in batches:
-        for value in batch.column(0):
-            body = np.frombuffer(value.as_py(), np.int32).astype(np.int64)
-            both = (body[:-1] > 0) & (body[1:] > 0)
-            yield from held.add((body[:-1][both] << 32) | body[1:][both])
-    yield from held.rows()
+    return pairs
 
 
-def _counter(sent, extend: bool):
-    """A pass with one trie: (row, null, count) of accepting states and, with
+def _counter(sent, extend: bool, buckets: int):
+    """A pass with one trie: (row, 0, count) of accepting states and, with
     ``extend``, (row, next word, count) where the last words are accepted too
     (``whole``: the trie holds its whole level, so that they can be)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, whole = sent.value
-        total, held = np.zeros(len(trie.check), np.int64), _Held()
-        for batch in batches:
-            for value in batch.column(0):
-                body = np.frombuffer(value.as_py(), np.int32)
-                state = trie.walk(body)
-                total += np.bincount(state[state >= 0], minlength=len(total))
+        total, held = np.zeros(len(trie.check), np.int64), _Held(buckets)
+        for body in _bodies(batches):
+            # the state of a stretch's last position is walked again by the next
+            starts = len(body) - trie.depth + 1
+            for a in range(0, starts, STRETCH):
+                n = min(STRETCH, starts - a)
+                state = trie.walk(body[a : a + n + trie.depth])
+                total += np.bincount(state[:n][state[:n] >= 0], minlength=len(total))
                 if extend and len(state) > 1:
-                    after = body[trie.depth :]
+                    after = body[a + trie.depth : a + trie.depth + len(state) - 1]
                     ok = (state[:-1] >= 0) & (after > 0)
                     if whole:
                         ok &= state[1:] >= 0
                     yield from held.add((trie.accept[state[:-1][ok]].astype(np.int64) << 32) | after[ok])
-        yield from held.rows()
         seen = np.flatnonzero(total)
-        for a in range(0, len(seen), ROWS):
-            some = seen[a : a + ROWS]
-            yield _counts(trie.accept[some], None, total[some])
+        yield from held.put(trie.accept[seen].astype(np.int64) << 32, total[seen])
+        yield from held.rows()
 
     return count
 
 
-_COUNTS = "no long, word long, n long"
+def _summed(bodies: DataFrame, shares, buckets: int, least: int) -> DataFrame:
+    """The sums of at least ``least`` over all tasks: (no, word, n), word 0 for
+    the candidate itself."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        keys = [_unplaned(x.as_buffer()) for x in table["keys"]]
+        counts = [_unplaned(x.as_buffer()) for x in table["counts"]]
+        k, n = _sums(np.concatenate(keys), np.concatenate(counts))
+        k, n = k[n >= least], n[n >= least]
+        return pa.table({"no": k >> 32, "word": k & 0xFFFFFFFF, "n": n})
+
+    return bodies.mapInArrow(shares, _SHARES).groupBy("bucket").applyInArrow(sums, "no long, word long, n long")
 
 
-def _level(bodies: DataFrame, candidates: DataFrame, depth: int, extend: bool, least: int, slice_: int):
+def _level(bodies: DataFrame, candidates: DataFrame, depth: int, extend: bool, least: int, slice_: int, buckets: int):
     """Counts of a level's candidates (p, f), and the next level's candidates
     (p) or None.  ``candidates`` has ``no`` from 0."""
     spark, total = bodies.sparkSession, candidates.count()
@@ -336,12 +382,11 @@ def _level(bodies: DataFrame, candidates: DataFrame, depth: int, extend: bool, l
         phrases = rows["p"].combine_chunks().flatten().to_numpy().reshape(-1, depth)
         sent = spark.sparkContext.broadcast((Trie(phrases), total <= slice_))
         counts = materialise(
-            bodies.mapInArrow(_counter(sent, extend), _COUNTS).groupBy("no", "word").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least).withColumn("no", F.col("no") + a), "phrase-counts")
+            _summed(bodies, _counter(sent, extend, buckets), buckets, least).withColumn("no", F.col("no") + a), "phrase-counts")
         sent.unpersist()
         counts = counts.join(candidates, "no")
-        f = counts.where("word IS NULL").select("p", F.col("n").alias("f"))
-        more = counts.where("word IS NOT NULL").select(F.concat("p", F.array(F.col("word").cast("int"))).alias("p"))
+        f = counts.where("word = 0").select("p", F.col("n").alias("f"))
+        more = counts.where("word > 0").select(F.concat("p", F.array(F.col("word").cast("int"))).alias("p"))
         found = f if found is None else found.unionByName(f)
         longer = more if longer is None else longer.unionByName(more)
     if found is None:
@@ -366,11 +411,13 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longes
     bodies = materialise(
         rows.where("body IS NOT NULL").select("shard", "body").groupBy("shard")
         .cogroup(to.groupBy("of")).applyInArrow(_renumber, "body binary"), "bodies")
-    pairs = bodies.mapInArrow(_pairs, _COUNTS).groupBy("no", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # a bucket holds on average what two shards can hand on, however many there are
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bodies.count() // 2)
+    pairs = _summed(bodies, _pairs(buckets), buckets, least)
     candidates, phrases = pairs.select(F.array(F.col("no").cast("int"), F.col("word").cast("int")).alias("p")), None
     for depth in range(2, longest + 1):
         candidates = _numbered(candidates, f"candidates-{depth}", 0)
-        found, candidates = _level(bodies, candidates, depth, depth < longest, least, slice_)
+        found, candidates = _level(bodies, candidates, depth, depth < longest, least, slice_, buckets)
         phrases = found if phrases is None else phrases.unionByName(found)
     return words, materialise(phrases, "phrases"), totals
 

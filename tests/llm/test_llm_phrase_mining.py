@@ -89,3 +89,43 @@ def test_decimal_scores(spark):
     big = spark.range(1).select(F.lit(9_000_000_000_000_000_000).alias("a"), F.lit(9_000_000_000_000_000_001).alias("l"), F.lit(9_100_000_000_000_000_000).alias("r"))
     got = big.select(F.expr(M.SCORE.format(2_000_000))).first()[0]
     assert got == 2_000_000 * 9_000_000_000_000_000_000 // (9_000_000_000_000_000_001 + 9_100_000_000_000_000_000)
+
+
+def shares(batches):
+    """The counts that batches of shares hold, and how many rows those are."""
+    got, rows = Counter(), 0
+    for b in batches:
+        rows += b.num_rows
+        for bucket, keys, counts in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for k, n in zip(M._unplaned(keys).tolist(), M._unplaned(counts).tolist()):
+                got[k >> 32, k & 0xFFFFFFFF] += n
+    return got, rows
+
+
+@pytest.mark.parametrize("held,stretch", [(10**6, 10**6), (50, 7)])
+def test_a_task_hands_on_a_row_per_bucket(monkeypatch, held, stretch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "STRETCH", stretch)
+    rng = np.random.default_rng(5)
+    bodies = [rng.integers(0, 6, n).astype(np.int32) for n in (3000, 1, 2, 40)]
+    batch = pa.record_batch([pa.array([b.tobytes() for b in bodies], pa.binary())], names=["body"])
+    phrases = np.array([(a, b) for a in range(1, 5) for b in range(1, 6)])
+
+    class Sent:
+        value = (M.Trie(phrases), True)
+
+    want, row = Counter(), {tuple(p): i for i, p in enumerate(phrases.tolist())}
+    for b in map(np.ndarray.tolist, bodies):
+        for i in range(len(b) - 1):
+            if (p := row.get((b[i], b[i + 1]))) is not None:
+                want[p, 0] += 1
+                if i + 2 < len(b) and (b[i + 1], b[i + 2]) in row:
+                    want[p, b[i + 2]] += 1
+    got, rows = shares(M._counter(Sent, True, 3)(iter([batch])))
+    assert got == want
+    assert rows <= 3 or held == 50
+    pairs, rows = shares(M._pairs(3)(iter([batch])))
+    assert pairs == Counter((x, y) for b in bodies for x, y in zip(b.tolist(), b.tolist()[1:]) if x and y)
+    assert rows <= 3 or held == 50
