@@ -54,11 +54,16 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def give_back() -> None:
+def give_back(encoders: bool = False) -> None:
     """Return what earlier tasks of this Python worker freed to the system: a
-    worker serves many stages, and its allocators keep their peak."""
+    worker serves many stages, and its allocators keep their peak.  The encoders
+    of a stage that is over go too; a stage that encodes keeps its own."""
     import ctypes
+    import sys
 
+    tokens = sys.modules.get("keyfold.llm.tokens")
+    if tokens and not encoders:
+        tokens.forget_encoders()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

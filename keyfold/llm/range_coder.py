@@ -35,6 +35,7 @@ SURE = (1 << SURE_BITS) - 1
 #: What a confidence gains when its prediction was right, and when it was wrong.
 UP = np.minimum(np.arange(SURE + 1) + 1, SURE) - np.arange(SURE + 1)
 DOWN = (np.arange(SURE + 1) >> 1) - np.arange(SURE + 1)
+STEP = np.concatenate([DOWN, UP])
 LANES, LANE_IDS = 4096, 256
 HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"CMX1"
@@ -97,8 +98,8 @@ class _Models:
 
     def _next(self, entry: np.ndarray, sure: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Right: surer; wrong: half as sure; wrong and not sure at all: the id seen."""
-        step = np.where(hit, UP.take(sure), DOWN.take(sure))
-        return np.where(hit | (sure > 0), entry + step, fresh)
+        state = sure + (hit.view(np.int8) << SURE_BITS)
+        return np.where(state > 0, entry + STEP.take(state), fresh)
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.p2, ids == self.p1

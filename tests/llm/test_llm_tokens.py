@@ -106,3 +106,25 @@ def test_documents_across_blocks():
 
 def test_empty_table(spark):
     assert T.read(spark, T.write(spark.createDataFrame([], DOCS), P.path(FILES[0]))).count() == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_met_again_stay(name):
+    e = tokens.Encoder(P.path(name), memory=200)
+    for k in range(30):
+        text = "often met. Often, " + " ".join(f"once{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+        assert e.encode([text])[0].tolist() == e.tok.encode(text, add_special_tokens=False).ids
+        assert len(e.known) < 400
+    e._age(100)
+    assert "met." in e.known and len(e.known) <= 100
+    assert e.encode(["x often met."])[0].tolist() == e.tok.encode("x often met.", add_special_tokens=False).ids
+
+
+def test_the_next_stage_frees_the_encoders():
+    from keyfold.llm.common import give_back
+
+    mine = tokens.encoder(P.path(FILES[1]), 100)
+    give_back(encoders=True)
+    assert tokens.encoder(P.path(FILES[1])) is mine
+    give_back()
+    assert not tokens._ENCODERS
