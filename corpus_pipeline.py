@@ -25,6 +25,10 @@ from keyfold.llm import exact_dedup, mixing, ngram_join, packing, quality
 from keyfold.llm.catalogue import QUALITY_THRESHOLD, vocabulary
 from keyfold.llm.common import materialise, small, table
 
+#: Pieces that a packing worker of the pipeline remembers: its executors hold
+#: what the stages before have left.
+PIECES = 600_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), pieces=PIECES)
 
 
 STAGES = [

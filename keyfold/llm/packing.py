@@ -34,7 +34,7 @@ from keyfold.session import ship_package
 
 WIDTH = 2048
 #: Pieces that a packing worker remembers.
-PIECES = 1_000_000
+PIECES = 1_300_000
 #: Penalties of a cut, in tokens of padding.
 SENTENCE, INSIDE = 4, 24
 #: Least distance of two sentence cuts, and of cuts inside a sentence.
@@ -120,14 +120,14 @@ def pack_run(docs: list[tuple], ids: np.ndarray, ends: np.ndarray, stops: np.nda
     ], len(cuts)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, pieces: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     from keyfold.llm.common import give_back, spans, utf8
     from keyfold.llm.tokens import encoder
 
-    give_back()
-    enc = encoder(path, PIECES)
+    give_back(encoders=True)
+    enc = encoder(path, pieces)
     stops = sentence_stops(enc.tok, end_id)
     sequence = TaskContext.get().partitionId() << 40
     keys, parts, sizes, held = [], [], [], 0
@@ -166,8 +166,8 @@ def sentence_stops(tok, end_id: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = WIDTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = WIDTH, pieces: int = PIECES) -> DataFrame:
     """One row per piece; see ``COLUMNS``."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(lambda it: _packed(it, tokenizer, end_id, width), COLUMNS)
+    return rows.mapInArrow(lambda it: _packed(it, tokenizer, end_id, width, pieces), COLUMNS)

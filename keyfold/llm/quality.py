@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import spans, utf8, words
+from keyfold.llm.common import give_back, spans, utf8, words
 from keyfold.session import ship_package
 
 #: The bound on the labelled rows that the fit sees.
@@ -177,6 +177,7 @@ def remainder(key):
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         body, at = utf8(batch.column(1))
         given = np.maximum(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), 0).astype(float)
@@ -233,6 +234,7 @@ def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(given_col).cast("bigint").alias("given"))
 
     def run(batches):
+        give_back()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b, model, 1, 2), pa.float64())], names=["id", "score"])
 
@@ -245,6 +247,7 @@ def kept(docs: DataFrame, model: Machine, threshold: float, text_col: str = "tex
     text, given = docs.columns.index(text_col), docs.columns.index(given_col)
 
     def run(batches):
+        give_back()
         for b in batches:
             yield b.filter(pa.array(_scores(b, model, text, given) >= threshold))
 
